@@ -75,12 +75,15 @@ class TreeAutomaton:
     def __init__(self) -> None:
         self.transitions: dict[tuple, int] = {}
         self.names: list[str] = []
+        self.variants: list[str] = []
 
     def _at(self, key: tuple, name: str) -> int:
         found = self.transitions.get(key)
         if found is None:
             found = self.transitions[key] = len(self.names)
             self.names.append(name)
+            inner = ",".join(f"{k}:{self.names[s]}" for k, s in key[1]) if key[0] == "o" else ""
+            self.variants.append(f"{{{inner}}}")
         return found
 
     def state(self, value) -> int:
@@ -162,7 +165,7 @@ class _Flattener:
                 node,
                 parent,
                 subtype,
-                f"{subtype}#{'+'.join(sorted(obj))}",
+                subtype + self.automaton.variants[self.automaton.state(obj)],
                 file_path,
                 parent_name,
                 name,
@@ -261,7 +264,7 @@ def flatten_json(df: DataFrame, key: str, json_col: str, owner_col: str | None =
                 try:
                     value = parse_document(j)
                 except ValueError:
-                    rows.append((k, "$", None, "unparsed", "unparsed#", None, None, None, None, None, None, j))
+                    rows.append((k, "$", None, "unparsed", "unparsed{}", None, None, None, None, None, None, j))
                     continue
                 if value is None:
                     continue
