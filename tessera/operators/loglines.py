@@ -10,7 +10,8 @@ stand anywhere): once only the message can follow, parsing ends.
 Defined results for odd input: null and empty texts give no entries; lines
 before the first header belong to none and come out as ``unparsed``; control
 codes belong to no field; a text of one endless line is one line; repeated
-texts give equal rows. A last LF ends the last line and begins no further one.
+texts give equal rows. Lines are what stands between LFs: a last LF begins a last,
+empty line, which belongs to the last entry.
 """
 
 from __future__ import annotations
@@ -329,8 +330,6 @@ _STARTS = frozenset("0123456789[{ITWEFDVCNSABJMOPtslacm")
 def entries(trie: EarleyTrie, record: str, text: str, seen: datetime | None, message: bool) -> list[tuple]:
     """Entries of one text, in order."""
     lines = text.split("\n")
-    if lines and lines[-1] == "":
-        lines.pop()
     out: list[list] = []
     coded = _CONTROL.search(text) is not None
     for no, line in enumerate(lines, 1):
