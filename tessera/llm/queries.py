@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import secrets
+from tessera.llm import pii, secrets
 from tessera.session import table
 
 
@@ -23,5 +23,20 @@ def p2_redacted(spark: SparkSession, base: str) -> DataFrame:
     return secrets.redacted(source, secrets.secret_spans(source))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted)}
+def _personal(spark: SparkSession, base: str) -> list[tuple[str, DataFrame]]:
+    return pii.texts(table(spark, base, "prompt_request"), table(spark, base, "terminal_run"))
+
+
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    """Lines with personal information, by type."""
+    return pii.personal_spans(_personal(spark, base)).select("origin", "record_id", "line_no", "pii_type").distinct()
+
+
+def p4_clean(spark: SparkSession, base: str) -> DataFrame:
+    """All texts with typed placeholders in place of personal information."""
+    parts = _personal(spark, base)
+    return pii.sanitised(parts, pii.personal_spans(parts))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p4_found, p4_clean)}
 SQL: dict[str, str] = {}
