@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import pii, secrets
+from tessera.llm import handwritten, pii, secrets
 from tessera.session import table
 
 
@@ -38,5 +38,10 @@ def p4_clean(spark: SparkSession, base: str) -> DataFrame:
     return pii.sanitised(parts, pii.personal_spans(parts))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p4_found, p4_clean)}
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    """Rows whose file isn't hand-written."""
+    return handwritten.not_handwritten(table(spark, base, "file_symbols"), table(spark, base, "ranked_file"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p4_found, p4_clean, p5_found)}
 SQL: dict[str, str] = {}
