@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import handwritten, pii, secrets
+from tessera.llm import handwritten, pii, secrets, splitting
 from tessera.session import table
 
 
@@ -43,5 +43,20 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return handwritten.not_handwritten(table(spark, base, "file_symbols"), table(spark, base, "ranked_file"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p4_found, p4_clean, p5_found)}
-SQL: dict[str, str] = {}
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    """Contents over the limit, and whether a cut falls inside a line."""
+    return splitting.oversized(table(spark, base, "evidence"), table(spark, base, "evidence_chunk"))
+
+
+def p6_pieces(spark: SparkSession, base: str) -> DataFrame:
+    """The pieces of the oversized evidence."""
+    return splitting.split_items(table(spark, base, "evidence"), "evidence_id", "content").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p4_found, p4_clean, p5_found, p6_found, p6_pieces)}
+SQL: dict[str, str] = {
+    "p6_found": """
+        WITH t AS (SELECT 'evidence' AS origin, evidence_id AS record_id, content FROM evidence UNION ALL SELECT 'evidence_chunk', chunk_id, content FROM evidence_chunk)
+        SELECT DISTINCT origin, record_id, CAST(list_max(list_transform(string_split(content, chr(10)), lambda l: length(rtrim(l, chr(13))))) > 6000 AS BIGINT) AS forced_cut
+        FROM t WHERE length(content) > 6000""",
+}
