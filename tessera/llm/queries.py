@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import handwritten, pii, secrets, splitting
+from tessera.llm import handwritten, lookalikes, pii, secrets, splitting
 from tessera.session import table
 
 
@@ -53,7 +53,17 @@ def p6_pieces(spark: SparkSession, base: str) -> DataFrame:
     return splitting.split_items(table(spark, base, "evidence"), "evidence_id", "content").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p4_found, p4_clean, p5_found, p6_found, p6_pieces)}
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    """Pairs of documents that look alike and differ in code points."""
+    return lookalikes.alike_pairs(table(spark, base, "documents"), "doc_id", "text")
+
+
+def p9_forms(spark: SparkSession, base: str) -> DataFrame:
+    """Each document's consistent form."""
+    return lookalikes.canonical(table(spark, base, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p4_found, p4_clean, p5_found, p6_found, p6_pieces, p9_found, p9_forms)}
 SQL: dict[str, str] = {
     "p6_found": """
         WITH t AS (SELECT 'evidence' AS origin, evidence_id AS record_id, content FROM evidence UNION ALL SELECT 'evidence_chunk', chunk_id, content FROM evidence_chunk)
