@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import handwritten, lookalikes, pii, secrets, splitting
+from tessera.llm import handwritten, leakage, lookalikes, pii, secrets, splitting
 from tessera.session import table
 
 
@@ -53,6 +53,18 @@ def p6_pieces(spark: SparkSession, base: str) -> DataFrame:
     return splitting.split_items(table(spark, base, "evidence"), "evidence_id", "content").distinct()
 
 
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    """Documents that repeat at least half of a held-out item."""
+    return leakage.leaked(table(spark, base, "documents"), "doc_id", "text", table(spark, base, "benchmark_item"), "item_id", "text").select("doc_id", "item_id").distinct()
+
+
+def p7_cleaned(spark: SparkSession, base: str) -> DataFrame:
+    """All documents without the leaked passages."""
+    documents = table(spark, base, "documents")
+    found = leakage.leaked(documents, "doc_id", "text", table(spark, base, "benchmark_item"), "item_id", "text", spans=True)
+    return leakage.without_leaks(documents, "doc_id", "text", found)
+
+
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
     """Pairs of documents that look alike and differ in code points."""
     return lookalikes.alike_pairs(table(spark, base, "documents"), "doc_id", "text")
@@ -63,7 +75,7 @@ def p9_forms(spark: SparkSession, base: str) -> DataFrame:
     return lookalikes.canonical(table(spark, base, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p4_found, p4_clean, p5_found, p6_found, p6_pieces, p9_found, p9_forms)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p4_found, p4_clean, p5_found, p6_found, p6_pieces, p7_found, p7_cleaned, p9_found, p9_forms)}
 SQL: dict[str, str] = {
     "p6_found": """
         WITH t AS (SELECT 'evidence' AS origin, evidence_id AS record_id, content FROM evidence UNION ALL SELECT 'evidence_chunk', chunk_id, content FROM evidence_chunk)
