@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import handwritten, leakage, lookalikes, pii, secrets, splitting
+from tessera.llm import handwritten, leakage, lookalikes, mixing, pii, secrets, splitting
 from tessera.session import table
 
 
@@ -65,6 +65,16 @@ def p7_cleaned(spark: SparkSession, base: str) -> DataFrame:
     return leakage.without_leaks(documents, "doc_id", "text", found)
 
 
+def p8_mix(spark: SparkSession, base: str) -> DataFrame:
+    """The documents of the mixture and how often each is used."""
+    return mixing.mix(table(spark, base, "documents"), table(spark, base, "mix_target"))[0]
+
+
+def p8_shares(spark: SparkSession, base: str) -> DataFrame:
+    """Wanted and actual shares of the mixture."""
+    return mixing.mix(table(spark, base, "documents"), table(spark, base, "mix_target"))[1]
+
+
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
     """Pairs of documents that look alike and differ in code points."""
     return lookalikes.alike_pairs(table(spark, base, "documents"), "doc_id", "text")
@@ -75,7 +85,7 @@ def p9_forms(spark: SparkSession, base: str) -> DataFrame:
     return lookalikes.canonical(table(spark, base, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p4_found, p4_clean, p5_found, p6_found, p6_pieces, p7_found, p7_cleaned, p9_found, p9_forms)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p4_found, p4_clean, p5_found, p6_found, p6_pieces, p7_found, p7_cleaned, p8_mix, p8_shares, p9_found, p9_forms)}
 SQL: dict[str, str] = {
     "p6_found": """
         WITH t AS (SELECT 'evidence' AS origin, evidence_id AS record_id, content FROM evidence UNION ALL SELECT 'evidence_chunk', chunk_id, content FROM evidence_chunk)
