@@ -1,0 +1,151 @@
+"""Column expressions on text: all JVM-side, no Python per row.
+
+``\\w`` is written out as ASCII classes, so that Spark and DuckDB agree. Null
+texts give null scalars and empty arrays; empty texts give empty ones.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, functions as F
+
+VERBS = "GET|POST|PUT|PATCH|DELETE"
+
+# Patterns of the task classifier, by task in order of ties.
+TASKS = {
+    "debug": (
+        r"\b(error|bug|crash|exception|traceback|stack.?trace|not working|broken|fails?|failing|404|500|undefined|nan|null pointer|wrong output|unexpected)\b",
+        r"\b(why (is|does|isn't|doesn't)|what went wrong|can't figure|investigate|diagnose)\b",
+    ),
+    "research": (
+        r"\b(latest|current|today|2025|2026|news|recent|new version|release)\b",
+        r"\b(best (library|tool|framework|approach)|compare|vs\.?|versus|which (is|should)|what.s (the )?best)\b",
+        r"\b(search|look up|find information|what.s new|up.?to.?date)\b",
+        r"\b(buy|purchase|price|cost|hire|find|recommend|where (can|do|should)|how much)\b",
+    ),
+    "code": (
+        r"\b(implement|refactor|scaffold|add (a |the )?(function|method|class|component|endpoint|route))\b",
+        r"\b(write (a |the )?(function|method|class|script|code|test|api|endpoint|component))\b",
+        r"\b(generate (a |the )?(function|class|component|schema|migration|test))\b",
+        r"\b(code for|how to (write|implement|code))\b",
+    ),
+    "explain": (r"\b(explain|what (is|are|does)|how (does|do|would|should)|understand|meaning|definition|walk me through)\b",),
+    "design": (
+        r"\b(architecture|design (a |the )?(system|schema|database|api)|structure|plan|diagram|flow)\b",
+        r"\b(how (should|would) (i|we) (structure|organize|design|approach))\b",
+        r"\b(best practice|design pattern|scalable|organize (the |my )?(code|project|codebase))\b",
+    ),
+}
+
+
+def _all(text: Column, pattern: str, group: int = 1) -> Column:
+    return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.array().cast("array<string>"))
+
+
+def lines(text: Column) -> Column:
+    """Lines of a text; a last line end opens no further line."""
+    return F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n")
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def camel_to_snake(name: Column) -> Column:
+    first = F.regexp_replace(name, "(.)([A-Z][a-z]+)", "$1_$2")
+    return F.lower(F.regexp_replace(first, "([a-z0-9])([A-Z])", "$1_$2"))
+
+
+def tokens(text: Column) -> Column:
+    """Sorted distinct identifiers in lower case."""
+    return F.array_sort(F.array_distinct(F.transform(_all(text, "([a-zA-Z_][a-zA-Z0-9_]*)"), F.lower)))
+
+
+def keywords(text: Column) -> Column:
+    """File names with stems, CamelCase with snake form, snake_case and
+    back-ticked words of more than two characters; sorted, distinct."""
+    names = r"\b([a-zA-Z0-9_/]+)(\.[a-zA-Z0-9_]{2,6})\b"
+    stems, ends = _all(text, names), _all(text, names, 2)
+    files = F.concat(F.zip_with(stems, ends, lambda a, b: F.lower(F.concat(a, b))), F.transform(stems, F.lower))
+    camel = _all(text, r"\b([A-Z][a-zA-Z]{2,})\b")
+    ticked = _all(text, "`([^`]+)`")
+    words = F.concat(files, F.transform(camel, F.lower), F.transform(camel, camel_to_snake), _all(text, r"\b([a-z]+(?:_[a-z]+){1,})\b"), F.transform(ticked, F.lower), F.transform(ticked, lambda t: F.lower(F.regexp_replace(t, r"\.[^./]*$", ""))))
+    return F.array_sort(F.array_distinct(F.filter(words, lambda k: F.length(k) > 2)))
+
+
+def path_parameters(path: Column) -> Column:
+    """Names in <...> and after colons, sorted and distinct."""
+    return F.array_sort(F.array_distinct(F.concat(_all(path, "<([^>]+)>"), _all(path, ":([a-zA-Z_][a-zA-Z0-9_]*)"))))
+
+
+def route_mentions(text: Column) -> Column:
+    """METHOD:path of each mention, in order, duplicates kept."""
+    p = rf"(?i)\b({VERBS})\s+(/[/a-zA-Z0-9_\-]*)"
+    return F.zip_with(_all(text, p), _all(text, p, 2), lambda m, r: F.concat(F.upper(m), F.lit(":"), r))
+
+
+def extension(path: Column) -> Column:
+    """The last suffix in lower case with its dot; '' for none and for dot files."""
+    return F.lower(F.regexp_extract(path, r"[^/.][^/]*(\.[^./]+)$", 1))
+
+
+def task_scores(text: Column) -> Column:
+    """map<task, number of pattern matches>."""
+    low = F.lower(text)
+    return F.create_map(*[x for task, ps in TASKS.items() for x in (F.lit(task), sum((F.regexp_count(low, F.lit(p)) for p in ps[1:]), F.regexp_count(low, F.lit(ps[0]))))])
+
+
+def task_type(text: Column) -> Column:
+    """The task with most matches, the first in order on ties; general if none."""
+    scores = task_scores(text)
+    best = F.greatest(*[scores[t] for t in TASKS])
+    pick = F.when(F.coalesce(best, F.lit(0)) == 0, "general")
+    for t in TASKS:
+        pick = pick.when(scores[t] == best, t)
+    return pick
+
+
+def last(items: Column, n: int) -> Column:
+    """The last ``n`` elements, in order."""
+    return F.when(F.size(items) < n, items).otherwise(F.slice(items, -n, n))
+
+
+def rule_summary(text: Column) -> Column:
+    """Last routes, first files and the tail of a conversation."""
+    p = r"\b(GET|POST|PATCH|PUT|DELETE)\s+(/[a-zA-Z0-9_/.<>?=&\-]+)"
+    routes = last(F.zip_with(_all(text, p), _all(text, p, 2), lambda m, r: F.concat_ws(" ", m, r)), 3)
+    files = F.slice(F.filter(F.array_distinct(_all(text, r"([a-zA-Z0-9_/]+\.[a-zA-Z0-9_]{2,5})")), lambda f: ~f.startswith("http")), 1, 5)
+    tail = last(last(F.filter(F.transform(F.split(text, r"\r?\n"), strip), lambda x: x != ""), 30), 10)
+    joined = F.concat_ws(" ", tail)
+    parts = F.concat_ws(
+        " ",
+        F.when(F.size(routes) > 0, F.concat(F.lit("Routes discussed: "), F.concat_ws(", ", routes), F.lit("."))),
+        F.when(F.size(files) > 0, F.concat(F.lit("Files involved: "), F.concat_ws(", ", files), F.lit("."))),
+        F.when(joined != "", F.concat(F.lit("Last context: "), F.substring(joined, 1, 400))),
+    )
+    return F.when(parts == "", F.substring(text, 1, 600)).otherwise(parts)
+
+
+def likely_files(text: Column) -> Column:
+    """The first six distinct back-ticked file names."""
+    return F.slice(F.array_distinct(_all(text, r"`([^`\n]+\.[a-zA-Z0-9_]{2,5})`")), 1, 6)
+
+
+def next_step(text: Column) -> Column:
+    """struct<last_ai_action, next_step> of the first rule that holds."""
+    low = F.lower(text)
+    has = lambda *ws: F.greatest(*[F.contains(low, F.lit(w)) for w in ws]) if len(ws) > 1 else F.contains(low, F.lit(ws[0]))
+    p = r"\b(GET|POST|PATCH|PUT|DELETE)\s+(/[a-zA-Z0-9_/.<>?=&\-]+)"
+    routes = F.zip_with(_all(text, p), _all(text, p, 2), lambda m, r: F.concat_ws(" ", m, r))
+    missing = F.when(F.size(routes) > 0, F.concat(F.lit("Implement missing "), F.element_at(routes, -1), F.lit(" endpoint"))).otherwise("Review conversation and continue debugging")
+    rules = [
+        (has("paste these files", "paste the files"), "AI requested specific files to be pasted", F.lit("Paste the requested files into the conversation")),
+        (has("what i need next", "next step"), "AI outlined next steps", F.lit("Follow the AI's outlined next steps")),
+        (has("404") & has("missing", "not found"), "Identified missing route causing 404", missing),
+        (has("serialization", "contract", "tojson", "fromjson"), "Investigating JSON serialization contract mismatch", F.lit("Compare toJson/fromJson between server and client models")),
+    ]
+    out = None
+    for cond, action, step in rules:
+        value = F.struct(F.lit(action).alias("last_ai_action"), step.alias("next_step"))
+        out = F.when(cond, value) if out is None else out.when(cond, value)
+    return out.otherwise(F.struct(F.lit("Analyzed conversation").alias("last_ai_action"), F.lit("Review conversation and continue debugging").alias("next_step")))
