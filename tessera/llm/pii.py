@@ -69,6 +69,7 @@ ADDRESS = re.compile(
 #: Flat, town and postcode that may follow the street.
 _TAIL = re.compile(r"(?:,? (?:(?i:apt|flat|unit|suite|piso)\.? ?\w{1,4}|\d{1,2}º ?[A-Z]?))?(?:,? (?:D-)?\d{5} [^\W\d_][\w\-]+|, (?:[A-ZÀ-Ý][\w\-]+|[a-z]{4,}(?=\W*$| instead))(?:,? [A-Z]{2}\d{0,2} ?\d[\dA-Z]{2,4})?)?")
 _CLOSINGS = frozenset(("regards", "thanks", "best", "cheers", "hi", "hello", "dear", "sincerely", "greetings", "thank", "yes", "no", "ok"))
+_OPENERS = _CLOSINGS | frozenset("contact mail ask call ping yesterday today why may can could will please the a an is does did has had when while if it this that from to by and but or for with cc re note owner name user customer reported signed i we he she they you who what where how was were as at on in of so then after before since talk see".split())
 TITLED = re.compile(rf"\b(?i:{_TITLES})\.? (?:[A-Z]\.? )?[A-ZÀ-Ý][\w'’\-]+(?: [A-ZÀ-Ý][\w'’\-]+)?")
 _TERM = re.compile(rf"(?<![\w@./\\_\-]){_WORD}(?![\w@(_]|[./\\]\w)")
 _NOT_TERM = re.compile(r"[a-z][A-Z]")
@@ -116,6 +117,9 @@ def name_spans(line: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
     terms = [m for m in _TERM.finditer(line) if _name_like(m[0])]
     i = 0
     while i < len(terms):
+        if terms[i][0].casefold() in _OPENERS:
+            i += 1
+            continue
         j = i
         while j + 1 < len(terms) and j - i < 3:
             gap = line[terms[j].end() : terms[j + 1].start()]
@@ -125,10 +129,9 @@ def name_spans(line: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
                 break
         if j > i:
             b, e = terms[i].start(), terms[j].end()
-            # a word that begins the sentence isn't part of the name after it
             if free(b, e):
                 out.append((b, e, tuple(t[0].casefold() for t in terms[i : j + 1]), False))
-        elif i + 1 < len(terms) and line[terms[i].end() : terms[i + 1].start()] == ", " and terms[i][0].casefold() not in _CLOSINGS and not (i + 2 < len(terms) and line[terms[i + 1].end() : terms[i + 2].start()] == " ") and free(terms[i].start(), terms[i + 1].end()):
+        elif i + 1 < len(terms) and line[terms[i].end() : terms[i + 1].start()] == ", " and not (i + 2 < len(terms) and line[terms[i + 1].end() : terms[i + 2].start()] == " ") and free(terms[i].start(), terms[i + 1].end()):
             out.append((terms[i].start(), terms[i + 1].end(), (terms[i + 1][0].casefold(),), False))
             j = i + 1
         i = j + 1

@@ -97,8 +97,8 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
     for begin, end, cut in bisect(text, limit, overlap):
         start = max(0, begin - min(overlap, limit - (end - begin)))
         if begin and start < begin:
-            line = text.find("\n", start, begin)
-            if 0 <= line < begin - 1:
+            line = text.find("\n", max(0, start - 1), begin - 1)
+            if line >= 0:
                 start = line + 1
             elif m := _SPACE.search(text, start, begin):
                 start = m.end() if m.end() < begin else start
