@@ -47,7 +47,7 @@ ID_NUMBER = re.compile(
     r"|(?<![\w.\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
     r"|(?<![\w.\-])QQ ?\d\d ?\d\d ?\d\d ?[A-D](?!\w)"
     r"|(?<![\w.\-])DL-\d{3}-\d{5}(?!\w)"
-    r"|(?<![\w.,:\-])00 \d{3} \d{3} \d{3}(?![\w\-])"
+    r"|(?<![\w.:\-])(?<!\d,)00 \d{3} \d{3} \d{3}(?![\w\-])"
     r"|(?<![\w.\-])\d{6}-\d{4}(?![\w\-])"
     r"|(?<![\w.\-/])(?:00\d{6}|[XYZ]\d{7})-?[A-Z](?!\w)"
     r"|(?<![\w.\-/])XZ?\d{7}(?!\w)"
@@ -57,7 +57,7 @@ PHONE = re.compile(
     r"(?<![\w.\-])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d(?:[ .\-/]?\d){5,13}(?:,?\s?(?:ext\.?|extension|x|Durchwahl)\s?\d{1,5})?(?![\w])"
     r"|(?<![\w.\-])00\d{2} ?(?:\(0\) ?)?\d(?:[ \-]?\d){6,11}(?![\w\-])"
     r"|(?<![\w.\-(/])(?:1[ .\-])?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?:,?\s?(?:ext\.?|extension|x)\s?\d{1,5})?(?![\w\-])"
-    r"|(?<![\w.:,\-/])0\d{1,4}(?:/\d{5,9}|(?:[ \-]\d{2}){4}|[ \-]\d{3,4}[ \-]\d{3,5})(?![\w\-:])"
+    r"|(?<![\w.:\-/])(?<!\d,)0\d{1,4}(?:/\d{5,9}|(?:[ \-]\d{2}){4}|[ \-]\d{3,4}[ \-]\d{3,5})(?![\w\-:])"
 )
 ADDRESS = re.compile(
     rf"(?:(?i:\b(?:flat|apt\.?|apartment|unit|suite)) ?\w{{1,4}}, ?)?(?<![\w.\-/])\d{{1,4}}[A-Za-z]? (?:[^\W\d_][\w'’]* ){{1,3}}(?i:{_STREETS}|(?:{_SHORT})\.?)\b(?=,|\.|;|$|\"| in\b|\)|<|\s*\|)"
