@@ -49,9 +49,10 @@ PREFIXES = {
 }
 _KNOWN = re.compile("|".join(PREFIXES.values()))
 _MASK = re.compile(
-    r"(?i)^(?:\$|%[\w(]|\{\{|<|!\w|@|env:|vault|secrets?[./:]|arn:|file:|ref[:+]|null\b|none\b|nil\b|true\b|false\b|undefined\b|n/a\b|tbd\b|todo\b|change|your|insert|example|dummy|sample|placeholder|redacted|masked|hidden|xxx|\.\.\.|\*)"
+    r"(?i)^(?:\$[{(]|\$\d$|%\(|%\w+%$|\{\{|<|!(?:ref|vault|env|secret|sub|include|getatt|importvalue|reference)\b|@(?:microsoft|env|vault)|env:|vault|secrets?[./:]|arn:|file:|ref[:+]|null\b|none\b|nil\b|true\b|false\b|undefined\b|n/a\b|tbd\b|todo\b|change|your|insert|example|dummy|sample|placeholder|redacted|masked|hidden|xxx|\.\.\.|\*{3})"
     r"|\$\{|\{\{|\$\(|%\(|<[a-z]|>$"
 )
+_VARIABLE = re.compile(r"\$(?:[A-Z_][A-Z0-9_]*|[a-z_][a-z0-9_]*)")
 _CODE = re.compile(r"^[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*(?:[\[(].*)?$")
 _WORDS = re.compile(r"^(?:[A-Za-z]?[a-z]+|[A-Z]+)(?:[ _.\-/][A-Za-z]?[a-z]*)*$|^[a-z]+(?:[A-Z][a-z]+)+$|^(?:[A-Z][a-z]+){2,}$|^[A-Z]+(?:_[A-Z0-9]+)*$")
 _NAME = re.compile(r"[\w.\-]*$")
@@ -61,6 +62,7 @@ _BARE = re.compile(r"[^\s\"'`<>,;)\]}\\]+")
 _QUERY = re.compile(r"[^\s\"'`<>,;)\]}\\&]+")
 _XML = re.compile(r">([^<>\s][^<>\n]*)</")
 _ATTR = re.compile(r"\"\s+value=\"([^\"\n]*)\"")
+_REMARK = re.compile(r"[\w ,.()'\-]{0,48}[:=][ \t]*([^\s\"'`<>,;]{16,})[ \t]*\r?(?:\n|$)")
 _SPACE = re.compile(r"[ \t]+[\"']?([^\s\"']+)")
 _URL = re.compile(r"://[^\s:/@\"'`<>]*:([^\s@/\"'`<>]+)@[\w\[]")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>(?:[A-Za-z0-9+/=]|\\n|\\r|\s|[\"'+\\])*)(?:-----END [A-Z0-9 ]*-----)?")
@@ -91,7 +93,7 @@ def strength(value: str, *, quoted: bool, strong_name: bool) -> bool:
     among them, or letters of both cases in no order of words."""
     if _KNOWN.match(value):
         return not re.search(r"EXAMPLE|(.)\1{5}", value)
-    if len(value) < 6 or _MASK.search(value) or len(set(value)) < 4:
+    if len(value) < 6 or _MASK.search(value) or _VARIABLE.fullmatch(value) or len(set(value)) < 4:
         return False
     if re.fullmatch(r"[\d.,:+\-]+", value):
         return False
@@ -176,7 +178,7 @@ class Finder:
                     got.append((m.start(), m.end(), m[0], "known"))
             elif kind == "url":
                 m = _URL.match(text, start)
-                if m and not _MASK.search(m[1]) and len(m[1]) >= 4 and len(set(m[1])) > 2:
+                if m and not _MASK.search(m[1]) and not _VARIABLE.fullmatch(m[1]) and len(m[1]) >= 4 and len(set(m[1])) > 2:
                     got.append((m.start(1), m.end(1), m[1], "login"))
             elif kind in ("bearer", "basic"):
                 m = _SCHEME.match(text, end)
@@ -245,6 +247,10 @@ class Finder:
             else:
                 m = _SPACE.match(text, end)
                 before = text[text.rfind("\n", 0, start) + 1 : start]
+                remark = _REMARK.match(text, end) if following in " ," else None
+                if remark and strength(remark[1], quoted=False, strong_name=False) and not re.match(r"\d{4}-\d\d-\d\d[T ]|\w+://", remark[1]):
+                    got.append((remark.start(1), remark.end(1), remark[1], "remark"))
+                    return
                 if not m or not (re.search(r"\b(?:ENV|ARG)\s+[\w]*$", before) or re.search(r"\blogin\s+\S+\s+$", before) or re.search(r"--[\w-]*$", before) or re.search(r"(?i)identified\s+by\s+$", before)):
                     return
                 found = (m.start(1), m.end(1), m[1], True)

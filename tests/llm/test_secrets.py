@@ -73,3 +73,10 @@ def test_empty(spark):
     assert secrets.secret_spans(src).count() == 0
     assert secrets.redacted(src, secrets.candidates(src)).count() == 0
     assert src.filter(F.lit(True)).count() == 0
+
+
+def test_remarks_and_signs():
+    for text in ("# old key, remove after rollout: 8BkVZhAwg0QJPE3oIGBYnlAqOUFS3Ytz", "EDGE_PASSWORD=!XzuSIIFOPIFo9", "EDGE_PASSWORD=$Kd8%fjW2x", "pwd: '%a8Fk2Lm0q'"):
+        assert len(Finder().find(text)) == 1, text
+    for text in ("# token budget: see a/b.py for the limit", "key missing, seen at: 2026-07-27T17:02:04.000Z", "password: $DB_PASS1", "# the key, in short: https://h.example/a1b2c3d4e5"):
+        assert Finder().find(text) == [], text
