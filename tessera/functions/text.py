@@ -89,20 +89,14 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/.][^/]*(\.[^./]+)$", 1))
 
 
-def task_scores(text: Column) -> Column:
-    """map<task, number of pattern matches>."""
-    low = F.lower(text)
-    return F.create_map(*[x for task, ps in TASKS.items() for x in (F.lit(task), sum((F.regexp_count(low, F.lit(p)) for p in ps[1:]), F.regexp_count(low, F.lit(ps[0]))))])
-
-
 def task_type(text: Column) -> Column:
-    """The task with most matches, the first in order on ties; general if none."""
-    scores = task_scores(text)
-    best = F.greatest(*[scores[t] for t in TASKS])
-    pick = F.when(F.coalesce(best, F.lit(0)) == 0, "general")
-    for t in TASKS:
-        pick = pick.when(scores[t] == best, t)
-    return pick
+    """The task with most matches, the first in order on ties; general if none.
+    Each pattern is counted once: the best of (matches, order, task) wins."""
+    low = F.lower(text)
+    count = lambda ps: sum((F.regexp_count(low, F.lit(p)) for p in ps[1:]), F.regexp_count(low, F.lit(ps[0])))
+    ranked = [F.struct(F.coalesce(count(ps), F.lit(0)).alias("n"), F.lit(-i).alias("o"), F.lit(t).alias("t")) for i, (t, ps) in enumerate(TASKS.items())]
+    none = F.struct(F.lit(0).alias("n"), F.lit(1).alias("o"), F.lit("general").alias("t"))
+    return F.array_max(F.array(none, *ranked))["t"]
 
 
 def last(items: Column, n: int) -> Column:

@@ -63,11 +63,11 @@ def intent(text: Column) -> Column:
     """struct<investigation_type, domain, confidence> of a request."""
     low = F.lower(text)
     kind, domain = _rules(low, [(t, w) for t, w, _ in TYPES], "unknown"), _rules(low, DOMAINS, "unknown")
-    sure = _rules(low, [(c, w) for _, w, c in TYPES], 0.40)
-    confidence = F.when(F.lit(False), F.lit(0.0))
-    for (c, known), value in CONFIDENCE.items():
-        confidence = confidence.when((sure == c) & ((domain != "unknown") == F.lit(known)), F.lit(value))
-    return F.struct(kind.alias("investigation_type"), domain.alias("domain"), confidence.alias("confidence"))
+    sure = {t: c for t, _, c in TYPES} | {"unknown": 0.40}
+    # the confidence is looked up by type and by whether the domain is known
+    table = F.create_map(*[x for t, c in sure.items() for k in (True, False) for x in (F.lit(f"{t} {str(k).lower()}"), F.lit(CONFIDENCE[(c, k)]))])
+    both = F.transform(F.array(F.struct(kind.alias("k"), domain.alias("d"))), lambda x: F.struct(x["k"].alias("investigation_type"), x["d"].alias("domain"), F.element_at(table, F.concat_ws(" ", x["k"], (x["d"] != "unknown").cast("string"))).alias("confidence")))
+    return both[0]
 
 
 def repository_intent(text: Column) -> Column:
@@ -87,11 +87,11 @@ def evidence_plan(requests: DataFrame, available: DataFrame | None = None) -> Da
     (request_id, investigation_type, domain): the rule's evidence or the
     default, in fixed priority; ``missing`` where ``available(request_id,
     evidence_type)`` lacks it. The rules are a few fixed rows."""
-    spark = requests.sparkSession
-    rules = plan_rules(spark).groupBy("investigation_type", "domain").agg(F.collect_list("evidence_type").alias("needs"))
+    needs = F.create_map(*[x for (t, d), es in PLANS.items() for x in (F.lit(f"{t} {d}"), F.array(*[F.lit(e) for e in es]))])
     fallback = F.array(*[F.lit(x) for x in DEFAULT_PLAN])
     rank = F.create_map(*[x for i, e in enumerate(PRIORITY, 1) for x in (F.lit(e), F.lit(i))])
-    got = requests.join(rules, ["investigation_type", "domain"], "left").select("request_id", F.explode(F.coalesce("needs", fallback)).alias("evidence_type"))
+    wanted = F.coalesce(needs[F.concat_ws(" ", "investigation_type", "domain")], fallback)
+    got = requests.select("request_id", F.explode(wanted).alias("evidence_type"))
     got = got.withColumn("priority", F.coalesce(rank[F.col("evidence_type")], F.lit(999)))
     if available is None:
         return got.withColumn("missing", F.lit(True))
