@@ -108,3 +108,28 @@ def conversation_text(turns: DataFrame, key: str, order: str, role: str, text: s
     shown = turns.filter(F.length(text) > least)
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.concat(F.lit("["), F.upper(role), F.lit("]: "), F.col(text)).alias("t"))))
     return shown.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p["t"]), SEPARATOR).alias("conversation"))
+
+
+# Templates with their instructions and sections.
+TEMPLATES = {
+    "debugging": ("Act as a senior software engineer conducting a structured investigation. Prioritize verified facts over assumptions. Identify root causes, missing evidence, and next actions.", ("project", "current_issue", "verified_facts", "relevant_evidence", "timeline", "failed_attempts", "active_hypotheses", "likely_root_cause", "confidence", "alternatives", "reasoning", "open_questions", "task")),
+    "code_review": ("Act as a senior reviewer. Evaluate correctness, architecture, maintainability, performance, security, and testing concerns.", ("project", "review_scope", "relevant_files", "architecture_context", "known_constraints", "observations", "risks", "task")),
+    "feature_implementation": ("Act as a senior software architect. Produce an implementation plan that fits the existing codebase and constraints.", ("project", "feature_request", "requirements", "existing_architecture", "relevant_files", "constraints", "open_questions", "task")),
+    "architecture_review": ("Act as a principal engineer. Evaluate scalability, maintainability, modularity, fault tolerance, and long-term system evolution.", ("project", "architecture_overview", "current_design", "constraints", "known_issues", "improvement_opportunities", "task")),
+    "root_cause_analysis": ("Act as an incident investigator. Separate evidence from theory. Identify the most likely root causes and explain confidence levels.", ("project", "incident", "verified_facts", "evidence", "timeline", "hypotheses", "disproved_hypotheses", "missing_evidence", "task")),
+}
+
+
+def template(name: str | None) -> tuple[str, tuple[str, ...]]:
+    """Instructions and sections; an unknown name means debugging."""
+    return TEMPLATES.get(name or "debugging", TEMPLATES["debugging"])
+
+
+def package(name: str | None, texts: dict[str, Column], lists: dict[str, Column]) -> tuple[Column, Column]:
+    """(instructions, sections) to render: project, issue, the lists, task, and
+    then what else is given, in order."""
+    order = ("project", "current_issue", "verified_facts", "relevant_evidence", "active_hypotheses", "timeline", "failed_attempts", "open_questions", "task")
+    names = [*order, *[k for k in (*texts, *lists) if k not in order]]
+    none = F.array().cast("array<string>")
+    parts = [text_section(n, texts.get(n, F.lit(""))) if n in texts or n in ("project", "current_issue", "task") else list_section(n, lists.get(n, none)) for n in names]
+    return F.lit(template(name)[0]), F.array(*parts)
