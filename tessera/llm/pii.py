@@ -24,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -70,14 +71,85 @@ ADDRESS = re.compile(
 _TAIL = re.compile(r"(?:,? (?:(?i:apt|flat|unit|suite|piso)\.? ?\w{1,4}|\d{1,2}º ?[A-Z]?))?(?:,? (?:D-)?\d{5} [^\W\d_][\w\-]+|, (?:[A-ZÀ-Ý][\w\-]+|[a-z]{4,}(?=\W*$| instead))(?:,? [A-Z]{2}\d{0,2} ?\d[\dA-Z]{2,4})?)?")
 _CLOSINGS = frozenset(("regards", "thanks", "best", "cheers", "hi", "hello", "dear", "sincerely", "greetings", "thank", "yes", "no", "ok"))
 _OPENERS = _CLOSINGS | frozenset("contact mail ask call ping yesterday today why may can could will please the a an is does did has had when while if it this that from to by and but or for with cc re note owner name user customer reported signed i we he she they you who what where how was were as at on in of so then after before since talk see".split())
-TITLED = re.compile(rf"\b(?i:{_TITLES})\.? (?:[A-Z]\.? )?[A-ZÀ-Ý][\w'’\-]+(?: [A-ZÀ-Ý][\w'’\-]+)?")
+TITLED = re.compile(rf"\b(?:{_TITLES}|{_TITLES.upper()})\.? (?:[A-Z]\.? )?[A-ZÀ-Ý][\w'’\-]+(?: [A-ZÀ-Ý][\w'’\-]+)?")
 _TERM = re.compile(rf"(?<![\w@./\\_\-]){_WORD}(?![\w@(_]|[./\\]\w)")
 _NOT_TERM = re.compile(r"[a-z][A-Z]")
 TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 
 
-def structured(line: str) -> list[tuple[int, int, str]]:
-    """(begin, end, type) of the entities that their form gives away."""
+ALL = frozenset(("mail", "number", "street", "title", "pair"))
+#: Shapes of identity and telephone numbers; what has none of them needs no closer look.
+_NUMBER_HINT = re.compile(
+    r"\d{3}-\d\d-\d{4}|QQ ?\d|DL-\d|(?<!\d)00 \d{3} |\d{6}-\d{4}|[XYZ]Z?\d{7}|L0\d{6}|(?<!\d)00\d{6}|\+(?!\d\d:?\d\d(?:[\]\"}]| \|))\d|(?<![\w.])00\d\d ?\(?\d"
+    r"|(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}|(?<!\d)0\d{1,4}(?:/\d{5}|(?:[ \-]\d\d){4}|[ \-]\d{3,4}[ \-]\d{3})"
+)
+_PAIR_HINT = re.compile(r"[^\W\d_a-z][\w'’\-]+,? (?:[A-Z]\.? )?[^\W\d_a-z]")
+
+
+def _hint_words() -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    streets = [f" {w}" for w in (*_STREETS.split("|"), *_SHORT.split("|"))]
+    streets += ["straße", "strasse", "str.", "weg ", "gasse ", "allee ", "platz ", "ufer ", "damm ", "ring ", "rue ", "boulevard ", "place ", "impasse ", "chemin ", "allée ", "quai ", "cours ", "avenue ", "c/", "calle", "avda", "avenida", "plaza", "paseo", "camino", "am ", "an der ", "an den ", "im ", "zum ", "zur ", "auf de", "hinter dem "]
+    for w in streets:
+        a.add_word(w, ("street", len(w)))
+    for w in ("ssn", "social security", "tax id", "tin", "passport", "licence", "license", "national id", "id card", "identity card", "personalausweis", "reisepass", "steuer", "ni number", "nino", "national insurance", "dni", "nie", "nif", "curp", "insee", "nir"):
+        a.add_word(w, ("number", len(w)))
+    for w in ("@", "(at)", "[at]", "{at}", "<at>", " at "):
+        a.add_word(w, ("mail", len(w)))
+    for w in _TITLES.lower().split("|"):
+        a.add_word(f"{w} ", ("title", len(w) + 1))
+        a.add_word(f"{w}. ", ("title", len(w) + 2))
+    a.make_automaton()
+    return a
+
+
+def hinted(automaton: ahocorasick.Automaton, text: str) -> list[tuple[int, int, str, frozenset]]:
+    """(line number, offset, line, what it may hold) of the lines that may hold
+    anything, by one pass of an automaton and two of plain patterns. No line
+    with an entity is left out."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    marks: list[tuple[int, str]] = []
+    end_of = len(text)
+    for last, (kind, size) in automaton.iter(low):
+        end = last + 1
+        after = text[end] if end < end_of else " "
+        if kind == "street":
+            if low[end - size] == " " and after.isalnum():
+                continue
+        elif kind == "title":
+            start = end - size
+            if start and text[start - 1].isalnum() or not after.isupper():
+                continue
+        elif kind == "number" and after.isalpha():
+            continue
+        marks.append((last, kind))
+    marks += [(m.start(), "number") for m in _NUMBER_HINT.finditer(text)]
+    marks += [(m.start(), "pair") for m in _PAIR_HINT.finditer(text)]
+    if not marks:
+        return []
+    marks.sort()
+    out: list[tuple[int, int, str, frozenset]] = []
+    no, begin, i = 1, 0, 0
+    while i < len(marks):
+        at = marks[i][0]
+        no += text.count("\n", begin, at)
+        begin = text.rfind("\n", 0, at) + 1
+        stop = text.find("\n", at)
+        stop = end_of if stop < 0 else stop
+        kinds = set()
+        while i < len(marks) and marks[i][0] <= stop:
+            kinds.add(marks[i][1])
+            i += 1
+        out.append((no, begin, text[begin:stop], frozenset(kinds)))
+        no, begin = no + 1, stop + 1
+    return out
+
+
+def structured(line: str, kinds: frozenset = ALL) -> list[tuple[int, int, str]]:
+    """(begin, end, type) of the entities that their form gives away; ``kinds``
+    says what the line may hold."""
     out: list[tuple[int, int, str]] = []
 
     def add(m: re.Match, kind: str, group: int = 0) -> None:
@@ -85,16 +157,16 @@ def structured(line: str) -> list[tuple[int, int, str]]:
             out.append((m.start(group), m.end(group), kind))
 
     low = line.lower()
-    if "@" in line or "at)" in low or "at]" in low or " at " in low or "at>" in low:
+    if "mail" in kinds and ("@" in line or "at)" in low or "at]" in low or "at}" in low or " at " in low or "at>" in low):
         for m in MAILTO.finditer(line):
             add(m, "EMAIL", 1)
         for m in EMAIL.finditer(line):
             before = line[: m.start()].rpartition(" ")[2]
             if "://" not in before and not m[0].startswith("git@"):
                 add(m, "EMAIL")
-    if any(c.isdigit() for c in line):
-        for kind, rx in (("ID_NUMBER", ID_NUMBER), ("ADDRESS", ADDRESS), ("PHONE", PHONE)):
-            for m in rx.finditer(line):
+    if "number" in kinds or "street" in kinds:
+        for kind, rx, need in (("ID_NUMBER", ID_NUMBER, "number"), ("ADDRESS", ADDRESS, "street"), ("PHONE", PHONE, "number")):
+            for m in rx.finditer(line) if need in kinds else ():
                 if kind == "PHONE" and not 9 <= sum(c.isdigit() for c in m[0].split("x")[0]) <= 16:
                     continue
                 add(m, kind)
@@ -107,13 +179,15 @@ def _name_like(term: str) -> bool:
     return len(term) > 1 and (term[0].isupper() and not _NOT_TERM.search(term.replace("-", " ")))
 
 
-def name_spans(line: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, tuple[str, ...], bool]]:
+def name_spans(line: str, taken: list[tuple[int, int, str]], kinds: frozenset = ALL) -> list[tuple[int, int, tuple[str, ...], bool]]:
     """(begin, end, terms, titled) of the spans that may be a person's name."""
     out: list[tuple[int, int, tuple[str, ...], bool]] = []
     free = lambda b, e: not any(x < e and b < y for x, y, _ in taken) and not any(x < e and b < y for x, y, _, _ in out)
-    for m in TITLED.finditer(line):
+    for m in TITLED.finditer(line) if "title" in kinds else ():
         if free(m.start(), m.end()):
             out.append((m.start(), m.end(), (), True))
+    if "pair" not in kinds:
+        return out
     terms = [m for m in _TERM.finditer(line) if _name_like(m[0])]
     i = 0
     while i < len(terms):
@@ -148,19 +222,19 @@ def scan(source: DataFrame) -> DataFrame:
     summed per batch) of the texts (origin, record_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _hint_words()
         for b in batches:
             rows: list[tuple] = []
             seen: Counter = Counter()
             near: Counter = Counter()
             lines = hits = 0
             for record, text in zip(*(c.to_pylist() for c in b.columns)):
-                at = 0
-                for no, line in enumerate(text.split("\n"), 1):
-                    found = structured(line)
-                    spans = name_spans(line, found)
+                lines += text.count("\n") + 1
+                for no, at, line, kinds in hinted(words, text):
+                    found = structured(line, kinds)
+                    spans = name_spans(line, found, kinds)
                     personal = bool(found) or any(s[3] for s in spans)
                     mails = {p for x, y, t in found if t == "EMAIL" for p in re.split(r"[^a-z]+", line[x:y].partition("@")[0].lower()) if len(p) > 2}
-                    lines += 1
                     hits += personal
                     for x, y, t in found:
                         rows.append((record, no, at + x, at + y, t, None, None, None))
@@ -172,7 +246,6 @@ def scan(source: DataFrame) -> DataFrame:
                     for p in mails:
                         seen[p] += 0
                         near[p] += 0
-                    at += len(line) + 1
             rows += [("", 0, 0, 0, "TERM", [t], n, near[t]) for t, n in seen.items() if n]
             rows.append(("", 0, 0, 0, "TERM", [""], lines, hits))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROW)], schema=_ROW)

@@ -37,3 +37,15 @@ def test_empty_and_repeats(spark):
     assert pii.personal_spans(frames(spark, [])).count() == 0
     got = pii.personal_spans(frames(spark, [], [(1, "a\nSSN 972-70-1955"), (1, "a\nSSN 972-70-1955")])).select("origin", "record_id", "line_no", "pii_type").distinct().collect()
     assert got == [("stdout", "1", 2, "ID_NUMBER")]
+
+
+def test_hints_leave_nothing_out():
+    words = pii._hint_words()
+    text = "\n".join(line for line, _ in CASES) + "\nDr. Pellaford said\nThe form of Annika Orveley\nOrvquist, Ingrid\nHerr Jarrvale, Am Alten Wehr 55, D-00113 F\r\nplain\n"
+    got = {(no, tuple(pii.structured(line, kinds)), tuple(pii.name_spans(line, pii.structured(line, kinds), kinds))) for no, _, line, kinds in pii.hinted(words, text)}
+    for no, line in enumerate(text.split("\n"), 1):
+        found = pii.structured(line)
+        names = pii.name_spans(line, found)
+        if found or names:
+            assert (no, tuple(found), tuple(names)) in got, line
+    assert pii.hinted(words, "") == [] and all(text[b : b + len(x)] == x for _, b, x, _ in pii.hinted(words, text))
