@@ -22,6 +22,8 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tessera.session import stage
+
 # Folders and suffixes of files nobody wrote by hand.
 FOLDERS = (
     "node_modules", "bower_components", "jspm_packages", "vendor", "_vendor", "third_party", "third-party", "thirdparty", "external", "externals", "extern", "site-packages", "dist-packages", "venv", ".venv", "virtualenv",
@@ -79,13 +81,14 @@ def notice_in(column: str) -> Column:
 def normal_path(path: Column, project: Column) -> Column:
     """One way to write a path: forward slashes, no ``.`` or empty parts, no
     checkout folder before the project's own files; letter case stays."""
-    p = F.regexp_replace(F.trim(path), r"\\+", "/")
-    p = F.regexp_replace(p, r"^(?:file:)?/+", "/")
-    p = F.regexp_replace(F.regexp_replace(p, "/{2,}", "/"), r"(^|/)(?:\./)+", "$1")
-    p = F.regexp_replace(p, r"(^|/)[^/.][^/]*/\.\./", "$1")
-    inside = F.position(F.concat(F.lit("/"), project, F.lit("/")), p)
-    p = F.when((F.substring(path, 1, 1).isin("/", "\\") | path.rlike("^(?:[A-Za-z]:|file:)")) & (inside > 0), p.substr(inside + F.length(project) + F.lit(2), F.length(p))).otherwise(p)
-    return F.regexp_replace(p, "^/+", "")
+    p = F.translate(F.trim(path), "\\", "/")
+    q = F.regexp_replace(p, r"^(?:file:)?/+", "/")
+    q = F.regexp_replace(F.regexp_replace(q, "/{2,}", "/"), r"(^|/)(?:\./)+", "$1")
+    q = F.regexp_replace(q, r"(^|/)[^/.][^/]*/\.\./", "$1")
+    inside = F.position(F.concat(F.lit("/"), project, F.lit("/")), q)
+    q = F.when(p.rlike("^(?:/|[A-Za-z]:|file:)") & (inside > 0), q.substr(inside + F.length(project) + F.lit(2), F.length(q))).otherwise(q)
+    # most paths are plain already
+    return F.when(p.rlike(r"^(?:/|\./|[A-Za-z]:|file:)|//|/\.{1,2}/|^\.\./"), F.regexp_replace(q, "^/+", "")).otherwise(p)
 
 
 def by_path(path: Column) -> Column:
@@ -111,12 +114,13 @@ def judged(files: DataFrame) -> DataFrame:
 
 def not_handwritten(files: DataFrame, ranked: DataFrame) -> DataFrame:
     """(origin, record_id) of the rows of both tables whose file isn't
-    hand-written. Only the files that their content gives away take part in the
-    join; the path rules need none."""
-    seen = judged(files)
-    own = seen.filter("by_path or by_size or by_notice").select(F.lit("file_symbols").alias("origin"), F.col("file_id").cast("string").alias("record_id"))
-    told = seen.filter("(by_size or by_notice) and not by_path").select("project_name", "path").distinct().withColumn("told", F.lit(True))
+    hand-written. The paths are judged once, before the join; only the files
+    that their content gives away stand on its other side."""
+    seen = stage(judged(files).filter("by_path or by_size or by_notice"), "files-judged")
+    own = seen.select(F.lit("file_symbols").alias("origin"), F.col("file_id").cast("string").alias("record_id"))
+    told = seen.filter("not by_path").select("project_name", "path").distinct().withColumn("told", F.lit(True))
     path = normal_path(F.col("file_path"), F.coalesce("project_name", F.lit("")))
-    rows = ranked.select(F.col("rank_id").cast("string").alias("record_id"), "project_name", path.alias("path")).withColumn("by_path", by_path(F.col("path")))
-    joined = rows.filter("by_path").select("record_id").unionByName(rows.filter("not by_path").join(told, ["project_name", "path"], "left_semi").select("record_id"))
+    rows = ranked.select(F.col("rank_id").cast("string").alias("record_id"), "project_name", path.alias("path"))
+    rows = rows.select("record_id", "project_name", "path", by_path(F.col("path")).alias("by_path"))
+    joined = rows.join(told, ["project_name", "path"], "left").filter(F.col("by_path") | F.col("told").isNotNull())
     return own.unionByName(joined.select(F.lit("ranked_file").alias("origin"), "record_id")).distinct()
