@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import analysis, graph, logs, prompts, ranking
+from tessera.operators import analysis, graph, logs, prompts, ranking, routes
 from tessera.plans import ask
 from tessera.session import table
-from tessera.sources import repository, stores
+from tessera.sources import projects, repository, stores
 
 ISSUE = "Debug the session token that the upload route /tokens/session rejects"
 _NODE_KINDS = {"classes": ("class", ["name"]), "functions": ("function", ["name"])}
@@ -300,6 +300,35 @@ def prompt_build(spark: SparkSession, base: str) -> DataFrame:
     return p.select("request_id", F.length("prompt").cast("bigint").alias("n_chars"), F.md5("prompt").alias("digest"))
 
 
+def log_evidence_trim(spark: SparkSession, base: str) -> DataFrame:
+    """Standard output of over 20 lines cut to its beginning and end."""
+    e = projects.log_evidence(_runs(spark, base), "run_id", "stdout", 20, 5, 10)
+    return e.select("run_id", F.md5("content").alias("digest"), F.col("original_line_count").cast("bigint").alias("original"), F.col("retained_line_count").cast("bigint").alias("retained"), "was_trimmed")
+
+
+def route_handlers(spark: SparkSession, base: str) -> DataFrame:
+    """Each route's last handler and how often its name is called."""
+    r = table(spark, base, "file_symbols").select("file_id", "file_path", F.explode("routes").alias("r")).filter("r is not null").select("r.method", "r.path", F.col("r.function_name").alias("handler"), "file_path", F.col("file_id").alias("ord")).distinct()
+    c = table(spark, base, "file_symbols").select("file_id", F.explode("calls").alias("c")).filter("c.target is not null").select("file_id", F.col("c.target").alias("handler"), "c.line").distinct().groupBy("handler").agg(F.count("*").alias("n_calls"))
+    return routes.handlers(r).join(c, "handler", "left").select("route", "handler", "file_path", F.coalesce("n_calls", F.lit(0).cast("bigint")).alias("n_calls"))
+
+
+def evidence_questions(spark: SparkSession, base: str) -> DataFrame:
+    """What each request is asked for; all have repository code."""
+    c = table(spark, base, "prompt_request").select("request_id", "intent").distinct()
+    i = analysis.intent(F.col("intent"))
+    r = c.select("request_id", i["investigation_type"].alias("investigation_type"), i["domain"].alias("domain"))
+    q = projects.questions(analysis.evidence_plan(r, r.select("request_id", F.lit("repository_code").alias("evidence_type"))))
+    return q.select("request_id", F.size("questions").cast("bigint").alias("n_questions"), "combined")
+
+
+def dependency_depths(spark: SparkSession, base: str) -> DataFrame:
+    """How many levels of parents each class has."""
+    e = table(spark, base, "file_symbols").select(F.explode("inherits").alias("i")).filter("i.class_name is not null and i.parent is not null").select(F.col("i.class_name").alias("source"), F.col("i.parent").alias("target")).distinct()
+    d = graph.dependency_depth(e, e.select(F.col("source").alias("start")))
+    return d.select("start", F.col("depth").cast("bigint").alias("depth"))
+
+
 _CALLS = "SELECT DISTINCT c.caller AS source, c.target AS target FROM (SELECT unnest(calls) AS c FROM file_symbols) WHERE c.caller IS NOT NULL AND c.target IS NOT NULL"
 _STARTS = "SELECT DISTINCT r.function_name AS start FROM (SELECT unnest(routes) AS r FROM file_symbols) WHERE r.function_name IS NOT NULL"
 _LINES = r"""l AS (SELECT run_id AS src, unnest(a) AS line, unnest(range(len(a))) AS pos FROM (SELECT run_id, regexp_split_to_array(regexp_replace(stdout, '\r?\n$', ''), '\r?\n') AS a
@@ -411,6 +440,21 @@ SQL = {
     "terminal_blocks": r"""WITH r AS (SELECT DISTINCT run_id, command, exit_code, stdout, stderr, regexp_replace(coalesce(stdout, ''), '^\s+|\s+$', '', 'g') AS o, regexp_replace(coalesce(stderr, ''), '^\s+|\s+$', '', 'g') AS e FROM terminal_run)
         SELECT run_id, md5('COMMAND: ' || coalesce(command, '') || chr(10) || 'EXIT CODE: ' || coalesce(CAST(exit_code AS VARCHAR), 'None') || chr(10) || chr(10) || '================ STDOUT ================' || chr(10) || o || chr(10) || chr(10) || '================ STDERR ================' || chr(10) || e) AS digest,
                coalesce(length(stdout), 0) AS stdout_length, coalesce(length(stderr), 0) AS stderr_length, e <> '' AS has_errors FROM r""",
+    "log_evidence_trim": r"""WITH r AS (SELECT run_id, regexp_split_to_array(regexp_replace(stdout, '\r?\n$', ''), '\r?\n') AS a FROM (SELECT DISTINCT run_id, stdout FROM terminal_run WHERE stdout IS NOT NULL)),
+        k AS (SELECT run_id, len(a) AS n, CASE WHEN len(a) > 20 THEN list_concat(list_concat(a[1:5], ['', '================ TRIMMED LOG ================', CAST(len(a) - 15 AS VARCHAR) || ' lines omitted', 'Chronology preserved:', '- beginning retained', '- ending retained', '=============================================', '']), a[len(a) - 9:len(a)]) ELSE a END AS b FROM r)
+        SELECT run_id, md5(array_to_string(b, chr(10))) AS digest, n AS original, len(b) AS retained, n > len(b) AS was_trimmed FROM k""",
+    "route_handlers": """WITH r AS (SELECT DISTINCT upper(r.method) || ':' || r.path AS route, r.function_name AS handler, file_path, file_id FROM (SELECT file_id, file_path, unnest(routes) AS r FROM file_symbols) WHERE r IS NOT NULL AND r.function_name <> ''),
+        h AS (SELECT route, handler, file_path FROM (SELECT *, row_number() OVER (PARTITION BY route ORDER BY file_id DESC, handler DESC, file_path DESC) AS n FROM r) WHERE n = 1),
+        c AS (SELECT handler, count(*) AS n_calls FROM (SELECT DISTINCT file_id, c.target AS handler, c.line AS line FROM (SELECT file_id, unnest(calls) AS c FROM file_symbols) WHERE c.target IS NOT NULL) GROUP BY handler)
+        SELECT route, handler, file_path, coalesce(n_calls, 0) AS n_calls FROM h LEFT JOIN c USING (handler)""",
+    "evidence_questions": f"WITH c AS (SELECT DISTINCT request_id, intent FROM prompt_request), s AS (SELECT request_id, {_KIND} AS t, {_DOMAIN} AS d FROM c), n AS (SELECT request_id, CASE "
+    + " ".join(f"WHEN t = '{t}' AND d = '{d}' THEN {sorted((x for x in e if x != 'repository_code'), key=analysis.PRIORITY.index)!r}" for (t, d), e in analysis.PLANS.items())
+    + f" ELSE {[x for x in analysis.DEFAULT_PLAN if x != 'repository_code']!r} END AS e FROM s) SELECT request_id, len(e) AS n_questions, 'Please provide:' || chr(10) || chr(10) || array_to_string(list_transform(range(1, len(e) + 1), lambda i: CAST(i AS VARCHAR) || '. ' || CASE e[i] "
+    + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in projects.LABELS.items())
+    + " END), chr(10)) AS combined FROM n",
+    "dependency_depths": """WITH RECURSIVE e AS (SELECT DISTINCT i.class_name AS s, i.parent AS t FROM (SELECT unnest(inherits) AS i FROM file_symbols) WHERE i.class_name IS NOT NULL AND i.parent IS NOT NULL),
+        w AS (SELECT DISTINCT s AS start, s AS id, 0 AS depth FROM e UNION SELECT w.start, e.t, w.depth + 1 FROM w JOIN e ON e.s = w.id WHERE w.depth < 60),
+        m AS (SELECT start, id, min(depth) AS depth FROM w GROUP BY start, id) SELECT start, CAST(max(depth) AS BIGINT) AS depth FROM m GROUP BY start""",
     "prompt_build": r"""WITH p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id) AS rn FROM prompt_request) WHERE rn = 1),
         f AS (SELECT *, nullif(array_to_string(list_transform(list_filter(coalesce(files, []), lambda x: x IS NOT NULL AND x.content IS NOT NULL), lambda x: '=== FILE: ' || coalesce(x.path, '') || ' ===' || chr(10) || x.content || chr(10)), chr(10)), '') AS ff FROM p),
         b AS (SELECT request_id, concat_ws(chr(10) || chr(10) || '---' || chr(10) || chr(10),
@@ -431,6 +475,6 @@ QUERIES = {
         graph_nodes_v2, graph_edges_v2, find_node_first_wins, search_nodes_substring, node_type_counts, callers_callees, definition_reference_join, longest_prefix_resolution, bounded_bfs, upstream_closure, impact_counts, adjacency_lists, file_dependencies,
         route_catalogue, node_relevance, evidence_text_score, file_rank_topk, ranked_files_topk, token_frequency, extract_keywords, path_params, camel_to_snake, route_mentions, classify_task, rule_summary, route_query_rules, intent_rules, chunk_evidence,
         chunk_gaps, log_error_filter, log_dedupe_consecutive, log_error_context, log_trace_sessions, log_head_tail, log_investigation_view, fact_extract, hypothesis_generate, root_cause_rank, missing_evidence, timeline_recent, session_stats, event_windows,
-        extension_histogram, repo_fingerprint, terminal_blocks, prompt_build,
+        extension_histogram, repo_fingerprint, terminal_blocks, prompt_build, log_evidence_trim, route_handlers, evidence_questions, dependency_depths,
     )
 }
