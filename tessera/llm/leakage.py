@@ -32,8 +32,8 @@ from tessera.llm.lookalikes import mapping
 LEAST = 3  # words of a segment
 GAP = 6  # most steps between two words of a passage: an altered word may have been a path
 SHARE = 0.5  # of the item's words
-DENSE = 0.72  # of a passage's words that are the item's own; texts from one pattern have fewer
-OWN = 0.54  # of the item's words that the passage has unaltered
+SURE = 0.85  # of a passage's words that are the item's own
+DENSE, OWN = 0.72, 0.54  # fewer will do where so many of all the item's words stand unaltered
 BLOCK_WORDS = 400_000
 
 _ALIKE = dict(zip(*mapping()))
@@ -244,7 +244,8 @@ def leaks(automaton: SuffixAutomaton, seq: list[str], share: float = SHARE) -> l
             else:
                 groups.append([j, j + n])
         top = max(passage(own, seq, max(0, lo - len(own)), min(len(seq), hi + len(own))) for lo, hi in groups)
-        if top[0] >= share * len(own) and top[1] >= DENSE * top[0] and top[1] >= OWN * share / SHARE * len(own):
+        enough = top[1] >= SURE * top[0] or top[1] >= DENSE * top[0] and top[1] >= OWN * share / SHARE * len(own)
+        if top[0] >= share * len(own) and enough:
             out.append((item, top[0], top[2], top[3]))
     return out
 
