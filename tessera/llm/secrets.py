@@ -4,8 +4,9 @@
    address schemes, header schemes, known key prefixes); at each hit a small
    matcher reads the literal that stands there. All literals of the corpus are
    indexed with the owner (project) of their text.
-2. *Suppress*: a literal that more than ``max_owners`` owners share is a
-   placeholder, whatever it looks like. References, masks and words never enter.
+2. *Suppress*: a literal that more than ``max_owners`` owners share, in as many
+   different texts, is a placeholder, whatever it looks like; copies of one text
+   count once. References, masks and words never enter.
 3. *Confirm*: what is left is rare; it is confirmed if its structure is that of
    a secret (:func:`strength`).
 4. *Re-scan*: automata of the confirmed literals, built in blocks of bounded
@@ -49,12 +50,14 @@ PREFIXES = {
 }
 _KNOWN = re.compile("|".join(PREFIXES.values()))
 _MASK = re.compile(
-    r"(?i)^(?:\$[{(]|\$\d$|%\(|%\w+%$|\{\{|<|!(?:ref|vault|env|secret|sub|include|getatt|importvalue|reference)\b|@(?:microsoft|env|vault)|env:|vault|secrets?[./:]|arn:|file:|ref[:+]|null\b|none\b|nil\b|true\b|false\b|undefined\b|n/a\b|tbd\b|todo\b|change|your|insert|example|dummy|sample|placeholder|redacted|masked|hidden|xxx|\.\.\.|\*{3})"
+    r"(?i)^(?:\$[{(]|\$\d$|%\(|%\w+%$|\{\{|<|!(?:ref|vault|env|secret|sub|include|getatt|importvalue|reference)\b|@(?:microsoft|env|vault)|env:|vault|secrets?[./:]|arn:|file:|ref[:+]|null\b|none\b|nil\b|true\b|false\b|undefined\b|n/a\b|tbd\b|todo\b|change|your|insert|example|dummy|sample|placeholder|redacted|masked|hidden|x{3,}$|\.\.\.|\*{3})"
     r"|\$\{|\{\{|\$\(|%\(|<[a-z]|>$"
 )
 _VARIABLE = re.compile(r"\$(?:[A-Z_][A-Z0-9_]*|[a-z_][a-z0-9_]*)")
 _CODE = re.compile(r"^[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*(?:[\[(].*)?$")
-_WORDS = re.compile(r"^(?:[A-Za-z]?[a-z]+|[A-Z]+)(?:[ _.\-/][A-Za-z]?[a-z]*)*$|^[a-z]+(?:[A-Z][a-z]+)+$|^(?:[A-Z][a-z]+){2,}$|^[A-Z]+(?:_[A-Z0-9]+)*$")
+_WORDS = re.compile(r"^(?:[A-Za-z]?[a-z]+|[A-Z]+)(?:[ _.\-/][A-Za-z]?[a-z]*)*$|^[A-Z]+(?:_[A-Z0-9]+)*$")
+_CAMEL = re.compile(r"(?:^[a-z]+|[A-Z][a-z]+)")
+_SHORT = frozenset("db my id io ui os to in is on no do of by at ok js ts py ip vm ci".split())
 _NAME = re.compile(r"[\w.\-]*$")
 _AFTER = re.compile(r"(\\?[\"']?)\]?[ \t]*(:=|=>|=|:)[ \t]*")
 _QUOTED = re.compile(r"[rbfu]{0,2}(\\?\"\"\"|'''|\\?[\"'`])")
@@ -66,7 +69,10 @@ _REMARK = re.compile(r"[\w ,.()'\-]{0,48}[:=][ \t]*([^\s\"'`<>,;]{16,})[ \t]*\r?
 _SPACE = re.compile(r"[ \t]+[\"']?([^\s\"']+)")
 _URL = re.compile(r"://[^\s:/@\"'`<>]*:([^\s@/\"'`<>]+)@[\w\[]")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>(?:[A-Za-z0-9+/=]|\\n|\\r|\s|[\"'+\\])*)(?:-----END [A-Z0-9 ]*-----)?")
-_PARTS = re.compile(r"([\"'])((?:(?!\1)[^\\\n])*)\1(?:\s*(?:\+|\.\.?|&|\\\n)?\s*([\"'])((?:(?!\3)[^\\\n])*)\3)+")
+_STRING = r"([\"'])((?:(?!\{0})[^\\\n])*)\{0}"
+#: Strings joined by a sign or on one line; inside brackets also by line ends.
+_PARTS = re.compile(_STRING.format(1) + r"(?:(?:[ \t]*(?:\+|\.\.?|&)\s*|[ \t]*\\\n[ \t]*|[ \t]+)" + _STRING.format(3) + ")+")
+_BRACKETED = re.compile(_STRING.format(1) + r"(?:\s*\+?\s*" + _STRING.format(3) + ")+")
 _STRINGS = re.compile(r"\"([^\"\n]*)\"|'([^'\n]*)'")
 _SCHEME = re.compile(r"[ \t]+([A-Za-z0-9+/=._~\-]{6,})")
 _CALL = re.compile(r"\s*(?:[\w.]+\s*=\s*)?([\"'])[^\"'\n]*\1\s*,\s*(?:[\w.]+\s*=\s*)?([\"'])([^\"'\n]+)\2")
@@ -85,6 +91,16 @@ def decoded(value: str) -> str | None:
     return text if text.isprintable() else None
 
 
+def camel_case(value: str) -> bool:
+    """Whether letters of both cases are a name made of words: parts of three
+    letters or more (or known short ones) with a vowel and without five
+    consonants in a row, as chance letters have them."""
+    parts = _CAMEL.findall(value)
+    if "".join(parts) != value:
+        return False
+    return all(p.lower() in _SHORT or len(p) > 2 and re.search(r"(?i)[aeiouy]", p) and not re.search(r"(?i)[^aeiouy]{5}", p) for p in parts)
+
+
 def strength(value: str, *, quoted: bool, strong_name: bool) -> bool:
     """Whether the literal has the structure of a working secret.
 
@@ -93,21 +109,21 @@ def strength(value: str, *, quoted: bool, strong_name: bool) -> bool:
     among them, or letters of both cases in no order of words."""
     if _KNOWN.match(value):
         return not re.search(r"EXAMPLE|(.)\1{5}", value)
-    if len(value) < 6 or _MASK.search(value) or _VARIABLE.fullmatch(value) or len(set(value)) < 4:
+    if len(value) < 6 or " " in value or _MASK.search(value) or _VARIABLE.fullmatch(value) or len(set(value)) < 4:
         return False
     if re.fullmatch(r"[\d.,:+\-]+", value):
         return False
     if not quoted and ("(" in value or value[-1] in "[." or re.fullmatch(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+", value) and not re.search(r"\d", value)):
         return False
-    if _WORDS.match(value):
+    if _WORDS.match(value) or camel_case(value):
         return False
     digits, letters = sum(c.isdigit() for c in value), sum(c.isalpha() for c in value)
     signs = len(value) - digits - letters
     if not strong_name and (len(value) < 16 or not digits or not letters):
         return False
     if digits and letters:
-        return " " not in value
-    return signs > 0 and " " not in value and letters > 3 or any(c.isupper() for c in value) and any(c.islower() for c in value) and len(value) >= 8
+        return True
+    return signs > 0 and letters > 3 or any(c.isupper() for c in value) and any(c.islower() for c in value) and len(value) >= 8
 
 
 def _triggers() -> ahocorasick.Automaton:
@@ -140,7 +156,7 @@ class Finder:
             while ahead < len(text) and text[ahead] in " \t\r\n\\(":
                 ahead += 1
             if ahead < len(text) and text[ahead] in "\"'":
-                return self.parts_at(text, ahead)
+                return self.parts_at(text, ahead, _BRACKETED)
             return None
         q = _QUOTED.match(text, at)
         if q:
@@ -157,8 +173,8 @@ class Finder:
         return (m.start(), m.end(), m[0], False) if m else None
 
     @staticmethod
-    def parts_at(text: str, at: int) -> tuple[int, int, str, bool] | None:
-        m = _PARTS.match(text, at)
+    def parts_at(text: str, at: int, pattern: re.Pattern = _PARTS) -> tuple[int, int, str, bool] | None:
+        m = pattern.match(text, at)
         if not m:
             return None
         value = "".join(a or b for a, b in _STRINGS.findall(m[0]))
@@ -267,17 +283,17 @@ class Finder:
             got.append((found[0], found[1], value, "assigned"))
 
 
-_CANDIDATE = pa.schema([("origin", pa.string()), ("record_id", pa.string()), ("file_ord", pa.int64()), ("owner", pa.string()), ("line_no", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("kind", pa.string())])
-CANDIDATE_DDL = "origin string, record_id string, file_ord bigint, owner string, line_no bigint, `begin` bigint, `end` bigint, value string, kind string"
+_CANDIDATE = pa.schema([("origin", pa.string()), ("record_id", pa.string()), ("file_ord", pa.int64()), ("owner", pa.string()), ("doc", pa.int64()), ("line_no", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("kind", pa.string())])
+CANDIDATE_DDL = "origin string, record_id string, file_ord bigint, owner string, doc bigint, line_no bigint, `begin` bigint, `end` bigint, value string, kind string"
 
 
 def texts(evidence: DataFrame, requests: DataFrame) -> DataFrame:
-    """(origin, record_id, file_ord, owner, text) of both sources; null and
-    empty texts left out. Extra columns of the inputs don't matter."""
+    """(origin, record_id, file_ord, owner, text, doc) of both sources, doc a
+    hash of the text; null and empty texts left out. Extra columns of the inputs don't matter."""
     e = evidence.select(F.lit("evidence").alias("origin"), F.col("evidence_id").cast("string").alias("record_id"), F.lit(0).cast("bigint").alias("file_ord"), F.coalesce("project_name", F.col("evidence_id").cast("string")).alias("owner"), F.col("content").alias("text"))
     r = requests.select(F.col("request_id").cast("string").alias("record_id"), F.coalesce("project_name", F.col("request_id").cast("string")).alias("owner"), F.posexplode("files").alias("pos", "f"))
     r = r.select(F.lit("prompt_request").alias("origin"), "record_id", F.col("pos").cast("bigint").alias("file_ord"), "owner", F.col("f.content").alias("text"))
-    return e.unionByName(r).filter("text is not null and text <> ''")
+    return e.unionByName(r).filter("text is not null and text <> ''").withColumn("doc", F.xxhash64("text"))
 
 
 def candidates(source: DataFrame) -> DataFrame:
@@ -287,24 +303,25 @@ def candidates(source: DataFrame) -> DataFrame:
         finder = Finder()
         for b in batches:
             rows = []
-            origin, record, ord_, owner, text = (c.to_pylist() for c in b.columns)
+            origin, record, ord_, owner, doc, text = (c.to_pylist() for c in b.columns)
             for i, t in enumerate(text):
                 line, at = 1, 0
                 for begin, end, value, kind in finder.find(t):
                     line += t.count("\n", at, begin)
                     at = begin
-                    rows.append((origin[i], record[i], ord_[i], owner[i], line, begin, end, value, kind))
+                    rows.append((origin[i], record[i], ord_[i], owner[i], doc[i], line, begin, end, value, kind))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CANDIDATE)], schema=_CANDIDATE)
 
-    return source.select("origin", "record_id", "file_ord", "owner", "text").mapInArrow(run, CANDIDATE_DDL)
+    return source.select("origin", "record_id", "file_ord", "owner", "doc", "text").mapInArrow(run, CANDIDATE_DDL)
 
 
 def confirmed(found: DataFrame, max_owners: int = 8) -> DataFrame:
-    """Values that no more than ``max_owners`` owners share. Owners are counted
-    after (value, owner) pairs are made distinct map-side."""
-    pairs = found.select("value", "kind", "owner").distinct()
-    return pairs.groupBy("value").agg(F.countDistinct("owner").alias("owners"), F.min("kind").alias("kind")).filter(F.col("owners") <= max_owners)
+    """Values that no more than ``max_owners`` owners share in different texts.
+    They are counted after equal rows are made one map-side."""
+    rows = found.select("value", "kind", "owner", "doc").distinct()
+    shared = F.least(F.countDistinct("owner"), F.countDistinct("doc"))
+    return rows.groupBy("value").agg(shared.alias("owners"), F.min("kind").alias("kind")).filter(F.col("owners") <= max_owners)
 
 
 _AUTOMATA: dict = {}
@@ -341,7 +358,7 @@ def rescan(source: DataFrame, values: DataFrame, *, block: int = 100_000, least:
             a = _automaton(key, sent.value)
             for b in batches:
                 rows = []
-                origin, record, ord_, owner, text = (c.to_pylist() for c in b.columns)
+                origin, record, ord_, owner, doc, text = (c.to_pylist() for c in b.columns)
                 for j, t in enumerate(text):
                     line, at = 1, 0
                     for last, size in a.iter_long(t) if a else ():
@@ -350,11 +367,11 @@ def rescan(source: DataFrame, values: DataFrame, *, block: int = 100_000, least:
                             continue
                         line += t.count("\n", at, begin)
                         at = begin
-                        rows.append((origin[j], record[j], ord_[j], owner[j], line, begin, end, t[begin:end], "rescan"))
+                        rows.append((origin[j], record[j], ord_[j], owner[j], doc[j], line, begin, end, t[begin:end], "rescan"))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CANDIDATE)], schema=_CANDIDATE)
 
-        found = source.select("origin", "record_id", "file_ord", "owner", "text").mapInArrow(run, CANDIDATE_DDL)
+        found = source.select("origin", "record_id", "file_ord", "owner", "doc", "text").mapInArrow(run, CANDIDATE_DDL)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -50,14 +50,15 @@ def requests(spark, rows):
 def test_corpus(spark):
     secret, shared = "zQ8rT2mKx94LpWvB", "Zq1Xw2Ec3Rv4Tb5Y"
     ev = [("e1", "p1", f"x\npassword = '{secret}'"), ("e1", "p1", f"x\npassword = '{secret}'"), ("e2", "p2", f"worker saw {secret} in memory"), ("e3", None, None), ("e4", None, ""), ("e5", "p3", "y" * 200_000)]
-    ev += [(f"s{i}", f"q{i}", f"token: {shared}") for i in range(12)]
+    ev += [(f"s{i}", f"q{i}", f"token: {shared}\n# {i}") for i in range(12)]
+    ev += [(f"c{i}", f"q{i}", "api_key = 'k7Gh2Lw9Qx4Zb8Nv'") for i in range(12)]
     src = secrets.texts(evidence(spark, ev), requests(spark, [(1, "p", [(None, None), ("a", f"k\n\npwd={secret}")]), (2, None, None), (3, "p", [])]))
     spans = secrets.secret_spans(src).cache()
     got = {tuple(r) for r in spans.select("origin", "record_id", "file_ord", "line_no").distinct().collect()}
-    assert got == {("evidence", "e1", 0, 2), ("evidence", "e2", 0, 1), ("prompt_request", "1", 1, 3)}
+    assert got == {("evidence", "e1", 0, 2), ("evidence", "e2", 0, 1), ("prompt_request", "1", 1, 3)} | {("evidence", f"c{i}", 0, 1) for i in range(12)}
     out = {(r.record_id, r.file_ord): r for r in secrets.redacted(src, spans).collect()}
     assert out[("e1", 0)].redacted_text == "x\npassword = 'REDACTED'" and out[("e2", 0)].redacted_text == "worker saw REDACTED in memory"
-    assert out[("s1", 0)].redacted_text == f"token: {shared}" and len(out) == 16
+    assert out[("s1", 0)].redacted_text == f"token: {shared}\n# 1" and out[("c3", 0)].redacted_text == "api_key = 'REDACTED'" and len(out) == 28
 
 
 def test_blocks_find_the_same(spark):
@@ -76,7 +77,7 @@ def test_empty(spark):
 
 
 def test_remarks_and_signs():
-    for text in ("# old key, remove after rollout: 8BkVZhAwg0QJPE3oIGBYnlAqOUFS3Ytz", "EDGE_PASSWORD=!XzuSIIFOPIFo9", "EDGE_PASSWORD=$Kd8%fjW2x", "pwd: '%a8Fk2Lm0q'"):
+    for text in ("db_password = XnopnndWsUzmEi", "ARG CHUNK_PASSWORD=xXXTvI6Nb97iOw", "login user=nike password=oLyTbNjfidfnlo", "# old key, remove after rollout: 8BkVZhAwg0QJPE3oIGBYnlAqOUFS3Ytz", "EDGE_PASSWORD=!XzuSIIFOPIFo9", "EDGE_PASSWORD=$Kd8%fjW2x", "pwd: '%a8Fk2Lm0q'"):
         assert len(Finder().find(text)) == 1, text
-    for text in ("# token budget: see a/b.py for the limit", "key missing, seen at: 2026-07-27T17:02:04.000Z", "password: $DB_PASS1", "# the key, in short: https://h.example/a1b2c3d4e5"):
+    for text in ("password = PayloadBuilder", "token: makeTokenizer", "pwd=xxxxxxxx", "password = myDbPassword", 'client_secret = ""\n"""When A raises, the caller stops."""', 'pwd = "" "What is it"', "# token budget: see a/b.py for the limit", "key missing, seen at: 2026-07-27T17:02:04.000Z", "password: $DB_PASS1", "# the key, in short: https://h.example/a1b2c3d4e5"):
         assert Finder().find(text) == [], text
