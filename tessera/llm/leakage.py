@@ -309,7 +309,8 @@ def leaked(documents: DataFrame, key: str, text: str, items: DataFrame, item_key
 
 
 def without_leaks(documents: DataFrame, key: str, text: str, found: DataFrame) -> DataFrame:
-    """The documents' texts without the leaked passages (``found`` with spans)."""
+    """The documents' texts without the leaked passages (``found`` with spans).
+    Keys are those of one text each; a document without a key stays as it is."""
     per = found.select(key, F.struct("begin", "end").alias("s")).distinct().groupBy(key).agg(F.array_sort(F.collect_set("s")).alias("spans"))
     cut = """aggregate(spans, struct(cast(0 as bigint) as at, cast('' as string) as done),
         (acc, s) -> if(s.end <= acc.at, acc, struct(s.end as at, concat(acc.done, substring(t, cast(acc.at + 1 as int), cast(greatest(s.begin - acc.at, 0) as int))) as done)),

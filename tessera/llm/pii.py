@@ -212,14 +212,14 @@ def name_spans(line: str, taken: list[tuple[int, int, str]], kinds: frozenset =
     return out
 
 
-_ROW = pa.schema([("record_id", pa.string()), ("line_no", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("pii_type", pa.string()), ("terms", pa.list_(pa.string())), ("n", pa.int64()), ("k", pa.int64())])
-_DDL = "record_id string, line_no bigint, `begin` bigint, `end` bigint, pii_type string, terms array<string>, n bigint, k bigint"
+_ROW = pa.schema([("record_id", pa.string()), ("doc", pa.int64()), ("line_no", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("pii_type", pa.string()), ("terms", pa.list_(pa.string())), ("n", pa.int64()), ("k", pa.int64())])
+_DDL = "record_id string, doc bigint, line_no bigint, `begin` bigint, `end` bigint, pii_type string, terms array<string>, n bigint, k bigint"
 _PERSONAL = {"EMAIL", "PHONE", "ID_NUMBER", "ADDRESS"}
 
 
 def scan(source: DataFrame) -> DataFrame:
     """Entities, name candidates (type CANDIDATE) and term counts (type TERM,
-    summed per batch) of the texts (origin, record_id, text)."""
+    summed per batch) of the texts (record_id, doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _hint_words()
@@ -228,7 +228,7 @@ def scan(source: DataFrame) -> DataFrame:
             seen: Counter = Counter()
             near: Counter = Counter()
             lines = hits = 0
-            for record, text in zip(*(c.to_pylist() for c in b.columns)):
+            for record, doc, text in zip(*(c.to_pylist() for c in b.columns)):
                 lines += text.count("\n") + 1
                 for no, at, line, kinds in hinted(words, text):
                     found = structured(line, kinds)
@@ -237,26 +237,26 @@ def scan(source: DataFrame) -> DataFrame:
                     mails = {p for x, y, t in found if t == "EMAIL" for p in re.split(r"[^a-z]+", line[x:y].partition("@")[0].lower()) if len(p) > 2}
                     hits += personal
                     for x, y, t in found:
-                        rows.append((record, no, at + x, at + y, t, None, None, None))
+                        rows.append((record, doc, no, at + x, at + y, t, None, None, None))
                     for x, y, terms, titled in spans:
-                        rows.append((record, no, at + x, at + y, "NAME" if titled else "CANDIDATE", None if titled else list(terms), None, None))
+                        rows.append((record, doc, no, at + x, at + y, "NAME" if titled else "CANDIDATE", None if titled else list(terms), None, None))
                     for term in {t for s in spans for t in s[2]}:
                         seen[term] += 1
                         near[term] += personal or term in mails
                     for p in mails:
                         seen[p] += 0
                         near[p] += 0
-            rows += [("", 0, 0, 0, "TERM", [t], n, near[t]) for t, n in seen.items() if n]
-            rows.append(("", 0, 0, 0, "TERM", [""], lines, hits))
+            rows += [("", 0, 0, 0, 0, "TERM", [t], n, near[t]) for t, n in seen.items() if n]
+            rows.append(("", 0, 0, 0, 0, "TERM", [""], lines, hits))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROW)], schema=_ROW)
 
-    return source.select("record_id", "text").mapInArrow(run, _DDL)
+    return source.select("record_id", "doc", "text").mapInArrow(run, _DDL)
 
 
 def texts(requests: DataFrame, runs: DataFrame) -> list[tuple[str, DataFrame]]:
     """The three text fields by origin; null and empty ones left out."""
     parts = ((requests, "request_id", "conversation"), (requests, "request_id", "extra_context"), (runs, "run_id", "stdout"))
-    return [(col, df.select(F.col(key).cast("string").alias("record_id"), F.col(col).alias("text")).filter("text is not null and text <> ''")) for df, key, col in parts]
+    return [(col, df.select(F.col(key).cast("string").alias("record_id"), F.col(col).alias("text"), F.xxhash64(col).alias("doc")).filter("text is not null and text <> ''")) for df, key, col in parts]
 
 
 def disclosure(terms: DataFrame) -> DataFrame:
@@ -283,19 +283,21 @@ def personal_spans(parts: list[tuple[str, DataFrame]], threshold: float = 0.35)
     spans = candidates.select("terms").distinct()
     scored = spans.select("terms", F.explode("terms").alias("term")).join(bits, "term").groupBy("terms").agg(F.max("share").alias("share")).filter(F.col("share") >= threshold)
     names = candidates.join(scored.select("terms"), "terms", "left_semi").withColumn("pii_type", F.lit("NAME"))
-    keep = ("origin", "record_id", "line_no", "begin", "end", "pii_type")
+    keep = ("origin", "record_id", "doc", "line_no", "begin", "end", "pii_type")
     return rows.filter(F.col("pii_type").isin(*TYPES)).select(*keep).unionByName(names.select(*keep))
 
 
 def sanitised(parts: list[tuple[str, DataFrame]], spans: DataFrame) -> DataFrame:
     """The texts with each entity replaced by its typed placeholder."""
-    per = spans.select("origin", "record_id", F.struct("begin", "end", "pii_type").alias("s")).distinct().groupBy("origin", "record_id").agg(F.array_sort(F.collect_set("s")).alias("spans"))
+    keys = ("origin", "record_id", "doc")
+    per = spans.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct("begin", "end", "pii_type").alias("s")).groupBy(*[f"_{k}" for k in keys]).agg(F.array_sort(F.collect_set("s")).alias("spans"))
     source = None
     for origin, df in parts:
-        part = df.select(F.lit(origin).alias("origin"), "record_id", "text").dropDuplicates(["record_id", "text"])
+        part = df.select(F.lit(origin).alias("origin"), "record_id", "doc", "text").dropDuplicates(["record_id", "doc"])
         source = part if source is None else source.unionByName(part)
     cut = """aggregate(spans, struct(cast(0 as bigint) as at, cast('' as string) as done),
         (acc, s) -> if(s.end <= acc.at, acc, struct(s.end as at,
             concat(acc.done, substring(text, cast(acc.at + 1 as int), cast(greatest(s.begin - acc.at, 0) as int)), if(s.begin < acc.at, '', concat('[', s.pii_type, ']'))) as done)),
         acc -> concat(acc.done, substring(text, cast(acc.at + 1 as int))))"""
-    return source.join(per, ["origin", "record_id"], "left").select("origin", "record_id", F.coalesce(F.size("spans"), F.lit(0)).alias("n_spans"), F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.expr(cut)).alias("clean_text"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return source.join(per, same, "left").select("origin", "record_id", F.coalesce(F.size("spans"), F.lit(0)).alias("n_spans"), F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.expr(cut)).alias("clean_text"))

@@ -387,13 +387,14 @@ def secret_spans(source: DataFrame, max_owners: int = 8) -> DataFrame:
 
 def redacted(source: DataFrame, spans: DataFrame) -> DataFrame:
     """The texts with each secret replaced by ``REDACTED``; all other characters
-    stay. Overlapping spans are merged; quotes and line ends stay outside."""
-    per = spans.select("origin", "record_id", "file_ord", F.struct("begin", "end").alias("s")).distinct().groupBy("origin", "record_id", "file_ord").agg(F.array_sort(F.collect_set("s")).alias("spans"))
+    stay. Overlapping spans are merged; quotes and line ends stay outside. Spans
+    belong to a record's text, so texts under one key or none don't mix."""
+    keys = ("origin", "record_id", "file_ord", "doc")
+    per = spans.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct("begin", "end").alias("s")).groupBy(*[f"_{k}" for k in keys]).agg(F.array_sort(F.collect_set("s")).alias("spans"))
     cut = """aggregate(spans, struct(cast(0 as bigint) as at, cast('' as string) as done),
         (acc, s) -> if(s.end <= acc.at, acc, struct(s.end as at,
             concat(acc.done, substring(text, cast(acc.at + 1 as int), cast(greatest(s.begin - acc.at, 0) as int)), if(s.begin < acc.at, '', 'REDACTED')) as done)),
         acc -> concat(acc.done, substring(text, cast(acc.at + 1 as int))))"""
-    once = source.dropDuplicates(["origin", "record_id", "file_ord", "text"])
-    return once.join(per, ["origin", "record_id", "file_ord"], "left").select(
-        "origin", "record_id", "file_ord", F.coalesce(F.size("spans"), F.lit(0)).alias("n_spans"), F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.expr(cut)).alias("redacted_text")
-    )
+    once = source.dropDuplicates(list(keys))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return once.join(per, same, "left").select("origin", "record_id", "file_ord", F.coalesce(F.size("spans"), F.lit(0)).alias("n_spans"), F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.expr(cut)).alias("redacted_text"))

@@ -49,3 +49,9 @@ def test_hints_leave_nothing_out():
         if found or names:
             assert (no, tuple(found), tuple(names)) in got, line
     assert pii.hinted(words, "") == [] and all(text[b : b + len(x)] == x for _, b, x, _ in pii.hinted(words, text))
+
+
+def test_texts_under_one_key_or_none(spark):
+    parts = frames(spark, [], [(None, "SSN 972-70-1955"), (None, "plain text of it"), (2, "a"), (2, "see SSN 972-70-1956")])
+    got = {r.clean_text for r in pii.sanitised(parts, pii.personal_spans(parts)).collect()}
+    assert got == {"[ID_NUMBER]", "plain text of it", "a", "see [ID_NUMBER]"}

@@ -81,3 +81,10 @@ def test_remarks_and_signs():
         assert len(Finder().find(text)) == 1, text
     for text in ("password = PayloadBuilder", "token: makeTokenizer", "pwd=xxxxxxxx", "password = myDbPassword", 'client_secret = ""\n"""When A raises, the caller stops."""', 'pwd = "" "What is it"', "# token budget: see a/b.py for the limit", "key missing, seen at: 2026-07-27T17:02:04.000Z", "password: $DB_PASS1", "# the key, in short: https://h.example/a1b2c3d4e5"):
         assert Finder().find(text) == [], text
+
+
+def test_texts_under_one_key_or_none(spark):
+    rows = [(None, "p", "password = 'zQ8rT2mKx94LpWvB'"), (None, "p", "nothing"), ("d", "p", "x = 1"), ("d", "q", "long before it pwd = 'aK8rT2mKx94LpWvC'")]
+    src = secrets.texts(evidence(spark, rows), requests(spark, []))
+    got = {r.redacted_text for r in secrets.redacted(src, secrets.secret_spans(src)).collect()}
+    assert got == {"password = 'REDACTED'", "nothing", "x = 1", "long before it pwd = 'REDACTED'"}
