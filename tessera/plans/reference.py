@@ -413,6 +413,23 @@ SQL = {
     "route_mentions": r"WITH d AS (SELECT doc_id, regexp_extract_all(text, '(?i)\b(GET|POST|PUT|PATCH|DELETE)\s+(/[/a-zA-Z0-9_\-]*)', 1) AS m, regexp_extract_all(text, '(?i)\b(GET|POST|PUT|PATCH|DELETE)\s+(/[/a-zA-Z0-9_\-]*)', 2) AS p FROM documents WHERE text IS NOT NULL) SELECT doc_id, coalesce(array_to_string(list_transform(range(1, len(m) + 1), lambda i: upper(m[i]) || ':' || p[i]), ','), '') AS routes FROM d",
     "classify_task": f"WITH d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, {_TASK} FROM d), g AS (SELECT *, greatest(debug, research, code, explain, design) AS b FROM s) SELECT doc_id, CASE WHEN b = 0 THEN 'general' WHEN debug = b THEN 'debug' WHEN research = b THEN 'research' WHEN code = b THEN 'code' WHEN explain = b THEN 'explain' ELSE 'design' END AS task FROM g",
     "intent_rules": rf"WITH c AS (SELECT DISTINCT request_id, intent FROM prompt_request), s AS (SELECT request_id, intent, {_KIND} AS investigation_type, {_DOMAIN} AS domain, {_SURE} AS sure FROM c) SELECT request_id, investigation_type, domain, {_CONF} AS confidence, CASE WHEN regexp_matches(lower(intent), '\b(?:error|bug|fail|exception|500|404)\b') THEN 'bug_investigation' WHEN regexp_matches(lower(intent), '\b(?:where|find|handled|implemented)\b') THEN 'symbol_lookup' ELSE 'general_search' END AS question FROM s",
+    "extract_keywords": r"""WITH c AS (SELECT DISTINCT request_id, coalesce(intent, '') AS t FROM prompt_request),
+        m AS (SELECT request_id, regexp_extract_all(t, '\b([a-zA-Z0-9_/]+)(\.[a-zA-Z0-9_]{2,6})\b', 1) AS a, regexp_extract_all(t, '\b([a-zA-Z0-9_/]+)(\.[a-zA-Z0-9_]{2,6})\b', 2) AS b, regexp_extract_all(t, '\b([A-Z][a-zA-Z]{2,})\b', 1) AS k, regexp_extract_all(t, '\b([a-z]+(?:_[a-z]+){1,})\b', 1) AS n, regexp_extract_all(t, '`([^`]+)`', 1) AS q FROM c),
+        w AS (SELECT request_id, list_concat(list_concat(list_concat(list_transform(range(1, len(a) + 1), lambda i: lower(a[i] || b[i])), list_transform(a, lambda x: lower(x))), list_concat(list_transform(k, lambda x: lower(x)), list_transform(k, lambda x: lower(regexp_replace(regexp_replace(x, '(.)([A-Z][a-z]+)', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g'))))), list_concat(n, list_concat(list_transform(q, lambda x: lower(x)), list_transform(q, lambda x: lower(regexp_replace(x, '\.[^./]*$', '')))))) AS w FROM m)
+        SELECT request_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(w, lambda x: length(x) > 2))), ','), '') AS keywords FROM w""",
+    "route_query_rules": r"WITH c AS (SELECT DISTINCT request_id, intent, trim(coalesce(intent, '')) AS t, lower(trim(coalesce(intent, ''))) AS l FROM prompt_request) SELECT request_id, CASE WHEN t = '' THEN 'none' WHEN regexp_matches(t, '(?i)\b(GET|POST|PUT|PATCH|DELETE)\s+(/[/a-zA-Z0-9_\-]*)') AND ("
+    + " OR ".join(f"contains(l, '{w}')" for w in ask.TRACE_WORDS)
+    + ") THEN 'route_trace' "
+    + " ".join("WHEN " + " OR ".join(f"contains(l, '{p}')" for p in phrases) + f" THEN '{capability}'" for capability, phrases, _ in ask.RULES)
+    + " ELSE 'unknown' END AS capability FROM c",
+    "rule_summary": r"""WITH c AS (SELECT DISTINCT request_id, conversation AS t FROM prompt_request WHERE conversation IS NOT NULL),
+        m AS (SELECT request_id, t, regexp_extract_all(t, '\b(GET|POST|PATCH|PUT|DELETE)\s+(/[a-zA-Z0-9_/.<>?=&\-]+)', 1) AS a, regexp_extract_all(t, '\b(GET|POST|PATCH|PUT|DELETE)\s+(/[a-zA-Z0-9_/.<>?=&\-]+)', 2) AS b, regexp_extract_all(t, '([a-zA-Z0-9_/]+\.[a-zA-Z0-9_]{2,5})', 1) AS f, list_filter(list_transform(regexp_split_to_array(t, '\r?\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM c),
+        p AS (SELECT request_id, t, list_transform(range(greatest(1, len(a) - 2), len(a) + 1), lambda i: a[i] || ' ' || b[i]) AS r, list_filter(list_transform(range(1, len(f) + 1), lambda i: CASE WHEN list_position(f, f[i]) = i AND NOT starts_with(f[i], 'http') THEN f[i] END), lambda x: x IS NOT NULL)[1:5] AS f, array_to_string(l[greatest(1, len(l) - 9):len(l)], ' ') AS l FROM m),
+        s AS (SELECT request_id, t, concat_ws(' ', CASE WHEN len(r) > 0 THEN 'Routes discussed: ' || array_to_string(r, ', ') || '.' END, CASE WHEN len(f) > 0 THEN 'Files involved: ' || array_to_string(f, ', ') || '.' END, CASE WHEN l <> '' THEN 'Last context: ' || substr(l, 1, 400) END) AS s FROM p)
+        SELECT request_id, CASE WHEN s = '' THEN substr(t, 1, 600) ELSE s END AS summary FROM s""",
+    "repo_fingerprint": """WITH f AS (SELECT file_id, any_value(project_name) AS project_name, any_value(file_path) AS path, any_value(n_bytes) AS n FROM file_symbols GROUP BY file_id),
+        h AS (SELECT project_name, n, CAST('0x' || substr(sha256(concat_ws(chr(0), path, CAST(n AS VARCHAR))), 1, 12) AS HUGEINT) AS v FROM f)
+        SELECT project_name, count(*) AS n_files, CAST(sum(n) AS BIGINT) AS n_bytes, CAST(sum(v) AS DOUBLE) AS fingerprint FROM h GROUP BY project_name""",
     "chunk_evidence": r"""WITH e AS (SELECT evidence_id, regexp_split_to_array(regexp_replace(content, '\r?\n$', ''), '\r?\n') AS a FROM (SELECT DISTINCT evidence_id, content FROM evidence WHERE length(content) > 0)),
         c AS (SELECT evidence_id, a, CAST(ceil(len(a) / 20.0) AS BIGINT) AS n, unnest(range(CAST(ceil(len(a) / 20.0) AS BIGINT))) AS i FROM e)
         SELECT evidence_id, i AS chunk_index, n AS total_chunks, i * 20 + 1 AS start_line, least(i * 20 + 20, len(a)) AS end_line, md5(array_to_string(a[i * 20 + 1 : i * 20 + 20], chr(10))) AS digest FROM c""",
