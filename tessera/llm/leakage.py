@@ -227,6 +227,49 @@ def passage(item: list[str], text: list[str], lo: int, hi: int) -> tuple[int, in
     return top
 
 
+def enough(matched: int, span: int, size: int, share: float) -> bool:
+    """Whether a chain over ``span`` of an item's ``size`` words repeats its share."""
+    return span >= share * size and (matched >= SURE * span or matched >= DENSE * span and matched >= OWN * share / SHARE * size)
+
+
+def dense_passage(item: list[str], text: list[str], lo: int, hi: int, share: float) -> tuple[int, int, int, int, int] | None:
+    """:func:`passage`, but of the chains that are dense enough: for each pair
+    of equal words, the most matches of a chain from each first word."""
+    at: dict[str, list[int]] = defaultdict(list)
+    for i, w in enumerate(item):
+        at[w].append(i)
+    best: dict[int, dict[int, dict[int, tuple[int, int]]]] = {}  # j -> i -> first i -> matched, first j
+    top = None
+    for j in range(lo, hi):
+        for i in at.get(text[j], ()):
+            got = {i: (1, j)}
+            for dj in range(1, GAP + 1):
+                row = best.get(j - dj)
+                for di in range(1, GAP + 1) if row else ():
+                    for first, (n, begin) in row.get(i - di, {}).items():
+                        if (n + 1, begin) > got.get(first, (0, 0)):
+                            got[first] = (n + 1, begin)
+            best.setdefault(j, {})[i] = got
+            for first, (n, begin) in got.items():
+                span = i - first + 1
+                if (top is None or (n, span) > (top[1], top[0])) and enough(n, span, len(item), share):
+                    top = (span, n, begin, j, first)
+        best.pop(j - GAP, None)
+    return top
+
+
+def judged(item: list[str], text: list[str], lo: int, hi: int, share: float) -> tuple[int, int, int, int, int] | None:
+    """The best passage between ``lo`` and ``hi`` that repeats the ``share``. The
+    chain of most matches needn't be dense enough where another one is: then,
+    if its matches would do for any, all chains and their parts are judged."""
+    top = passage(item, text, lo, hi)
+    if enough(top[1], top[0], len(item), share):
+        return top
+    if top[1] < min(SURE * share, OWN * share / SHARE) * len(item):
+        return None
+    return dense_passage(item, text, lo, hi, share)
+
+
 def leaks(automaton: SuffixAutomaton, seq: list[str], share: float = SHARE) -> list[tuple[int, int, int, int]]:
     """(item, words spanned, first and last word in the text) of the items of
     which the text repeats the ``share`` or more."""
@@ -243,9 +286,9 @@ def leaks(automaton: SuffixAutomaton, seq: list[str], share: float = SHARE) -> l
                 groups[-1][1] = max(groups[-1][1], j + n)
             else:
                 groups.append([j, j + n])
-        top = max(passage(own, seq, max(0, lo - len(own)), min(len(seq), hi + len(own))) for lo, hi in groups)
-        enough = top[1] >= SURE * top[0] or top[1] >= DENSE * top[0] and top[1] >= OWN * share / SHARE * len(own)
-        if top[0] >= share * len(own) and enough:
+        tops = [judged(own, seq, max(0, lo - len(own)), min(len(seq), hi + len(own)), share) for lo, hi in groups]
+        top = max((t for t in tops if t), key=lambda t: (t[1], t[0]), default=None)
+        if top:
             out.append((item, top[0], top[2], top[3]))
     return out
 

@@ -44,6 +44,22 @@ def test_forms_of_one_passage():
     assert not leaks(a, words(" ".join(shuffled))) and not leaks(a, []) and not SuffixAutomaton({}).segments(["a"] * 5)
 
 
+def test_passage_beside_a_look_alike():
+    item = [f"w{i}" for i in range(40)]
+    a = SuffixAutomaton({1: item})
+    # the item's pattern: the whole span, two of three words its own
+    alike = [w if i % 6 < 4 or i in (0, 39) else "other" for i, w in enumerate(item)]
+    assert not leaks(a, alike)
+    for n in (22, 26, 30, 36):
+        for gap in (0, 3, 10, 30, 60, 300):
+            for text, begin in ((alike + ["x"] * gap + item[:n], 40 + gap), (item[40 - n :] + ["x"] * gap + alike, 0)):
+                [(_, span, first, last)] = leaks(a, text)
+                assert span >= n and first <= begin + 1 and last >= begin + n - 2, (n, gap)
+    assert not leaks(a, alike + ["x"] * 60 + item[:15]) and not leaks(a, alike + ["x"] * 60 + alike)
+    # a sparse beginning leads into the passage
+    assert leaks(a, [w for i, w in enumerate(item[:18]) if i % 5 == 0] + item[18:])
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("aB é&#96;<b>\\n\\u0061.'-\n", max_size=60))
 def test_placed_words_agree(text):
