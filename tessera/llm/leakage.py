@@ -270,26 +270,48 @@ def judged(item: list[str], text: list[str], lo: int, hi: int, share: float) ->
     return dense_passage(item, text, lo, hi, share)
 
 
+def passages(item: list[str], text: list[str], lo: int, hi: int, share: float) -> list[tuple[int, int, int]]:
+    """(words of the item spanned, first and last word in the text) of all the
+    passages between ``lo`` and ``hi``: the best one, then those beside it."""
+    out, todo = [], [(lo, hi)]
+    while todo:
+        lo, hi = todo.pop()
+        top = judged(item, text, lo, hi, share)
+        if top:
+            out.append((top[0], top[2], top[3]))
+            todo += [(lo, top[2]), (top[3] + 1, hi)]
+    return out
+
+
 def leaks(automaton: SuffixAutomaton, seq: list[str], share: float = SHARE) -> list[tuple[int, int, int, int]]:
-    """(item, words spanned, first and last word in the text) of the items of
-    which the text repeats the ``share`` or more."""
+    """(item, words spanned, first and last word in the text) of each passage
+    that repeats the ``share`` or more of an item."""
     out = []
     for item, found in automaton.segments(seq).items():
         own = automaton.items[item]
         if sum(n for _, _, n in found) < 0.5 * share * len(own):
             continue
-        # stretches of the text in which the item's words stand close together
+        # stretches of the text in which the item's words stand close together,
+        # with as many words around them as a passage may reach
         found.sort(key=lambda s: s[1])
         groups: list[list[int]] = []
         for i, j, n in found:
-            if groups and j <= groups[-1][1] + len(own):
-                groups[-1][1] = max(groups[-1][1], j + n)
+            if groups and j - len(own) <= groups[-1][1]:
+                groups[-1][1] = max(groups[-1][1], j + n + len(own))
             else:
-                groups.append([j, j + n])
-        tops = [judged(own, seq, max(0, lo - len(own)), min(len(seq), hi + len(own)), share) for lo, hi in groups]
-        top = max((t for t in tops if t), key=lambda t: (t[1], t[0]), default=None)
-        if top:
-            out.append((item, top[0], top[2], top[3]))
+                groups.append([j - len(own), j + n + len(own)])
+        out += [(item, *x) for lo, hi in groups for x in passages(own, seq, max(0, lo), min(len(seq), hi), share)]
+    return out
+
+
+def all_leaks(automaton: SuffixAutomaton, seq: list[str], share: float = SHARE) -> list[tuple[int, int, int, int]]:
+    """:func:`leaks`, and those that come about where the words around a removed
+    passage meet, until the words that remain hold none."""
+    out, left = [], list(range(len(seq)))
+    while found := leaks(automaton, [seq[p] for p in left], share):
+        out += [(item, n, left[x], left[y]) for item, n, x, y in found]
+        gone = {p for _, _, x, y in found for p in range(x, y + 1)}
+        left = [p for k, p in enumerate(left) if k not in gone]
     return out
 
 
@@ -321,8 +343,9 @@ def item_blocks(items: DataFrame, key: str, text: str, block_words: int = BLOCK_
 
 
 def leaked(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, share: float = SHARE, *, spans: bool = False) -> DataFrame:
-    """(key, item_id, words) of every document with a leaked item; ``spans``
-    adds the characters of the passage."""
+    """(key, item_id, words) of every passage of an item in a document;
+    ``spans`` adds the characters of the passages, all that must go for none of
+    the same block of items to remain."""
     spark = documents.sparkSession
     source = documents.filter(F.length(text) > 0).select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
     schema = pa.schema([(key, pa.int64()), ("item_id", pa.int64()), ("words", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
@@ -337,7 +360,7 @@ def leaked(documents: DataFrame, key: str, text: str, items: DataFrame, item_key
             for b in batches:
                 rows = []
                 for k, t in zip(*(c.to_pylist() for c in b.columns)):
-                    found = leaks(automaton, words(t), share)
+                    found = (all_leaks if spans else leaks)(automaton, words(t), share)
                     if found and spans:
                         placed = placed_words(t)
                         rows += [(k, i, w, placed[x][1], placed[y][2]) for i, w, x, y in found]

@@ -77,6 +77,18 @@ def test_table(spark):
     assert leakage.leaked(docs.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
 
 
+def test_every_passage_is_removed(spark):
+    cut = ITEM.split()
+    most, rest, half = " ".join(cut[: len(cut) * 7 // 10]), " ".join(cut[len(cut) * 3 // 10 :]), len(cut) * 9 // 20
+    far = "some words between " * 30
+    texts = [f"a {ITEM} b {ITEM} c", f"a {ITEM}\n> {ITEM}\n{far}{ITEM} c", f"a {most} b {rest} c", f"a {most} {far} {rest} c", " ".join(["a", *cut[:half], ITEM, *cut[half : 2 * half], "c"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
+    found = leakage.leaked(docs, "doc_id", "text", items, "item_id", "text", spans=True)
+    clean = {r.doc_id: " ".join(words(r.clean_text)) for r in leakage.without_leaks(docs, "doc_id", "text", found).collect()}
+    assert clean == {0: "a b c", 1: f"a {far}c", 2: "a b c", 3: f"a {far}c", 4: "a c"}
+
+
 def test_blocks(spark):
     items = spark.createDataFrame([(i, " ".join(random.Random(i).choices(WORDS, k=20))) for i in range(7)], "item_id bigint, text string")
     blocks = list(leakage.item_blocks(items, "item_id", "text", 45))
