@@ -49,8 +49,8 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p6_pieces(spark: SparkSession, base: str) -> DataFrame:
-    """The pieces of the oversized evidence."""
-    return splitting.split_items(table(spark, base, "evidence"), "evidence_id", "content").distinct()
+    """The pieces of the oversized evidence and chunks."""
+    return splitting.all_pieces(table(spark, base, "evidence"), table(spark, base, "evidence_chunk"))
 
 
 def p7_found(spark: SparkSession, base: str) -> DataFrame:

@@ -128,6 +128,12 @@ def split_items(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap:
     return source.mapInArrow(run, _DDL)
 
 
+def all_pieces(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The pieces of both tables' contents with their origin, each once."""
+    parts = [split_items(df, key, "content").select(F.lit(origin).alias("origin"), "*") for df, key, origin in ((evidence, "evidence_id", "evidence"), (chunks, "chunk_id", "evidence_chunk"))]
+    return parts[0].unionByName(parts[1]).distinct()
+
+
 def oversized(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     """(origin, record_id, forced_cut): a cut inside a line shows that no line
     end would do."""

@@ -1,6 +1,7 @@
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from tessera.llm.queries import p6_pieces
 from tessera.llm.splitting import bisect, oversized, pieces, split_items
 
 
@@ -36,3 +37,14 @@ def test_table(spark):
     six = split_items(ev, "evidence_id", "content").filter("record_id = '6'").orderBy("piece").collect()
     assert all(len(r.content) <= 6000 and r.content == rows[6][1][r.begin : r.end] for r in six) and six[1].own_begin - six[1].begin == 200
     assert oversized(ev.limit(0), ch.limit(0)).count() == 0
+
+
+def test_pieces_of_both_tables(spark, tmp_path):
+    texts = {"e": "x\n" * 4000, "same": "y\n" * 4000}, {"c": "z\n" * 4000, "same": "é" * 7000}
+    for name, key, rows in (("evidence", "evidence_id", texts[0]), ("evidence_chunk", "chunk_id", texts[1])):
+        spark.createDataFrame([*rows.items(), *rows.items(), ("short", "s")], f"{key} string, content string").write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {}
+    for r in p6_pieces(spark, str(tmp_path)).orderBy("origin", "record_id", "piece").collect():
+        assert len(r.content) <= 6000
+        got[r.origin, r.record_id] = got.get((r.origin, r.record_id), "") + r.content[r.own_begin - r.begin :]
+    assert got == {**{("evidence", k): t for k, t in texts[0].items()}, **{("evidence_chunk", k): t for k, t in texts[1].items()}}
