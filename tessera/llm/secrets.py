@@ -77,6 +77,8 @@ _STRINGS = re.compile(r"\"([^\"\n]*)\"|'([^'\n]*)'")
 _SCHEME = re.compile(r"[ \t]+([A-Za-z0-9+/=._~\-]{6,})")
 _CALL = re.compile(r"\s*(?:[\w.]+\s*=\s*)?([\"'])[^\"'\n]*\1\s*,\s*(?:[\w.]+\s*=\s*)?([\"'])([^\"'\n]+)\2")
 _USER = re.compile(r"[\"']?[^\s:\"']+:([^\s\"']+)")
+#: What makes a short value beside it a part of something longer.
+_INNER, _INNER_AFTER = re.compile(r"[\w./$%+-]"), re.compile(r"[\w/$%+-]|\.\w")
 _B64 = re.compile(r"^[A-Za-z0-9+/]{8,}={0,2}$")
 
 
@@ -327,24 +329,47 @@ def confirmed(found: DataFrame, max_owners: int = 8) -> DataFrame:
 _AUTOMATA: dict = {}
 
 
-def _automaton(key: str, values: list[str]) -> ahocorasick.Automaton | None:
-    """One automaton a block and worker; the block before it is let go."""
+def _automaton(key: str, values: list[str], least: int) -> tuple[ahocorasick.Automaton | None, ...]:
+    """The automata of a block's values of ``least`` characters or more, and of
+    the shorter ones; one block a worker, the one before it is let go."""
     if key not in _AUTOMATA:
         _AUTOMATA.clear()
-        a = ahocorasick.Automaton()
-        for v in values:
-            a.add_word(v, len(v))
-        if values:
-            a.make_automaton()
-        _AUTOMATA[key] = a if values else None
+        both = []
+        for part in ([v for v in values if len(v) >= least], [v for v in values if len(v) < least]):
+            a = ahocorasick.Automaton()
+            for v in part:
+                a.add_word(v, len(v))
+            if part:
+                a.make_automaton()
+            both.append(a if part else None)
+        _AUTOMATA[key] = tuple(both)
     return _AUTOMATA[key]
 
 
+def _places(text: str, long: ahocorasick.Automaton | None, short: ahocorasick.Automaton | None) -> list[tuple[int, int]]:
+    """(begin, end) of the values that stand by themselves, in order: a long one
+    isn't part of a longer word; a short one is a token, no part of a name, path
+    or number with signs."""
+    got = []
+    for last, size in long.iter_long(text) if long else ():
+        begin, end = last + 1 - size, last + 1
+        if begin and (text[begin - 1].isalnum() and text[begin].isalnum()) or end < len(text) and text[end].isalnum() and text[end - 1].isalnum():
+            continue
+        got.append((begin, end))
+    for last, size in short.iter(text) if short else ():
+        begin, end = last + 1 - size, last + 1
+        if not (_INNER.match(text[begin - 1 : begin]) or _INNER_AFTER.match(text, end)):
+            got.append((begin, end))
+    return sorted(got)
+
+
 def rescan(source: DataFrame, values: DataFrame, *, block: int = 100_000, least: int = 10) -> DataFrame | None:
-    """Every place where a confirmed value of ``least`` characters or more
-    stands by itself, as rows of the candidates' form. At most ``block`` values
-    (a few MB) are sent to the executors at once; more take more passes."""
-    kept = values.filter((F.length("value") >= least) & ~F.col("kind").isin("private key", "parts")).select("value")
+    """Every place where a confirmed value stands by itself, as rows of the
+    candidates' form; one of under ``least`` characters has to be a token.
+    Private keys have their own mark wherever they stand, so they are left to
+    the candidates. At most ``block`` values (a few MB) are sent to the
+    executors at once; more take more passes."""
+    kept = values.filter(F.col("kind") != "private key").select("value")
     n = kept.count()
     out = None
     passes = max(1, -(-n // block))
@@ -355,16 +380,13 @@ def rescan(source: DataFrame, values: DataFrame, *, block: int = 100_000, least:
         key = f"{id(sent)}-{i}-{n}"
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
-            a = _automaton(key, sent.value)
+            long, short = _automaton(key, sent.value, least)
             for b in batches:
                 rows = []
                 origin, record, ord_, owner, doc, text = (c.to_pylist() for c in b.columns)
                 for j, t in enumerate(text):
                     line, at = 1, 0
-                    for last, size in a.iter_long(t) if a else ():
-                        begin, end = last + 1 - size, last + 1
-                        if begin and (t[begin - 1].isalnum() and t[begin].isalnum()) or end < len(t) and t[end].isalnum() and t[end - 1].isalnum():
-                            continue
+                    for begin, end in _places(t, long, short):
                         line += t.count("\n", at, begin)
                         at = begin
                         rows.append((origin[j], record[j], ord_[j], owner[j], doc[j], line, begin, end, t[begin:end], "rescan"))

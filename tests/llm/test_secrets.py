@@ -88,3 +88,12 @@ def test_texts_under_one_key_or_none(spark):
     src = secrets.texts(evidence(spark, rows), requests(spark, []))
     got = {r.redacted_text for r in secrets.redacted(src, secrets.secret_spans(src)).collect()}
     assert got == {"password = 'REDACTED'", "nothing", "x = 1", "long before it pwd = 'REDACTED'"}
+
+
+def test_short_and_joined_values_elsewhere(spark):
+    rows = [("a", "p", "password = 'k7Gh2L'"), ("b", "q", "it said k7Gh2L. Then\n(k7Gh2L)"), ("c", "q", "v-k7Gh2L k7Gh2L.x xk7Gh2L /k7Gh2L k7Gh2L_1"), ("d", "p", "api_key = \"zQ8rT2mKx9\" + \"4LpWvB7c\""), ("e", "q", "one\nit printed zQ8rT2mKx94LpWvB7c to me")]
+    src = secrets.texts(evidence(spark, rows), requests(spark, []))
+    spans = secrets.secret_spans(src)
+    assert {(r.record_id, r.line_no) for r in spans.collect()} == {("a", 1), ("b", 1), ("b", 2), ("d", 1), ("e", 2)}
+    got = {r.record_id: r.redacted_text for r in secrets.redacted(src, spans).collect()}
+    assert got["b"] == "it said REDACTED. Then\n(REDACTED)" and got["c"] == rows[2][2] and got["e"] == "one\nit printed REDACTED to me"
