@@ -323,8 +323,16 @@ SCHEMA = T.StructType(
     + [T.StructField("unparsed", T.BooleanType())]
 )
 _ARROW = pa.schema([("record_id", pa.string()), ("first_line", pa.int64()), ("last_line", pa.int64()), ("entry_ts", pa.string()), ("level", pa.string()), ("component", pa.string()), ("message", pa.string()), ("unparsed", pa.bool_())])
-#: First characters that a header can have; others are no layout's.
-_STARTS = frozenset("0123456789[{ITWEFDVCNSABJMOPtslacm")
+
+
+def _starts(trie: EarleyTrie) -> frozenset[str]:
+    """First characters that a header can have: those of the token classes and
+    signs with which a derivation may begin; others are no layout's."""
+    first = {right[d] for r, d, _ in trie.root.sets[-1] if d < len(right := trie.rules[r][1])}
+    return frozenset(c for c, match in _LEX_BY.items() if first & match.__self__.groupindex.keys()) | {t for t in first if len(t) == 1 and not t.isalnum()}
+
+
+_STARTS = _starts(EarleyTrie())
 
 
 def entries(trie: EarleyTrie, record: str, text: str, seen: datetime | None, message: bool) -> list[tuple]:

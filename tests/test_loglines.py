@@ -102,3 +102,9 @@ def test_table(spark):
 
 def test_plain_words_are_not_time():
     assert not re.search(r"\d", header(EarleyTrie(), "[INFO]  12:00", SEEN)[0])
+
+
+def test_any_key_may_come_first():
+    lines = ["host=web1 level=error ts=2026-01-02T03:04:05Z msg=x", "pid=7 level=info time=2026-01-02T03:04:06Z", "request_id=a1 env=prod level=warn", "_k=v level=debug", "Zone=eu level=info", "env=prod host=web1"]
+    got = entries(EarleyTrie(), "r", "\n".join(lines), None, False)
+    assert [(e[1], e[2], e[3], e[4]) for e in got] == [(1, 1, "2026-01-02 03:04:05", "ERROR"), (2, 2, "2026-01-02 03:04:06", "INFO"), (3, 3, "", "WARN"), (4, 4, "", "DEBUG"), (5, 6, "", "INFO")]
