@@ -197,6 +197,8 @@ class _Flattener:
             self.emit(subtype, node, parent, obj, file_path, file_path, _text(obj.get("module")), line, obj.get("imported"))
         elif subtype == "call":
             target = _text(obj.get("target"))
+            if owner == file_path:  # a call of the file's own list may name its caller
+                owner = _text(obj.get("caller"))
             self.emit(subtype, node, parent, obj, file_path, owner or file_path, target, line, None)
             for i, arg in enumerate(_many(obj.get("args"))):
                 self.emit("argument", f"{node}/args[{i}]", node, arg, file_path, target, _text(arg.get("name")), line, arg.get("value"))
@@ -276,6 +278,13 @@ def flatten_json(df: DataFrame, key: str, json_col: str, owner_col: str | None =
     return source.mapInArrow(run, SCHEMA)
 
 
+def flatten_calls(df: DataFrame, key: str, path: str, calls: str) -> DataFrame:
+    """The files and calls of an array<struct<caller,target,line>> column as
+    rows of :data:`SCHEMA`, by the same automaton as the documents'."""
+    record = F.struct(F.col(path).alias("file_path"), F.col(calls).alias("calls"))
+    return flatten_json(df.select(key, F.to_json(record, {"ignoreNullFields": "false"}).alias("j")), key, "j")
+
+
 def subtype_table(flat: DataFrame, subtype: str) -> DataFrame:
     """The rows of one subtype, with the supertype keys."""
     return flat.filter(F.col("subtype") == subtype)
@@ -313,7 +322,7 @@ def nested_children(artifacts: DataFrame, files: DataFrame, nodes: DataFrame) ->
     """Distinct children of the three nested sources."""
     return (
         child_rows(flatten_json(artifacts, "artifact_id", "symbols"), "repository_artifact")
-        .unionByName(call_rows(files, "file_id", "file_path", "calls", "file_symbols"))
+        .unionByName(child_rows(flatten_calls(files, "file_id", "file_path", "calls"), "file_symbols"))
         .unionByName(child_rows(flatten_json(nodes, "node_key", "metadata", "name"), "graph_node"))
         .distinct()
     )

@@ -53,3 +53,17 @@ def test_all_sources_and_repeats(spark):
 
 def test_empty_tables(spark):
     assert nested.flatten_json(spark.createDataFrame([], "artifact_id bigint, symbols string"), "artifact_id", "symbols").count() == 0
+
+
+def test_calls_of_files_go_through_the_automaton(spark):
+    from tessera.operators import nested
+
+    call = "array<struct<caller: string, target: string, line: int>>"
+    rows = [(1, "a.py", [("f", "g", 3), None, ("", "h", None), (None, None, 4), ("f", "g", 3)]), (2, None, [("f", "g", 1), (None, "k", 2)]), (3, "b.py", None), (4, "c.py", [])]
+    files = spark.createDataFrame(rows, f"file_id bigint, file_path string, calls {call}")
+    flat = nested.flatten_calls(files, "file_id", "file_path", "calls")
+    got = nested.child_rows(flat, "file_symbols").distinct()
+    want = nested.call_rows(files, "file_id", "file_path", "calls", "file_symbols").distinct()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 5
+    keys = flat.filter("subtype = 'call'").select("record_id", "node_id", "parent_id", "variant").collect()
+    assert len({(r.record_id, r.node_id) for r in keys}) == 6 and {r.parent_id for r in keys} == {"$"} and all(r.variant.startswith("call{") for r in keys)
