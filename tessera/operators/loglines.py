@@ -391,3 +391,11 @@ def entry_keys(evidence: DataFrame, runs: DataFrame) -> DataFrame:
         part = log_entries(df, key, text, seen, message=False).select(F.lit(origin).alias("origin"), "record_id", "first_line", "last_line", "entry_ts", "level", "component")
         out = part if out is None else out.unionByName(part)
     return out.distinct()
+
+
+def entry_messages(evidence: DataFrame, runs: DataFrame) -> DataFrame:
+    """The rows of :func:`log_entries`, messages and unparsed spans with them, of
+    the same three origins as :func:`entry_keys`. Distinct rows."""
+    logs = evidence.filter(F.upper("evidence_type") == "LOG")
+    parts = [log_entries(df, key, text, seen).select(F.lit(origin).alias("origin"), "*") for df, key, text, seen, origin in ((runs, "run_id", "stdout", "captured_at", "stdout"), (runs, "run_id", "stderr", "captured_at", "stderr"), (logs, "evidence_id", "content", "collected_at", "evidence"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()

@@ -38,13 +38,18 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return loglines.entry_keys(table(spark, base, "evidence"), table(spark, base, "terminal_run"))
 
 
+def p3_messages(spark: SparkSession, base: str) -> DataFrame:
+    """Every log entry with its message, and the unparsed spans, of all origins."""
+    return loglines.entry_messages(table(spark, base, "evidence"), table(spark, base, "terminal_run"))
+
+
 def p3_coverage(spark: SparkSession, base: str) -> DataFrame:
-    """Parsed entries and unparsed spans of standard error, by level."""
-    got = loglines.log_entries(table(spark, base, "terminal_run"), "run_id", "stderr", "captured_at").distinct()
-    return got.groupBy("level", "unparsed").agg(F.count("*").alias("n_spans"), F.sum(F.col("last_line") - F.col("first_line") + 1).alias("n_lines"), F.sum(F.length("message")).alias("n_chars"))
+    """Parsed entries and unparsed spans of all origins, by level."""
+    got = p3_messages(spark, base)
+    return got.groupBy("origin", "level", "unparsed").agg(F.count("*").alias("n_spans"), F.sum(F.col("last_line") - F.col("first_line") + 1).alias("n_lines"), F.sum(F.length("message")).alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_variants, p1_orphans, p1_file_calls, p3_found, p3_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_variants, p1_orphans, p1_file_calls, p3_found, p3_messages, p3_coverage)}
 
 SQL = {
     "p1_file_calls": """

@@ -108,3 +108,13 @@ def test_any_key_may_come_first():
     lines = ["host=web1 level=error ts=2026-01-02T03:04:05Z msg=x", "pid=7 level=info time=2026-01-02T03:04:06Z", "request_id=a1 env=prod level=warn", "_k=v level=debug", "Zone=eu level=info", "env=prod host=web1"]
     got = entries(EarleyTrie(), "r", "\n".join(lines), None, False)
     assert [(e[1], e[2], e[3], e[4]) for e in got] == [(1, 1, "2026-01-02 03:04:05", "ERROR"), (2, 2, "2026-01-02 03:04:06", "INFO"), (3, 3, "", "WARN"), (4, 4, "", "DEBUG"), (5, 6, "", "INFO")]
+
+
+def test_messages_of_every_origin(spark):
+    from tessera.operators.loglines import entry_messages
+
+    at = datetime(2026, 1, 2)
+    runs = spark.createDataFrame([(1, "ERROR: one\nmore", "lead\nWARNING: two", at)] * 2, "run_id bigint, stdout string, stderr string, captured_at timestamp")
+    logs = spark.createDataFrame([("e", "log", "INFO: three", at), ("f", "code", "INFO: four", at)], "evidence_id string, evidence_type string, content string, collected_at timestamp")
+    got = {(r.origin, r.record_id, r.first_line, r.last_line, r.message, r.unparsed) for r in entry_messages(logs, runs).collect()}
+    assert got == {("stdout", "1", 1, 2, "one\nmore", False), ("stderr", "1", 1, 1, "lead", True), ("stderr", "1", 2, 2, "two", False), ("evidence", "e", 1, 1, "three", False)}
