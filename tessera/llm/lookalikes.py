@@ -9,8 +9,9 @@ What a reader can tell apart stays apart: raised and circled digits, fraction
 signs, letter case, accents, and the joiner inside an emoji.
 
 Defined results: null and empty texts stay null and empty and form no pairs;
-texts are never cut; copies of one text are one class, whose smallest id stands
-for it; repeated rows change nothing.
+texts are never cut; copies of one text are one class, whose members pair with
+those of the form's other classes; rows without an id form no pairs; repeated
+rows change nothing.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import duckdb
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.session import stage
+
 # Look-alike letters, joined letters, spaces, invisible characters.
 LETTERS = {
     "Latin for Cyrillic": ("АВЕЅІЈКМНОРСТХаеорсухѕіјԁһԛԝҮԚԜЁёЇї", "ABESIJKMHOPCTXaeopcyxsijdhqwYQWËëÏï"),
@@ -69,7 +72,7 @@ def canonical(df: DataFrame, key: str, text: str, *, content: bool = True) -> Da
         con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         for b in batches:
             con.register("batch", pa.Table.from_batches([b]))
-            out = con.execute(sql).to_arrow_table().cast(schema)
+            out = con.sql(sql).to_arrow_table().cast(schema)
             con.unregister("batch")
             yield from out.to_batches()
         con.close()
@@ -78,14 +81,41 @@ def canonical(df: DataFrame, key: str, text: str, *, content: bool = True) -> Da
     return source.mapInArrow(run, f"k {'bigint' if kind in ('bigint', 'int') else 'string'}, c string, r string, m string").select(F.col("k").alias(key), F.col("c").alias("canonical_text"), F.col("r").alias("raw_key"), F.col("m").alias("canonical_key"))
 
 
-def alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Pairs of texts that differ in code points and share their form, smaller
-    id first, one for each two classes of exact copies. Copies are made one
-    before the shuffle; keys of 128 bits stand for the texts."""
-    keys = canonical(df.filter(F.length(text) > 0), key, text, content=False)
-    classes = keys.groupBy("canonical_key", "raw_key").agg(F.min(key).alias("doc"))
-    # only forms of several classes go on to the join
-    several = classes.groupBy("canonical_key").agg(F.count("*").alias("n")).filter("n > 1").select("canonical_key")
-    kept = classes.join(several, "canonical_key", "left_semi").select("canonical_key", "doc")
-    a, b = kept.withColumnRenamed("doc", "doc_id_a"), kept.withColumnRenamed("doc", "doc_id_b")
-    return a.join(b, "canonical_key").filter("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
+#: Members of a form that meet the others in one task; larger forms are salted.
+ROOM = 2000
+
+
+def form_keys(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, canonical_key, raw_key) of the non-empty texts, staged: DuckDB runs
+    once over them, whatever is made of the keys."""
+    got = canonical(df.filter(F.length(text) > 0), key, text, content=False)
+    return stage(got.filter(F.col(key).isNotNull()).select(key, "canonical_key", "raw_key"), "alike-keys")
+
+
+def alike_pairs(df: DataFrame, key: str, text: str, *, room: int = ROOM) -> DataFrame:
+    """Pairs of documents whose texts differ in code points and share their
+    form, smaller id first: every document of one class of exact copies with
+    every one of the form's other classes.
+
+    Only forms of several classes go on to the join; keys of 128 bits stand for
+    the texts. The members of a form are spread over as many salts as ``room``
+    goes into their number, so that no task holds the pairs of a large form."""
+    keys = form_keys(df, key, text)
+    forms = keys.groupBy("canonical_key").agg(F.min("raw_key").alias("a"), F.max("raw_key").alias("b"), F.count("*").alias("n"))
+    several = forms.filter("a <> b").select("canonical_key", F.ceil(F.col("n") / F.lit(room)).cast("int").alias("salts"))
+    kept = stage(keys.join(several, "canonical_key").select("canonical_key", "raw_key", F.col(key).alias("doc"), "salts").distinct(), "alike-members")
+    a = kept.select("canonical_key", F.col("raw_key").alias("raw_a"), F.col("doc").alias("doc_id_a"), F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt"))
+    b = kept.select("canonical_key", F.col("raw_key").alias("raw_b"), F.col("doc").alias("doc_id_b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return a.join(b, ["canonical_key", "salt"]).filter("doc_id_a < doc_id_b and raw_a <> raw_b").select("doc_id_a", "doc_id_b")
+
+
+def alike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, form_id, copy_id, n_links): one row a document with text. form_id
+    is the smallest id of its form, copy_id that of its exact copies, n_links
+    the number of documents that look alike and differ in code points. Counts
+    are summed map-side before the joins; nothing is paired."""
+    keys = form_keys(df, key, text).distinct()
+    copies = keys.groupBy("canonical_key", "raw_key").agg(F.min(key).alias("copy_id"), F.count("*").alias("n_copies"))
+    forms = copies.groupBy("canonical_key").agg(F.min("copy_id").alias("form_id"), F.sum("n_copies").alias("n_form"))
+    both = copies.join(forms, "canonical_key").select("canonical_key", "raw_key", "copy_id", "form_id", (F.col("n_form") - F.col("n_copies")).alias("n_links"))
+    return keys.join(both, ["canonical_key", "raw_key"]).select(key, "form_id", "copy_id", "n_links")

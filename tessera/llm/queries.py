@@ -80,13 +80,34 @@ def p9_found(spark: SparkSession, base: str) -> DataFrame:
     return lookalikes.alike_pairs(table(spark, base, "documents"), "doc_id", "text")
 
 
+def p9_classes(spark: SparkSession, base: str) -> DataFrame:
+    """Each document's class of look-alike texts and its number of links."""
+    return lookalikes.alike_classes(table(spark, base, "documents"), "doc_id", "text")
+
+
 def p9_forms(spark: SparkSession, base: str) -> DataFrame:
     """Each document's consistent form."""
     return lookalikes.canonical(table(spark, base, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p4_found, p4_clean, p5_found, p6_found, p6_pieces, p7_found, p7_cleaned, p8_mix, p8_shares, p9_found, p9_forms)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p4_found, p4_clean, p5_found, p6_found, p6_pieces, p7_found, p7_cleaned, p8_mix, p8_shares, p9_found, p9_classes, p9_forms)}
+#: The consistent form, code point by code point, written apart from the operator.
+_FORM = r"""u AS (SELECT doc_id, text, regexp_extract_all(nfc_normalize(text), '(?s).') AS c FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text <> '')),
+        v AS (SELECT doc_id, text, list_filter(list_transform(range(1, len(c) + 1), lambda i: CASE
+                WHEN unicode(c[i]) = 8205 THEN CASE WHEN i > 1 AND regexp_matches(c[i - 1], '[\p{So}\x{1F3FB}-\x{1F3FF}\x{FE0F}]') AND regexp_matches(c[i + 1], '\p{So}') THEN c[i] END
+                WHEN unicode(c[i]) IN (173, 847, 1564, 6158, 65279) OR unicode(c[i]) BETWEEN 8203 AND 8207 OR unicode(c[i]) BETWEEN 8234 AND 8238 OR unicode(c[i]) BETWEEN 8288 AND 8292 OR unicode(c[i]) BETWEEN 8294 AND 8303 OR unicode(c[i]) BETWEEN 65024 AND 65039 THEN NULL
+                WHEN unicode(c[i]) BETWEEN 65281 AND 65374 THEN chr(unicode(c[i]) - 65248)
+                WHEN unicode(c[i]) IN (160, 5760, 8239, 8287, 12288) OR unicode(c[i]) BETWEEN 8192 AND 8202 THEN ' '
+                ELSE coalesce(m[c[i]], c[i]) END), lambda x: x IS NOT NULL) AS k
+              FROM u, (SELECT MAP {'А': 'A', 'В': 'B', 'Е': 'E', 'Ѕ': 'S', 'І': 'I', 'Ј': 'J', 'К': 'K', 'М': 'M', 'Н': 'H', 'О': 'O', 'Р': 'P', 'С': 'C', 'Т': 'T', 'Х': 'X', 'а': 'a', 'е': 'e', 'о': 'o', 'р': 'p', 'с': 'c', 'у': 'y', 'х': 'x', 'ѕ': 's', 'і': 'i', 'ј': 'j', 'ԁ': 'd', 'һ': 'h', 'ԛ': 'q', 'ԝ': 'w', 'Ү': 'Y', 'Ԛ': 'Q', 'Ԝ': 'W', 'Ё': 'Ë', 'ё': 'ë', 'Ї': 'Ï', 'ї': 'ï',
+                'Α': 'A', 'Β': 'B', 'Ε': 'E', 'Ζ': 'Z', 'Η': 'H', 'Ι': 'I', 'Κ': 'K', 'Μ': 'M', 'Ν': 'N', 'Ο': 'O', 'Ρ': 'P', 'Τ': 'T', 'Υ': 'Y', 'Χ': 'X', 'ο': 'o', 'ν': 'v', 'ϲ': 'c', 'Ϲ': 'C', 'ϳ': 'j', 'ό': 'ó', 'Ϊ': 'Ï', 'Ϋ': 'Ÿ', chr(181): chr(956), chr(609): 'g', chr(8208): '-', chr(8209): '-',
+                'ﬀ': 'ff', 'ﬁ': 'fi', 'ﬂ': 'fl', 'ﬃ': 'ffi', 'ﬄ': 'ffl', 'ﬅ': 'st', 'ﬆ': 'st', 'Ĳ': 'IJ', 'ĳ': 'ij', 'Ǉ': 'LJ', 'ǈ': 'Lj', 'ǉ': 'lj', 'Ǌ': 'NJ', 'ǋ': 'Nj', 'ǌ': 'nj'} AS m)),
+        w AS (SELECT doc_id, text, nfc_normalize(array_to_string(k, '')) AS form FROM v)"""
+
 SQL: dict[str, str] = {
+    "p9_found": f"WITH {_FORM} SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text",
+    "p9_classes": f"WITH {_FORM} SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS form_id, min(doc_id) OVER (PARTITION BY form, text) AS copy_id, count(*) OVER (PARTITION BY form) - count(*) OVER (PARTITION BY form, text) AS n_links FROM w",
+    "p9_forms": f"WITH {_FORM} SELECT doc_id, CASE WHEN text = '' THEN '' ELSE form END AS canonical_text, md5(text) AS raw_key, md5(coalesce(form, text)) AS canonical_key FROM (SELECT d.doc_id, d.text, w.form FROM documents d LEFT JOIN w ON w.doc_id = d.doc_id)",
     "p6_found": """
         WITH t AS (SELECT 'evidence' AS origin, evidence_id AS record_id, content FROM evidence UNION ALL SELECT 'evidence_chunk', chunk_id, content FROM evidence_chunk)
         SELECT DISTINCT origin, record_id, CAST(list_max(list_transform(string_split(content, chr(10)), lambda l: length(rtrim(l, chr(13))))) > 6000 AS BIGINT) AS forced_cut

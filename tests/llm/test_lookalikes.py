@@ -45,7 +45,21 @@ def test_alike_and_apart():
 def test_pairs(spark):
     rows = [(1, "Full text"), (2, "Ｆull text"), (3, "Full text"), (4, "other"), (5, None), (6, ""), (7, "Full​ text"), (8, "y" * 200_000), (8, "y" * 200_000)]
     df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id bigint, text string, canonical_key string")
-    assert {tuple(r) for r in la.alike_pairs(df, "doc_id", "text").collect()} == {(1, 2), (1, 7), (2, 7)}
+    assert {tuple(r) for r in la.alike_pairs(df, "doc_id", "text").collect()} == {(1, 2), (2, 3), (1, 7), (2, 7), (3, 7)}
+    assert {tuple(r) for r in la.alike_pairs(df, "doc_id", "text", room=1).collect()} == {(1, 2), (2, 3), (1, 7), (2, 7), (3, 7)}
+    classes = {r.doc_id: (r.form_id, r.copy_id, r.n_links) for r in la.alike_classes(df, "doc_id", "text").collect()}
+    assert classes == {1: (1, 1, 2), 2: (1, 2, 3), 3: (1, 1, 2), 4: (4, 4, 0), 7: (1, 7, 3), 8: (8, 8, 0)}
     forms = {r.doc_id: r.canonical_text for r in la.canonical(df, "doc_id", "text").collect()}
     assert forms[2] == "Full text" and forms[5] is None and forms[6] == ""
-    assert la.alike_pairs(df.limit(0), "doc_id", "text").count() == 0
+    assert la.alike_pairs(df.limit(0), "doc_id", "text").count() == 0 and la.alike_classes(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_pairs_against_brute_force(spark):
+    texts = ["abc", "аbc", "a​bc", "abd", "ａbc", "abc", "", None, "​", "­", "abd"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    forms = {i: form(t) for i, t in enumerate(texts) if t}
+    want = {(i, j) for i in forms for j in forms if i < j and forms[i] == forms[j] and texts[i] != texts[j]}
+    for room in (1, 4, 1000):
+        assert {tuple(r) for r in la.alike_pairs(df, "doc_id", "text", room=room).collect()} == want
+    links = {r.doc_id: r.n_links for r in la.alike_classes(df, "doc_id", "text").collect()}
+    assert links == {i: sum(i in p for p in want) for i in forms}
