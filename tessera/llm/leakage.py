@@ -21,6 +21,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.lookalikes import mapping
+from tessera.session import stage
 
 LEAST = 3  # words of a segment
 GAP = 6  # most steps between two words of a passage: an altered word may have been a path
@@ -113,8 +115,8 @@ def placed_words(text: str) -> list[tuple[str, int, int]]:
 class SuffixAutomaton:
     """Generalised suffix automaton of word sequences.
 
-    ``ends[state]`` holds, for states of ``LEAST`` words and more, the places
-    (item, index of the last word) at which the state's passage ends."""
+    Every place (item, index of a word) is kept once; the ends of a state's
+    passage are a slice of them, so memory is linear in the items' words."""
 
     def __init__(self, items: dict[int, list[str]]) -> None:
         self.items = items
@@ -126,12 +128,27 @@ class SuffixAutomaton:
             for i, w in enumerate(seq):
                 last = self._extend(last, w, own)
                 own[last].append((item, i))
-        order = sorted(range(1, len(self.size)), key=lambda s: -self.size[s])
-        sets: list[set] = [set(o) for o in own]
-        for s in order:
-            if self.size[self.link[s]] >= LEAST:
-                sets[self.link[s]] |= sets[s]
-        self.ends = [tuple(x) for x in sets]
+        # places in the order of a walk over the suffix links: those of a state
+        # and of all states below it stand side by side
+        below: list[list[int]] = [[] for _ in self.size]
+        for state in range(1, len(self.size)):
+            below[self.link[state]].append(state)
+        self.places: list[tuple[int, int]] = []
+        self.first, self.after = [0] * len(self.size), [0] * len(self.size)
+        todo = [0]
+        while todo:
+            state = todo.pop()
+            if state < 0:
+                self.after[~state] = len(self.places)
+                continue
+            self.first[state] = len(self.places)
+            self.places += own[state]
+            todo.append(~state)
+            todo += below[state]
+
+    def ends(self, state: int) -> list[tuple[int, int]]:
+        """(item, index of the last word) of all ends of the state's passage."""
+        return self.places[self.first[state] : self.after[state]]
 
     def _extend(self, last: int, w: str, own: list) -> int:
         nxt, link, size = self.next, self.link, self.size
@@ -171,13 +188,13 @@ class SuffixAutomaton:
         """item -> (first word of the item, first word of the text, words) of
         the maximal matches of ``LEAST`` words and more."""
         out: dict[int, list] = defaultdict(list)
-        nxt, link, size, ends = self.next, self.link, self.size, self.ends
+        nxt, link, size = self.next, self.link, self.size
         state = length = 0
 
         def note(state: int, length: int, j: int) -> None:
             told: set = set()
             while state > 0 and length >= LEAST:
-                for item, i in ends[state]:
+                for item, i in self.ends(state):
                     if (item, i) not in told:
                         told.add((item, i))
                         out[item].append((i - length + 1, j - length + 1, length))
@@ -318,11 +335,13 @@ def all_leaks(automaton: SuffixAutomaton, seq: list[str], share: float = SHARE)
 _BUILT: dict = {}
 
 
-def _built(key: str, items: dict[int, list[str]]) -> SuffixAutomaton:
-    if key not in _BUILT:
+def _built(name: str, items: dict[int, list[str]]) -> SuffixAutomaton:
+    """The automaton of a block, kept by worker; ``name`` is that of the one
+    broadcast, never used again."""
+    if name not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = SuffixAutomaton(items)
-    return _BUILT[key]
+        _BUILT[name] = SuffixAutomaton(items)
+    return _BUILT[name]
 
 
 def item_blocks(items: DataFrame, key: str, text: str, block_words: int = BLOCK_WORDS) -> Iterator[dict[int, list[str]]]:
@@ -343,43 +362,50 @@ def item_blocks(items: DataFrame, key: str, text: str, block_words: int = BLOCK_
 
 
 def leaked(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, share: float = SHARE, *, spans: bool = False) -> DataFrame:
-    """(key, item_id, words) of every passage of an item in a document;
-    ``spans`` adds the characters of the passages, all that must go for none of
+    """(key, doc, item_id, words) of every passage of an item in a document, doc
+    a hash of the text; ``spans`` adds the characters of the passages, all that must go for none of
     the same block of items to remain."""
     spark = documents.sparkSession
-    source = documents.filter(F.length(text) > 0).select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
-    schema = pa.schema([(key, pa.int64()), ("item_id", pa.int64()), ("words", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
-    ddl = f"`{key}` bigint, item_id bigint, words bigint, `begin` bigint, `end` bigint"
-    out = None
-    for n, block in enumerate(item_blocks(items, item_key, item_text)):
-        sent = spark.sparkContext.broadcast(block)
-        name = f"{id(sent)}-{n}"
+    source = documents.filter(F.length(text) > 0).select(F.col(key).cast("bigint").alias("k"), F.xxhash64(text).alias("d"), F.col(text).alias("t"))
+    schema = pa.schema([(n, pa.int64()) for n in (key, "doc", "item_id", "words", "begin", "end")])
+    ddl = ", ".join(f"`{n}` bigint" for n in schema.names)
+    blocks = item_blocks(items, item_key, item_text)
+    out, block = None, next(blocks, None)
+    while block is not None:
+        following = next(blocks, None)
+        sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
             automaton = _built(name, sent.value)
             for b in batches:
                 rows = []
-                for k, t in zip(*(c.to_pylist() for c in b.columns)):
+                for k, d, t in zip(*(c.to_pylist() for c in b.columns)):
                     found = (all_leaks if spans else leaks)(automaton, words(t), share)
                     if found and spans:
                         placed = placed_words(t)
-                        rows += [(k, i, w, placed[x][1], placed[y][2]) for i, w, x, y in found]
+                        rows += [(k, d, i, w, placed[x][1], placed[y][2]) for i, w, x, y in found]
                     else:
-                        rows += [(k, i, w, None, None) for i, w, _, _ in found]
+                        rows += [(k, d, i, w, None, None) for i, w, _, _ in found]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
         part = source.mapInArrow(run, ddl)
+        if following is not None or out is not None:
+            # several blocks: each is done and let go before the next is sent
+            part = stage(part, "leaks")
+            sent.destroy()
         out = part if out is None else out.unionByName(part)
+        block = following
     return spark.createDataFrame([], ddl) if out is None else out
 
 
 def without_leaks(documents: DataFrame, key: str, text: str, found: DataFrame) -> DataFrame:
     """The documents' texts without the leaked passages (``found`` with spans).
-    Keys are those of one text each; a document without a key stays as it is."""
-    per = found.select(key, F.struct("begin", "end").alias("s")).distinct().groupBy(key).agg(F.array_sort(F.collect_set("s")).alias("spans"))
+    Passages belong to a key's text, so texts under one key or none don't mix."""
+    per = found.select(F.col(key).alias("_k"), F.col("doc").alias("_d"), F.struct("begin", "end").alias("s")).distinct().groupBy("_k", "_d").agg(F.array_sort(F.collect_set("s")).alias("spans"))
     cut = """aggregate(spans, struct(cast(0 as bigint) as at, cast('' as string) as done),
         (acc, s) -> if(s.end <= acc.at, acc, struct(s.end as at, concat(acc.done, substring(t, cast(acc.at + 1 as int), cast(greatest(s.begin - acc.at, 0) as int))) as done)),
         acc -> concat(acc.done, substring(t, cast(acc.at + 1 as int))))"""
-    rows = documents.select(F.col(key).cast("bigint").alias(key), F.col(text).alias("t"))
-    return rows.join(per, key, "left").select(key, F.coalesce(F.size("spans"), F.lit(0)).alias("n_removed"), F.when(F.col("spans").isNull(), F.col("t")).otherwise(F.expr(cut)).alias("clean_text"))
+    rows = documents.select(F.col(key).cast("bigint").alias(key), F.col(text).alias("t"), F.xxhash64(text).alias("d"))
+    joined = rows.join(per, F.col(key).eqNullSafe(F.col("_k")) & (F.col("d") == F.col("_d")), "left")
+    return joined.select(key, F.coalesce(F.size("spans"), F.lit(0)).alias("n_removed"), F.when(F.col("spans").isNull(), F.col("t")).otherwise(F.expr(cut)).alias("clean_text"))

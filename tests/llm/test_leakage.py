@@ -93,3 +93,27 @@ def test_blocks(spark):
     items = spark.createDataFrame([(i, " ".join(random.Random(i).choices(WORDS, k=20))) for i in range(7)], "item_id bigint, text string")
     blocks = list(leakage.item_blocks(items, "item_id", "text", 45))
     assert len(blocks) == 3 and sorted(k for b in blocks for k in b) == list(range(7))
+
+
+def test_calls_in_turn_keep_apart(spark):
+    # workers are reused: each call has its own automaton, whatever came before
+    words = [f"w{i}" for i in range(400)]
+    sets = [[(1, " ".join(words[:40]))], [(2, " ".join(words[100:140]))]]
+    documents = spark.createDataFrame([(10, "x " + sets[0][0][1]), (20, "y " + sets[1][0][1])], "doc_id bigint, text string")
+    frames = [spark.createDataFrame(s, "item_id bigint, text string") for s in sets]
+    for i in range(20):
+        got = {(r.doc_id, r.item_id) for r in leakage.leaked(documents, "doc_id", "text", frames[i % 2], "item_id", "text").collect()}
+        assert got == ({(10, 1)} if i % 2 == 0 else {(20, 2)}), i
+
+
+def test_memory_is_linear():
+    a = leakage.SuffixAutomaton({1: ["a", "b"] * 2000})
+    assert len(a.places) <= 2 * 4000
+
+
+def test_blocks(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    items = spark.createDataFrame([(i, " ".join(words[i * 40 : i * 40 + 40])) for i in range(10)], "item_id bigint, text string")
+    documents = spark.createDataFrame([(i, "z " + " ".join(words[i * 40 : i * 40 + 40])) for i in range(10)], "doc_id bigint, text string")
+    monkeypatch.setattr(leakage.item_blocks, "__defaults__", (100,))
+    assert {(r.doc_id, r.item_id) for r in leakage.leaked(documents, "doc_id", "text", items, "item_id", "text").collect()} == {(i, i) for i in range(10)}
