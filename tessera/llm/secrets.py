@@ -2,16 +2,20 @@
 
 1. *Index*: an Aho-Corasick automaton finds triggers (nouns such as password,
    address schemes, header schemes, known key prefixes); at each hit a small
-   matcher reads the literal that stands there. All literals of the corpus are
-   indexed with the owner (project) of their text.
+   matcher reads the literal that stands there, which is kept with the owner
+   (project) of its text. In the same pass every string of the corpus that is
+   shaped like a part of a literal (:func:`shapes`) is indexed by its text.
 2. *Suppress*: a literal that more than ``max_owners`` owners share, in as many
    different texts, is a placeholder, whatever it looks like; copies of one text
    count once. References, masks and words never enter.
 3. *Confirm*: what is left is rare; it is confirmed if its structure is that of
    a secret (:func:`strength`).
-4. *Re-scan*: automata of the confirmed literals, built in blocks of bounded
-   size, run over every text, so that a secret is also found where nothing
-   around it tells.
+4. *Re-scan*: each confirmed literal has an anchor, its longest shaped part; one
+   equality join of the anchors with the index gives the texts in which it may
+   stand, and automata of these literals run over these texts, so that a secret
+   is also found where nothing around it tells. What has no anchor goes through
+   automata over all texts, in blocks of bounded size. All of it is linear in
+   the corpus, and no list of values passes the driver but for the blocks.
 
 Defined results: null and empty texts give no rows; repeated rows give their
 lines once; a secret in parts is reported at its first part; texts are read
@@ -23,10 +27,12 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.session import stage
@@ -54,18 +60,17 @@ _MASK = re.compile(
     r"|\$\{|\{\{|\$\(|%\(|<[a-z]|>$"
 )
 _VARIABLE = re.compile(r"\$(?:[A-Z_][A-Z0-9_]*|[a-z_][a-z0-9_]*)")
-_CODE = re.compile(r"^[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*(?:[\[(].*)?$")
 _WORDS = re.compile(r"^(?:[A-Za-z]?[a-z]+|[A-Z]+)(?:[ _.\-/][A-Za-z]?[a-z]*)*$|^[A-Z]+(?:_[A-Z0-9]+)*$")
 _CAMEL = re.compile(r"(?:^[a-z]+|[A-Z][a-z]+)")
 _SHORT = frozenset("db my id io ui os to in is on no do of by at ok js ts py ip vm ci".split())
-_NAME = re.compile(r"[\w.\-]*$")
 _AFTER = re.compile(r"(\\?[\"']?)\]?[ \t]*(:=|=>|=|:)[ \t]*")
 _QUOTED = re.compile(r"[rbfu]{0,2}(\\?\"\"\"|'''|\\?[\"'`])")
 _BARE = re.compile(r"[^\s\"'`<>,;)\]}\\]+")
 _QUERY = re.compile(r"[^\s\"'`<>,;)\]}\\&]+")
 _XML = re.compile(r">([^<>\s][^<>\n]*)</")
 _ATTR = re.compile(r"\"\s+value=\"([^\"\n]*)\"")
-_REMARK = re.compile(r"[\w ,.()'\-]{0,48}[:=][ \t]*([^\s\"'`<>,;]{16,})[ \t]*\r?(?:\n|$)")
+_PROSE = re.compile(r"[\w ,.()'\-]*+")
+_REMARK = re.compile(r"[:=][ \t]*([^\s\"'`<>,;]{16,})[ \t]*\r?(?:\n|$)")
 _SPACE = re.compile(r"[ \t]+[\"']?([^\s\"']+)")
 _URL = re.compile(r"://[^\s:/@\"'`<>]*:([^\s@/\"'`<>]+)@[\w\[]")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>(?:[A-Za-z0-9+/=]|\\n|\\r|\s|[\"'+\\])*)(?:-----END [A-Z0-9 ]*-----)?")
@@ -80,6 +85,22 @@ _USER = re.compile(r"[\"']?[^\s:\"']+:([^\s\"']+)")
 #: What makes a short value beside it a part of something longer.
 _INNER, _INNER_AFTER = re.compile(r"[\w./$%+-]"), re.compile(r"[\w/$%+-]|\.\w")
 _B64 = re.compile(r"^[A-Za-z0-9+/]{8,}={0,2}$")
+#: Shapes of a literal's parts: whole runs of letters and digits that mix both or
+#: both cases, long runs of one case, letters and digits on both sides of a sign,
+#: letters before or after a sign that prose and code seldom have inside a word.
+_SHAPES = tuple(
+    map(
+        re.compile,
+        (
+            r"(?<![^\W_])[^\W_]*(?:\d[^\W\d_]|[^\W\d_]\d|[a-z][A-Z])[^\W_]*",
+            r"(?<![^\W_])[^\W\d_]{16,}(?![^\W_])",
+            r"(?<![^\W_])[^\W\d_]+(?:_|[^\w\s])\d{2,}(?![^\W_])",
+            r"(?<![^\W_])\d{2,}(?:_|[^\w\s])[^\W\d_]+(?![^\W_])",
+            r"(?<![^\W_])[^\W\d_]{3,}[!$%^&*?~#@+]",
+            r"[!$%^&*?~#@+][^\W\d_]{3,}+(?![^\W_])",
+        ),
+    )
+)
 
 
 def decoded(value: str) -> str | None:
@@ -128,6 +149,33 @@ def strength(value: str, *, quoted: bool, strong_name: bool) -> bool:
     return signs > 0 and letters > 3 or any(c.isupper() for c in value) and any(c.islower() for c in value) and len(value) >= 8
 
 
+def shapes(text: str) -> set[str]:
+    """The strings of ``text`` by which literals are indexed. What stands by
+    itself in a text has the same shapes there as alone: they are whole runs."""
+    return {m for p in _SHAPES for m in p.findall(text)}
+
+
+def anchor(value: str) -> int | None:
+    """The key of the longest shape of a literal; None if it has none."""
+    found = shapes(value)
+    return _hashed(max(found, key=lambda x: (len(x), x))) if found else None
+
+
+def _hashed(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def last_words(text: str, at: int, n: int = 3) -> str:
+    """The ``n`` words of the line before ``at``, with the space among them."""
+    begin = at
+    for _ in range(n):
+        while begin and text[begin - 1] in " \t":
+            begin -= 1
+        while begin and text[begin - 1] not in " \t\n":
+            begin -= 1
+    return text[begin:at]
+
+
 def _triggers() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for n in NOUNS:
@@ -185,6 +233,7 @@ class Finder:
     def find(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, value, kind), in order, no two overlapping."""
         got: list[tuple[int, int, str, str]] = []
+        self.run = self.prose = (0, 0)
         pem: list[tuple[int, int]] = []
         for last, (kind, size) in self.triggers.iter(_lower(text)):
             start, end = last + 1 - size, last + 1
@@ -242,11 +291,28 @@ class Finder:
             out.append(g)
         return out
 
+    def name_start(self, text: str, at: int) -> int:
+        """Where the name that runs up to ``at`` begins; a run is read once."""
+        first, last = self.run
+        begin = at
+        while begin > last and (text[begin - 1].isalnum() or text[begin - 1] in "_.-"):
+            begin -= 1
+        if first <= begin <= last:
+            begin = first
+        self.run = (begin, at)
+        return begin
+
+    def prose_end(self, text: str, at: int) -> int:
+        """Where the prose that runs on from ``at`` ends; a run is read once."""
+        if not self.prose[0] <= at < self.prose[1]:
+            self.prose = (at, _PROSE.match(text, at).end())
+        return self.prose[1]
+
     def noun(self, text: str, start: int, end: int, got: list) -> None:
         following = text[end : end + 1]
         if following.isalnum() or following in ("_", "-") and following:
             return
-        name = (_NAME.search(text, max(0, start - 48), start)[0] + text[start:end]).lower()
+        name = text[self.name_start(text, start) : end].lower()
         if "public" in name or "pub_key" in name:
             return
         noun = text[start:end].lower()
@@ -261,11 +327,11 @@ class Finder:
         else:
             m = _AFTER.match(text, end)
             if m:
-                found = self.value_at(text, m.end(), query=start > 0 and text[max(0, start - 60) : start].rpartition(" ")[2].find("?") >= 0)
+                found = self.value_at(text, m.end(), query=text.find("?", max(text.rfind(" ", 0, start), text.rfind("\n", 0, start), 0), start) >= 0)
             else:
                 m = _SPACE.match(text, end)
-                before = text[text.rfind("\n", 0, start) + 1 : start]
-                remark = _REMARK.match(text, end) if following in " ," else None
+                before = last_words(text, start) if m else ""
+                remark = _REMARK.match(text, self.prose_end(text, end)) if following in " ," else None
                 if remark and strength(remark[1], quoted=False, strong_name=False) and not re.match(r"\d{4}-\d\d-\d\d[T ]|\w+://", remark[1]):
                     got.append((remark.start(1), remark.end(1), remark[1], "remark"))
                     return
@@ -299,7 +365,9 @@ def texts(evidence: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def candidates(source: DataFrame) -> DataFrame:
-    """Literals with the structure of a secret, where they stand."""
+    """Literals with the structure of a secret, where they stand, and the index
+    (kind INDEX): by text the keys of its shaped strings, as ``begin``, with
+    the text's length as ``end``. One pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder()
@@ -312,6 +380,7 @@ def candidates(source: DataFrame) -> DataFrame:
                     line += t.count("\n", at, begin)
                     at = begin
                     rows.append((origin[i], record[i], ord_[i], owner[i], doc[i], line, begin, end, value, kind))
+                rows += [(None, None, None, None, doc[i], None, _hashed(x), len(t), None, "INDEX") for x in shapes(t)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CANDIDATE)], schema=_CANDIDATE)
 
@@ -319,82 +388,106 @@ def candidates(source: DataFrame) -> DataFrame:
 
 
 def confirmed(found: DataFrame, max_owners: int = 8) -> DataFrame:
-    """Values that no more than ``max_owners`` owners share in different texts.
-    They are counted after equal rows are made one map-side."""
-    rows = found.select("value", "kind", "owner", "doc").distinct()
+    """(value, owners, kind) of values that no more than ``max_owners`` owners
+    share in different texts. They are counted after equal rows are made one
+    map-side."""
+    rows = found.filter("kind <> 'INDEX'").select("value", "kind", "owner", "doc").distinct()
     shared = F.least(F.countDistinct("owner"), F.countDistinct("doc"))
     return rows.groupBy("value").agg(shared.alias("owners"), F.min("kind").alias("kind")).filter(F.col("owners") <= max_owners)
 
 
-_AUTOMATA: dict = {}
+def anchored(values: DataFrame) -> DataFrame:
+    """(value, anchor) of the values to look for again. Private keys have their
+    own mark wherever they stand, so they are left to the candidates."""
+    schema = pa.schema([("value", pa.string()), ("anchor", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([anchor(v) for v in b.column(0).to_pylist()], pa.int64())], schema=schema)
+
+    return values.filter("kind <> 'private key'").select("value").mapInArrow(run, "value string, anchor bigint")
+
+
+def _alone(text: str, begin: int, end: int, least: int) -> bool:
+    """Whether the value between stands by itself: one of ``least`` characters or
+    more isn't part of a longer word; a shorter one is a token, no part of a
+    name, path or number with signs."""
+    if end - begin < least:
+        return not (_INNER.match(text[begin - 1 : begin]) or _INNER_AFTER.match(text, end))
+    return not (begin and text[begin - 1].isalnum() and text[begin].isalnum() or end < len(text) and text[end].isalnum() and text[end - 1].isalnum())
+
+
+def places(text: str, automaton: ahocorasick.Automaton, least: int) -> list[tuple[int, int]]:
+    """(begin, end) of the automaton's values that stand by themselves, in order."""
+    return sorted((last + 1 - size, last + 1) for last, size in automaton.iter(text) if _alone(text, last + 1 - size, last + 1, least))
+
+
+def _built(values) -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for v in values:
+        a.add_word(v, len(v))
+    a.make_automaton()
+    return a
+
 
+_AUTOMATA: dict[str, ahocorasick.Automaton] = {}
 
-def _automaton(key: str, values: list[str], least: int) -> tuple[ahocorasick.Automaton | None, ...]:
-    """The automata of a block's values of ``least`` characters or more, and of
-    the shorter ones; one block a worker, the one before it is let go."""
-    if key not in _AUTOMATA:
+
+def _automaton(name: str, values: list[str]) -> ahocorasick.Automaton:
+    """A block's automaton; one a worker, the one before it is let go. ``name``
+    is that of the one broadcast, never used again."""
+    if name not in _AUTOMATA:
         _AUTOMATA.clear()
-        both = []
-        for part in ([v for v in values if len(v) >= least], [v for v in values if len(v) < least]):
-            a = ahocorasick.Automaton()
-            for v in part:
-                a.add_word(v, len(v))
-            if part:
-                a.make_automaton()
-            both.append(a if part else None)
-        _AUTOMATA[key] = tuple(both)
-    return _AUTOMATA[key]
-
-
-def _places(text: str, long: ahocorasick.Automaton | None, short: ahocorasick.Automaton | None) -> list[tuple[int, int]]:
-    """(begin, end) of the values that stand by themselves, in order: a long one
-    isn't part of a longer word; a short one is a token, no part of a name, path
-    or number with signs."""
-    got = []
-    for last, size in long.iter_long(text) if long else ():
-        begin, end = last + 1 - size, last + 1
-        if begin and (text[begin - 1].isalnum() and text[begin].isalnum()) or end < len(text) and text[end].isalnum() and text[end - 1].isalnum():
-            continue
-        got.append((begin, end))
-    for last, size in short.iter(text) if short else ():
-        begin, end = last + 1 - size, last + 1
-        if not (_INNER.match(text[begin - 1 : begin]) or _INNER_AFTER.match(text, end)):
-            got.append((begin, end))
-    return sorted(got)
-
-
-def rescan(source: DataFrame, values: DataFrame, *, block: int = 100_000, least: int = 10) -> DataFrame | None:
+        _AUTOMATA[name] = _built(values)
+    return _AUTOMATA[name]
+
+
+_KEYS = ("origin", "record_id", "file_ord", "owner", "doc")
+
+
+def _scanned(source: DataFrame, automaton_of, least: int) -> DataFrame:
+    """Rows of the candidates' form of the values in each row's text.
+    ``automaton_of`` gives the automaton of a row's last column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for *keys, t, values in zip(*(c.to_pylist() for c in b.columns)):
+                line, at = 1, 0
+                for begin, end in places(t, automaton_of(values), least):
+                    line += t.count("\n", at, begin)
+                    at = begin
+                    rows.append((*keys, line, begin, end, t[begin:end], "rescan"))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CANDIDATE)], schema=_CANDIDATE)
+
+    return source.mapInArrow(run, CANDIDATE_DDL)
+
+
+def rescan(source: DataFrame, index: DataFrame, values: DataFrame, *, least: int = 10, group: int = 1000, block: int = 100_000) -> DataFrame:
     """Every place where a confirmed value stands by itself, as rows of the
     candidates' form; one of under ``least`` characters has to be a token.
-    Private keys have their own mark wherever they stand, so they are left to
-    the candidates. At most ``block`` values (a few MB) are sent to the
-    executors at once; more take more passes."""
-    kept = values.filter(F.col("kind") != "private key").select("value")
-    n = kept.count()
-    out = None
-    passes = max(1, -(-n // block))
-    for i in range(passes if n else 0):
-        part = kept if passes == 1 else kept.filter(F.pmod(F.xxhash64("value"), F.lit(passes)) == i)
-        words = [r[0] for r in part.toLocalIterator()]
-        sent = source.sparkSession.sparkContext.broadcast(words)
-        key = f"{id(sent)}-{i}-{n}"
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
-            long, short = _automaton(key, sent.value, least)
-            for b in batches:
-                rows = []
-                origin, record, ord_, owner, doc, text = (c.to_pylist() for c in b.columns)
-                for j, t in enumerate(text):
-                    line, at = 1, 0
-                    for begin, end in _places(t, long, short):
-                        line += t.count("\n", at, begin)
-                        at = begin
-                        rows.append((origin[j], record[j], ord_[j], owner[j], doc[j], line, begin, end, t[begin:end], "rescan"))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CANDIDATE)], schema=_CANDIDATE)
-
-        found = source.select("origin", "record_id", "file_ord", "owner", "doc", "text").mapInArrow(run, CANDIDATE_DDL)
-        out = found if out is None else out.unionByName(found)
+
+    The anchors' join with the index gives each text its values; at most
+    ``group`` of them make one automaton, more of them make more rows. Values
+    without an anchor are sent in blocks of ``block``, one after the other."""
+    anchors = stage(anchored(values), "secret-anchors")
+    keys = index.select("doc", F.col("begin").alias("anchor"), F.col("end").alias("size"))
+    hits = keys.join(anchors.filter("anchor is not null"), "anchor").select("doc", "size", "value", F.pmod(F.xxhash64("value"), F.lit(1 << 20)).alias("h")).distinct()
+    # a text's values by the thousand: few texts have more than one group
+    many = hits.groupBy("doc", "size").agg(F.ceil(F.count("*") / F.lit(group)).alias("groups"))
+    lists = hits.join(many, ["doc", "size"]).groupBy("doc", "size", F.pmod("h", "groups").alias("g")).agg(F.collect_list("value").alias("values")).drop("g")
+    lists = stage(lists, "secret-hits")
+    texts_ = source.withColumn("size", F.length("text").cast("bigint"))
+    out = _scanned(texts_.join(lists, ["doc", "size"]).select(*_KEYS, "text", "values"), _built, least)
+    rest = anchors.filter("anchor is null").select("value")
+    passes = -(-rest.count() // block)
+    for i in range(passes):
+        part = rest if passes == 1 else rest.filter(F.pmod(F.xxhash64("value"), F.lit(passes)) == i)
+        sent, name = source.sparkSession.sparkContext.broadcast([r[0] for r in part.toLocalIterator()]), uuid.uuid4().hex
+        found = _scanned(source.select(*_KEYS, "text", F.lit(None).cast("string").alias("values")), lambda _, sent=sent, name=name: _automaton(name, sent.value), least)
+        out = out.unionByName(stage(found, "secret-rest"))
+        sent.destroy()
     return out
 
 
@@ -402,9 +495,8 @@ def secret_spans(source: DataFrame, max_owners: int = 8) -> DataFrame:
     """All confirmed secrets of the texts, with line and characters."""
     found = stage(candidates(source), "secret-candidates")
     values = stage(confirmed(found, max_owners), "secret-values")
-    sure = found.join(values.select("value"), "value", "left_semi").select(*_CANDIDATE.names)
-    again = rescan(source, values)
-    return sure if again is None else sure.unionByName(again)
+    sure = found.filter("kind <> 'INDEX'").join(values.select("value"), "value", "left_semi").select(*_CANDIDATE.names)
+    return sure.unionByName(rescan(source, found.filter("kind = 'INDEX'"), values))
 
 
 def redacted(source: DataFrame, spans: DataFrame) -> DataFrame:

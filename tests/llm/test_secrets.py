@@ -1,4 +1,5 @@
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import secrets
@@ -61,12 +62,45 @@ def test_corpus(spark):
     assert out[("s1", 0)].redacted_text == f"token: {shared}\n# 1" and out[("c3", 0)].redacted_text == "api_key = 'REDACTED'" and len(out) == 28
 
 
-def test_blocks_find_the_same(spark):
-    vals = [f"aB{i}xY9{i}kLmNop{i}Q" for i in range(9)]
-    src = secrets.texts(evidence(spark, [(f"e{i}", "p", f"see {v}.") for i, v in enumerate(vals)]), requests(spark, []))
+def again(spark, src, vals, **kw):
     values = spark.createDataFrame([(v, "assigned") for v in vals], "value string, kind string")
-    want = {f"e{i}" for i in range(9)}
-    assert {r.record_id for r in secrets.rescan(src, values).collect()} == want == {r.record_id for r in secrets.rescan(src, values, block=2).collect()}
+    return {r.record_id for r in secrets.rescan(src, secrets.candidates(src).filter("kind = 'INDEX'"), values, **kw).collect()}
+
+
+def test_blocks_and_groups_find_the_same(spark):
+    vals = [f"aB{i}xY9{i}kLmNop{i}Q" for i in range(9)] + [f"{w}-,-{w}" for w in ("ab", "cd", "ef")]  # the latter have no anchor
+    src = secrets.texts(evidence(spark, [(f"e{i}", "p", f"see {v}.") for i, v in enumerate(vals)] + [("all", "p", " ".join(vals))]), requests(spark, []))
+    want = {f"e{i}" for i in range(12)} | {"all"}
+    assert [secrets.anchor(v) for v in vals[9:]] == [None] * 3
+    assert again(spark, src, vals) == want == again(spark, src, vals, block=2) == again(spark, src, vals, group=2)
+
+
+def test_calls_in_turn_keep_apart(spark):
+    # workers are reused: each call has its own automaton, whatever came before
+    src = secrets.texts(evidence(spark, [("a", "p", "see ab-,-ab."), ("b", "p", "see cd-,-cd.")]), requests(spark, []))
+    for i in range(20):
+        assert again(spark, src, ["ab-,-ab"] if i % 2 else ["cd-,-cd"]) == ({"a"} if i % 2 else {"b"}), i
+
+
+PART = st.text("aB1zQ9xé_-!$./%", min_size=1, max_size=6)
+
+
+@settings(max_examples=500, deadline=None)
+@given(PART, st.text("aB1zQ9_-!$./%", min_size=3, max_size=24), PART)
+def test_a_value_by_itself_has_its_shapes_in_the_text(before, value, after):
+    text = before + value + after
+    for begin in (k for k in range(len(text)) if text.startswith(value, k)):
+        if secrets._alone(text, begin, begin + len(value), 10):
+            found = secrets.shapes(value)
+            if found:
+                assert max(found, key=lambda x: (len(x), x)) in secrets.shapes(text), (text, value)
+
+
+def test_long_names_and_remarks():
+    long = "very_" * 30
+    assert len(Finder().find(f"{long}password = 'aSDC6PAgUmjQ'")) == 1
+    assert Finder().find(f"public_{long}key = 'aSDC6PAgUmjQ23456'") == []
+    assert len(Finder().find("# the token of the importer that runs at night on the old machine, to be removed soon: 8BkVZhAwg0QJPE3oIGBYnlAqOUFS3Ytz")) == 1
 
 
 def test_empty(spark):
