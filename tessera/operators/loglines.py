@@ -2,8 +2,10 @@
 
 The lexer turns the head of a line into token classes. A weighted context-free
 grammar describes headers, fields and continuations; an Earley parser keeps the
-highest-scoring derivation. Chart prefixes are kept in a trie keyed by token
-class, so that a line whose header was seen before costs one lookup a token.
+highest-scoring derivation of each line: an entry's header or a continuation of
+the entry before it. Charts of the first ``SHARED`` tokens are kept in a trie keyed by
+token class, so that a line whose header was seen before costs one lookup a
+token; the trie is begun anew beyond ``MOST`` nodes, so memory has a bound.
 The message isn't lexed (apart from JSON and key=value lines, whose fields may
 stand anywhere): once only the message can follow, parsing ends.
 
@@ -88,8 +90,13 @@ _LEX_BY, _LEX_OTHER = _lexers(), re.compile(r"(?P<P>[^\w\s])").match
 _CONTROL = re.compile(r"\x1b\[[0-9;?]*[ -/]*[@-~]|\x1b\][^\x07]*\x07|\x1b[@-Z\\-_]|[\x00-\x08\x0b-\x1f\x7f]")
 
 #: Weighted rules: left side, right side, weight. Upper-case words and single
-#: signs are token classes; a rule whose left side starts with @ is a field.
+#: signs are token classes; a rule whose left side starts with @ is a field. A
+#: line is a header or continues the entry before it: the rule of no token says
+#: that any line may, those of an indent and of a cause that such lines rather do.
 GRAMMAR = """
+LINE = S 0 | CONTINUED 0
+CONTINUED = @more 0
+@more = 0 | WS 1 | NAME WS NAME : 1
 S = PYTHON 9 | PIPE 9 | NGINX 9 | BRACKETED 8 | JUL 8 | LOGCAT 9 | GLOGLINE 9 | SYSLOG 7 | EPOCHLINE 8 | CLOCK 7 | ACCESS 8 | BARE 4 | COLON 3 | JSON 8 | LOGFMT 6
 @when = ISO 2 | DATE WS TIME 2 | DATE WS TIME WS ZONE 3 | SDATE WS TIME 2 | MDATE WS TIME 2 | MMDD WS TIME 2 | CLF 3 | EPOCH 2
 @clock = TIME 1
@@ -116,7 +123,7 @@ BARE = [ @ulevel ] 1
 @ulevel = ULEVEL 1
 COLON = @ulevel : WS 1
 JSON = { PAIRS } 1 | { PAIRS } WS 1
-PAIRS = PAIR 0 | PAIR COMMA PAIRS 0
+PAIRS = PAIR 0 | PAIRS COMMA PAIR 0
 COMMA = , 0 | , WS 0
 PAIR = JTIME SEP @jtime 3 | JLEVEL SEP @jlevel 3 | JCOMP SEP @jcomp 2 | STR SEP VALUE 0 | JLEVEL SEP ODD 0 | JTIME SEP ODD 0 | JCOMP SEP ODD 0
 SEP = : 0 | : WS 0
@@ -127,9 +134,9 @@ ODD = OBJECT 0 | ARRAY 0 | NAME 0
 VALUE = STR 0 | NUM 0 | NAME 0 | OBJECT 0 | ARRAY 0
 OBJECT = { PAIRS } 0 | { } 0
 ARRAY = [ ] 0 | [ VALUES ] 0
-VALUES = VALUE 0 | VALUE COMMA VALUES 0
+VALUES = VALUE 0 | VALUES COMMA VALUE 0
 LOGFMT = FIELD WS FIELD 1 | FIELD WS FIELD WS FIELDS 1
-FIELDS = FIELD 0 | FIELD WS FIELDS 0
+FIELDS = FIELD 0 | FIELDS WS FIELD 0
 FIELD = KTIME @ltime 3 | KLEVEL @llevel 3 | KCOMP @lcomp 2 | KEY FREE 0
 @ltime = STR 0 | ISO 0 | NUM 0 | EPOCH 0
 @llevel = LLEVEL 0 | ULEVEL 0 | STR 0 | NAME 0
@@ -160,26 +167,32 @@ def read_grammar(text: str) -> tuple[list[tuple[str, tuple[str, ...], float]], d
     return rules, by
 
 
+#: Tokens of a line whose charts are shared, and the most nodes of the trie.
+SHARED, MOST = 40, 100_000
+
+
 class EarleyTrie:
     """Earley charts of token-class prefixes, shared in a trie.
 
-    A node holds one Earley set and a link to each next token class. Items are
-    (rule, dot, origin) with the best score and the fields found so far.
+    A node holds its own Earley set and a link to each next token class; the
+    sets before it are those on the way from the root. Items are (rule, dot,
+    origin) with the best score and the fields found so far.
     """
 
-    __slots__ = ("rules", "by", "root")
+    __slots__ = ("rules", "by", "start", "root", "nodes")
 
     class Node:
-        __slots__ = ("sets", "next", "accept", "open")
+        __slots__ = ("items", "next", "accept", "open")
 
-        def __init__(self, sets, accept, open_):
-            self.sets, self.next, self.accept, self.open = sets, {}, accept, open_
+        def __init__(self, items, accept, open_):
+            self.items, self.next, self.accept, self.open = items, {}, accept, open_
 
     def __init__(self, grammar: str = GRAMMAR) -> None:
         self.rules, self.by = read_grammar(grammar)
+        self.start = self.rules[0][0]
         first: dict = {}
-        self._close(first, [], [(r, 0, 0, 0.0, ()) for r in self.by["S"]])
-        self.root = self._node([first])
+        self._close(first, [], [(r, 0, 0, 0.0, ()) for r in self.by[self.start]])
+        self.nodes, self.root = 0, self._node(first)
 
     def _close(self, items: dict, sets: list, todo: list) -> None:
         """Predictions and completions of one set; a better score is passed on."""
@@ -204,27 +217,36 @@ class EarleyTrie:
                 if d < len(rhs) and rhs[d] == left:
                     todo.append((r, d + 1, o, s + total, f + found))
 
-    def _node(self, sets: list) -> EarleyTrie.Node:
+    def _node(self, items: dict) -> EarleyTrie.Node:
         accept, open_ = None, False
-        for (r, d, o), (score, fields) in sets[-1].items():
+        for (r, d, o), (score, fields) in items.items():
             left, right, weight = self.rules[r]
             if d < len(right):
                 open_ = True
-            elif left == "S" and o == 0 and (accept is None or score + weight > accept[0]):
+            elif left == self.start and o == 0 and (accept is None or score + weight > accept[0]):
                 accept = (score + weight, fields)
-        return self.Node(sets, accept, open_)
+        return self.Node(items, accept, open_)
 
-    def step(self, node: EarleyTrie.Node, token: str) -> EarleyTrie.Node | None:
-        """The node after one more token; None if no item can scan it."""
+    def step(self, node: EarleyTrie.Node, token: str, sets: list) -> EarleyTrie.Node | None:
+        """The node after one more token; None if no item can scan it. ``sets``
+        are those from the root to ``node``."""
         items: dict = {}
-        todo = [(r, d + 1, o, s, f) for (r, d, o), (s, f) in node.sets[-1].items() if d < len(self.rules[r][1]) and self.rules[r][1][d] == token]
-        self._close(items, node.sets, todo)
-        after = node.next[token] = self._node([*node.sets, items]) if items else None
+        todo = [(r, d + 1, o, s, f) for (r, d, o), (s, f) in node.items.items() if d < len(self.rules[r][1]) and self.rules[r][1][d] == token]
+        self._close(items, sets, todo)
+        after = self._node(items) if items else None
+        if len(sets) <= SHARED:
+            node.next[token] = after
+            self.nodes += 1
         return after
 
     def parse(self, line: str) -> tuple[float, tuple, list] | None:
-        """Best header of ``line``: score, fields as token spans, tokens."""
-        node, tokens, best, at, size, by = self.root, [], None, 0, len(line), _LEX_BY
+        """Best derivation of ``line``: score, fields as token spans, tokens;
+        later ones go before earlier ones of the same score."""
+        if self.nodes > MOST:
+            self.root.next.clear()
+            self.nodes = 0
+        node, tokens, at, size, by = self.root, [], 0, len(line), _LEX_BY
+        best, sets = node.accept, [node.items]
         while at < size:
             m = by.get(line[at], _LEX_OTHER)(line, at)
             if m is None:
@@ -234,12 +256,13 @@ class EarleyTrie:
                 kind = line[at]
             after = node.next.get(kind, 0)
             if after == 0:
-                after = self.step(node, kind)
+                after = self.step(node, kind, sets)
             if after is None:
                 break
             end = m.end()
             tokens.append((at, end))
             node, at = after, end
+            sets.append(node.items)
             if node.accept is not None and (best is None or node.accept[0] >= best[0]):
                 best = node.accept
             if not node.open:
@@ -296,7 +319,7 @@ def header(trie: EarleyTrie, line: str, seen: datetime | None) -> tuple[str, str
     """(timestamp, level, component, end of the header), or None where the line
     isn't laid out by a logging program."""
     got = trie.parse(line)
-    if got is None:
+    if got is None or got[1] and got[1][0][0] == "more":
         return None
     ts = level = comp = ""
     stamped = leveled = False
@@ -327,8 +350,9 @@ _ARROW = pa.schema([("record_id", pa.string()), ("first_line", pa.int64()), ("la
 
 def _starts(trie: EarleyTrie) -> frozenset[str]:
     """First characters that a header can have: those of the token classes and
-    signs with which a derivation may begin; others are no layout's."""
-    first = {right[d] for r, d, _ in trie.root.sets[-1] if d < len(right := trie.rules[r][1])}
+    signs with which a derivation may begin; others are no layout's, nor is an
+    indent, with which only continuations begin."""
+    first = {right[d] for r, d, _ in trie.root.items if d < len(right := trie.rules[r][1])} - {"WS"}
     return frozenset(c for c, match in _LEX_BY.items() if first & match.__self__.groupindex.keys()) | {t for t in first if len(t) == 1 and not t.isalnum()}
 
 

@@ -70,10 +70,11 @@ def test_earley_against_all_derivations():
         return out
 
     for n in range(1, 5):
-        trie, node = EarleyTrie(grammar), None
-        node = trie.root
+        trie = EarleyTrie(grammar)
+        node, sets = trie.root, [trie.root.items]
         for _ in range(n):
-            node = trie.step(node, "x") if node else None
+            node = trie.step(node, "x", sets) if node else None
+            sets.append(node.items if node else {})
         all_ = every("S", n)
         assert (max(all_) if all_ else None) == (node.accept[0] if node and node.accept else None), n
 
@@ -118,3 +119,29 @@ def test_messages_of_every_origin(spark):
     logs = spark.createDataFrame([("e", "log", "INFO: three", at), ("f", "code", "INFO: four", at)], "evidence_id string, evidence_type string, content string, collected_at timestamp")
     got = {(r.origin, r.record_id, r.first_line, r.last_line, r.message, r.unparsed) for r in entry_messages(logs, runs).collect()}
     assert got == {("stdout", "1", 1, 2, "one\nmore", False), ("stderr", "1", 1, 1, "lead", True), ("stderr", "1", 2, 2, "two", False), ("evidence", "e", 1, 1, "three", False)}
+
+
+def test_continuations_are_rules():
+    trie = EarleyTrie()
+    for line in ("    at a.b.C(D.java:5)", "Caused by: x.Y: z", "plain text", "  2026-04-24 19:07:29,692 - a - ERROR - m"):
+        assert trie.parse(line)[1][0][0] == "more" and header(trie, line, SEEN) is None, line
+    assert trie.parse("2026-04-24 19:07:29,692 - a - ERROR - m")[1][0][0] == "when"
+
+
+def test_memory_has_a_bound(monkeypatch):
+    from tessera.operators import loglines
+
+    monkeypatch.setattr(loglines, "MOST", 50)
+    trie = EarleyTrie()
+    for line, want in LINES * 3:
+        assert header(trie, line, SEEN)[:3] == want
+    assert trie.nodes <= 50 + loglines.SHARED
+    long = "{" + ", ".join(f'"k{i}": {i}' for i in range(20_000)) + ', "level": "error", "ts": "2026-04-24T19:11:01Z"}'
+    assert header(trie, long, SEEN)[:3] == ("2026-04-24 19:11:01", "ERROR", "")
+    assert trie.nodes <= 50 + 2 * loglines.SHARED
+
+
+def test_any_key_first():
+    trie = EarleyTrie()
+    for line in ("pid=3 level=info time=2026-04-24T19:11:01Z", "request_id=9 level=error ts=2026-04-24T19:11:01Z", "host=web1 lvl=warn time=2026-04-24T19:11:01Z"):
+        assert entries(trie, "r", line, SEEN, False)[0][3] == "2026-04-24 19:11:01", line
