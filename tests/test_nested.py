@@ -1,5 +1,7 @@
 import json
 
+from hypothesis import given, settings, strategies as st
+
 from tessera.operators import nested
 
 DOC = {"project": "p", "files": [{"file_path": "a.py", "classes": [{"name": "C", "line": "3", "methods": {"name": "m", "line": 4, "calls": [{"target": "f", "line": 5}, None]}}, None], "functions": [{"name": "f", "line": 9, "calls": {"target": "C.m"}}], "routes": [{"method": "GET", "path": "/x", "line": 8}], "imports": {"module": "os", "line": 1}, "x_new": {"seen": 1}}]}
@@ -67,3 +69,68 @@ def test_calls_of_files_go_through_the_automaton(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 5
     keys = flat.filter("subtype = 'call'").select("record_id", "node_id", "parent_id", "variant").collect()
     assert len({(r.record_id, r.node_id) for r in keys}) == 6 and {r.parent_id for r in keys} == {"$"} and all(r.variant.startswith("call{") for r in keys)
+
+
+def test_elements_of_other_kinds(spark):
+    doc = {"files": [{"file_path": "a.py", "imports": ["os", 7, None, ["re", [{"module": "ast"}]]], "calls": ["g"], "functions": {"f": {"line": 3, "calls": "h"}, "k": {"line": 4}}, "classes": {"name": "C", "bases": "B"}}]}
+    df = spark.createDataFrame([(1, json.dumps(doc))], "artifact_id bigint, symbols string")
+    got = {(r.child_kind, r.parent_name, r.child_name, r.line_no) for r in nested.child_rows(nested.flatten_json(df, "artifact_id", "symbols"), "o").collect()}
+    assert got == {("import", "a.py", n, 0) for n in ("os", "7", "re", "ast")} | {("call", "a.py", "g", 0), ("function", "a.py", "f", 3), ("function", "a.py", "k", 4), ("call", "f", "h", 0), ("class", "a.py", "C", 0)}
+
+
+def test_any_depth(spark):
+    deep = '{"a":' * 10_000 + json.dumps(DOC) + "}" * 10_000
+    broken = "[" * 10_000 + "]" * 9_999 + "}"
+    calls = '{"calls":[{"target":"f"}],"body":' * 3_000 + "1" + "}" * 3_000
+    df = spark.createDataFrame([(1, deep, "n"), (2, broken, "n"), (3, calls, "n")], "k bigint, j string, n string")
+    got = nested.flatten_json(df, "k", "j").groupBy("record_id", "subtype").count().collect()
+    by = {(r.record_id, r.subtype): r["count"] for r in got}
+    assert by[("1", "method")] == by[("1", "file")] == 1 and by[("1", "call")] == 2 and by[("2", "unparsed")] == 1
+    assert nested.flatten_json(df.filter("k = 3"), "k", "j", "n").filter("subtype = 'call'").count() == 3_000
+
+
+def test_states_are_bounded():
+    a = nested.TreeAutomaton()
+    sizes = []
+    for n in range(2000):
+        a.states({"files": {f"src/m{n}.py": {"functions": [{"name": "f", "line": n}], f"x{n}": n}, f"lib/m{n}.py": {"calls": []}}, f"k{n}": [n]})
+        sizes.append(len(a.names))
+    assert sizes[0] == sizes[-1] < 12
+
+
+def test_typed_tables(spark):
+    df = spark.createDataFrame([(1, json.dumps(DOC))], "artifact_id bigint, symbols string")
+    tables = nested.subtype_tables(nested.flatten_json(df, "artifact_id", "symbols"))
+    assert set(tables) == set(nested.TYPED)
+    m = tables["method"].first()
+    c = tables["class"].first()
+    assert m.class_name == "C" and m.parent_id == c.node_id and m.name == "m" and "bases" not in m.asDict() and c.line == 3
+    r = tables["route"].first()
+    assert (r.method, r.path) == ("GET", "/x") and tables["import"].first().name == "os" and tables["unparsed"].count() == 0
+
+
+JSON = st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=5), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(max_size=4), x, max_size=4), max_leaves=20)
+
+
+@settings(max_examples=300, deadline=None)
+@given(JSON, st.booleans())
+def test_deep_reader_and_writer(value, spaced):
+    text = json.dumps(value, indent=1 if spaced else None)
+    assert nested._deep(text) == value
+    for cut in range(0, len(text), max(1, len(text) // 5)):
+        try:
+            want = json.loads(text[:cut])
+        except ValueError:
+            want = ValueError
+        try:
+            got = nested._deep(text[:cut])
+        except ValueError:
+            got = ValueError
+        assert got == want, text[:cut]
+
+
+def test_deep_writer():
+    deep = [1]
+    for _ in range(20_000):
+        deep = [deep, {"k": "é"}]
+    assert nested._dumps(deep).startswith("[" * 20_001 + "1]") and nested._dumps({"a": [{}, []]}) == '{"a":[{},[]]}'
