@@ -1,16 +1,18 @@
 """Personal information in free text: find it and put typed placeholders.
 
-Structured entities (mail and telephone, identity numbers, street addresses,
-titled names) are read by their forms. For names the corpus itself is the
-measure: for every capitalised term, how often does it stand with a structured
-entity, and how often at all? The information that a term gives about a
-protected entity, log2 of the rate on its lines against the rate on all lines,
-is its disclosure. Spans of capitalised terms of which one discloses more than the
-share ``threshold`` of the most that a term can disclose are names; those of code names, places and products stay
-below, as nothing personal stands near them.
-
-Statistics cover all lines of the input; they are summed per batch before any
-shuffle, and spans are made distinct before they are joined with them.
+Mail and street addresses, telephone numbers, titled names and numbers whose
+form or whose line names them are read by their forms. For all else the corpus
+is the measure: for every capitalised term, and every shape that an identity
+number may have, on how many lines does it stand at all, and on how many with a
+protected entity (or a word for identity numbers)? The information that it gives
+about a protected entity, log2 of the rate on its lines against the rate on all
+lines, is its disclosure. Spans of capitalised terms of which one discloses more
+than the share ``threshold`` of the most that a term can disclose are names, and
+numbers of a shape that does are identity numbers; code names, places, products
+and order numbers stay below, as nothing personal stands near them.
+
+Statistics cover every term of every line of the input; they are summed per batch
+before any shuffle, and spans are made distinct before they are joined with them.
 
 Defined results: null and empty texts give no rows; several entities of a type
 on a line give one row of p4_found; repeated rows give their lines once; a
@@ -46,14 +48,18 @@ MAILTO = re.compile(r"mailto:([A-Za-z0-9][\w.+%-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{
 ID_NUMBER = re.compile(
     rf"(?i:\b(?:{_ID_WORDS}))\s*(?:[:#=]\s*|is\s+)?(?=[A-Z0-9 .\-]*\d)[A-Z0-9]{{1,4}}(?:[ .\-]?[A-Z0-9]+)*?(?=[^A-Za-z0-9 .\-]|[ .\-]+(?![A-Z]?\d|[A-Z]\b)|$)"
     r"|(?<![\w.\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
-    r"|(?<![\w.\-])QQ ?\d\d ?\d\d ?\d\d ?[A-D](?!\w)"
-    r"|(?<![\w.\-])DL-\d{3}-\d{5}(?!\w)"
-    r"|(?<![\w.:\-])(?<!\d,)00 \d{3} \d{3} \d{3}(?![\w\-])"
-    r"|(?<![\w.\-])\d{6}-\d{4}(?![\w\-])"
-    r"|(?<![\w.\-/])(?:00\d{6}|[XYZ]\d{7})-?[A-Z](?!\w)"
-    r"|(?<![\w.\-/])XZ?\d{7}(?!\w)"
-    r"|(?<![\w.\-/])L0\d{6,7}[A-Z]?(?!\w)"
+    r"|(?<![\w.\-])[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D](?!\w)"
 )
+#: Shapes that identity numbers share with other numbers: by disclosure.
+SHAPES = {
+    "#two threes": re.compile(r"(?<![\w.:\-])(?<!\d,)\d{2} \d{3} \d{3} \d{3}(?![\w\-])"),
+    "#six four": re.compile(r"(?<![\w.\-])\d{6}-\d{4}(?![\w\-])"),
+    "#eight letter": re.compile(r"(?<![\w.\-/])\d{8}-?[A-Z](?!\w)"),
+    "#letter seven letter": re.compile(r"(?<![\w.\-/])[XYZ]\d{7}-?[A-Z](?!\w)"),
+    "#letters digits": re.compile(r"(?<![\w.\-/])[A-Z]{1,2}\d{7,8}[A-Z]?(?!\w)"),
+    "#letters three five": re.compile(r"(?<![\w.\-])[A-Z]{1,2}-\d{3}-\d{5}(?!\w)"),
+}
+_ID_WORD = re.compile(rf"(?i:\b(?:{_ID_WORDS})\b)")
 PHONE = re.compile(
     r"(?<![\w.\-])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d(?:[ .\-/]?\d){5,13}(?:,?\s?(?:ext\.?|extension|x|Durchwahl)\s?\d{1,5})?(?![\w])"
     r"|(?<![\w.\-])00\d{2} ?(?:\(0\) ?)?\d(?:[ \-]?\d){6,11}(?![\w\-])"
@@ -80,7 +86,7 @@ TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 ALL = frozenset(("mail", "number", "street", "title", "pair"))
 #: Shapes of identity and telephone numbers; what has none of them needs no closer look.
 _NUMBER_HINT = re.compile(
-    r"\d{3}-\d\d-\d{4}|QQ ?\d|DL-\d|(?<!\d)00 \d{3} |\d{6}-\d{4}|[XYZ]Z?\d{7}|L0\d{6}|(?<!\d)00\d{6}|\+(?!\d\d:?\d\d(?:[\]\"}]| \|))\d|(?<![\w.])00\d\d ?\(?\d"
+    r"\d{3}-\d\d-\d{4}|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]|[A-Z]-\d{3}-\d{5}|\d\d \d{3} \d{3} \d{3}|\d{6}-\d{4}|[A-Z]\d{7}|\d{8}-?[A-Z]|\+(?!\d\d:?\d\d(?:[\]\"}]| \|))\d|(?<![\w.])00\d\d ?\(?\d"
     r"|(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}|(?<!\d)0\d{1,4}(?:/\d{5}|(?:[ \-]\d\d){4}|[ \-]\d{3,4}[ \-]\d{3})"
 )
 _PAIR_HINT = re.compile(r"[^\W\d_a-z][\w'’\-]+,? (?:[A-Z]\.? )?[^\W\d_a-z]")
@@ -148,8 +154,9 @@ def hinted(automaton: ahocorasick.Automaton, text: str) -> list[tuple[int, int,
 
 
 def structured(line: str, kinds: frozenset = ALL) -> list[tuple[int, int, str]]:
-    """(begin, end, type) of the entities that their form gives away; ``kinds``
-    says what the line may hold."""
+    """(begin, end, type) of the entities that their form gives away, and of the
+    numbers that only the corpus can judge, their shape as type; ``kinds`` says
+    what the line may hold."""
     out: list[tuple[int, int, str]] = []
 
     def add(m: re.Match, kind: str, group: int = 0) -> None:
@@ -165,7 +172,9 @@ def structured(line: str, kinds: frozenset = ALL) -> list[tuple[int, int, str]]:
             if "://" not in before and not m[0].startswith("git@"):
                 add(m, "EMAIL")
     if "number" in kinds or "street" in kinds:
-        for kind, rx, need in (("ID_NUMBER", ID_NUMBER, "number"), ("ADDRESS", ADDRESS, "street"), ("PHONE", PHONE, "number")):
+        told = "number" in kinds and _ID_WORD.search(line) is not None
+        numbers = [("ID_NUMBER" if told else shape, rx, "number") for shape, rx in SHAPES.items()]
+        for kind, rx, need in (("ID_NUMBER", ID_NUMBER, "number"), *numbers, ("ADDRESS", ADDRESS, "street"), ("PHONE", PHONE, "number")):
             for m in rx.finditer(line) if need in kinds else ():
                 if kind == "PHONE" and not 9 <= sum(c.isdigit() for c in m[0].split("x")[0]) <= 16:
                     continue
@@ -217,9 +226,28 @@ _DDL = "record_id string, doc bigint, line_no bigint, `begin` bigint, `end` bigi
 _PERSONAL = {"EMAIL", "PHONE", "ID_NUMBER", "ADDRESS"}
 
 
+_COUNTED = re.compile(r"\n|(?<![\w@./\\_\-])(?![a-z])[^\W\d_]+(?:['’\-][^\W\d_]+)*(?![\w@(_]|[./\\]\w)")
+
+
+def line_terms(text: str) -> Iterator[tuple[int, set[str]]]:
+    """(line number, capitalised terms) of the lines that have any."""
+    no, terms = 1, set()
+    for m in _COUNTED.finditer(text):
+        w = m[0]
+        if w == "\n":
+            if terms:
+                yield no, terms
+                terms = set()
+            no += 1
+        elif _name_like(w):
+            terms.add(w.casefold())
+    if terms:
+        yield no, terms
+
+
 def scan(source: DataFrame) -> DataFrame:
-    """Entities, name candidates (type CANDIDATE) and term counts (type TERM,
-    summed per batch) of the texts (record_id, doc, text)."""
+    """Entities, name and number candidates (type CANDIDATE) and term counts
+    (type TERM, summed per batch) of the texts (record_id, doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _hint_words()
@@ -230,22 +258,28 @@ def scan(source: DataFrame) -> DataFrame:
             lines = hits = 0
             for record, doc, text in zip(*(c.to_pylist() for c in b.columns)):
                 lines += text.count("\n") + 1
+                personal: set[int] = set()
+                named: dict[int, set[str]] = {}
                 for no, at, line, kinds in hinted(words, text):
                     found = structured(line, kinds)
                     spans = name_spans(line, found, kinds)
-                    personal = bool(found) or any(s[3] for s in spans)
-                    mails = {p for x, y, t in found if t == "EMAIL" for p in re.split(r"[^a-z]+", line[x:y].partition("@")[0].lower()) if len(p) > 2}
-                    hits += personal
+                    sure = {t for _, _, t in found if t[0] != "#"} | {"NAME" for s in spans if s[3]}
+                    if sure:
+                        personal.add(no)
+                        hits += 1
+                    named[no] = {p for x, y, t in found if t == "EMAIL" for p in re.split(r"[^a-z]+", line[x:y].partition("@")[0].lower()) if len(p) > 2}
+                    told = "number" in kinds and _ID_WORD.search(line) is not None
+                    for shape in (n for n, rx in SHAPES.items() if rx.search(line)) if "number" in kinds else ():
+                        seen[shape] += 1
+                        near[shape] += told or bool(sure - {"ID_NUMBER"})
                     for x, y, t in found:
-                        rows.append((record, doc, no, at + x, at + y, t, None, None, None))
+                        rows.append((record, doc, no, at + x, at + y, *(("CANDIDATE", [t]) if t[0] == "#" else (t, None)), None, None))
                     for x, y, terms, titled in spans:
                         rows.append((record, doc, no, at + x, at + y, "NAME" if titled else "CANDIDATE", None if titled else list(terms), None, None))
-                    for term in {t for s in spans for t in s[2]}:
+                for no, terms in line_terms(text):
+                    for term in terms:
                         seen[term] += 1
-                        near[term] += personal or term in mails
-                    for p in mails:
-                        seen[p] += 0
-                        near[p] += 0
+                        near[term] += no in personal or term in named.get(no, ())
             rows += [("", 0, 0, 0, 0, "TERM", [t], n, near[t]) for t, n in seen.items() if n]
             rows.append(("", 0, 0, 0, 0, "TERM", [""], lines, hits))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROW)], schema=_ROW)
@@ -282,7 +316,7 @@ def personal_spans(parts: list[tuple[str, DataFrame]], threshold: float = 0.35)
     candidates = rows.filter("pii_type = 'CANDIDATE'")
     spans = candidates.select("terms").distinct()
     scored = spans.select("terms", F.explode("terms").alias("term")).join(bits, "term").groupBy("terms").agg(F.max("share").alias("share")).filter(F.col("share") >= threshold)
-    names = candidates.join(scored.select("terms"), "terms", "left_semi").withColumn("pii_type", F.lit("NAME"))
+    names = candidates.join(scored.select("terms"), "terms", "left_semi").withColumn("pii_type", F.when(F.element_at("terms", 1).startswith("#"), "ID_NUMBER").otherwise("NAME"))
     keep = ("origin", "record_id", "doc", "line_no", "begin", "end", "pii_type")
     return rows.filter(F.col("pii_type").isin(*TYPES)).select(*keep).unionByName(names.select(*keep))
 

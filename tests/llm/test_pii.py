@@ -55,3 +55,20 @@ def test_texts_under_one_key_or_none(spark):
     parts = frames(spark, [], [(None, "SSN 972-70-1955"), (None, "plain text of it"), (2, "a"), (2, "see SSN 972-70-1956")])
     got = {r.clean_text for r in pii.sanitised(parts, pii.personal_spans(parts)).collect()}
     assert got == {"[ID_NUMBER]", "plain text of it", "a", "see [ID_NUMBER]"}
+
+
+def test_general_number_forms(spark):
+    told = ["my NINO is AB 12 34 56 C", "DNI: 12345678Z", "passport no. T22000129", "tax id 86 095 742 719 is his"]
+    for line in told:
+        assert {t for _, _, t in pii.structured(line)} == {"ID_NUMBER"}, line
+    # bare numbers: their shape tells where such numbers stand with words or entities
+    talk = [f"DNI 1234{i:04}Z of her" for i in range(20)] + ["he wrote 99345678K there", "see AB 12 34 56 D now"] + [f"order 86 095 742 {i:03} shipped" for i in range(30)] + ["plain words only here"] * 60
+    spans = pii.personal_spans(frames(spark, talk))
+    got = {(int(r.record_id), r.pii_type) for r in spans.collect()}
+    assert got == {(i, "ID_NUMBER") for i in range(22)}
+
+
+def test_terms_of_all_lines():
+    text = "Anna Berg said\nnothing here\nsee Anna, ANNA and Anna.x or fooBar McBride"
+    assert list(pii.line_terms(text)) == [(1, {"anna", "berg"}), (3, {"anna"})]
+    assert list(pii.line_terms("")) == []
