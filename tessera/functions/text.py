@@ -37,6 +37,36 @@ TASKS = {
 }
 
 
+#: Target and reason by task.
+ROUTING = {
+    "debug": ("claude", "Claude handles long-context debugging and tracing best"),
+    "code": ("claude", "Claude is strongest at code generation and review"),
+    "explain": ("claude", "Claude gives thorough, structured explanations"),
+    "research": ("gemini", "Gemini has live web access for current information"),
+    "design": ("claude", "Claude excels at architecture and system design"),
+    "general": ("claude", "Claude handles complex open-ended tasks best"),
+}
+TARGET_NAMES = {"claude": "Claude", "chatgpt": "ChatGPT", "gemini": "Gemini"}
+#: Patterns of names, routes and files in conversations.
+FILE_NAME = r"\b([a-zA-Z0-9_/]+)(\.[a-zA-Z0-9_]{2,6})\b"
+CAMEL = r"\b([A-Z][a-zA-Z]{2,})\b"
+SNAKE = r"\b([a-z]+(?:_[a-z]+){1,})\b"
+TICKED = r"`([^`\n]+)`"
+TICKED_FILE = r"`([^`\n]+\.[a-zA-Z0-9_]{2,5})`"
+ASKED_FILE = r"`([^`]+\.[a-zA-Z0-9_]{2,5})`"
+MENTION = rf"(?i)\b({VERBS})\s+(/[/a-zA-Z0-9_\-]*)"
+DISCUSSED = r"\b(GET|POST|PATCH|PUT|DELETE)\s+(/[a-zA-Z0-9_/.<>?=&\-]+)"
+PLAIN_FILE = r"([a-zA-Z0-9_/]+\.[a-zA-Z0-9_]{2,5})"
+#: Texts of the next-step rules: needles of which any will do (of a second set, too), action, step, suggestion.
+NEXT_STEPS = (
+    (("paste these files", "paste the files"), (), "AI requested specific files to be pasted", "Paste the requested files into the conversation", "Here are the requested files: {files}"),
+    (("what i need next", "next step"), (), "AI outlined next steps", "Follow the AI's outlined next steps", ""),
+    (("404",), ("missing", "not found"), "Identified missing route causing 404", "Implement missing {route} endpoint", "Implement {route} endpoint as discussed"),
+    (("serialization", "contract", "tojson", "fromjson"), (), "Investigating JSON serialization contract mismatch", "Compare toJson/fromJson between server and client models", "Verify JSON contract between server and Flutter models"),
+)
+NO_STEP = ("Analyzed conversation", "Review conversation and continue debugging", "")
+
+
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.array().cast("array<string>"))
 
@@ -63,13 +93,13 @@ def tokens(text: Column) -> Column:
 
 def keywords(text: Column) -> Column:
     """File names with stems, CamelCase with snake form, snake_case and
-    back-ticked words of more than two characters; sorted, distinct."""
-    names = r"\b([a-zA-Z0-9_/]+)(\.[a-zA-Z0-9_]{2,6})\b"
-    stems, ends = _all(text, names), _all(text, names, 2)
+    back-ticked words with their stems, of more than two characters; sorted,
+    distinct."""
+    stems, ends = _all(text, FILE_NAME), _all(text, FILE_NAME, 2)
     files = F.concat(F.zip_with(stems, ends, lambda a, b: F.lower(F.concat(a, b))), F.transform(stems, F.lower))
-    camel = _all(text, r"\b([A-Z][a-zA-Z]{2,})\b")
-    ticked = _all(text, "`([^`]+)`")
-    words = F.concat(files, F.transform(camel, F.lower), F.transform(camel, camel_to_snake), _all(text, r"\b([a-z]+(?:_[a-z]+){1,})\b"), F.transform(ticked, F.lower), F.transform(ticked, lambda t: F.lower(F.regexp_replace(t, r"\.[^./]*$", ""))))
+    camel, ticked = _all(text, CAMEL), _all(text, TICKED)
+    stem = lambda t: F.regexp_replace(t, r"^((?:.*/)?\.*[^/.][^/]*)\.[^./]*$", "$1")  # noqa: E731  a leading dot begins no suffix
+    words = F.concat(files, F.transform(camel, F.lower), F.transform(camel, camel_to_snake), _all(text, SNAKE), F.transform(ticked, lambda t: strip(F.lower(t))), F.transform(ticked, lambda t: strip(F.lower(stem(t)))))
     return F.array_sort(F.array_distinct(F.filter(words, lambda k: F.length(k) > 2)))
 
 
@@ -80,8 +110,7 @@ def path_parameters(path: Column) -> Column:
 
 def route_mentions(text: Column) -> Column:
     """METHOD:path of each mention, in order, duplicates kept."""
-    p = rf"(?i)\b({VERBS})\s+(/[/a-zA-Z0-9_\-]*)"
-    return F.zip_with(_all(text, p), _all(text, p, 2), lambda m, r: F.concat(F.upper(m), F.lit(":"), r))
+    return F.zip_with(_all(text, MENTION), _all(text, MENTION, 2), lambda m, r: F.concat(F.upper(m), F.lit(":"), r))
 
 
 def extension(path: Column) -> Column:
@@ -99,16 +128,28 @@ def task_type(text: Column) -> Column:
     return F.array_max(F.array(none, *ranked))["t"]
 
 
+def task_routing(intent: Column, conversation: Column) -> Column:
+    """struct<task_type, recommended, display, reason> of an intent with the
+    first 2,000 characters of its conversation; null where both are blank."""
+    text = F.concat(F.coalesce(intent, F.lit("")), F.lit(" "), F.coalesce(F.substring(conversation, 1, 2000), F.lit("")))
+    table = F.create_map(*[x for t, (target, why) in ROUTING.items() for x in (F.lit(t), F.struct(F.lit(t).alias("task_type"), F.lit(target).alias("recommended"), F.lit(TARGET_NAMES[target]).alias("display"), F.lit(why).alias("reason")))])
+    return F.when(strip(text) != "", F.element_at(table, task_type(text)))
+
+
 def last(items: Column, n: int) -> Column:
     """The last ``n`` elements, in order."""
     return F.when(F.size(items) < n, items).otherwise(F.slice(items, -n, n))
 
 
+def discussed(text: Column) -> Column:
+    """``METHOD path`` of the routes of a conversation, in order."""
+    return F.zip_with(_all(text, DISCUSSED), _all(text, DISCUSSED, 2), lambda m, r: F.concat_ws(" ", m, r))
+
+
 def rule_summary(text: Column) -> Column:
     """Last routes, first files and the tail of a conversation."""
-    p = r"\b(GET|POST|PATCH|PUT|DELETE)\s+(/[a-zA-Z0-9_/.<>?=&\-]+)"
-    routes = last(F.zip_with(_all(text, p), _all(text, p, 2), lambda m, r: F.concat_ws(" ", m, r)), 3)
-    files = F.slice(F.filter(F.array_distinct(_all(text, r"([a-zA-Z0-9_/]+\.[a-zA-Z0-9_]{2,5})")), lambda f: ~f.startswith("http")), 1, 5)
+    routes = last(discussed(text), 3)
+    files = F.slice(F.filter(F.array_distinct(_all(text, PLAIN_FILE)), lambda f: ~f.startswith("http")), 1, 5)
     tail = last(last(F.filter(F.transform(F.split(text, r"\r?\n"), strip), lambda x: x != ""), 30), 10)
     joined = F.concat_ws(" ", tail)
     parts = F.concat_ws(
@@ -122,24 +163,31 @@ def rule_summary(text: Column) -> Column:
 
 def likely_files(text: Column) -> Column:
     """The first six distinct back-ticked file names."""
-    return F.slice(F.array_distinct(_all(text, r"`([^`\n]+\.[a-zA-Z0-9_]{2,5})`")), 1, 6)
+    return F.slice(F.array_distinct(_all(text, TICKED_FILE)), 1, 6)
 
 
 def next_step(text: Column) -> Column:
-    """struct<last_ai_action, next_step> of the first rule that holds."""
-    low = F.lower(text)
-    has = lambda *ws: F.greatest(*[F.contains(low, F.lit(w)) for w in ws]) if len(ws) > 1 else F.contains(low, F.lit(ws[0]))
-    p = r"\b(GET|POST|PATCH|PUT|DELETE)\s+(/[a-zA-Z0-9_/.<>?=&\-]+)"
-    routes = F.zip_with(_all(text, p), _all(text, p, 2), lambda m, r: F.concat_ws(" ", m, r))
-    missing = F.when(F.size(routes) > 0, F.concat(F.lit("Implement missing "), F.element_at(routes, -1), F.lit(" endpoint"))).otherwise("Review conversation and continue debugging")
-    rules = [
-        (has("paste these files", "paste the files"), "AI requested specific files to be pasted", F.lit("Paste the requested files into the conversation")),
-        (has("what i need next", "next step"), "AI outlined next steps", F.lit("Follow the AI's outlined next steps")),
-        (has("404") & has("missing", "not found"), "Identified missing route causing 404", missing),
-        (has("serialization", "contract", "tojson", "fromjson"), "Investigating JSON serialization contract mismatch", F.lit("Compare toJson/fromJson between server and client models")),
-    ]
-    out = None
-    for cond, action, step in rules:
-        value = F.struct(F.lit(action).alias("last_ai_action"), step.alias("next_step"))
-        out = F.when(cond, value) if out is None else out.when(cond, value)
-    return out.otherwise(F.struct(F.lit("Analyzed conversation").alias("last_ai_action"), F.lit("Review conversation and continue debugging").alias("next_step")))
+    """struct<last_ai_action, next_step, suggested_intent, likely_files> of the
+    first rule that holds. A rule about a route needs one, or its step is the
+    usual one; asked files are the last four that are named."""
+    low, routes, asked = F.lower(text), discussed(text), last(_all(text, ASKED_FILE), 4)
+
+    def any_of(words) -> Column:
+        out = F.contains(low, F.lit(words[0]))
+        for w in words[1:]:
+            out = out | F.contains(low, F.lit(w))
+        return out
+
+    def filled(pattern: str, otherwise: str) -> Column:
+        if "{route}" in pattern:
+            return F.when(F.size(routes) > 0, F.replace(F.lit(pattern), F.lit("{route}"), F.element_at(routes, -1))).otherwise(F.lit(otherwise))
+        if "{files}" in pattern:
+            return F.when(F.size(asked) > 0, F.replace(F.lit(pattern), F.lit("{files}"), F.array_join(asked, ", "))).otherwise(F.lit(otherwise))
+        return F.lit(pattern)
+
+    value = lambda a, n, g: F.struct(F.lit(a).alias("last_ai_action"), n.alias("next_step"), g.alias("suggested_intent"), likely_files(text).alias("likely_files"))
+    out = F.when(F.lit(False), value(NO_STEP[0], F.lit(NO_STEP[1]), F.lit(NO_STEP[2])))
+    for words, more, action, step, suggestion in NEXT_STEPS:
+        cond = any_of(words) & any_of(more) if more else any_of(words)
+        out = out.when(cond, value(action, filled(step, NO_STEP[1]), filled(suggestion, "")))
+    return out.otherwise(value(NO_STEP[0], F.lit(NO_STEP[1]), F.lit(NO_STEP[2])))

@@ -19,6 +19,7 @@ from tessera.session import stage
 
 # Relationships of the second generation.
 CALLS, REFERENCES, INSTANTIATES, INHERITS, IMPORTS = "CALLS", "REFERENCES", "INSTANTIATES", "INHERITS", "IMPORTS"
+DEFINES, EXPOSES_ROUTE, DECORATED_BY = "DEFINES", "EXPOSES_ROUTE", "DECORATED_BY"
 
 
 # ---------------------------------------------------------------- building
@@ -27,40 +28,78 @@ def _first(df: DataFrame) -> DataFrame:
     return df.groupBy("id").agg(F.min_by(F.struct("type", "name", "ord"), F.struct("ord", "type", "name")).alias("v")).select("id", "v.type", "v.name", "v.ord")
 
 
+def _symbol_rows(files: DataFrame, key: str) -> DataFrame:
+    """(ord, file, kind, name, owner) of all symbols of the index rows: one
+    array of structs by expressions, one explode."""
+
+    def part(column: str, kind: str, name, owner=None, inner: str | None = None) -> Column | None:
+        if column not in files.columns:
+            return None
+        row = lambda x, n: F.struct(F.lit(kind).alias("kind"), n.cast("string").alias("name"), (owner(x) if owner else F.lit(None)).cast("string").alias("owner"))
+        kept = F.filter(F.col(column), lambda x: x.isNotNull())
+        if inner:  # names in an array of each element
+            return F.flatten(F.transform(kept, lambda x: F.transform(F.coalesce(x[inner], F.array().cast("array<string>")), lambda d: row(x, d))))
+        return F.transform(kept, lambda x: row(x, name(x)))
+
+    method = lambda x: F.concat_ws(".", x["class_name"], x["name"])
+    has = lambda column, field: column in files.columns and field in files.schema[column].dataType.elementType.names
+    caller = lambda x: F.when((x["caller"] != "") & (x["caller"] != "<module>"), F.concat(F.lit("function:"), x["caller"]))
+    parts = [
+        part("classes", "class", lambda x: x["name"]),
+        part("functions", "function", lambda x: x["name"]),
+        part("methods", "method", method),
+        part("routes", "route", lambda x: F.concat_ws(":", x["method"], x["path"])),
+        part("imports", "module", lambda x: x["module"]),
+        part("calls", "call", lambda x: x["target"], caller),
+        part("inherits", "inherit", lambda x: x["parent"], lambda x: x["class_name"]),
+        part("instantiations", "instance", lambda x: x["class_name"]),
+        part("references", "reference", lambda x: x["symbol"]),
+        part("decorators", "decorator", lambda x: x["decorator"]),
+        part("functions", "decorator", None, lambda x: F.concat(F.lit("function:"), x["name"]), "decorators") if has("functions", "decorators") else None,
+        part("methods", "decorator", None, lambda x: F.concat(F.lit("method:"), method(x)), "decorators") if has("methods", "decorators") else None,
+    ]
+    none = F.array().cast("array<struct<kind:string,name:string,owner:string>>")
+    items = F.concat(F.array(F.struct(F.lit("file").alias("kind"), F.col("file_path").alias("name"), F.lit(None).cast("string").alias("owner"))), *[F.coalesce(p, none) for p in parts if p is not None])
+    rows = files.select(F.col(key).alias("ord"), F.concat(F.lit("file:"), F.coalesce("file_path", F.lit(""))).alias("file"), F.explode(items).alias("x")).select("ord", "file", "x.kind", "x.name", "x.owner")
+    return rows.filter("name <> ''")
+
+
 def build_v2(files: DataFrame, key: str = "file_id") -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the global-name graph out of symbol-index rows
-    (file_path and the arrays of symbols). First node of an id wins, edges are
-    distinct. Targets resolve to function, method, class or external symbol.
-    All calls are attributed to ``function:<caller>``, as in the index."""
-    arr = lambda c, f: files.select(F.col(key).alias("ord"), "file_path", F.explode(c).alias("x")).filter("x is not null").select("ord", "file_path", *f)
-    cat = lambda p, *c: F.concat(F.lit(p), *[F.coalesce(F.col(x), F.lit("")) for x in c])
-    file_nodes = files.select(cat("file:", "file_path").alias("id"), F.lit("FILE").alias("type"), F.col("file_path").alias("name"), F.col(key).alias("ord"))
-    classes = arr("classes", [F.col("x.name").alias("name")]).filter("name is not null")
-    functions = arr("functions", [F.col("x.name").alias("name")]).filter("name is not null")
-    methods = arr("methods", [F.concat_ws(".", "x.class_name", "x.name").alias("name")]).filter("name <> ''")
-    routes = arr("routes", [F.concat_ws(":", "x.method", "x.path").alias("name")]).filter("name <> ''")
-    modules = arr("imports", [F.col("x.module").alias("name")]).filter("name is not null")
-    kinds = {"class": classes, "function": functions, "method": methods, "route": routes, "module": modules}
-    nodes = file_nodes
-    for kind, df in kinds.items():
-        nodes = nodes.unionByName(df.select(cat(f"{kind}:", "name").alias("id"), F.lit(kind.upper()).alias("type"), "name", "ord"))
-    defines = None
-    for kind in ("class", "function", "method", "route"):
-        part = kinds[kind].select(cat("file:", "file_path").alias("source"), cat(f"{kind}:", "name").alias("target"), F.lit("DEFINES").alias("relationship"))
-        defines = part if defines is None else defines.unionByName(part)
-    imports = modules.select(cat("file:", "file_path").alias("source"), cat("module:", "name").alias("target"), F.lit(IMPORTS).alias("relationship"))
-    calls = arr("calls", [F.col("x.caller").alias("caller"), F.col("x.target").alias("to")]).filter("to is not null")
-    inherits = arr("inherits", [F.col("x.class_name").alias("caller"), F.col("x.parent").alias("to")]).filter("to is not null and caller is not null")
-    known = _first(nodes).filter(F.col("type").isin("FUNCTION", "METHOD", "CLASS")).select("name", "id", F.when(F.col("type") == "FUNCTION", 1).when(F.col("type") == "METHOD", 2).otherwise(3).alias("rank"))
-    known = known.groupBy("name").agg(F.min_by("id", "rank").alias("id"))
-    wanted = calls.select("ord", "to", cat("function:", "caller").alias("source"), F.lit(CALLS).alias("relationship")).unionByName(inherits.select("ord", "to", cat("class:", "caller").alias("source"), F.lit(INHERITS).alias("relationship")))
-    wanted = wanted.groupBy("to", "source", "relationship").agg(F.min("ord").alias("ord"))
-    resolved = wanted.join(known, wanted["to"] == known["name"], "left").select("ord", "to", "source", "relationship", F.coalesce("id", F.concat(F.lit("symbol:"), F.col("to"))).alias("target"))
+    (file_path and the arrays of symbols; arrays may be missing). First node of
+    an id wins, edges are distinct.
+
+    A call's target is a function, else a method, else a class of that name,
+    else an external symbol; a call outside functions comes from its file, all
+    others from ``function:<caller>``, as in the index. Parents and
+    instantiated classes are classes, whether defined or not. Targets resolve
+    against all files at once. Null and empty names make nothing.
+
+    The files are read and exploded once; both tables come of that stage."""
+    rows = stage(_symbol_rows(files, key).distinct(), "symbols")
+    named = {"file": "FILE", "class": "CLASS", "function": "FUNCTION", "method": "METHOD", "route": "ROUTE", "module": "MODULE", "instance": "CLASS", "reference": "EXTERNAL_SYMBOL", "decorator": "DECORATOR", "inherit": "CLASS"}
+    prefix = {"instance": "class", "inherit": "class", "reference": "symbol"}
+    pick = lambda table: F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in table.items()])
+    own = rows.filter(F.col("kind") != "call").withColumn("id", F.concat(pick({k: prefix.get(k, k) for k in named}), F.lit(":"), "name")).withColumn("type", pick(named))
+    nodes = own.select("id", "type", "name", "ord").unionByName(own.filter("kind = 'inherit' and owner <> ''").select(F.concat(F.lit("class:"), "owner").alias("id"), F.lit("CLASS").alias("type"), F.col("owner").alias("name"), "ord"))
+    relationship = {"class": DEFINES, "function": DEFINES, "method": DEFINES, "route": EXPOSES_ROUTE, "module": IMPORTS, "instance": INSTANTIATES, "reference": REFERENCES, "decorator": DECORATED_BY, "inherit": INHERITS}
+    source = F.when(F.col("kind") == "inherit", F.concat(F.lit("class:"), "owner")).when(F.col("kind") == "decorator", F.coalesce("owner", "file")).otherwise(F.col("file"))
+    direct = own.filter(F.col("kind") != "file").select(source.alias("source"), F.col("id").alias("target"), pick(relationship).alias("relationship")).filter("source is not null")
+    rank = F.when(F.col("type") == "FUNCTION", 1).when(F.col("type") == "METHOD", 2).when(F.col("type") == "CLASS", 3)
+    known = nodes.filter(rank.isNotNull()).groupBy("name").agg(F.min_by("id", F.struct(rank.alias("r"), F.col("id").alias("i"))).alias("id"))
+    wanted = rows.filter("kind = 'call'").groupBy(F.col("name").alias("to"), F.coalesce("owner", "file").alias("source")).agg(F.min("ord").alias("ord"))
+    resolved = wanted.join(known, wanted["to"] == known["name"], "left").select("ord", "to", "source", F.coalesce("id", F.concat(F.lit("symbol:"), F.col("to"))).alias("target"))
     external = resolved.filter(F.col("target").startswith("symbol:")).select(F.col("target").alias("id"), F.lit("EXTERNAL_SYMBOL").alias("type"), F.col("to").alias("name"), "ord")
-    edges = defines.unionByName(imports).unionByName(resolved.select("source", "target", "relationship")).distinct()
+    edges = direct.distinct().unionByName(resolved.select("source", "target", F.lit(CALLS).alias("relationship")).distinct())
     return _first(nodes.unionByName(external)), edges
 
 
+def build_v3(calls: DataFrame) -> DataFrame:
+    """Edges of the third generation: calls between ``Class.method`` names only,
+    with their files; there are no nodes but the edges' ends."""
+    return calls.select(F.col("caller_symbol").alias("source"), F.col("callee_symbol").alias("target"), F.lit(CALLS).alias("relationship"), "caller_file", "callee_file", "line_number")
+
+
 def build_v1(tree: DataFrame, symbols: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """File-scoped graph: ``tree(path, node_type, name)``, ``symbols(file_path,
     kind, class_name, name, method, route_path)``, ``imports(source, target)``.
@@ -93,6 +132,43 @@ def search_nodes(nodes: DataFrame, text: str) -> DataFrame:
     return nodes.filter(F.contains(F.lower("name"), F.lit(text.lower())))
 
 
+def find_v1(nodes: DataFrame, name: str, kind: str) -> DataFrame:
+    """Nodes of the first generation: ``file`` and ``symbol`` by their names in
+    any case, ``route`` by its exact path, ``id`` by the first of that id."""
+    low = F.lower("name") == name.lower()
+    if kind == "file":
+        return nodes.filter((F.lower("type") == "file") & low)
+    if kind == "symbol":
+        return nodes.filter(F.lower("type").isin("class", "function", "method") & low)
+    if kind == "route":
+        return nodes.filter((F.lower("type") == "route") & (F.col("name") == name))
+    return nodes.filter(F.col("id") == name).orderBy("id", "name").limit(1)
+
+
+def typed_id(kind: Column, path: Column, name: Column, owner: Column | None = None) -> Column:
+    """Identifiers of typed nodes: the path itself, ``f::class::n``,
+    ``f::method::C.m``, ``f::route::VERB::path``, ``dependency::module``."""
+    owner = F.lit(None).cast("string") if owner is None else owner
+    return (
+        F.when(kind == "file", path)
+        .when(kind == "dependency", F.concat_ws("::", F.lit("dependency"), name))
+        .when(kind == "method", F.concat_ws("::", path, F.lit("method"), F.concat_ws(".", owner, name)))
+        .when(kind == "route", F.concat_ws("::", path, F.lit("route"), owner, name))
+        .otherwise(F.concat_ws("::", path, kind, name))
+    )
+
+
+def projection(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(what, id, document) of all nodes and edges as JSON, for export."""
+    n = nodes.select(F.lit("node").alias("what"), "id", F.to_json(F.struct("id", "type", "name")).alias("document"))
+    return n.unionByName(edges.select(F.lit("edge").alias("what"), F.concat_ws("|", "source", "relationship", "target").alias("id"), F.to_json(F.struct("source", "target", "relationship")).alias("document")))
+
+
+def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(what, n): nodes and edges by type and relationship."""
+    return nodes.groupBy(F.concat(F.lit("node "), F.upper("type")).alias("what")).agg(F.count("*").alias("n")).unionByName(edges.groupBy(F.concat(F.lit("edge "), F.upper("relationship")).alias("what")).agg(F.count("*").alias("n")))
+
+
 def neighbours(nodes: DataFrame, edges: DataFrame, relationships: list[str] | None = None, *, incoming: bool = False) -> DataFrame:
     """(from_id, id, type, name, relationship); dangling ends are dropped."""
     a, b = ("target", "source") if incoming else ("source", "target")
@@ -100,16 +176,32 @@ def neighbours(nodes: DataFrame, edges: DataFrame, relationships: list[str] | No
     return e.select(F.col(a).alias("from_id"), F.col(b).alias("id"), "relationship").join(nodes.select("id", "type", "name"), "id").select("from_id", "id", "type", "name", "relationship")
 
 
-def impact(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    """(section, name) of one-hop callers, callees, dependencies, dependents."""
-    start = find_node(nodes, name).select(F.col("id").alias("from_id"))
+def impact_all(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, section, name) of one-hop callers, callees, dependencies and
+    dependents of many starts (start: node id): one join of the edges a side."""
     out = None
-    for section, rel, incoming in (("callers", [CALLS], True), ("callees", [CALLS], False), ("dependencies", None, False), ("dependents", None, True)):
-        part = neighbours(nodes, edges, rel, incoming=incoming).join(start, "from_id", "left_semi").select(F.lit(section).alias("section"), "name")
+    for sections, incoming in ((("callees", "dependencies"), False), (("callers", "dependents"), True)):
+        near = neighbours(nodes, edges, incoming=incoming).join(starts.select(F.col("start").alias("from_id")).distinct(), "from_id", "left_semi")
+        which = F.when(F.col("relationship") == CALLS, F.array(*[F.lit(x) for x in sections])).otherwise(F.array(F.lit(sections[1])))
+        part = near.select(F.col("from_id").alias("start"), F.explode(which).alias("section"), "name")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def impact(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """(section, name) of one name's one-hop neighbourhood."""
+    return impact_all(nodes, edges, find_node(nodes, name).select(F.col("id").alias("start"))).select("section", "name")
+
+
+def impact_v3(edges: DataFrame, name: str) -> DataFrame:
+    """(section, name, ord) over the call edges alone: callers and callees, and
+    all that depends on the name, whatever the distance."""
+    one = edges.sparkSession.createDataFrame([(name,)], "start string")
+    near = lambda a, b, s: edges.filter(F.col(a) == name).select(F.lit(s).alias("section"), F.col(b).alias("name"), F.lit(1).alias("ord")).distinct()
+    up = reach(edges, one, None, incoming=True).select(F.lit("dependents").alias("section"), F.col("id").alias("name"), F.col("depth").cast("int").alias("ord"))
+    return near("target", "source", "callers").unionByName(near("source", "target", "callees")).unionByName(up)
+
+
 def definition_index(definitions: DataFrame, references: DataFrame) -> DataFrame:
     """Each defined name with its last definition and its number of references."""
     last = definitions.groupBy("name").agg(F.max_by(F.struct("type", "file", "line"), F.struct(F.lower("file"), "file", "line")).alias("d"))
@@ -178,6 +270,58 @@ def shortest_path(edges: DataFrame, start: str, target: str, max_depth: int = 50
     return []
 
 
+def path_lengths(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(start, target, length) of shortest paths from each start to each target
+    that it reaches; a start that is a target has length 0."""
+    got = reach(edges, starts, max_depth).select("start", F.col("id").alias("target"), F.col("depth").cast("bigint").alias("length"))
+    own = starts.select("start", F.col("start").alias("target"), F.lit(0).cast("bigint").alias("length")).distinct()
+    return got.unionByName(own).join(targets.select("target").distinct(), "target", "left_semi").select("start", "target", "length")
+
+
+def depth_first(edges: DataFrame, starts: DataFrame, max_depth: int = 10) -> DataFrame:
+    """(start, id, path, depth): what each start reaches within ``max_depth``
+    steps, each node with the path that comes first when siblings are taken in
+    the order of their names; ordered by ``path`` it is the order of a search
+    that goes to the depth first. A path is kept only while no earlier one to
+    its node is known, so that a node has one row."""
+    e = edges.select(F.col("source").alias("id"), F.col("target").alias("to")).filter("id is not null and to is not null").distinct()
+    frontier = starts.select("start", F.col("start").alias("id"), F.array("start").alias("path")).distinct()
+    best, depth = None, 0
+    while depth < max_depth:
+        depth += 1
+        step = frontier.join(e, "id").filter(~F.array_contains("path", F.col("to")))
+        new = step.groupBy("start", F.col("to").alias("id")).agg(F.min(F.concat("path", F.array("to"))).alias("path"))
+        if best is not None:
+            old = best.select(F.col("start").alias("s"), F.col("id").alias("i"), F.col("path").alias("p"))
+            new = new.join(old, (F.col("start") == F.col("s")) & (F.col("id") == F.col("i")), "left").filter("p is null or path < p").select("start", "id", "path")
+        new = stage(new, f"depth-{depth}")
+        if new.isEmpty():
+            break
+        both = new if best is None else best.unionByName(new)
+        best = stage(both.groupBy("start", "id").agg(F.min("path").alias("path")), f"first-{depth}")
+        frontier = new
+    empty = starts.sparkSession.createDataFrame([], "start string, id string, path array<string>")
+    return (empty if best is None else best).withColumn("depth", F.size("path") - 1)
+
+
+def file_closure(edges: DataFrame, starts: DataFrame, *, incoming: bool = False) -> DataFrame:
+    """(start, file): all files that a file needs (``incoming``: that a change
+    of it affects). A file on a cycle is listed as its own."""
+    return reach(edges, starts, None, incoming=incoming, seeded=False).select("start", F.col("id").alias("file"))
+
+
+def dependency_summary(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, direct_dependencies, direct_dependents, affected_files,
+    dependency_depth): how many of each; the files themselves are rows of
+    :func:`neighbours` and :func:`file_closure`."""
+    e = edges.select("source", "target").filter("source is not null and target is not null").distinct()
+    number = lambda df, key, name: df.groupBy(F.col(key).alias("start")).agg(F.count("*").alias(name))
+    out = starts.select("start").distinct()
+    for df, key, name in ((e, "source", "direct_dependencies"), (e, "target", "direct_dependents"), (file_closure(e, starts, incoming=True), "start", "affected_files")):
+        out = out.join(number(df, key, name), "start", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
+    return out.join(dependency_depth(e, starts), "start").withColumnRenamed("depth", "dependency_depth")
+
+
 def has_path(edges: DataFrame, start: str, target: str) -> bool:
     return bool(shortest_path(edges, start, target))
 

@@ -1,10 +1,12 @@
 """Filters and windows on log lines.
 
-Input: ``(source key, pos, line)``; a source's lines are ordered by ``pos``.
-Windows are partitioned by source. A source that is longer than memory isn't
-cut into two tasks by a window, so ``exploded`` keeps texts of one record
-apart; frames are bounded and stream over the sorted partition.
-Null lines count as empty; an empty table gives an empty one.
+Where a record's lines stand in one text, all of it is done within the row: the
+``*_of`` functions take and give an array of struct<pos, line> (:func:`numbered`),
+so nothing is shuffled. Where lines are rows of their own, ``(src, pos, line)``,
+the functions on DataFrames do the same by windows over each source, whose
+frames are bounded and stream over the sorted partition.
+Null texts have no lines, null lines count as empty; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -21,6 +23,72 @@ def exploded(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("src"), F.posexplode(F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n")).alias("pos", "line"))
 
 
+def numbered(text: Column) -> Column:
+    """A text's lines as array<struct<pos, line>>; pos from 0. A last line end
+    opens no further line."""
+    return F.transform(F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
+
+
+def in_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(src, l) with the lines of a text column, as a column of its own."""
+    return df.filter(F.col(text).isNotNull()).select(F.col(key).alias("src"), numbered(F.col(text)).alias("l"))
+
+
+def error_lines_of(l: Column) -> Column:  # noqa: E741
+    return F.filter(l, lambda x: is_error(x["line"]))
+
+
+def without_blank_of(l: Column) -> Column:  # noqa: E741
+    return F.filter(l, lambda x: ~is_blank(x["line"]))
+
+
+def without_repeats_of(l: Column) -> Column:  # noqa: E741
+    """Without lines equal to the one before them. ``l`` has to be a column that
+    was made before, not an expression, or it is made anew for each line."""
+    return F.filter(l, lambda x, i: (i == 0) | ~x["line"].eqNullSafe(F.get(l, i - 1)["line"]))
+
+
+def _near(flags: Column, i: Column, before: int, after: int) -> Column:
+    first = F.greatest(i - after, F.lit(0))
+    return F.exists(F.slice(flags, first + 1, i + before - first + 1), lambda e: e)
+
+
+def error_context_of(l: Column, flags: Column, before: int = 5, after: int = 10) -> Column:  # noqa: E741
+    """Lines of ``l`` within ``before`` lines before and ``after`` after one that
+    ``flags`` marks."""
+    return F.filter(l, lambda x, i: _near(flags, i, before, after))
+
+
+def errors_of(l: Column) -> Column:  # noqa: E741
+    """array<boolean>: whether each line is an error line."""
+    return F.transform(l, lambda x: is_error(x["line"]))
+
+
+def stack_traces_in(df: DataFrame) -> DataFrame:
+    """(src, first_pos, last_pos, trace) of rows (src, l): from a line with a
+    mark to the next blank line, that line included; marks inside a trace begin
+    none. Blank lines part a text into stretches; each has a trace or none."""
+    mark = F.transform("l", lambda x: F.coalesce(x["line"].rlike(rf"(?i)(?:{TRACE_MARKS})"), F.lit(False)) & ~is_blank(x["line"]))
+    rows = df.withColumn("m", mark).filter(F.exists("m", lambda x: x)).withColumn("b", F.transform(F.filter("l", lambda x: is_blank(x["line"])), lambda x: x["pos"]))
+    rows = rows.withColumn("e", F.when((F.size("b") > 0) & (F.element_at("b", -1) == F.size("l") - 1), F.col("b")).otherwise(F.concat("b", F.array(F.size("l") - 1))))
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.get("e", i - 1) + 1)
+    rows = rows.withColumn("s", F.transform("e", lambda last, i: F.struct((begin(i) + F.array_position(F.slice("m", begin(i) + 1, last - begin(i) + 1), True) - 1).cast("int").alias("first_pos"), begin(i).alias("from"), last.alias("last_pos"))))
+    rows = rows.select("src", "l", F.explode(F.filter("s", lambda x: x["first_pos"] >= x["from"])).alias("s"))
+    return rows.select("src", "s.first_pos", "s.last_pos", F.array_join(F.transform(F.slice("l", F.col("s.first_pos") + 1, F.col("s.last_pos") - F.col("s.first_pos") + 1), lambda x: x["line"]), "\n").alias("trace"))
+
+
+def investigation_view_in(df: DataFrame) -> DataFrame:
+    """Rows (src, l) with blank lines and repeats dropped, then error context; all
+    clean lines of a source without errors. Positions stay those of the text."""
+    rows = df.withColumn("l", without_blank_of(F.col("l"))).withColumn("l", without_repeats_of(F.col("l"))).withColumn("e", errors_of(F.col("l")))
+    return rows.withColumn("l", F.when(F.exists("e", lambda x: x), error_context_of(F.col("l"), F.col("e"))).otherwise(F.col("l"))).drop("e")
+
+
+def head_and_tail_of(l: Column, most: int = 5000, head: int = 500, tail: int = 2000) -> Column:  # noqa: E741
+    """The first and last lines of more than ``most``, else all."""
+    return F.when(F.size(l) > most, F.filter(l, lambda x, i: (i < head) | (i >= F.size(l) - tail))).otherwise(l)
+
+
 def is_error(line: Column) -> Column:
     return F.coalesce(line.rlike(rf"(?i)\b(?:{ERROR_WORDS})\b"), F.lit(False))
 

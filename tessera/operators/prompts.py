@@ -69,10 +69,19 @@ def file_part(files: Column) -> Column:
     return F.nullif(joined, F.lit(""))
 
 
-def build(requests: DataFrame) -> DataFrame:
+def repository_part(repository: Column) -> Column:
+    """The section of a struct<owner, repo, readme, file_tree>: the README's first
+    1,500 characters and the file structure; null where the struct is."""
+    text = lambda title, c: F.when(F.length(c) > 0, F.concat(F.lit(title), c)).otherwise("")
+    name = F.concat(F.lit("GitHub Repository: "), F.coalesce(repository["owner"], F.lit("")), F.lit("/"), F.coalesce(repository["repo"], F.lit("")), F.lit("\n"))
+    return F.when(repository.isNotNull(), F.concat(name, text("\nREADME:\n", F.substring(repository["readme"], 1, 1500)), text("\nFile structure:\n", repository["file_tree"])))
+
+
+def build(requests: DataFrame, repository: Column | None = None) -> DataFrame:
     """(request_id, task_type, prompt) of build-prompt requests. The summary
     stands for the conversation, of which the first 4,000 characters are used
-    otherwise. Task types are compared as they are written."""
+    otherwise. ``repository`` is the struct of :func:`repository_part`. Task
+    types are compared as they are written."""
     task = F.col("task_type")
     pick = lambda m: F.coalesce(*[F.when(task == k, F.lit(v)) for k, v in m.items()])
     talk = F.when(F.length("conversation_summary") > 0, F.concat(F.lit("Context from our previous conversation:\n"), "conversation_summary"))
@@ -81,6 +90,7 @@ def build(requests: DataFrame) -> DataFrame:
         SEPARATOR,
         pick(INTROS),
         talk,
+        F.lit(None).cast("string") if repository is None else repository_part(repository),
         F.when(F.length("intent") > 0, F.when(task == "debug", F.concat(F.lit("Bug description:\n"), "intent")).otherwise(F.col("intent"))),
         _part("Additional context", F.col("extra_context")),
         F.concat(F.lit("Relevant files:\n\n"), file_part(F.col("files"))),
@@ -110,6 +120,10 @@ def conversation_text(turns: DataFrame, key: str, order: str, role: str, text: s
     return shown.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p["t"]), SEPARATOR).alias("conversation"))
 
 
+#: Least length of a turn by where the conversation stands (fixed values).
+LEAST_TURN = {"claude": 5, "gemini": 5, "chatgpt": 10}
+
+
 # Templates with their instructions and sections.
 TEMPLATES = {
     "debugging": ("Act as a senior software engineer conducting a structured investigation. Prioritize verified facts over assumptions. Identify root causes, missing evidence, and next actions.", ("project", "current_issue", "verified_facts", "relevant_evidence", "timeline", "failed_attempts", "active_hypotheses", "likely_root_cause", "confidence", "alternatives", "reasoning", "open_questions", "task")),

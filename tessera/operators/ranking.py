@@ -74,8 +74,8 @@ def file_ranking(files: DataFrame, symbols: DataFrame, routes: DataFrame, import
 
 def composite_file_score(files: DataFrame, keywords: list[str], now: Column, suggested: list[str] = (), limit: int = 6) -> DataFrame:
     """Top files by keywords in path (1) and content (0.5, up to 20 KB), age,
-    entry-point name (2) and suggestion (5). ``files(path, content, length,
-    modified)``; the clock is a parameter."""
+    entry-point name (2) and suggestion (5: the path within it or it within the path).
+    ``files(path, content, length, modified)``; the clock is a parameter."""
     path = F.lower("path")
     base = F.regexp_extract(path, r"([^/]+)$", 1)
     low = F.lower("content")
@@ -83,7 +83,7 @@ def composite_file_score(files: DataFrame, keywords: list[str], now: Column, sug
     parts = [F.when(_contains(path, k), 1.0).otherwise(0.0) for k in keywords]
     parts += [F.when((F.col("length") <= 20 * 1024) & _contains(low, k), 0.5).otherwise(0.0) for k in keywords]
     parts += [F.when(age < 3600, 3.0).when(age < 86400, 2.0).when(age < 604800, 1.0).otherwise(0.0), F.when(base.isin(*ENTRY_POINTS), 2.0).otherwise(0.0)]
-    parts += [F.when(_contains(path, s.lower()) | _contains(F.lit(s.lower()), "\x00") | F.contains(F.lit(s.lower()), base), 5.0).otherwise(0.0) for s in suggested]
+    parts += [F.when(_contains(path, s.lower()) | F.contains(F.lit(s.lower()), path), 5.0).otherwise(0.0) for s in suggested]
     return files.withColumn("score", _sum(parts)).filter("score > 0").orderBy(F.desc("score"), "path").limit(limit)
 
 

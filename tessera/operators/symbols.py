@@ -213,4 +213,18 @@ def symbol_document(symbols: DataFrame) -> DataFrame:
         pick("import", name.alias("module"), F.col("detail").alias("imported"), line).alias("imports"),
         pick("call", owner.alias("caller"), name.alias("target"), line).alias("calls"),
         pick("inherit", owner.alias("class_name"), name.alias("parent"), line).alias("inherits"),
+        pick("reference", name.alias("symbol"), line).alias("references"),
+        pick("instantiation", name.alias("class_name"), line).alias("instantiations"),
+        pick("decorator", name.alias("decorator"), line).alias("decorators"),
     )
+
+
+def definitions_and_references(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(name, type, file, line) of classes and functions, methods among the
+    latter, and (name, file, line, context) of their uses: names, calls (again as
+    name or attribute) and attributes."""
+    d = symbols.filter("kind in ('class', 'function', 'method')").select("name", F.when(F.col("kind") == "class", "class").otherwise("function").alias("type"), F.col("file_path").alias("file"), "line")
+    last = F.regexp_extract("name", r"([^.]+)$", 1)
+    kinds = F.when(F.col("kind") == "reference", "name").otherwise(F.col("kind"))
+    r = symbols.filter("kind in ('reference', 'call', 'attribute')").select(F.when(F.col("kind") == "call", last).otherwise(F.col("name")).alias("name"), F.col("file_path").alias("file"), "line", kinds.alias("context"))
+    return d, r

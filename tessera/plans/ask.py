@@ -8,6 +8,7 @@ column of questions as expressions.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -31,6 +32,18 @@ GRAMMAR = (
     ("trace", r"trace\s+(.+?)\s*->\s*(.+?)$"),
 )
 CAPABILITIES = ("call_chain", "impact_analysis", "route_trace", "where_is_symbol")
+#: Texts of the answers.
+TEXTS = {
+    "no symbol": "Symbol '{0}' was not found.",
+    "symbol": "{0} is a {1}.",
+    "chain": "Execution chain for '{0}' contains {1} nodes.\n\nCall Chain:\n{2}",
+    "no route": "Route '{0}' was not found.",
+    "route": "Route '{0}' resolved to an execution path of {1} nodes.\n\nExecution Path:\n{2}",
+    "no impact": "No impact information found for '{0}'.",
+    "impact": "{0} affects {1} related symbols.",
+    "empty": "Empty query.",
+    "unknown": "Unable to determine the repository question being asked.",
+}
 
 
 @dataclass
@@ -44,6 +57,10 @@ class Answer:
     metadata: dict = field(default_factory=dict)
 
 
+def _dashes(names: list[str]) -> str:
+    return "\n".join(f"- {x}" for x in names)
+
+
 def clean_symbol(query: str, noise: tuple[str, ...]) -> str:
     out = query
     for word in noise:
@@ -102,6 +119,15 @@ class Repository:
 
     def __init__(self, nodes: DataFrame, edges: DataFrame) -> None:
         self.nodes, self.edges = nodes, edges
+        self.plugins = {name: getattr(self, name) for name in CAPABILITIES}
+
+    def capabilities(self) -> list[str]:
+        """The names of what can be asked, sorted."""
+        return sorted(self.plugins)
+
+    def register(self, name: str, answer: Callable[..., Answer]) -> None:
+        """Takes in or replaces a capability: its argument gives an answer."""
+        self.plugins[name] = answer
 
     def _names(self, rows: DataFrame, ids: str = "id") -> list[str]:
         got = rows.join(self.nodes.select("id", "name"), ids).select("depth", "name").distinct() if "depth" in rows.columns else rows.select("name").distinct()
@@ -115,26 +141,26 @@ class Repository:
     def where_is_symbol(self, name: str) -> Answer:
         node = graph.find_node(self.nodes, name).take(1)
         if not node:
-            return Answer("where_is_symbol", 0.0, f"Symbol '{name}' was not found.")
+            return Answer("where_is_symbol", 0.0, TEXTS["no symbol"].format(name))
         callers, callees = self._around(name, True), self._around(name, False)
-        text = f"{name} is a {node[0]['type'].lower()}."
+        text = TEXTS["symbol"].format(name, node[0]["type"].lower())
         text += "".join(f"\n\n{title}:\n" + "\n".join(f"- {x}" for x in xs) for title, xs in (("Called by", callers), ("Calls", callees)) if xs)
         return Answer("where_is_symbol", 0.95, text, sorted({name, *callers, *callees}), {"node_id": node[0]["id"], "node_type": node[0]["type"]})
 
     def call_chain(self, name: str, depth: int = 10) -> Answer:
         start = graph.find_node(self.nodes, name).select(F.col("id").alias("start"))
         if start.isEmpty():
-            return Answer("call_chain", 0.0, f"Symbol '{name}' was not found.", [name])
+            return Answer("call_chain", 0.0, TEXTS["no symbol"].format(name), [name])
         path = [name, *self._names(graph.reach(self.edges, start, depth, [graph.CALLS]))]
-        text = f"Execution chain for '{name}' contains {len(path)} nodes.\n\nCall Chain:\n" + "\n".join(f"- {x}" for x in path)
+        text = TEXTS["chain"].format(name, len(path), _dashes(path))
         return Answer("call_chain", 0.95, text, sorted(set(path)), {"length": len(path)})
 
     def route_trace(self, method: str, path: str) -> Answer:
         name = f"{method.upper()}:{path}"
         found = self._names(graph.route_trace(self.nodes, self.edges, method.upper(), path))
         if not found:
-            return Answer("route_trace", 0.0, f"Route '{name}' was not found.", [name])
-        text = f"Route '{name}' resolved to an execution path of {len(found)} nodes.\n\nExecution Path:\n" + "\n".join(f"- {x}" for x in found)
+            return Answer("route_trace", 0.0, TEXTS["no route"].format(name), [name])
+        text = TEXTS["route"].format(name, len(found), _dashes(found))
         return Answer("route_trace", 0.95, text, sorted({name, *found}), {"route": name, "path_length": len(found)})
 
     def impact_analysis(self, name: str) -> Answer:
@@ -142,11 +168,11 @@ class Repository:
         for r in graph.impact(self.nodes, self.edges, name).distinct().orderBy("section", "name").collect():
             parts[r["section"]].append(r["name"])
         if not any(parts.values()):
-            return Answer("impact_analysis", 0.0, f"No impact information found for '{name}'.", [name])
+            return Answer("impact_analysis", 0.0, TEXTS["no impact"].format(name), [name])
         risk = len(parts["dependents"]) + len(parts["callers"]) + len(parts["callees"])
-        text = f"{name} affects {risk} related symbols."
+        text = TEXTS["impact"].format(name, risk)
         if parts["dependents"]:
-            text += "\n\nDependents:\n" + "\n".join(f"- {x}" for x in parts["dependents"])
+            text += "\n\nDependents:\n" + _dashes(parts["dependents"])
         return Answer("impact_analysis", 0.90, text, sorted({name, *parts["callers"], *parts["callees"]}), {"risk_score": risk, "dependents": parts["dependents"]})
 
     def ask(self, query: str) -> Answer:
@@ -154,10 +180,11 @@ class Repository:
         impact are the same call."""
         capability, argument = route(query)
         if capability == "none":
-            return Answer("none", 0.0, "Empty query.")
+            return Answer("none", 0.0, TEXTS["empty"])
         if capability == "unknown":
-            return Answer("unknown", 0.0, "Unable to determine the repository question being asked.")
-        return self.route_trace(*argument.split(" ", 1)) if capability == "route_trace" else getattr(self, capability)(argument)
+            return Answer("unknown", 0.0, TEXTS["unknown"])
+        answer = self.plugins[capability]
+        return answer(*argument.split(" ", 1)) if capability == "route_trace" else answer(argument)
 
     search = explain = trace = impact = ask
 

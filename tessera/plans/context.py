@@ -3,6 +3,8 @@ them, as long tables (section, ord, value)."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.operators import graph, ranking
@@ -40,6 +42,30 @@ def repository_context(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, dep
     return out.unionByName(named.select(F.lit("call_chains").alias("section"), F.col("seed").alias("name"), "value", F.col("depth").cast("int").alias("ord")).distinct())
 
 
+def investigation_context(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, issue: str, routes: list[str] = (), depth: int = 10) -> DataFrame:
+    """(section, source, target, relationship, ord) around seed symbols (name):
+    dependencies, calls in both directions, call chains, and the routes given or
+    named in the issue with what they execute. Chains list (start, node, depth)."""
+    at = graph.first_wins(nodes).join(seeds.select("name").distinct(), "name", "left_semi").select(F.col("id").alias("from_id"), F.col("name").alias("seed"))
+    row = lambda df, section, source, target, rel, ord_=0: df.select(F.lit(section).alias("section"), source.alias("source"), target.alias("target"), F.lit(rel).alias("relationship"), (F.lit(ord_) if isinstance(ord_, int) else ord_).cast("int").alias("ord"))
+    seed, name = F.col("seed"), F.col("name")
+    deps = graph.neighbours(nodes, edges).join(at, "from_id")
+    callers = graph.neighbours(nodes, edges, [graph.CALLS], incoming=True).join(at, "from_id")
+    calls = deps.filter(F.col("relationship") == graph.CALLS)
+    out = row(at, "symbols", seed, seed, "").unionByName(row(deps, "dependencies", seed, name, "DEPENDS_ON")).unionByName(row(callers, "dependencies", name, seed, "CALLS")).unionByName(row(calls, "dependencies", seed, name, "CALLS"))
+    chain = graph.reach(edges, at.select(F.col("from_id").alias("start")), depth, [graph.CALLS])
+    named = chain.join(nodes.select("id", "name"), "id").join(at.withColumnRenamed("from_id", "start"), "start")
+    out = out.unionByName(row(named, "call_chains", seed, name, "CALLS", F.col("depth")))
+    mentioned = [f"{m.upper()}:{p}" for m, p in re.findall(r"(?i)\b(GET|POST|PUT|PATCH|DELETE)\s+(/[/\w\-]*)", issue)]
+    wanted = [r if ":" in r else r.replace(" ", ":", 1) for r in (*routes, *mentioned)]
+    if wanted:
+        starts = graph.first_wins(nodes.filter(F.col("name").isin(wanted))).select(F.col("id").alias("start"), F.col("name").alias("route"))
+        traced = graph.reach(edges, starts.select("start"), 10, [graph.CALLS, graph.REFERENCES, graph.INSTANTIATES]).join(nodes.select("id", "name"), "id").join(starts, "start")
+        known = edges.sparkSession.createDataFrame([(r,) for r in dict.fromkeys(wanted)], "route string")
+        out = out.unionByName(row(known, "routes", F.col("route"), F.col("route"), "")).unionByName(row(traced, "route_chains", F.col("route"), name, "", F.col("depth")))
+    return out.distinct()
+
+
 def answer(query: str, context: DataFrame, routes: list[str] = ()) -> tuple[str, float]:
     """(text, confidence) out of a context: a symbol for where-questions, else a
     route, else a dependency."""

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -69,7 +72,8 @@ def questions(plan: DataFrame) -> DataFrame:
 
 
 def build_artifacts(spark: SparkSession, root: str, out: str) -> dict[str, int]:
-    """Writes tree, symbols, nodes, edges of a source tree; counts of each."""
+    """Writes tree, symbols, dependencies, graphs (nodes, edges; calls of the third
+    generation) and metadata of a source tree; counts of each."""
     files = repository.listing(spark, root, content=True)
     repository.tree(files).write.mode("overwrite").parquet(f"{out}/tree")
     python = repository.keep(files, repository.TREE_FOLDERS, (".py",)).select("path", F.decode("content", "UTF-8").alias("content"))
@@ -79,10 +83,14 @@ def build_artifacts(spark: SparkSession, root: str, out: str) -> dict[str, int]:
     nodes, edges = graph.build_v2(doc)
     nodes.write.mode("overwrite").parquet(f"{out}/nodes")
     edges.write.mode("overwrite").parquet(f"{out}/edges")
+    table.filter("kind = 'import'").select("file_path", F.col("name").alias("module"), F.col("detail").alias("imported"), "line").write.mode("overwrite").parquet(f"{out}/dependencies")
+    symbols.resolved_calls(table).write.mode("overwrite").parquet(f"{out}/calls_v3")
     tree = spark.read.parquet(f"{out}/tree").groupBy("node_type").count().collect()
     count = {r["node_type"]: r["count"] for r in tree}
     kinds = table.filter("kind in ('class', 'function', 'method', 'route')").count()
-    return {"files": count.get("file", 0), "directories": count.get("directory", 0), "symbols": kinds, "nodes": spark.read.parquet(f"{out}/nodes").count(), "edges": spark.read.parquet(f"{out}/edges").count()}
+    got = {"files": count.get("file", 0), "directories": count.get("directory", 0), "symbols": kinds, "nodes": spark.read.parquet(f"{out}/nodes").count(), "edges": spark.read.parquet(f"{out}/edges").count()}
+    spark.createDataFrame([tuple(got.values())], ", ".join(f"{k} bigint" for k in got)).withColumn("created_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").json(f"{out}/metadata")
+    return got
 
 
 def open_project(spark: SparkSession, root: str, out: str, *, rebuild: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -101,17 +109,17 @@ class Registry:
     """Projects by path; an append-only table whose last row of a path counts."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+        self.spark, self.path, self._last = spark, path, 0
 
-    def _write(self, name: str | None, path: str, artifacts: str | None, removed: bool) -> None:
-        seq = (self._all().agg(F.max("seq")).first()[0] or 0) + 1
-        stores.append(self.spark.createDataFrame([(name, path, artifacts, {}, seq, removed)], REGISTRY), self.path)
+    def _write(self, name: str | None, path: str, artifacts: str | None, removed: bool, metadata: dict[str, str]) -> None:
+        self._last = max(self._last + 1, time.time_ns())
+        stores.append(self.spark.createDataFrame([(name, path, artifacts, metadata, self._last, removed)], REGISTRY).coalesce(1), self.path)
 
     def _all(self) -> DataFrame:
         return stores.read_or_empty(self.spark, self.path, REGISTRY)
 
-    def register(self, name: str, path: str, artifacts: str) -> None:
-        self._write(name, path, artifacts, False)
+    def register(self, name: str, path: str, artifacts: str, metadata: dict[str, str] | None = None) -> None:
+        self._write(name, path, artifacts, False, metadata or {})
 
     def projects(self) -> DataFrame:
         return stores.latest(self._all(), ["project_path"], "seq").filter("not removed").orderBy(F.lower("project_name"))
@@ -123,13 +131,14 @@ class Registry:
         """Whether there was one of that name."""
         gone = [r["project_path"] for r in self.projects().filter(F.lower("project_name") == name.lower()).collect()]
         for p in gone:
-            self._write(name, p, None, True)
+            self._write(name, p, None, True, {})
         return bool(gone)
 
 
 class Sessions:
     """Investigation sessions: timeline, facts, hypotheses, evidence, memory as
-    append-only tables by project."""
+    append-only tables. Rows are ordered by ``seq``, the time of their writing in
+    nanoseconds; a deletion is a row, too, before which nothing counts."""
 
     TABLES = {
         "facts": "session string, seq bigint, statement string, evidence array<string>",
@@ -137,41 +146,77 @@ class Sessions:
         "evidence": "session string, seq bigint, evidence_type string, path string, hash string",
         "memory": "session string, seq bigint, kind string, value string",
         "timeline": stores.TIMELINE,
+        "deleted": "session string, seq bigint",
     }
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root
+        self.spark, self.root, self._last = spark, root, 0
+
+    def _seq(self) -> int:
+        self._last = max(self._last + 1, time.time_ns())
+        return self._last
+
+    def path(self, name: str = "") -> str:
+        """Where the sessions' tables stand."""
+        return f"{self.root}/{name}" if name else self.root
 
     def table(self, name: str, session: str | None = None) -> DataFrame:
-        df = stores.read_or_empty(self.spark, f"{self.root}/{name}", self.TABLES[name])
-        return df if session is None else df.filter(F.col("session") == session)
+        """The rows that count, of one session or of all."""
+        df = stores.read_or_empty(self.spark, self.path(name), self.TABLES[name])
+        df = df if session is None else df.filter(F.col("session") == session)
+        gone = stores.read_or_empty(self.spark, self.path("deleted"), self.TABLES["deleted"]).groupBy("session").agg(F.max("seq").alias("_gone"))
+        return df.join(gone, "session", "left").filter("_gone is null or seq > _gone").drop("_gone")
+
+    def append(self, name: str, session: str, rows: DataFrame) -> None:
+        """Rows of one table (its columns but session and seq) in one write."""
+        given = rows.select(F.lit(session).alias("session"), F.lit(self._seq()).cast("bigint").alias("seq"), "*")
+        stores.append(given.select(*[c.split()[0] for c in self.TABLES[name].split(", ")]), self.path(name))
 
     def _add(self, name: str, session: str, *values) -> None:
-        seq = (self.table(name, session).agg(F.max("seq")).first()[0] or 0) + 1
-        stores.append(self.spark.createDataFrame([(session, seq, *values)], self.TABLES[name]), f"{self.root}/{name}")
+        stores.append(self.spark.createDataFrame([(session, self._seq(), *values)], self.TABLES[name]).coalesce(1), self.path(name))
 
     def event(self, session: str, kind: str, content: str) -> None:
-        at = self.spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'+00:00'")).first()[0]
-        self._add("timeline", session, f"evt_{abs(hash((session, kind, content, at))):x}", at, kind, content.strip(), None)
+        at = datetime.now(timezone.utc).isoformat()
+        self._add("timeline", session, f"evt_{uuid.uuid4().hex}", at, kind, content.strip(), None)
+
+    def exists(self, session: str) -> bool:
+        return bool(self.table("timeline", session).take(1))
 
     def create(self, session: str) -> None:
-        if self.table("timeline", session).take(1):
+        if self.exists(session):
             raise FileExistsError(session)
-        self.event(session, "session_created", "Session created")
+        self.event(session, "session_created", f"Investigation session created for '{session}'")
 
     def load(self, session: str) -> DataFrame:
         """The timeline; reading is an event, too."""
-        if not self.table("timeline", session).take(1):
+        if not self.exists(session):
             raise FileNotFoundError(session)
-        self.event(session, "session_loaded", "Session loaded")
+        self.event(session, "session_loaded", f"Session loaded: {session}")
         return self.table("timeline", session).orderBy("seq")
 
+    def resume(self, session: str) -> DataFrame:
+        """The timeline of a session that is made where there is none."""
+        if not self.exists(session):
+            self.create(session)
+        return self.load(session)
+
     def save(self, session: str) -> None:
         self.event(session, "decision_made", "Session saved")
 
+    def delete(self, session: str) -> None:
+        """What was written so far counts no more; nothing where there is none."""
+        if self.exists(session):
+            self._add("deleted", session)
+
     def names(self) -> DataFrame:
         return self.table("timeline").groupBy("session").agg(F.max("timestamp").alias("updated_at"), F.count("*").alias("n_events")).orderBy(F.desc("updated_at"))
 
+    def add_facts(self, session: str, facts: DataFrame) -> None:
+        """Facts (statement, evidence) in one write: stripped statements that
+        aren't there yet, the first of each; old ones keep their evidence."""
+        new = facts.select(F.regexp_replace("statement", r"^\s+|\s+$", "").alias("statement"), "evidence").filter("statement <> ''")
+        self.append("facts", session, stores.insert_missing(self.table("facts", session), new.withColumn("_o", F.to_json("evidence")), "statement", "_o").drop("_o"))
+
     def add_fact(self, session: str, statement: str, evidence: list[str] | None = None) -> bool:
         """Whether the stripped statement was new; an old one keeps its evidence."""
         statement = statement.strip()
@@ -180,11 +225,16 @@ class Sessions:
         self._add("facts", session, statement, evidence or [])
         return True
 
+    def add_hypotheses(self, session: str, rows: DataFrame, status: str = "active") -> None:
+        """Hypotheses (id, statement) whose statement wasn't there before this."""
+        new = rows.select("id", "statement", F.lit(status).alias("status"))
+        self.append("hypotheses", session, new.join(self.table("hypotheses", session).select("statement"), "statement", "left_anti"))
+
     def add_hypothesis(self, session: str, hid: str, statement: str, status: str = "active") -> None:
         self._add("hypotheses", session, hid, statement, status)
 
     def hypotheses(self, session: str) -> DataFrame:
-        return stores.latest(self.table("hypotheses", session), ["id"], "seq").orderBy("seq")
+        return stores.latest(self.table("hypotheses", session), ["id"], "seq").orderBy("seq", "id")
 
     def set_status(self, session: str, hid: str, status: str) -> None:
         row = self.hypotheses(session).filter(F.col("id") == hid).take(1)
@@ -204,6 +254,13 @@ class Sessions:
     def stats(self) -> DataFrame:
         return stores.session_stats(self.table("facts"), self.table("hypotheses"), self.table("evidence"), self.table("timeline"))
 
+    def summary(self, session: str) -> DataFrame:
+        """One row: counts, the number of timeline lines, the last root cause."""
+        causes = self.table("memory", session).filter("kind = 'root_cause'").agg(F.max_by("value", "seq").alias("root_cause"))
+        made = self.table("timeline", session).agg(F.min("timestamp").alias("created_at"), F.max("timestamp").alias("updated_at"))
+        one = lambda df: df.withColumn("session", F.lit(session))
+        return self.stats().filter(F.col("session") == session).join(one(causes), "session").join(one(made), "session")
+
 
 def prompt_history(prompts: DataFrame, by: str, order: str, keep: int = 5) -> DataFrame:
     """The newest prompts of each user."""
@@ -213,8 +270,11 @@ def prompt_history(prompts: DataFrame, by: str, order: str, keep: int = 5) -> Da
 
 def repository_digest(files: DataFrame, readme_chars: int = 2000, paths: int = 60) -> DataFrame:
     """(readme, file_tree) of a listing with contents: the README's beginning and
-    the first paths outside node_modules."""
-    shown = files.filter(~F.contains("path", F.lit("node_modules"))).select("path").orderBy("path").limit(paths)
-    tree = shown.agg(F.array_join(F.array_sort(F.collect_list("path")), "\n").alias("file_tree")).withColumn("k", F.lit(1))
-    readme = files.filter(F.lower("path") == "readme.md").agg(F.substring(F.decode(F.first("content"), "UTF-8"), 1, readme_chars).alias("readme")).withColumn("k", F.lit(1))
-    return tree.join(readme, "k").select("readme", "file_tree")
+    the first paths outside node_modules. With a column ``repository``, a row
+    for each; top paths are cut before the shuffle."""
+    rows = files if "repository" in files.columns else files.withColumn("repository", F.lit(""))
+    shown = rows.filter(~F.contains("path", F.lit("node_modules"))).select("repository", "path").withColumn("_r", F.row_number().over(Window.partitionBy("repository").orderBy("path"))).filter(F.col("_r") <= paths)
+    tree = shown.groupBy("repository").agg(F.array_join(F.array_sort(F.collect_list("path")), "\n").alias("file_tree"))
+    readme = rows.filter(F.lower("path") == "readme.md").groupBy("repository").agg(F.substring(F.decode(F.min_by("content", "path"), "UTF-8"), 1, readme_chars).alias("readme"))
+    out = tree.join(readme, "repository", "full").select("repository", "readme", "file_tree")
+    return out if "repository" in files.columns else out.drop("repository")

@@ -41,6 +41,42 @@ def keep(files: DataFrame, folders: tuple[str, ...], extensions: tuple[str, ...]
     return out.filter(_extension(F.col("path")).isin(*extensions)) if extensions else out
 
 
+def _glob(pattern: str) -> str:
+    """A pattern as an expression on paths: ``*`` and ``?`` within a name, ``**``
+    any folders; neither begins a hidden name."""
+    out, i = "", 0
+    while i < len(pattern):
+        if pattern.startswith("**/", i) and (i == 0 or pattern[i - 1] == "/"):
+            out, i = out + r"(?:[^/.][^/]*/)*", i + 3
+        elif pattern[i:] == "**" and (i == 0 or pattern[i - 1] == "/"):
+            out, i = out + r"(?:[^/.][^/]*(?:/[^/.][^/]*)*)?", i + 2
+        elif pattern[i] in "*?":
+            first = i == 0 or pattern[i - 1] == "/"
+            out, i = out + (r"(?!\.)" if first else "") + ("[^/]*" if pattern[i] == "*" else "[^/]"), i + 1
+        elif pattern[i] == "[" and "]" in pattern[i + 2 :]:
+            end = pattern.index("]", i + 2)
+            out, i = out + "[" + pattern[i + 1 : end].replace("!", "^", 1).replace("\\", "\\\\") + "]", end + 1
+        else:
+            out, i = out + ("\\" + pattern[i] if not pattern[i].isalnum() and pattern[i] != "_" else pattern[i]), i + 1
+    return out
+
+
+def expand(files: DataFrame, patterns: list[str], *, fallback: bool = True) -> DataFrame:
+    """(pattern, path) of the files that each pattern means: those it matches and
+    all below folders that it matches; where there is none, with ``fallback``,
+    the first file of the pattern's last name anywhere."""
+    if not patterns:
+        return files.select(F.lit("").alias("pattern"), "path").limit(0)
+    base = F.regexp_extract("path", r"([^/]+)$", 1)
+    tests = F.array(*[F.struct(F.lit(p).alias("pattern"), F.col("path").rlike(f"^(?:{_glob(p.strip('/'))})(?:/.*)?$").alias("hit"), (base == p.rstrip("/").rpartition("/")[2]).alias("named")) for p in dict.fromkeys(patterns)])
+    rows = files.select("path", F.explode(F.filter(tests, lambda t: t["hit"] | t["named"])).alias("t")).select("path", "t.*")
+    found = rows.filter("hit").select("pattern", "path")
+    if not fallback:
+        return found
+    first = rows.groupBy("pattern").agg(F.max("hit").alias("any"), F.min("path").alias("path")).filter("not any")  # a row a pattern
+    return found.unionByName(first.select("pattern", "path"))
+
+
 def tree(files: DataFrame) -> DataFrame:
     """(path, parent, name, node_type, depth): files and each folder above
     them, the root as ``.``; ordered folders first, then by name."""
@@ -78,6 +114,16 @@ def request_evidence(requests: DataFrame, text: str) -> DataFrame:
     return requests.select(F.lit("USER_REPORTED_PROBLEM").alias("evidence_type"), clean.alias("content")).filter("content <> ''")
 
 
+def file_arguments(given: DataFrame, kinds: list[str], files: DataFrame) -> DataFrame:
+    """Rows (evidence_type, path) of a known kind whose file is there."""
+    return given.filter(F.col("evidence_type").isin(*kinds)).join(files.select("path").distinct(), "path", "left_semi").select("evidence_type", "path")
+
+
+def content_hash(files: DataFrame) -> DataFrame:
+    """(path, hash): MD5 of each file's bytes, '' where they can't be read."""
+    return files.select("path", F.coalesce(F.md5("content"), F.lit("")).alias("hash"))
+
+
 def extension_histogram(files: DataFrame, path: str = "path") -> DataFrame:
     """(extension, n, language)."""
     lang = F.create_map(*[x for k, v in LANGUAGES.items() for x in (F.lit(k), F.lit(v))])

@@ -78,3 +78,27 @@ def session_stats(facts: DataFrame, hypotheses: DataFrame, evidence: DataFrame,
         parts = p if parts is None else parts.unionByName(p)
     count = lambda n: F.sum(F.when(F.col("what") == n, 1).otherwise(0)).alias(n)
     return parts.groupBy("session").agg(count("facts"), count("hypotheses"), count("evidence"), count("events"))
+
+
+class GraphCache:
+    """Loaded graphs by path, kept in memory and on disk of the executors until
+    they are invalidated."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self._kept = spark, {}
+
+    def load(self, path: str) -> tuple[DataFrame, DataFrame]:
+        if path not in self._kept:
+            self._kept[path] = tuple(df.persist() for df in load_graph(self.spark, path))
+        return self._kept[path]
+
+    def contains(self, path: str) -> bool:
+        return path in self._kept
+
+    def invalidate(self, path: str) -> None:
+        for df in self._kept.pop(path, ()):
+            df.unpersist()
+
+    def clear(self) -> None:
+        for path in list(self._kept):
+            self.invalidate(path)
