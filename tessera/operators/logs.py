@@ -34,6 +34,11 @@ def in_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.filter(F.col(text).isNotNull()).select(F.col(key).alias("src"), numbered(F.col(text)).alias("l"))
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value made once, wherever the optimizer moves it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def error_lines_of(l: Column) -> Column:  # noqa: E741
     return F.filter(l, lambda x: is_error(x["line"]))
 
@@ -43,50 +48,49 @@ def without_blank_of(l: Column) -> Column:  # noqa: E741
 
 
 def without_repeats_of(l: Column) -> Column:  # noqa: E741
-    """Without lines equal to the one before them. ``l`` has to be a column that
-    was made before, not an expression, or it is made anew for each line."""
-    return F.filter(l, lambda x, i: (i == 0) | ~x["line"].eqNullSafe(F.get(l, i - 1)["line"]))
+    """Without lines equal to the one before them."""
+    return _let(l, lambda a: F.filter(a, lambda x, i: (i == 0) | ~x["line"].eqNullSafe(F.get(a, i - 1)["line"])))
+
+
+def error_context_of(l: Column, before: int = 5, after: int = 10) -> Column:  # noqa: E741
+    """Error lines with ``before`` lines before and ``after`` after them."""
 
+    def near(flags: Column, i: Column) -> Column:
+        first = F.greatest(i - after, F.lit(0))
+        return F.exists(F.slice(flags, first + 1, i + before - first + 1), lambda e: e)
 
-def _near(flags: Column, i: Column, before: int, after: int) -> Column:
-    first = F.greatest(i - after, F.lit(0))
-    return F.exists(F.slice(flags, first + 1, i + before - first + 1), lambda e: e)
+    return _let(l, lambda a: _let(F.transform(a, lambda x: is_error(x["line"])), lambda flags: F.filter(a, lambda x, i: near(flags, i))))
 
 
-def error_context_of(l: Column, flags: Column, before: int = 5, after: int = 10) -> Column:  # noqa: E741
-    """Lines of ``l`` within ``before`` lines before and ``after`` after one that
-    ``flags`` marks."""
-    return F.filter(l, lambda x, i: _near(flags, i, before, after))
+def investigation_view_of(l: Column) -> Column:  # noqa: E741
+    """Blank lines and repeats dropped, then error context; all clean lines of a
+    text without errors. Positions stay those of the text."""
+    return _let(without_repeats_of(without_blank_of(l)), lambda a: _let(error_context_of(a), lambda near: F.when(F.size(near) > 0, near).otherwise(a)))
 
 
-def errors_of(l: Column) -> Column:  # noqa: E741
-    """array<boolean>: whether each line is an error line."""
-    return F.transform(l, lambda x: is_error(x["line"]))
+def head_and_tail_of(l: Column, most: int = 5000, head: int = 500, tail: int = 2000) -> Column:  # noqa: E741
+    """The first and last lines of more than ``most``, else all."""
+    return _let(l, lambda a: F.when(F.size(a) > most, F.concat(F.slice(a, 1, head), F.slice(a, F.greatest(F.size(a) - tail, F.lit(head)) + 1, F.lit(tail)))).otherwise(a))
 
 
-def stack_traces_in(df: DataFrame) -> DataFrame:
-    """(src, first_pos, last_pos, trace) of rows (src, l): from a line with a
-    mark to the next blank line, that line included; marks inside a trace begin
-    none. Blank lines part a text into stretches; each has a trace or none."""
-    mark = F.transform("l", lambda x: F.coalesce(x["line"].rlike(rf"(?i)(?:{TRACE_MARKS})"), F.lit(False)) & ~is_blank(x["line"]))
-    rows = df.withColumn("m", mark).filter(F.exists("m", lambda x: x)).withColumn("b", F.transform(F.filter("l", lambda x: is_blank(x["line"])), lambda x: x["pos"]))
-    rows = rows.withColumn("e", F.when((F.size("b") > 0) & (F.element_at("b", -1) == F.size("l") - 1), F.col("b")).otherwise(F.concat("b", F.array(F.size("l") - 1))))
-    begin = lambda i: F.when(i == 0, 0).otherwise(F.get("e", i - 1) + 1)
-    rows = rows.withColumn("s", F.transform("e", lambda last, i: F.struct((begin(i) + F.array_position(F.slice("m", begin(i) + 1, last - begin(i) + 1), True) - 1).cast("int").alias("first_pos"), begin(i).alias("from"), last.alias("last_pos"))))
-    rows = rows.select("src", "l", F.explode(F.filter("s", lambda x: x["first_pos"] >= x["from"])).alias("s"))
-    return rows.select("src", "s.first_pos", "s.last_pos", F.array_join(F.transform(F.slice("l", F.col("s.first_pos") + 1, F.col("s.last_pos") - F.col("s.first_pos") + 1), lambda x: x["line"]), "\n").alias("trace"))
+def stack_traces_of(l: Column) -> Column:  # noqa: E741
+    """array<struct<first_pos, last_pos, trace>>: from a line with a mark to the
+    next blank line, that line included; marks inside a trace begin none. Blank
+    lines part a text into stretches; each has a trace or none."""
+    mark = lambda x: F.coalesce(x["line"].rlike(rf"(?i)(?:{TRACE_MARKS})"), F.lit(False)) & ~is_blank(x["line"])
 
+    def stretches(a: Column) -> Column:
+        blank = F.transform(F.filter(a, lambda x: is_blank(x["line"])), lambda x: x["pos"])
+        return _let(blank, lambda b: F.when((F.size(b) > 0) & (F.get(b, F.size(b) - 1) == F.size(a) - 1), b).otherwise(F.concat(b, F.array(F.size(a) - 1))))
 
-def investigation_view_in(df: DataFrame) -> DataFrame:
-    """Rows (src, l) with blank lines and repeats dropped, then error context; all
-    clean lines of a source without errors. Positions stay those of the text."""
-    rows = df.withColumn("l", without_blank_of(F.col("l"))).withColumn("l", without_repeats_of(F.col("l"))).withColumn("e", errors_of(F.col("l")))
-    return rows.withColumn("l", F.when(F.exists("e", lambda x: x), error_context_of(F.col("l"), F.col("e"))).otherwise(F.col("l"))).drop("e")
+    def trace(a: Column, marks: Column, first: Column, last: Column) -> Column:
+        at = first + F.array_position(F.slice(marks, first + 1, last - first + 1), True).cast("int") - 1
+        return _let(at, lambda p: F.when(p >= first, F.struct(p.alias("first_pos"), last.alias("last_pos"), F.array_join(F.transform(F.slice(a, p + 1, last - p + 1), lambda x: F.coalesce(x["line"], F.lit(""))), "\n").alias("trace"))))
 
+    def all_of(a: Column) -> Column:
+        return _let(F.transform(a, mark), lambda marks: _let(stretches(a), lambda ends: F.filter(F.transform(ends, lambda last, i: trace(a, marks, F.when(i == 0, 0).otherwise(F.get(ends, i - 1) + 1), last)), lambda t: t.isNotNull())))
 
-def head_and_tail_of(l: Column, most: int = 5000, head: int = 500, tail: int = 2000) -> Column:  # noqa: E741
-    """The first and last lines of more than ``most``, else all."""
-    return F.when(F.size(l) > most, F.filter(l, lambda x, i: (i < head) | (i >= F.size(l) - tail))).otherwise(l)
+    return _let(l, all_of)
 
 
 def is_error(line: Column) -> Column:

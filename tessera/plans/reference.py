@@ -13,22 +13,21 @@ from tessera.operators import analysis, graph, logs, prompts, ranking, routes
 from tessera.plans import ask
 from tessera.session import table
 from tessera.sources import projects, repository, stores
+from tessera.streaming import events
 
 ISSUE = "Debug the session token that the upload route /tokens/session rejects"
-_NODE_KINDS = {"classes": ("class", ["name"]), "functions": ("function", ["name"])}
 
 
 def _files(spark, base, *cols) -> DataFrame:
     """Index rows, one of each."""
-    return table(spark, base, "file_symbols").select("file_id", *cols).dropDuplicates(["file_id"])
-
-
-def _runs(spark, base) -> DataFrame:
-    return table(spark, base, "terminal_run").select("run_id", "stdout").filter("stdout is not null").distinct()
+    return table(spark, base, "file_symbols").select("file_id", *cols).distinct()
 
 
 def _lines(spark, base) -> DataFrame:
-    return logs.exploded(_runs(spark, base), "run_id", "stdout")
+    """(src, l): the lines of both streams of the runs, within the row. Repeated
+    runs are made one after an operator has made them small."""
+    runs = table(spark, base, "terminal_run").select("run_id", F.explode(F.array(*[F.struct(F.lit(c).alias("o"), F.col(c).alias("t")) for c in ("stdout", "stderr")])).alias("s"))
+    return logs.in_rows(runs.select(F.concat_ws(":", "s.o", "run_id").alias("k"), F.col("s.t").alias("t")), "k", "t")
 
 
 def _calls(spark, base) -> DataFrame:
@@ -37,17 +36,46 @@ def _calls(spark, base) -> DataFrame:
     return c.select(F.col("c.caller").alias("source"), F.col("c.target").alias("target")).distinct()
 
 
+def _call_graph(spark, base) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the calls: their ends by name."""
+    e = _calls(spark, base).withColumn("relationship", F.lit(graph.CALLS))
+    n = e.select(F.col("source").alias("id")).unionByName(e.select(F.col("target").alias("id"))).distinct()
+    return n.select("id", F.lit("FUNCTION").alias("type"), F.col("id").alias("name"), F.lit(0).alias("ord")), e
+
+
+def _built(spark, base) -> tuple[DataFrame, DataFrame]:
+    return graph.build_v2(table(spark, base, "file_symbols"))
+
+
+def _symbols(spark, base) -> DataFrame:
+    """(file, type, name, line) of classes, functions and methods, distinct."""
+    f = table(spark, base, "file_symbols")
+    one = lambda c, t: f.select(F.col("file_path").alias("file"), F.lit(t).alias("type"), F.explode(c).alias("x")).select("file", "type", F.col("x.name").alias("name"), F.coalesce("x.line", F.lit(0)).alias("line"))
+    return one("classes", "class").unionByName(one("functions", "function")).unionByName(one("methods", "method")).filter("name is not null").distinct()
+
+
+def _imports(spark, base) -> DataFrame:
+    """(source, module, imported, line, target): import rows with their files."""
+    f = table(spark, base, "file_symbols")
+    i = f.select("file_id", F.col("file_path").alias("source"), F.explode("imports").alias("x")).filter("x.module is not null").select("file_id", "source", "x.module", "x.imported", "x.line").distinct()
+    return graph.longest_prefix(i, _modules(spark, base)).select("source", "module", "imported", "line", F.col("file").alias("target"))
+
+
+def _modules(spark, base) -> DataFrame:
+    """(name, file): folders as packages, the first file of each."""
+    m = table(spark, base, "file_symbols").select(F.regexp_replace(F.regexp_replace("file_path", r"/[^/]*$|^src/", ""), "/", ".").alias("name"), F.col("file_path").alias("file"))
+    return m.groupBy("name").agg(F.min("file").alias("file"))
+
+
 # ------------------------------------------------------------------ graph
 def graph_nodes_v2(spark: SparkSession, base: str) -> DataFrame:
-    """Number of nodes by type of the built graph."""
-    nodes, _ = graph.build_v2(_files(spark, base, "file_path", "classes", "functions", "methods", "routes", "imports", "calls", "inherits"))
-    return nodes.groupBy("type").agg(F.count("*").alias("n_nodes"), F.countDistinct("name").alias("n_names"))
+    """The nodes of the built graph."""
+    return _built(spark, base)[0].select("id", "type", "name")
 
 
 def graph_edges_v2(spark: SparkSession, base: str) -> DataFrame:
-    """Distinct edges of the built graph by relationship and kind of target."""
-    _, edges = graph.build_v2(_files(spark, base, "file_path", "classes", "functions", "methods", "routes", "imports", "calls", "inherits"))
-    return edges.groupBy("relationship", F.regexp_extract("target", "^([a-z]+):", 1).alias("target_kind")).agg(F.count("*").alias("n_edges"), F.countDistinct("source").alias("n_sources"))
+    """The distinct edges of the built graph."""
+    return _built(spark, base)[1].select("source", "target", "relationship")
 
 
 def find_node_first_wins(spark: SparkSession, base: str) -> DataFrame:
@@ -67,24 +95,24 @@ def node_type_counts(spark: SparkSession, base: str) -> DataFrame:
 
 def callers_callees(spark: SparkSession, base: str) -> DataFrame:
     """Numbers of distinct callers and callees of each symbol."""
-    c = _calls(spark, base)
-    rows = c.select(F.col("target").alias("name"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionByName(c.select(F.col("source").alias("name"), F.lit(0).alias("i"), F.lit(1).alias("o")))
+    nodes, edges = _call_graph(spark, base)
+    rows = None
+    for incoming, callers in ((True, 1), (False, 0)):
+        near = graph.neighbours(nodes, edges, [graph.CALLS], incoming=incoming).select(F.col("from_id").alias("name"), F.lit(callers).alias("i"), F.lit(1 - callers).alias("o"))
+        rows = near if rows is None else rows.unionByName(near)
     return rows.groupBy("name").agg(F.sum("i").alias("n_callers"), F.sum("o").alias("n_callees"))
 
 
 def definition_reference_join(spark: SparkSession, base: str) -> DataFrame:
-    """Each defined function with its last definition and its references."""
-    f = table(spark, base, "file_symbols").select("file_path", F.explode("functions").alias("x")).filter("x.name is not null").select(F.col("x.name").alias("name"), F.lit("function").alias("type"), F.col("file_path").alias("file"), F.coalesce("x.line", F.lit(0)).alias("line")).distinct()
+    """Each defined name with its last definition and its references."""
     r = table(spark, base, "file_symbols").select("file_id", F.col("file_path").alias("file"), F.explode("calls").alias("c")).filter("c.target is not null").select("file_id", "file", F.col("c.target").alias("name"), F.col("c.line").alias("line")).distinct()
-    return graph.definition_index(f, r)
+    return graph.definition_index(_symbols(spark, base), r)
 
 
 def longest_prefix_resolution(spark: SparkSession, base: str) -> DataFrame:
     """Imported modules with the file of the longest known prefix."""
     i = table(spark, base, "file_symbols").select(F.explode("imports").alias("x")).filter("x.module is not null").select(F.col("x.module").alias("module")).distinct()
-    m = table(spark, base, "file_symbols").select(F.regexp_replace(F.regexp_replace("file_path", r"/[^/]*$|^src/", ""), "/", ".").alias("name"), F.col("file_path").alias("file"))
-    m = m.groupBy("name").agg(F.min("file").alias("file"))
-    return graph.longest_prefix(i, m).select("module", "file")
+    return graph.longest_prefix(i, _modules(spark, base)).select("module", "file")
 
 
 def bounded_bfs(spark: SparkSession, base: str) -> DataFrame:
@@ -111,33 +139,37 @@ def adjacency_lists(spark: SparkSession, base: str) -> DataFrame:
 
 
 def file_dependencies(spark: SparkSession, base: str) -> DataFrame:
-    """Imports by file: rows, modules and names."""
-    i = table(spark, base, "file_symbols").select("file_id", F.explode("imports").alias("x")).filter("x is not null").select("file_id", "x.module", "x.imported", "x.line").distinct()
-    return i.groupBy("file_id").agg(F.count("*").alias("n_imports"), F.countDistinct("module").alias("n_modules"), F.count("imported").alias("n_names"))
+    """Files that a file's imports mean, with the number of import rows."""
+    return _imports(spark, base).filter("target is not null").groupBy("source", "target").agg(F.count("*").alias("n_imports"))
+
+
+def symbol_dependencies(spark: SparkSession, base: str) -> DataFrame:
+    """Modules and names that each file imports, resolved or not."""
+    return _imports(spark, base).groupBy("source", "module").agg(F.count("*").alias("n_rows"), F.count("imported").alias("n_names"), F.max(F.col("target").isNotNull()).alias("resolved"))
 
 
 def route_catalogue(spark: SparkSession, base: str) -> DataFrame:
-    r = table(spark, base, "file_symbols").select("project_name", "file_path", F.explode("routes").alias("r")).filter("r is not null")
-    return r.select("project_name", F.col("r.path").alias("path"), F.upper("r.method").alias("method"), F.col("r.function_name").alias("handler"), "file_path").distinct()
+    r = table(spark, base, "file_symbols").select(F.explode("routes").alias("r")).filter("r is not null")
+    return routes.catalogue(r.select("r.path", "r.method", F.col("r.function_name").alias("handler")))
 
 
 # ---------------------------------------------------------------- ranking
 def node_relevance(spark: SparkSession, base: str) -> DataFrame:
-    n = table(spark, base, "graph_node").select("node_key", "type", "name", "metadata").distinct()
+    n = table(spark, base, "graph_node").select("node_key", "type", "name", "metadata")
     return ranking.node_relevance(n, ISSUE, "metadata").groupBy("node_key").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "node_key").limit(50)
 
 
 def evidence_text_score(spark: SparkSession, base: str) -> DataFrame:
-    e = table(spark, base, "evidence").select("evidence_id", "content").distinct()
-    return ranking.text_score(e, "content", "timeout session route").select("evidence_id", "score")
+    e = table(spark, base, "evidence").select("evidence_id", "content")
+    return ranking.text_score(e, "content", "timeout session route").select("evidence_id", "score").distinct()
 
 
 def file_rank_topk(spark: SparkSession, base: str) -> DataFrame:
     f = table(spark, base, "file_symbols")
-    names = f.select("file_path", F.explode("functions").alias("x")).select("file_path", "x.name").filter("name is not null").distinct()
-    routes = f.select("file_path", F.explode("routes").alias("r")).select("file_path", "r.path").filter("path is not null").distinct()
-    none = f.select(F.col("file_path").alias("source"), F.col("file_path").alias("target")).filter("false")
-    got = ranking.file_ranking(f.select("file_path").distinct(), names, routes, none, ISSUE, 20)
+    names = _symbols(spark, base).select(F.col("file").alias("file_path"), "type", "name").distinct()
+    routes_ = f.select("file_path", F.explode("routes").alias("r")).select("file_path", "r.path").filter("path is not null").distinct()
+    imports = _imports(spark, base).filter("target is not null").select("source", "target")
+    got = ranking.file_ranking(f.select("file_path").distinct(), names, routes_, imports, ISSUE, 20)
     return got.select("file_path", "score", F.array_join("reasons", "; ").alias("reasons"))
 
 
@@ -155,8 +187,9 @@ def token_frequency(spark: SparkSession, base: str) -> DataFrame:
 
 # ------------------------------------------------------------------- text
 def extract_keywords(spark: SparkSession, base: str) -> DataFrame:
-    c = table(spark, base, "prompt_request").select("request_id", "intent").distinct()
-    return c.select("request_id", F.array_join(tx.keywords(F.col("intent")), ",").alias("keywords"))
+    """Keywords of each request's intent and conversation."""
+    c = table(spark, base, "prompt_request").select("request_id", F.explode(F.array(*[F.struct(F.lit(x).alias("field"), F.col(x).alias("t")) for x in ("intent", "conversation")])).alias("s"))
+    return c.select("request_id", "s.field", F.array_join(tx.keywords(F.col("s.t")), ",").alias("keywords")).distinct()
 
 
 def path_params(spark: SparkSession, base: str) -> DataFrame:
@@ -180,8 +213,8 @@ def classify_task(spark: SparkSession, base: str) -> DataFrame:
 
 
 def rule_summary(spark: SparkSession, base: str) -> DataFrame:
-    c = table(spark, base, "prompt_request").select("request_id", "conversation").filter("conversation is not null").distinct()
-    return c.select("request_id", tx.rule_summary(F.col("conversation")).alias("summary"))
+    c = table(spark, base, "prompt_request").select("request_id", "conversation").filter("conversation is not null")
+    return c.select("request_id", tx.rule_summary(F.col("conversation")).alias("summary")).distinct()
 
 
 def route_query_rules(spark: SparkSession, base: str) -> DataFrame:
@@ -197,9 +230,9 @@ def intent_rules(spark: SparkSession, base: str) -> DataFrame:
 
 def chunk_evidence(spark: SparkSession, base: str) -> DataFrame:
     """Pieces of 20 lines, the last line end of a text opening no line."""
-    e = table(spark, base, "evidence").select("evidence_id", "content").distinct()
+    e = table(spark, base, "evidence").select("evidence_id", "content")
     c = logs.chunks(e, "evidence_id", "content", 20)
-    return c.select(F.col("parent").alias("evidence_id"), *[F.col(x).cast("bigint").alias(x) for x in ("chunk_index", "total_chunks", "start_line", "end_line")], F.md5("content").alias("digest"))
+    return c.select(F.col("parent").alias("evidence_id"), *[F.col(x).cast("bigint").alias(x) for x in ("chunk_index", "total_chunks", "start_line", "end_line")], F.md5("content").alias("digest")).distinct()
 
 
 def chunk_gaps(spark: SparkSession, base: str) -> DataFrame:
@@ -209,34 +242,42 @@ def chunk_gaps(spark: SparkSession, base: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------- logs
+def _spans(lines: DataFrame, kept, name: str) -> DataFrame:
+    """(src, number, first and last position) of the lines that an operator
+    keeps, where it keeps any; the array is made once."""
+    one = lambda v: F.struct(F.size(v).cast("bigint").alias("n"), F.get(v, F.lit(0))["pos"].cast("bigint").alias("first_pos"), F.get(v, F.size(v) - 1)["pos"].cast("bigint").alias("last_pos"))
+    made = F.filter(F.transform(F.array(kept), one), lambda x: x["n"] > 0)
+    return lines.select("src", F.explode(made).alias("x")).select("src", F.col("x.n").alias(name), "x.first_pos", "x.last_pos").distinct()
+
+
 def log_error_filter(spark: SparkSession, base: str) -> DataFrame:
-    return logs.error_lines(_lines(spark, base)).groupBy("src").agg(F.count("*").alias("n_errors"), F.min("pos").cast("bigint").alias("first_pos"))
+    return _spans(_lines(spark, base), logs.error_lines_of(F.col("l")), "n_errors").drop("last_pos")
 
 
 def log_dedupe_consecutive(spark: SparkSession, base: str) -> DataFrame:
-    return logs.without_repeats(_lines(spark, base)).groupBy("src").agg(F.count("*").alias("n_lines"))
+    return _lines(spark, base).select("src", F.size(logs.without_repeats_of(F.col("l"))).cast("bigint").alias("n_lines")).distinct()
 
 
 def log_error_context(spark: SparkSession, base: str) -> DataFrame:
-    return logs.error_context(_lines(spark, base)).select("src", F.col("pos").cast("bigint").alias("pos"), "line")
+    return _lines(spark, base).select("src", F.explode(logs.error_context_of(F.col("l"))).alias("x")).select("src", F.col("x.pos").cast("bigint").alias("pos"), "x.line").distinct()
 
 
 def log_trace_sessions(spark: SparkSession, base: str) -> DataFrame:
-    return logs.stack_traces(_lines(spark, base)).select("src", F.col("first_pos").cast("bigint").alias("first_pos"), F.col("last_pos").cast("bigint").alias("last_pos"), "trace")
+    return _lines(spark, base).select("src", F.explode(logs.stack_traces_of(F.col("l"))).alias("t")).select("src", F.col("t.first_pos").cast("bigint").alias("first_pos"), F.col("t.last_pos").cast("bigint").alias("last_pos"), "t.trace").distinct()
 
 
 def log_head_tail(spark: SparkSession, base: str) -> DataFrame:
-    got = logs.head_and_tail(_lines(spark, base), most=20, head=5, tail=10)
-    return got.groupBy("src").agg(F.count("*").alias("n_kept"), F.max("n_lines").alias("n_lines"), F.max("was_trimmed").alias("was_trimmed"))
+    n = F.size("l").cast("bigint")
+    return _lines(spark, base).select("src", F.size(logs.head_and_tail_of(F.col("l"), most=20, head=5, tail=10)).cast("bigint").alias("n_kept"), n.alias("n_lines"), (n > 20).alias("was_trimmed")).distinct()
 
 
 def log_investigation_view(spark: SparkSession, base: str) -> DataFrame:
-    return logs.investigation_view(_lines(spark, base)).groupBy("src").agg(F.count("*").alias("n_lines"), F.min("pos").cast("bigint").alias("first_pos"), F.max("pos").cast("bigint").alias("last_pos"))
+    return _spans(_lines(spark, base), logs.investigation_view_of(F.col("l")), "n_lines")
 
 
 # --------------------------------------------------------------- analysis
 def _facts(spark, base) -> DataFrame:
-    e = table(spark, base, "evidence").select("evidence_id", "content", "collected_at").distinct()
+    e = table(spark, base, "evidence").select("evidence_id", "content", "collected_at")
     return analysis.facts(e, "evidence_id", "content", "collected_at")
 
 
@@ -275,8 +316,9 @@ def session_stats(spark: SparkSession, base: str) -> DataFrame:
 
 
 def event_windows(spark: SparkSession, base: str) -> DataFrame:
-    e = table(spark, base, "events")
-    return e.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("window_start"), "event_type").agg(F.count("*").alias("n"))
+    """Events by hour and kind: the plan of the stream over all that is there."""
+    e = events.event_counts(table(spark, base, "events"), "ts", "event_type")
+    return e.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
 def extension_histogram(spark: SparkSession, base: str) -> DataFrame:
@@ -285,25 +327,29 @@ def extension_histogram(spark: SparkSession, base: str) -> DataFrame:
 
 def repo_fingerprint(spark: SparkSession, base: str) -> DataFrame:
     f = _files(spark, base, "project_name", F.col("file_path").alias("path"), F.col("n_bytes").alias("length"))
-    return repository.fingerprint(f, "project_name").select("project_name", "n_files", "n_bytes", F.col("fingerprint").cast("double").alias("fingerprint"))
+    return repository.fingerprint(f, "project_name").select("project_name", "n_files", "n_bytes", F.col("fingerprint").cast("string").alias("fingerprint"))
 
 
 def terminal_blocks(spark: SparkSession, base: str) -> DataFrame:
-    r = table(spark, base, "terminal_run").select("run_id", "command", "exit_code", "stdout", "stderr").distinct()
+    r = table(spark, base, "terminal_run").select("run_id", "command", "exit_code", "stdout", "stderr")
     e = repository.terminal_evidence(r)
-    return e.select("run_id", F.md5("content").alias("digest"), F.col("stdout_length").cast("bigint").alias("stdout_length"), F.col("stderr_length").cast("bigint").alias("stderr_length"), "has_errors")
+    return e.select("run_id", F.md5("content").alias("digest"), F.col("stdout_length").cast("bigint").alias("stdout_length"), F.col("stderr_length").cast("bigint").alias("stderr_length"), "has_errors").distinct()
 
 
 def prompt_build(spark: SparkSession, base: str) -> DataFrame:
-    r = table(spark, base, "prompt_request").select("request_id", "task_type", "intent", "expected", "actual", "conversation", "conversation_summary", "extra_context", "files").dropDuplicates(["request_id"])
+    r = table(spark, base, "prompt_request").select("request_id", "task_type", "intent", "expected", "actual", "conversation", "conversation_summary", "extra_context", "files")
     p = prompts.build(r)
-    return p.select("request_id", F.length("prompt").cast("bigint").alias("n_chars"), F.md5("prompt").alias("digest"))
+    return p.select("request_id", F.length("prompt").cast("bigint").alias("n_chars"), F.md5("prompt").alias("digest")).distinct()
 
 
 def log_evidence_trim(spark: SparkSession, base: str) -> DataFrame:
-    """Standard output of over 20 lines cut to its beginning and end."""
-    e = projects.log_evidence(_runs(spark, base), "run_id", "stdout", 20, 5, 10)
-    return e.select("run_id", F.md5("content").alias("digest"), F.col("original_line_count").cast("bigint").alias("original"), F.col("retained_line_count").cast("bigint").alias("retained"), "was_trimmed")
+    """Output of over 20 lines cut to its beginning and end, both streams."""
+    out = None
+    for c in ("stdout", "stderr"):
+        r = table(spark, base, "terminal_run").filter(f"{c} is not null").select(F.concat_ws(":", F.lit(c), "run_id").alias("src"), F.col(c).alias("t"))
+        part = projects.log_evidence(r, "src", "t", 20, 5, 10)
+        out = part if out is None else out.unionByName(part)
+    return out.select("src", F.md5("content").alias("digest"), F.col("original_line_count").cast("bigint").alias("original"), F.col("retained_line_count").cast("bigint").alias("retained"), "was_trimmed").distinct()
 
 
 def route_handlers(spark: SparkSession, base: str) -> DataFrame:
@@ -331,9 +377,9 @@ def dependency_depths(spark: SparkSession, base: str) -> DataFrame:
 
 _CALLS = "SELECT DISTINCT c.caller AS source, c.target AS target FROM (SELECT unnest(calls) AS c FROM file_symbols) WHERE c.caller IS NOT NULL AND c.target IS NOT NULL"
 _STARTS = "SELECT DISTINCT r.function_name AS start FROM (SELECT unnest(routes) AS r FROM file_symbols) WHERE r.function_name IS NOT NULL"
-_LINES = r"""l AS (SELECT run_id AS src, unnest(a) AS line, unnest(range(len(a))) AS pos FROM (SELECT run_id, regexp_split_to_array(regexp_replace(stdout, '\r?\n$', ''), '\r?\n') AS a
-       FROM (SELECT DISTINCT run_id, stdout FROM terminal_run WHERE stdout IS NOT NULL)))"""
-_ERR = rf"regexp_matches(line, '(?i)\b(?:{logs.ERROR_WORDS})\b')"
+_LINES = r"""l AS (SELECT src, unnest(a) AS line, unnest(range(len(a))) AS pos FROM (SELECT src, regexp_split_to_array(regexp_replace(t, '\r?\n$', ''), '\r?\n') AS a
+       FROM (SELECT 'stdout:' || run_id AS src, stdout AS t FROM terminal_run WHERE stdout IS NOT NULL UNION SELECT 'stderr:' || run_id, stderr FROM terminal_run WHERE stderr IS NOT NULL)))"""
+_ERR = r"regexp_matches(line, '(?i)\b(?:error|exception|traceback|fatal|failed|failure|panic|crash|404|500)\b')"
 _BLANK = r"(regexp_replace(line, '\s+', '', 'g') = '')"
 _FACTS = r"""f0 AS (SELECT DISTINCT evidence_id, content, collected_at, regexp_replace(content, '^\s+|\s+$', '', 'g') AS s, trim(regexp_replace(content, '\s+', ' ', 'g')) AS c FROM evidence),
     f AS (SELECT 'fact-' || substr(sha256(statement), 1, 12) AS id, statement, first(evidence_id ORDER BY collected_at, evidence_id) AS evidence_id, 1.0::DOUBLE AS confidence
@@ -354,36 +400,39 @@ _TASK = ", ".join("(" + " + ".join("len(regexp_extract_all(t, '" + p.replace("'"
 _TOKENS = ranking.issue_tokens(ISSUE)
 _WEIGHT = "CASE lower(type) WHEN 'file' THEN 10.0 WHEN 'class' THEN 20.0 WHEN 'function' THEN 20.0 WHEN 'method' THEN 20.0 WHEN 'symbol' THEN 20.0 WHEN 'route' THEN 50.0 ELSE 5.0 END"
 _LONG = [t for t in _TOKENS if len(t) >= 3]
-_INDEX = "x AS (SELECT file_id, file_path, any_value(classes) AS classes, any_value(functions) AS functions, any_value(methods) AS methods, any_value(routes) AS routes, any_value(imports) AS imports, any_value(calls) AS calls, any_value(inherits) AS inherits FROM file_symbols GROUP BY file_id, file_path)"
-_PARTS = """d AS (SELECT file_path, 'class' AS k, c.name AS name FROM (SELECT file_path, unnest(classes) AS c FROM x) WHERE c.name IS NOT NULL
-      UNION ALL SELECT file_path, 'function', c.name FROM (SELECT file_path, unnest(functions) AS c FROM x) WHERE c.name IS NOT NULL
-      UNION ALL SELECT file_path, 'method', concat_ws('.', c.class_name, c.name) FROM (SELECT file_path, unnest(methods) AS c FROM x) WHERE concat_ws('.', c.class_name, c.name) <> ''
-      UNION ALL SELECT file_path, 'route', concat_ws(':', c.method, c.path) FROM (SELECT file_path, unnest(routes) AS c FROM x) WHERE concat_ws(':', c.method, c.path) <> ''),
-    i AS (SELECT file_path, c.module AS name FROM (SELECT file_path, unnest(imports) AS c FROM x) WHERE c.module IS NOT NULL),
-    w AS (SELECT 'function:' || coalesce(c.caller, '') AS source, 'CALLS' AS relationship, c.target AS t FROM (SELECT unnest(calls) AS c FROM x) WHERE c.target IS NOT NULL
-      UNION SELECT 'class:' || c.class_name, 'INHERITS', c.parent FROM (SELECT unnest(inherits) AS c FROM x) WHERE c.parent IS NOT NULL AND c.class_name IS NOT NULL),
-    k AS (SELECT name, arg_min(k || ':' || name, CASE k WHEN 'function' THEN 1 WHEN 'method' THEN 2 ELSE 3 END) AS id FROM d WHERE k <> 'route' GROUP BY name),
-    r AS (SELECT w.*, coalesce(k.id, 'symbol:' || w.t) AS target FROM w LEFT JOIN k ON k.name = w.t)"""
+_GRAPH = r"""f AS (SELECT file_id, file_path, 'file:' || coalesce(file_path, '') AS file, classes, functions, methods, routes, imports, calls, inherits FROM file_symbols),
+    d AS (SELECT file, 'class' AS k, c.name AS name FROM (SELECT file, unnest(classes) AS c FROM f) UNION SELECT file, 'function', c.name FROM (SELECT file, unnest(functions) AS c FROM f)
+      UNION SELECT file, 'method', concat_ws('.', c.class_name, c.name) FROM (SELECT file, unnest(methods) AS c FROM f) WHERE c IS NOT NULL UNION SELECT file, 'route', concat_ws(':', c.method, c.path) FROM (SELECT file, unnest(routes) AS c FROM f) WHERE c IS NOT NULL
+      UNION SELECT file, 'module', c.module FROM (SELECT file, unnest(imports) AS c FROM f)),
+    g AS (SELECT coalesce('function:' || c.name, file) AS source, unnest(c.decorators) AS name FROM (SELECT file, unnest(functions) AS c FROM f) UNION SELECT 'method:' || concat_ws('.', c.class_name, c.name), unnest(c.decorators) FROM (SELECT file, unnest(methods) AS c FROM f) WHERE c IS NOT NULL),
+    h AS (SELECT DISTINCT c.class_name AS child, c.parent AS parent FROM (SELECT unnest(inherits) AS c FROM f)),
+    n0 AS (SELECT 'file:' || file_path AS id, 'FILE' AS type, file_path AS name FROM f UNION SELECT k || ':' || name, upper(k), name FROM d UNION SELECT 'decorator:' || name, 'DECORATOR', name FROM g UNION SELECT 'class:' || parent, 'CLASS', parent FROM h UNION SELECT 'class:' || child, 'CLASS', child FROM h WHERE parent <> ''),
+    k AS (SELECT name, arg_min(id, CASE type WHEN 'FUNCTION' THEN 1 WHEN 'METHOD' THEN 2 ELSE 3 END) AS id FROM n0 WHERE type IN ('FUNCTION', 'METHOD', 'CLASS') GROUP BY name),
+    c AS (SELECT DISTINCT CASE WHEN c.caller <> '' AND c.caller <> '<module>' THEN 'function:' || c.caller ELSE file END AS source, c.target AS t FROM (SELECT file, unnest(calls) AS c FROM f) WHERE c.target <> ''),
+    r AS (SELECT c.source, c.t, coalesce(k.id, 'symbol:' || c.t) AS target FROM c LEFT JOIN k ON k.name = c.t),
+    n AS (SELECT * FROM n0 WHERE name <> '' UNION SELECT target, 'EXTERNAL_SYMBOL', t FROM r WHERE starts_with(target, 'symbol:')),
+    e AS (SELECT file AS source, k || ':' || name AS target, CASE k WHEN 'route' THEN 'EXPOSES_ROUTE' WHEN 'module' THEN 'IMPORTS' ELSE 'DEFINES' END AS relationship FROM d WHERE name <> '' UNION SELECT source, 'decorator:' || name, 'DECORATED_BY' FROM g WHERE name <> ''
+      UNION SELECT 'class:' || child, 'class:' || parent, 'INHERITS' FROM h WHERE child IS NOT NULL AND parent <> '' UNION SELECT source, target, 'CALLS' FROM r)"""
+_SYMBOLS = """s AS (SELECT DISTINCT file_path AS file, 'class' AS type, x.name AS name, coalesce(x.line, 0) AS line FROM (SELECT file_path, unnest(classes) AS x FROM file_symbols) WHERE x.name IS NOT NULL UNION SELECT file_path, 'function', x.name, coalesce(x.line, 0) FROM (SELECT file_path, unnest(functions) AS x FROM file_symbols) WHERE x.name IS NOT NULL UNION SELECT file_path, 'method', x.name, coalesce(x.line, 0) FROM (SELECT file_path, unnest(methods) AS x FROM file_symbols) WHERE x.name IS NOT NULL)"""
+_IMPORTS = r"""i AS (SELECT DISTINCT file_id, file_path AS source, x.module AS module, x.imported AS imported, x.line AS line FROM (SELECT file_id, file_path, unnest(imports) AS x FROM file_symbols) WHERE x.module IS NOT NULL),
+    mf AS (SELECT name, min(file) AS file FROM (SELECT replace(regexp_replace(file_path, '/[^/]*$|^src/', '', 'g'), '/', '.') AS name, file_path AS file FROM file_symbols) GROUP BY name),
+    tp AS (SELECT module, k, array_to_string(string_split(module, '.')[1:k], '.') AS prefix FROM (SELECT module, unnest(range(1, len(string_split(module, '.')) + 1)) AS k FROM (SELECT DISTINCT module FROM i) WHERE module <> '')),
+    bm AS (SELECT module, arg_max(mf.file, k) AS file FROM tp JOIN mf ON mf.name = tp.prefix GROUP BY module),
+    im AS (SELECT i.source, i.module, i.imported, i.line, bm.file AS target FROM i LEFT JOIN bm USING (module))"""
+_RANKED = ("debug", "rejects", "route", "session", "that", "the", "token", "tokens", "upload")
 
 SQL = {
-    "graph_nodes_v2": f"""WITH {_INDEX}, {_PARTS}, n AS (SELECT DISTINCT 'FILE' AS type, file_path AS name FROM x UNION SELECT upper(k), name FROM d UNION SELECT 'MODULE', name FROM i UNION SELECT 'EXTERNAL_SYMBOL', t FROM r WHERE starts_with(target, 'symbol:'))
-        SELECT type, count(*) AS n_nodes, count(DISTINCT name) AS n_names FROM n GROUP BY type""",
-    "graph_edges_v2": f"""WITH {_INDEX}, {_PARTS}, e AS (SELECT 'file:' || file_path AS source, k || ':' || name AS target, 'DEFINES' AS relationship FROM d UNION SELECT 'file:' || file_path, 'module:' || name, 'IMPORTS' FROM i UNION SELECT source, target, relationship FROM r)
-        SELECT relationship, regexp_extract(target, '^([a-z]+):', 1) AS target_kind, count(*) AS n_edges, count(DISTINCT source) AS n_sources FROM e GROUP BY ALL""",
+    "graph_nodes_v2": f"WITH {_GRAPH} SELECT id, type, name FROM n",
+    "graph_edges_v2": f"WITH {_GRAPH} SELECT source, target, relationship FROM e",
     "find_node_first_wins": """WITH n AS (SELECT DISTINCT concat_ws('/', project_name, name) AS name, id, upper(type) AS type, node_key AS ord FROM graph_node WHERE id IS NOT NULL)
         SELECT name, id, type, ord FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY type = 'EXTERNAL_SYMBOL', ord, id) AS r FROM n) WHERE r = 1""",
     "search_nodes_substring": "SELECT DISTINCT node_key, name FROM graph_node WHERE contains(lower(name), 'token')",
     "node_type_counts": "SELECT type, count(*) AS n FROM (SELECT DISTINCT node_key, upper(type) AS type FROM graph_node) GROUP BY type",
     "callers_callees": f"WITH c AS ({_CALLS}) SELECT name, CAST(sum(i) AS BIGINT) AS n_callers, CAST(sum(o) AS BIGINT) AS n_callees FROM (SELECT target AS name, 1 AS i, 0 AS o FROM c UNION ALL SELECT source, 0, 1 FROM c) GROUP BY name",
-    "definition_reference_join": """WITH d AS (SELECT DISTINCT x.name AS name, 'function' AS type, file_path AS file, coalesce(x.line, 0) AS line FROM (SELECT file_path, unnest(functions) AS x FROM file_symbols) WHERE x.name IS NOT NULL),
-        l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY lower(file) DESC, file DESC, line DESC) AS r FROM d) WHERE r = 1),
+    "definition_reference_join": f"""WITH {_SYMBOLS}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY lower(file) DESC, file DESC, line DESC, type DESC) AS r FROM s) WHERE r = 1),
         f AS (SELECT name, count(*) AS n_refs, count(DISTINCT file) AS n_files FROM (SELECT DISTINCT file_id, file_path AS file, c.target AS name, c.line AS line FROM (SELECT file_id, file_path, unnest(calls) AS c FROM file_symbols) WHERE c.target IS NOT NULL) GROUP BY name)
         SELECT l.name, l.type, l.file, l.line, coalesce(n_refs, 0) AS n_refs, coalesce(n_files, 0) AS n_files FROM l LEFT JOIN f USING (name)""",
-    "longest_prefix_resolution": r"""WITH i AS (SELECT DISTINCT x.module AS module FROM (SELECT unnest(imports) AS x FROM file_symbols) WHERE x.module IS NOT NULL),
-        m AS (SELECT name, min(file) AS file FROM (SELECT replace(regexp_replace(file_path, '/[^/]*$|^src/', '', 'g'), '/', '.') AS name, file_path AS file FROM file_symbols) GROUP BY name),
-        t AS (SELECT module, n, array_to_string(string_split(module, '.')[1:n], '.') AS prefix FROM (SELECT module, unnest(range(1, len(string_split(module, '.')) + 1)) AS n FROM i WHERE module <> '')),
-        b AS (SELECT module, arg_max(m.file, n) AS file FROM t JOIN m ON m.name = t.prefix GROUP BY module)
-        SELECT i.module, b.file FROM i LEFT JOIN b USING (module)""",
+    "longest_prefix_resolution": f"WITH {_IMPORTS} SELECT DISTINCT module, target AS file FROM im",
     "bounded_bfs": f"""WITH RECURSIVE c AS ({_CALLS}), s AS ({_STARTS}), w AS (SELECT start, start AS id, 0 AS depth FROM s UNION SELECT w.start, c.target, w.depth + 1 FROM w JOIN c ON c.source = w.id WHERE w.depth < 3),
         m AS (SELECT start, id, min(depth) AS depth FROM w GROUP BY start, id) SELECT start, count(*) AS n_reached, CAST(max(depth) AS BIGINT) AS depth FROM m WHERE depth > 0 GROUP BY start""",
     "upstream_closure": """WITH RECURSIVE e AS (SELECT DISTINCT i.class_name AS s, i.parent AS t FROM (SELECT unnest(inherits) AS i FROM file_symbols) WHERE i.class_name IS NOT NULL AND i.parent IS NOT NULL),
@@ -392,8 +441,9 @@ SQL = {
     "impact_counts": f"""WITH RECURSIVE c AS ({_CALLS}), s AS ({_STARTS}), w AS (SELECT start, start AS id, 0 AS depth FROM s UNION SELECT w.start, c.source, w.depth + 1 FROM w JOIN c ON c.target = w.id WHERE w.depth < 4),
         m AS (SELECT start, id, min(depth) AS depth FROM w GROUP BY start, id) SELECT start, CAST(depth AS BIGINT) AS depth, count(*) AS n FROM m WHERE depth > 0 GROUP BY start, depth""",
     "adjacency_lists": f"WITH c AS ({_CALLS}) SELECT source, count(*) AS n, string_agg(target, ',' ORDER BY target) AS targets FROM c GROUP BY source",
-    "file_dependencies": """SELECT file_id, count(*) AS n_imports, count(DISTINCT module) AS n_modules, count(imported) AS n_names FROM (SELECT DISTINCT file_id, x.module AS module, x.imported AS imported, x.line AS line FROM (SELECT file_id, unnest(imports) AS x FROM file_symbols) WHERE x IS NOT NULL) GROUP BY file_id""",
-    "route_catalogue": "SELECT DISTINCT project_name, r.path AS path, upper(r.method) AS method, r.function_name AS handler, file_path FROM (SELECT project_name, file_path, unnest(routes) AS r FROM file_symbols) WHERE r IS NOT NULL",
+    "file_dependencies": f"WITH {_IMPORTS} SELECT source, target, count(*) AS n_imports FROM im WHERE target IS NOT NULL GROUP BY ALL",
+    "symbol_dependencies": f"WITH {_IMPORTS} SELECT source, module, count(*) AS n_rows, count(imported) AS n_names, bool_or(target IS NOT NULL) AS resolved FROM im GROUP BY source, module",
+    "route_catalogue": "SELECT DISTINCT coalesce(r.path, '') AS path, upper(r.method) AS method, r.function_name AS handler FROM (SELECT unnest(routes) AS r FROM file_symbols) WHERE r IS NOT NULL",
     "node_relevance": "WITH n AS (SELECT DISTINCT node_key, type, name, metadata, regexp_replace(lower(name), '[_-]', ' ', 'g') AS m FROM graph_node), s AS (SELECT node_key, "
     + f"CASE WHEN m = '{ISSUE.lower()}' THEN 40.0 WHEN contains(m, '{ISSUE.lower()}') THEN 20.0 ELSE 0.0 END + "
     + " + ".join(f"CASE WHEN contains(m, '{t}') THEN {_WEIGHT} ELSE 0.0 END" for t in _LONG)
@@ -402,10 +452,10 @@ SQL = {
     + " AS score FROM n) SELECT node_key, CAST(max(score) AS DOUBLE) AS score FROM s WHERE score > 0 GROUP BY node_key ORDER BY score DESC, node_key LIMIT 50",
     "evidence_text_score": "WITH e AS (SELECT DISTINCT evidence_id, lower(content) AS c FROM evidence), s AS (SELECT evidence_id, 5.0::DOUBLE * ("
     + " + ".join(f"(length(c) - length(replace(c, '{t}', ''))) / {len(t)}" for t in ranking.issue_tokens("timeout session route"))
-    + ") AS score FROM e) SELECT evidence_id, CAST(score AS DOUBLE) AS score FROM s WHERE score > 0",
-    "file_rank_topk": "WITH f AS (SELECT DISTINCT file_path, lower(regexp_extract(file_path, '([^/]+)$', 1)) AS b FROM file_symbols), n AS (SELECT DISTINCT file_path, replace(lower(x.name), '_', ' ') AS b FROM (SELECT file_path, unnest(functions) AS x FROM file_symbols) WHERE x.name IS NOT NULL), o AS (SELECT DISTINCT file_path, x.name AS name, replace(lower(x.name), '_', ' ') AS b FROM (SELECT file_path, unnest(functions) AS x FROM file_symbols) WHERE x.name IS NOT NULL), r AS (SELECT DISTINCT file_path, x.path AS path FROM (SELECT file_path, unnest(routes) AS x FROM file_symbols) WHERE x.path IS NOT NULL), g AS ("
-    + " UNION ALL ".join(f"SELECT file_path, 10.0 AS score, 'filename matches ''{t}''' AS reason FROM f WHERE contains(b, '{t}') UNION ALL SELECT file_path, 20.0, 'symbol matches ''{t}''' FROM o WHERE contains(b, '{t}')" for t in _LONG)
-    + " UNION ALL SELECT file_path, 50.0, 'route match ''' || path || '''' FROM r WHERE path = '/tokens/session') SELECT file_path, CAST(sum(score) AS DOUBLE) AS score, string_agg(DISTINCT reason, '; ' ORDER BY reason) AS reasons FROM g GROUP BY file_path ORDER BY score DESC, file_path LIMIT 20",
+    + ") AS score FROM e) SELECT DISTINCT evidence_id, CAST(score AS DOUBLE) AS score FROM s WHERE score > 0",
+    "file_rank_topk": f"WITH {_SYMBOLS}, {_IMPORTS}, f AS (SELECT DISTINCT file_path, lower(regexp_extract(file_path, '([^/]+)$', 1)) AS b FROM file_symbols), o AS (SELECT DISTINCT file AS file_path, type, name, replace(lower(name), '_', ' ') AS b FROM s), r AS (SELECT DISTINCT file_path, x.path AS path FROM (SELECT file_path, unnest(routes) AS x FROM file_symbols) WHERE x.path IS NOT NULL), g AS ("
+    + " UNION ALL ".join(f"SELECT file_path, 10.0 AS score, 'filename matches ' || chr(39) || '{t}' || chr(39) AS reason FROM f WHERE contains(b, '{t}') UNION ALL SELECT file_path, 20.0, 'symbol matches ' || chr(39) || '{t}' || chr(39) FROM o WHERE contains(b, '{t}')" for t in _RANKED)
+    + " UNION ALL SELECT file_path, 50.0, 'route match ' || chr(39) || path || chr(39) FROM r WHERE path = '/tokens/session'), h AS (SELECT * FROM g UNION ALL SELECT target, 5.0, 'imported by ' || source FROM im WHERE target IS NOT NULL AND source IN (SELECT file_path FROM g)) SELECT file_path, CAST(sum(score) AS DOUBLE) AS score, string_agg(DISTINCT reason, '; ' ORDER BY reason) AS reasons FROM h GROUP BY file_path ORDER BY score DESC, file_path LIMIT 20",
     "ranked_files_topk": "SELECT project_name, rank, rank_id, file_path, score FROM (SELECT *, row_number() OVER (PARTITION BY project_name ORDER BY score DESC, rank_id) AS rank FROM (SELECT DISTINCT rank_id, project_name, file_path, score FROM ranked_file WHERE score IS NOT NULL AND project_name IS NOT NULL)) WHERE rank <= 5",
     "token_frequency": "SELECT token, count(*) AS n_docs FROM (SELECT unnest(list_distinct(list_transform(regexp_extract_all(text, '([a-zA-Z_][a-zA-Z0-9_]*)', 1), lambda t: lower(t)))) AS token FROM documents) GROUP BY token",
     "path_params": "SELECT path, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(path, '<([^>]+)>', 1), regexp_extract_all(path, ':([a-zA-Z_][a-zA-Z0-9_]*)', 1)))), ',') AS params FROM (SELECT DISTINCT r.path AS path FROM (SELECT unnest(routes) AS r FROM file_symbols) WHERE r.path IS NOT NULL)",
@@ -413,10 +463,11 @@ SQL = {
     "route_mentions": r"WITH d AS (SELECT doc_id, regexp_extract_all(text, '(?i)\b(GET|POST|PUT|PATCH|DELETE)\s+(/[/a-zA-Z0-9_\-]*)', 1) AS m, regexp_extract_all(text, '(?i)\b(GET|POST|PUT|PATCH|DELETE)\s+(/[/a-zA-Z0-9_\-]*)', 2) AS p FROM documents WHERE text IS NOT NULL) SELECT doc_id, coalesce(array_to_string(list_transform(range(1, len(m) + 1), lambda i: upper(m[i]) || ':' || p[i]), ','), '') AS routes FROM d",
     "classify_task": f"WITH d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, {_TASK} FROM d), g AS (SELECT *, greatest(debug, research, code, explain, design) AS b FROM s) SELECT doc_id, CASE WHEN b = 0 THEN 'general' WHEN debug = b THEN 'debug' WHEN research = b THEN 'research' WHEN code = b THEN 'code' WHEN explain = b THEN 'explain' ELSE 'design' END AS task FROM g",
     "intent_rules": rf"WITH c AS (SELECT DISTINCT request_id, intent FROM prompt_request), s AS (SELECT request_id, intent, {_KIND} AS investigation_type, {_DOMAIN} AS domain, {_SURE} AS sure FROM c) SELECT request_id, investigation_type, domain, {_CONF} AS confidence, CASE WHEN regexp_matches(lower(intent), '\b(?:error|bug|fail|exception|500|404)\b') THEN 'bug_investigation' WHEN regexp_matches(lower(intent), '\b(?:where|find|handled|implemented)\b') THEN 'symbol_lookup' ELSE 'general_search' END AS question FROM s",
-    "extract_keywords": r"""WITH c AS (SELECT DISTINCT request_id, coalesce(intent, '') AS t FROM prompt_request),
-        m AS (SELECT request_id, regexp_extract_all(t, '\b([a-zA-Z0-9_/]+)(\.[a-zA-Z0-9_]{2,6})\b', 1) AS a, regexp_extract_all(t, '\b([a-zA-Z0-9_/]+)(\.[a-zA-Z0-9_]{2,6})\b', 2) AS b, regexp_extract_all(t, '\b([A-Z][a-zA-Z]{2,})\b', 1) AS k, regexp_extract_all(t, '\b([a-z]+(?:_[a-z]+){1,})\b', 1) AS n, regexp_extract_all(t, '`([^`]+)`', 1) AS q FROM c),
-        w AS (SELECT request_id, list_concat(list_concat(list_concat(list_transform(range(1, len(a) + 1), lambda i: lower(a[i] || b[i])), list_transform(a, lambda x: lower(x))), list_concat(list_transform(k, lambda x: lower(x)), list_transform(k, lambda x: lower(regexp_replace(regexp_replace(x, '(.)([A-Z][a-z]+)', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g'))))), list_concat(n, list_concat(list_transform(q, lambda x: lower(x)), list_transform(q, lambda x: lower(regexp_replace(x, '\.[^./]*$', '')))))) AS w FROM m)
-        SELECT request_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(w, lambda x: length(x) > 2))), ','), '') AS keywords FROM w""",
+    "extract_keywords": r"""WITH c AS (SELECT DISTINCT request_id, 'intent' AS field, coalesce(intent, '') AS t FROM prompt_request UNION SELECT request_id, 'conversation', coalesce(conversation, '') FROM prompt_request),
+        m AS (SELECT request_id, field, regexp_extract_all(t, '\b([a-zA-Z0-9_/]+)(\.[a-zA-Z0-9_]{2,6})\b', 1) AS a, regexp_extract_all(t, '\b([a-zA-Z0-9_/]+)(\.[a-zA-Z0-9_]{2,6})\b', 2) AS b, regexp_extract_all(regexp_replace(t, '[À-ÖØ-öø-ɏ]', '0', 'g'), '\b([A-Z][a-zA-Z]{2,})\b', 1) AS k, regexp_extract_all(regexp_replace(t, '[À-ÖØ-öø-ɏ]', '0', 'g'), '\b([a-z]+(?:_[a-z]+){1,})\b', 1) AS n, list_filter(regexp_extract_all(t, '`([^`\n]+)`', 1), lambda x: x IS NOT NULL) AS q FROM c),
+        w AS (SELECT request_id, field, list_concat(list_concat(list_concat(list_transform(range(1, len(a) + 1), lambda i: lower(a[i] || b[i])), list_transform(a, lambda x: lower(x))), list_concat(list_transform(k, lambda x: lower(x)), list_transform(k, lambda x: lower(regexp_replace(regexp_replace(x, '(.)([A-Z][a-z]+)', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g'))))),
+                list_concat(n, list_concat(list_transform(q, lambda x: trim(lower(x))), list_transform(q, lambda x: trim(lower(CASE WHEN regexp_matches(split_part(x, '/', -1), '[^.].*\.') THEN x[1:length(x) - length(split_part(x, '.', -1)) - 1] ELSE x END)))))) AS w FROM m)
+        SELECT request_id, field, coalesce(array_to_string(list_sort(list_distinct(list_filter(w, lambda x: length(x) > 2))), ','), '') AS keywords FROM w""",
     "route_query_rules": r"WITH c AS (SELECT DISTINCT request_id, intent, trim(coalesce(intent, '')) AS t, lower(trim(coalesce(intent, ''))) AS l FROM prompt_request) SELECT request_id, CASE WHEN t = '' THEN 'none' WHEN regexp_matches(t, '(?i)\b(GET|POST|PUT|PATCH|DELETE)\s+(/[/a-zA-Z0-9_\-]*)') AND ("
     + " OR ".join(f"contains(l, '{w}')" for w in ask.TRACE_WORDS)
     + ") THEN 'route_trace' "
@@ -429,7 +480,7 @@ SQL = {
         SELECT request_id, CASE WHEN s = '' THEN substr(t, 1, 600) ELSE s END AS summary FROM s""",
     "repo_fingerprint": """WITH f AS (SELECT file_id, any_value(project_name) AS project_name, any_value(file_path) AS path, any_value(n_bytes) AS n FROM file_symbols GROUP BY file_id),
         h AS (SELECT project_name, n, CAST('0x' || substr(sha256(concat_ws(chr(0), path, CAST(n AS VARCHAR))), 1, 12) AS HUGEINT) AS v FROM f)
-        SELECT project_name, count(*) AS n_files, CAST(sum(n) AS BIGINT) AS n_bytes, CAST(sum(v) AS DOUBLE) AS fingerprint FROM h GROUP BY project_name""",
+        SELECT project_name, count(*) AS n_files, CAST(sum(n) AS BIGINT) AS n_bytes, CAST(CAST(sum(v) AS HUGEINT) AS VARCHAR) AS fingerprint FROM h GROUP BY project_name""",
     "chunk_evidence": r"""WITH e AS (SELECT evidence_id, regexp_split_to_array(regexp_replace(content, '\r?\n$', ''), '\r?\n') AS a FROM (SELECT DISTINCT evidence_id, content FROM evidence WHERE length(content) > 0)),
         c AS (SELECT evidence_id, a, CAST(ceil(len(a) / 20.0) AS BIGINT) AS n, unnest(range(CAST(ceil(len(a) / 20.0) AS BIGINT))) AS i FROM e)
         SELECT evidence_id, i AS chunk_index, n AS total_chunks, i * 20 + 1 AS start_line, least(i * 20 + 20, len(a)) AS end_line, md5(array_to_string(a[i * 20 + 1 : i * 20 + 20], chr(10))) AS digest FROM c""",
@@ -438,7 +489,7 @@ SQL = {
     "log_dedupe_consecutive": f"WITH {_LINES}, p AS (SELECT src, line, lag(line) OVER (PARTITION BY src ORDER BY pos) AS b FROM l) SELECT src, count(*) AS n_lines FROM p WHERE b IS NULL OR b <> line GROUP BY src",
     "log_error_context": f"WITH {_LINES}, e AS (SELECT *, max(CASE WHEN {_ERR} THEN 1 ELSE 0 END) OVER (PARTITION BY src ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 5 FOLLOWING) AS e FROM l) SELECT src, pos, line FROM e WHERE e = 1",
     "log_trace_sessions": rf"""WITH {_LINES}, g AS (SELECT *, coalesce(sum(CASE WHEN {_BLANK} THEN 1 ELSE 0 END) OVER (PARTITION BY src ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM l),
-        m AS (SELECT *, min(CASE WHEN regexp_matches(line, '(?i)(?:{logs.TRACE_MARKS})') AND NOT {_BLANK} THEN pos END) OVER (PARTITION BY src, seg) AS start FROM g)
+        m AS (SELECT *, min(CASE WHEN regexp_matches(line, '(?i)(?:traceback|exception|stack trace)') AND NOT {_BLANK} THEN pos END) OVER (PARTITION BY src, seg) AS start FROM g)
         SELECT src, min(pos) AS first_pos, max(pos) AS last_pos, string_agg(line, chr(10) ORDER BY pos) AS trace FROM m WHERE pos >= start GROUP BY src, seg""",
     "log_head_tail": f"WITH {_LINES}, s AS (SELECT *, count(*) OVER (PARTITION BY src) AS n FROM l) SELECT src, count(*) AS n_kept, max(n) AS n_lines, bool_or(n > 20) AS was_trimmed FROM s WHERE n <= 20 OR pos < 5 OR pos >= n - 10 GROUP BY src",
     "log_investigation_view": f"""WITH {_LINES}, c AS (SELECT *, lag(line) OVER (PARTITION BY src ORDER BY pos) AS b FROM l WHERE NOT {_BLANK}), d AS (SELECT src, pos, line, row_number() OVER (PARTITION BY src ORDER BY pos) AS n FROM c WHERE b IS NULL OR b <> line),
@@ -457,9 +508,9 @@ SQL = {
     "terminal_blocks": r"""WITH r AS (SELECT DISTINCT run_id, command, exit_code, stdout, stderr, regexp_replace(coalesce(stdout, ''), '^\s+|\s+$', '', 'g') AS o, regexp_replace(coalesce(stderr, ''), '^\s+|\s+$', '', 'g') AS e FROM terminal_run)
         SELECT run_id, md5('COMMAND: ' || coalesce(command, '') || chr(10) || 'EXIT CODE: ' || coalesce(CAST(exit_code AS VARCHAR), 'None') || chr(10) || chr(10) || '================ STDOUT ================' || chr(10) || o || chr(10) || chr(10) || '================ STDERR ================' || chr(10) || e) AS digest,
                coalesce(length(stdout), 0) AS stdout_length, coalesce(length(stderr), 0) AS stderr_length, e <> '' AS has_errors FROM r""",
-    "log_evidence_trim": r"""WITH r AS (SELECT run_id, regexp_split_to_array(regexp_replace(stdout, '\r?\n$', ''), '\r?\n') AS a FROM (SELECT DISTINCT run_id, stdout FROM terminal_run WHERE stdout IS NOT NULL)),
-        k AS (SELECT run_id, len(a) AS n, CASE WHEN len(a) > 20 THEN list_concat(list_concat(a[1:5], ['', '================ TRIMMED LOG ================', CAST(len(a) - 15 AS VARCHAR) || ' lines omitted', 'Chronology preserved:', '- beginning retained', '- ending retained', '=============================================', '']), a[len(a) - 9:len(a)]) ELSE a END AS b FROM r)
-        SELECT run_id, md5(array_to_string(b, chr(10))) AS digest, n AS original, len(b) AS retained, n > len(b) AS was_trimmed FROM k""",
+    "log_evidence_trim": r"""WITH r AS (SELECT src, regexp_split_to_array(regexp_replace(t, '\r?\n$', ''), '\r?\n') AS a FROM (SELECT 'stdout:' || run_id AS src, stdout AS t FROM terminal_run WHERE stdout IS NOT NULL UNION SELECT 'stderr:' || run_id, stderr FROM terminal_run WHERE stderr IS NOT NULL)),
+        k AS (SELECT src, len(a) AS n, CASE WHEN len(a) > 20 THEN list_concat(list_concat(a[1:5], ['', '================ TRIMMED LOG ================', CAST(len(a) - 15 AS VARCHAR) || ' lines omitted', 'Chronology preserved:', '- beginning retained', '- ending retained', '=============================================', '']), a[len(a) - 9:len(a)]) ELSE a END AS b FROM r)
+        SELECT src, md5(array_to_string(b, chr(10))) AS digest, n AS original, len(b) AS retained, n > len(b) AS was_trimmed FROM k""",
     "route_handlers": """WITH r AS (SELECT DISTINCT upper(r.method) || ':' || r.path AS route, r.function_name AS handler, file_path, file_id FROM (SELECT file_id, file_path, unnest(routes) AS r FROM file_symbols) WHERE r IS NOT NULL AND r.function_name <> ''),
         h AS (SELECT route, handler, file_path FROM (SELECT *, row_number() OVER (PARTITION BY route ORDER BY file_id DESC, handler DESC, file_path DESC) AS n FROM r) WHERE n = 1),
         c AS (SELECT handler, count(*) AS n_calls FROM (SELECT DISTINCT file_id, c.target AS handler, c.line AS line FROM (SELECT file_id, unnest(calls) AS c FROM file_symbols) WHERE c.target IS NOT NULL) GROUP BY handler)
@@ -472,7 +523,7 @@ SQL = {
     "dependency_depths": """WITH RECURSIVE e AS (SELECT DISTINCT i.class_name AS s, i.parent AS t FROM (SELECT unnest(inherits) AS i FROM file_symbols) WHERE i.class_name IS NOT NULL AND i.parent IS NOT NULL),
         w AS (SELECT DISTINCT s AS start, s AS id, 0 AS depth FROM e UNION SELECT w.start, e.t, w.depth + 1 FROM w JOIN e ON e.s = w.id WHERE w.depth < 60),
         m AS (SELECT start, id, min(depth) AS depth FROM w GROUP BY start, id) SELECT start, CAST(max(depth) AS BIGINT) AS depth FROM m GROUP BY start""",
-    "prompt_build": r"""WITH p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id) AS rn FROM prompt_request) WHERE rn = 1),
+    "prompt_build": r"""WITH p AS (SELECT DISTINCT request_id, task_type, intent, expected, actual, conversation, conversation_summary, extra_context, files FROM prompt_request),
         f AS (SELECT *, nullif(array_to_string(list_transform(list_filter(coalesce(files, []), lambda x: x IS NOT NULL AND x.content IS NOT NULL), lambda x: '=== FILE: ' || coalesce(x.path, '') || ' ===' || chr(10) || x.content || chr(10)), chr(10)), '') AS ff FROM p),
         b AS (SELECT request_id, concat_ws(chr(10) || chr(10) || '---' || chr(10) || chr(10),
             CASE WHEN task_type = 'debug' THEN 'I have a bug I need help debugging.' END,
@@ -489,7 +540,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        graph_nodes_v2, graph_edges_v2, find_node_first_wins, search_nodes_substring, node_type_counts, callers_callees, definition_reference_join, longest_prefix_resolution, bounded_bfs, upstream_closure, impact_counts, adjacency_lists, file_dependencies,
+        graph_nodes_v2, graph_edges_v2, find_node_first_wins, search_nodes_substring, node_type_counts, callers_callees, definition_reference_join, longest_prefix_resolution, bounded_bfs, upstream_closure, impact_counts, adjacency_lists, file_dependencies, symbol_dependencies,
         route_catalogue, node_relevance, evidence_text_score, file_rank_topk, ranked_files_topk, token_frequency, extract_keywords, path_params, camel_to_snake, route_mentions, classify_task, rule_summary, route_query_rules, intent_rules, chunk_evidence,
         chunk_gaps, log_error_filter, log_dedupe_consecutive, log_error_context, log_trace_sessions, log_head_tail, log_investigation_view, fact_extract, hypothesis_generate, root_cause_rank, missing_evidence, timeline_recent, session_stats, event_windows,
         extension_histogram, repo_fingerprint, terminal_blocks, prompt_build, log_evidence_trim, route_handlers, evidence_questions, dependency_depths,
