@@ -46,6 +46,19 @@ TEXTS = {
 }
 
 
+def parsed(query: Column) -> Column:
+    """struct<intent_type, first, second> of a column of questions by the
+    grammar of :func:`parse`; second is '' where a form has one part."""
+    text = F.regexp_replace(query, r"^\s+|\s+$", "")
+    part = lambda p, g: F.regexp_replace(F.regexp_extract(text, p, g), r"^\s+|\s+$", "")
+    value = lambda n, a, b: F.struct(F.lit(n).alias("intent_type"), a.alias("first"), b.alias("second"))
+    out = F.when(F.lit(False), value("unknown", F.lit(""), F.lit("")))
+    for name, pattern in GRAMMAR:
+        p = f"(?i)^{pattern}"
+        out = out.when(text.rlike(p), value(name, part(p, 1), part(p, 2) if re.compile(pattern).groups > 1 else F.lit("")))
+    return out.otherwise(value("unknown", F.lit(""), F.lit("")))
+
+
 @dataclass
 class Answer:
     """What a question gives; lists are those of one symbol."""

@@ -61,6 +61,12 @@ def by_plan(plan: list[str], sources: dict[str, Callable[[], DataFrame]]) -> Dat
     return out
 
 
+def sources_of(plan: DataFrame) -> DataFrame:
+    """(request_id, source) of the sources that each plan's evidence comes from."""
+    name = F.create_map(*[x for k, v in DISPATCH.items() for x in (F.lit(k), F.lit(v))])
+    return plan.select("request_id", name[F.col("evidence_type")].alias("source")).filter("source is not null").distinct()
+
+
 def questions(plan: DataFrame) -> DataFrame:
     """(request_id, question, combined) of what a plan lacks, by priority."""
     label = F.create_map(*[x for k, v in LABELS.items() for x in (F.lit(k), F.lit(v))])
