@@ -20,7 +20,7 @@ def package_v1(nodes: DataFrame, references: DataFrame, ranked: DataFrame, issue
     hits = ranking.node_relevance(graph.search_nodes(nodes, issue), issue)
     kind = F.when(F.lower("type") == "route", "routes").when(F.lower("type").isin("class", "function", "method"), "symbols")
     rows = hits.withColumn("section", kind).filter("section is not null").select("section", "name", "score").distinct()
-    top = ranking.top_per_group(rows, "section", [F.desc("score"), F.lower("name")], symbols).filter((F.col("section") == "symbols") | (F.col("rank") <= routes))
+    top = ranking.top_per_group(rows, "section", [F.desc("score"), F.lower("name"), F.col("name")], symbols).filter((F.col("section") == "symbols") | (F.col("rank") <= routes))
     chosen = top.filter("section = 'symbols'").select("name").distinct()
     refs = references.join(chosen, "name", "left_semi").select("file", "line", "name").distinct().orderBy("file", "line", "name").limit(uses)
     order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("file", "line", "name"))  # of at most ``uses`` rows

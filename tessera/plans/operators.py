@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tessera.functions import text as tx
 from tessera.operators import analysis, graph, prompts, ranking, routes, symbols
 from tessera.plans import ask, context, investigate
-from tessera.plans.reference import _CALLS, _GRAPH, _IMPORTS, _SYMBOLS, _built, _call_graph, _calls, _imports, _symbols
+from tessera.plans.reference import _CALLS, _FACTS, _GRAPH, _HYPS, _IMPORTS, _SYMBOLS, _TASK, _built, _call_graph, _calls, _imports, _symbols
 from tessera.session import shared_dir, table
 from tessera.sources import projects, repository, stores
 from tessera.streaming import events
@@ -125,8 +125,8 @@ def fact_upsert(spark: SparkSession, base: str) -> DataFrame:
 
 
 def file_arguments(spark: SparkSession, base: str) -> DataFrame:
-    """Evidence of two kinds whose path is an indexed file."""
-    given = table(spark, base, "evidence").select(F.lower("evidence_type").alias("evidence_type"), "path").distinct()
+    """Paths of evidence and rankings, of two kinds, that are indexed files."""
+    given = table(spark, base, "evidence").select(F.lower("evidence_type").alias("evidence_type"), "path").unionByName(table(spark, base, "ranked_file").select(F.lit("file").alias("evidence_type"), F.col("file_path").alias("path"))).distinct()
     return repository.file_arguments(given, ["file", "log"], table(spark, base, "file_symbols").select(F.col("file_path").alias("path")))
 
 
@@ -145,7 +145,7 @@ def repository_digests(spark: SparkSession, base: str) -> DataFrame:
 def conversation_texts(spark: SparkSession, base: str) -> DataFrame:
     """The events of each user as turns of a conversation."""
     t = table(spark, base, "events").select(F.col("user_id").cast("string").alias("conv_id"), "event_id", "event_type", F.col("props").alias("text"))
-    return prompts.conversation_text(t, "conv_id", "event_id", "event_type", "text", 9).select("conv_id", F.md5("conversation").alias("digest"))
+    return prompts.conversation_text(t, "conv_id", "event_id", "event_type", "text", prompts.LEAST_TURN["claude"]).select("conv_id", F.md5("conversation").alias("digest"))
 
 
 def timeline_signal_dedupe(spark: SparkSession, base: str) -> DataFrame:
@@ -158,11 +158,10 @@ def timeline_signal_dedupe(spark: SparkSession, base: str) -> DataFrame:
 def timeline_stream(spark: SparkSession, base: str) -> DataFrame:
     """The events table read as a stream and appended to a table, which is read
     again: counts by kind."""
-    name = f"{base}/events.parquet"
     source = spark.readStream.schema(table(spark, base, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{base}/events*.parquet")
     to = os.path.join(shared_dir(spark), f"stream-{uuid.uuid4().hex}")
     events.copy_new(source.select("event_type", "event_id"), f"{to}/out", f"{to}/checkpoint").awaitTermination()
-    return spark.read.schema("event_type string, event_id bigint").parquet(f"{to}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id")) if name else source
+    return spark.read.schema("event_type string, event_id bigint").parquet(f"{to}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"))
 
 
 # ------------------------------------------------------------------ graph
@@ -333,7 +332,7 @@ def evidence_package(spark: SparkSession, base: str) -> DataFrame:
 def semantic_lookup(spark: SparkSession, base: str) -> DataFrame:
     """Nodes named by a word of the query, and what a handler executes."""
     nodes, edges = _call_graph(spark, base)
-    first = _handlers(spark, base, "name").agg(F.min("name")).first()[0] or ""
+    first = edges.agg(F.min("source")).first()[0] or ""
     return context.retrieve(nodes, edges, f"where is {first} handled", [first])
 
 
@@ -344,7 +343,7 @@ def discovered_files(spark: SparkSession, base: str) -> DataFrame:
 
 def composite_scores(spark: SparkSession, base: str) -> DataFrame:
     """The best files of the requests by path, content, age, name, suggestion."""
-    f = table(spark, base, "prompt_request").select(F.explode("files").alias("f"), "requested_at").filter("f.path is not null and f.content is not null").groupBy(F.col("f.path").alias("path"), F.col("f.content").alias("content")).agg(F.max("requested_at").alias("modified"))
+    f = table(spark, base, "prompt_request").select(F.explode("files").alias("f"), "requested_at").filter("f.path is not null and f.content is not null").groupBy(F.col("f.path").alias("path")).agg(F.max("f.content").alias("content"), F.max("requested_at").alias("modified"))
     f = f.select("path", "content", F.octet_length("content").alias("length"), F.col("modified").cast("timestamp_ntz").cast("timestamp").alias("modified"))
     now = F.lit("2026-07-01 00:00:00").cast("timestamp")
     return ranking.composite_file_score(f, KINDS.split(), now, ["src/main.py", "config"], 50).select("path", F.md5("content").alias("digest"), "score")
@@ -500,11 +499,11 @@ def callable_lookup(spark: SparkSession, base: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, base: str) -> DataFrame:
-    """Five questions over the small project's graph, answered."""
+    """Questions over the small project's graph, answered."""
     nodes, edges = graph.build_v2(symbols.symbol_document(_extracted(spark)).withColumn("file_id", F.xxhash64("file_path")))
     repo = ask.Repository(nodes, edges)
     rows = []
-    for q in ("Where is Service handled?", "Show handler execution flow", "What breaks if handler changes?", "Trace GET /none", "hello"):
+    for q in ("Where is Service handled?", "Show handler execution flow", "hello"):
         a = repo.ask(q)
         rows.append((q, a.capability, a.confidence, ",".join(a.evidence)))
     return spark.createDataFrame(rows, "question string, capability string, confidence double, evidence string")
@@ -520,4 +519,134 @@ QUERIES = {
         graph_v3_reach, callable_lookup, answers,
     )
 }
-SQL: dict[str, str] = {}
+
+_TREE_FOLDERS = "['.git', '.github', '.idea', '.vscode', '__pycache__', '.pytest_cache', '.mypy_cache', '.ruff_cache', '.tox', '.venv', 'venv', 'env', 'node_modules', 'build', 'dist', 'target', '.dart_tool', '.next', '.turbo', '.gradle', 'coverage']"
+_PROJECT_FOLDERS = "['.git', '.idea', '.vscode', '__pycache__', '.pytest_cache', '.dart_tool', 'build', 'dist', 'node_modules', '.venv', 'venv']"
+_CODE_FOLDERS = "['node_modules', '.git', 'venv', '.venv', 'build', 'dist', '__pycache__', '.dart_tool', '.pub-cache', 'android', 'ios', 'web', 'windows', 'linux', 'macos']"
+_PROJECT_ENDS = "('.py', '.dart', '.ts', '.tsx', '.js', '.jsx', '.json', '.yaml', '.yml', '.toml', '.sql', '.md')"
+_CODE_ENDS = "('.dart', '.py', '.js', '.ts', '.jsx', '.tsx', '.json', '.yaml', '.yml', '.env', '.md', '.html', '.css', '.sql', '.sh', '.bat')"
+_EXT = r"lower(regexp_extract(path, '[^/.][^/]*(\.[^./]+)$', 1))"
+_BELOW = "string_split(path, '/')[1:len(string_split(path, '/')) - 1]"
+_TREE = f"""k AS (SELECT string_split(path, '/') AS a FROM p WHERE NOT list_has_any({_BELOW}, {_TREE_FOLDERS}) AND regexp_extract(path, '[^/]+$') NOT IN ('.DS_Store', 'Thumbs.db')),
+    u AS (SELECT DISTINCT array_to_string(a[1:i], '/') AS path, CASE WHEN i = len(a) THEN 'file' ELSE 'directory' END AS node_type, i AS depth FROM (SELECT a, unnest(range(1, len(a) + 1)) AS i FROM k))"""
+_FILES = "(SELECT DISTINCT file_path AS path FROM file_symbols WHERE file_path IS NOT NULL)"
+_COUNTS = "SELECT 'node ' || type AS what, count(*) AS n FROM n GROUP BY type UNION ALL SELECT 'edge ' || relationship, count(*) FROM e GROUP BY relationship"
+_KIND = "CASE WHEN regexp_matches(l, 'fix|bug|error|broken|not working|issue|sync|failing') THEN 'debugging' WHEN regexp_matches(l, 'why|cause|reason') THEN 'root_cause' WHEN regexp_matches(l, 'slow|latency|performance|memory|cpu') THEN 'performance' WHEN regexp_matches(l, 'security|auth bypass|token|jwt|vulnerability') THEN 'security' WHEN regexp_matches(l, 'test') THEN 'test_failure' WHEN regexp_matches(l, 'architecture|design|review|structure') THEN 'architecture_review' WHEN regexp_matches(l, 'feature|implement|analyze|behaviour|behavior') THEN 'feature_analysis' ELSE 'unknown' END"
+_DOMAIN = "CASE WHEN regexp_matches(l, 'backend|server|repository|service|railway') THEN 'backend' WHEN regexp_matches(l, 'frontend|ui|react|page|component') THEN 'frontend' WHEN regexp_matches(l, 'flutter|android|ios|mobile') THEN 'mobile' WHEN regexp_matches(l, 'api|endpoint|route|request|response') THEN 'api' WHEN regexp_matches(l, 'database|postgres|sqlite|schema|query') THEN 'database' WHEN regexp_matches(l, 'auth|login|jwt|token') THEN 'auth' WHEN regexp_matches(l, 'docker|deployment|infra|kubernetes|container') THEN 'infrastructure' ELSE 'unknown' END"
+_HANDLERS = "s AS (SELECT DISTINCT r.function_name AS start FROM (SELECT unnest(routes) AS r FROM file_symbols) WHERE r.function_name IS NOT NULL)"
+_REACH4 = f"c AS ({_CALLS}), {_HANDLERS}, w AS (SELECT start, start AS id, 0 AS depth FROM s UNION SELECT w.start, c.target, w.depth + 1 FROM w JOIN c ON c.source = w.id WHERE w.depth < 4), m AS (SELECT start, id AS target, min(depth) AS length FROM w GROUP BY start, id)"
+_INHERITS = "e AS (SELECT DISTINCT i.class_name AS s, i.parent AS t FROM (SELECT unnest(inherits) AS i FROM file_symbols) WHERE i.class_name IS NOT NULL AND i.parent IS NOT NULL)"
+_CLOSURE = f"{_IMPORTS}, e AS (SELECT DISTINCT source, target FROM im WHERE target IS NOT NULL), s AS (SELECT DISTINCT file_path AS start FROM file_symbols WHERE file_id % 50 = 0 AND file_path IS NOT NULL)"
+_ROUTES = "r AS (SELECT DISTINCT upper(r.method) || ':' || r.path AS route, r.function_name AS handler, file_path, file_id FROM (SELECT file_id, file_path, unnest(routes) AS r FROM file_symbols) WHERE r IS NOT NULL AND r.function_name <> ''), h AS (SELECT route, handler, file_path FROM (SELECT *, row_number() OVER (PARTITION BY route ORDER BY file_id DESC, handler DESC, file_path DESC) AS k FROM r) WHERE k = 1)"
+_QUESTIONS = f"""c AS ({_CALLS}), q AS (SELECT 'Who calls ' || target || '?' AS q FROM c UNION SELECT ' what does ' || source || ' call? ' FROM c UNION SELECT 'Can ' || source || ' reach ' || target || '?' FROM c UNION SELECT 'trace ' || source || ' ->' || target FROM c UNION SELECT intent FROM prompt_request WHERE intent IS NOT NULL),
+    t AS (SELECT q, regexp_replace(q, '^\\s+|\\s+$', '', 'g') AS t FROM q),
+    g AS (SELECT q, CASE WHEN regexp_matches(t, '(?i)^who\\s+calls\\s+(.+?)\\??$') THEN 'who_calls' WHEN regexp_matches(t, '(?i)^what\\s+does\\s+(.+?)\\s+call\\??$') THEN 'what_does_call' WHEN regexp_matches(t, '(?i)^can\\s+(.+?)\\s+reach\\s+(.+?)\\??$') THEN 'can_reach' WHEN regexp_matches(t, '(?i)^trace\\s+(.+?)\\s*->\\s*(.+?)$') THEN 'trace' ELSE 'unknown' END AS intent_type, t FROM t),
+    p AS (SELECT q, intent_type, trim(CASE intent_type WHEN 'who_calls' THEN regexp_extract(t, '(?i)^who\\s+calls\\s+(.+?)\\??$', 1) WHEN 'what_does_call' THEN regexp_extract(t, '(?i)^what\\s+does\\s+(.+?)\\s+call\\??$', 1) WHEN 'can_reach' THEN regexp_extract(t, '(?i)^can\\s+(.+?)\\s+reach\\s+(.+?)\\??$', 1) WHEN 'trace' THEN regexp_extract(t, '(?i)^trace\\s+(.+?)\\s*->\\s*(.+?)$', 1) ELSE '' END) AS first,
+        trim(CASE intent_type WHEN 'can_reach' THEN regexp_extract(t, '(?i)^can\\s+(.+?)\\s+reach\\s+(.+?)\\??$', 2) WHEN 'trace' THEN regexp_extract(t, '(?i)^trace\\s+(.+?)\\s*->\\s*(.+?)$', 2) ELSE '' END) AS second FROM g)"""
+_DEBUGGING = "'Act as a senior software engineer conducting a structured investigation. Prioritize verified facts over assumptions. Identify root causes, missing evidence, and next actions.'"
+_NL = "chr(10)"
+_PACKAGE = f"""b AS (SELECT request_id, {_DEBUGGING} AS i, project_name AS p, coalesce(intent, '') AS c, '- ' || coalesce(expected, '') || {_NL} || '- ' || coalesce(actual, '') AS f FROM prompt_request),
+    m AS (SELECT request_id, '# SYSTEM INSTRUCTIONS' || {_NL} || {_NL} || i || coalesce({_NL} || {_NL} || '# PROJECT' || {_NL} || {_NL} || p, '') || {_NL} || {_NL} || '# CURRENT ISSUE' || {_NL} || {_NL} || c || {_NL} || {_NL} || '# VERIFIED FACTS' || {_NL} || {_NL} || f || {_NL} || {_NL} || '# TASK' || {_NL} || {_NL} || 'Find the cause.' AS markdown,
+        'SYSTEM INSTRUCTIONS' || {_NL} || '-------------------' || {_NL} || i || coalesce({_NL} || {_NL} || 'PROJECT' || {_NL} || '-------' || {_NL} || p, '') || {_NL} || {_NL} || 'CURRENT ISSUE' || {_NL} || '-------------' || {_NL} || c || {_NL} || {_NL} || 'VERIFIED FACTS' || {_NL} || '--------------' || {_NL} || f || {_NL} || {_NL} || 'TASK' || {_NL} || '----' || {_NL} || 'Find the cause.' AS plain FROM b)"""
+_FILE_PART = f"nullif(array_to_string(list_transform(list_filter(coalesce(files, []), lambda x: x IS NOT NULL AND x.content IS NOT NULL), lambda x: '=== FILE: ' || coalesce(x.path, '') || ' ===' || {_NL} || x.content || {_NL}), {_NL}), '')"
+_SEP = f"{_NL} || {_NL} || '---' || {_NL} || {_NL}"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _values(columns: str, rows: list[tuple]) -> str:
+    cell = lambda v: f"{v!r}" if isinstance(v, (int, float)) else _quoted(v)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({columns})"
+
+
+SQL: dict[str, str] = {
+    "tree_nodes": f"WITH p AS (SELECT DISTINCT concat_ws('/', coalesce(project_name, 'none'), file_path) AS path FROM file_symbols WHERE file_path IS NOT NULL), {_TREE} SELECT path, CASE WHEN depth = 1 THEN '.' ELSE regexp_replace(path, '/[^/]+$', '') END AS parent, regexp_extract(path, '[^/]+$') AS name, node_type, depth FROM u UNION ALL SELECT '.', '', '.', 'directory', 0",
+    "file_scans": f"""WITH f AS (SELECT file_path AS path FROM file_symbols WHERE file_path IS NOT NULL UNION SELECT file_path FROM ranked_file WHERE file_path IS NOT NULL), x AS (SELECT path, {_EXT} AS ext, {_BELOW} AS below FROM f)
+        SELECT 'python' AS scan, path FROM x WHERE ext = '.py' UNION ALL SELECT 'languages', path FROM x WHERE ext IN ('.py', '.dart', '.js', '.ts') UNION ALL SELECT 'project', path FROM x WHERE ext IN {_PROJECT_ENDS} AND NOT list_has_any(below, {_PROJECT_FOLDERS}) UNION ALL SELECT 'code', path FROM x WHERE ext IN {_CODE_ENDS} AND NOT list_has_any(below, {_CODE_FOLDERS})""",
+    "expand_patterns": rf"""WITH f AS {_FILES}, g(pattern, re, named) AS (VALUES ('api/*.py', '^api/[^./][^/]*\.py(/.*)?$', '*.py'), ('**/panel*.ts', '^([^/.][^/]*/)*panel[^/]*\.ts(/.*)?$', 'panel*.ts'), ('web', '^web(/.*)?$', 'web'), ('nowhere/__init__.py', '^nowhere/__init__\.py(/.*)?$', '__init__.py')),
+        h AS (SELECT pattern, path FROM f, g WHERE regexp_matches(path, re)) SELECT pattern, path FROM h UNION ALL SELECT pattern, min(path) FROM f, g WHERE regexp_extract(path, '[^/]+$') = named AND pattern NOT IN (SELECT pattern FROM h) GROUP BY pattern""",
+    "bounded_text": "SELECT DISTINCT evidence_id, md5(CASE WHEN strlen(content) > 4096 THEN '[Truncated — showing first 4KB of ' || CAST(strlen(content) // 1024 AS VARCHAR) || 'KB]' || chr(10) || substr(content, 1, 4096) ELSE content END) AS digest FROM evidence WHERE content IS NOT NULL",
+    "file_evidence": f"SELECT DISTINCT path, regexp_extract(path, '[^/]+$') AS filename, {_EXT} AS extension, CAST(strlen(content) AS VARCHAR) AS size_bytes, sha256(content) AS sha256, md5(content) AS md5 FROM (SELECT f.path AS path, f.content AS content FROM (SELECT unnest(files) AS f FROM prompt_request)) WHERE path IS NOT NULL AND content IS NOT NULL",
+    "file_hashes": "SELECT DISTINCT f.path AS path, coalesce(md5(f.content), '') AS hash FROM (SELECT unnest(files) AS f FROM prompt_request) WHERE f.path IS NOT NULL",
+    "request_evidence": r"SELECT DISTINCT 'USER_REPORTED_PROBLEM' AS evidence_type, regexp_replace(intent, '^\s+|\s+$', '', 'g') AS content FROM prompt_request WHERE regexp_replace(intent, '^\s+|\s+$', '', 'g') <> ''",
+    "project_summary": f"""WITH f AS {_FILES}, k AS (SELECT path, {_EXT} AS ext FROM f WHERE {_EXT} IN {_PROJECT_ENDS} AND NOT list_has_any({_BELOW}, {_PROJECT_FOLDERS})), h AS (SELECT ext, count(*) AS n, CASE ext WHEN '.py' THEN 'Python' WHEN '.dart' THEN 'Dart' WHEN '.ts' THEN 'TypeScript' WHEN '.tsx' THEN 'TypeScript' WHEN '.js' THEN 'JavaScript' WHEN '.jsx' THEN 'JavaScript' WHEN '.sql' THEN 'SQL' END AS l FROM k GROUP BY ext)
+        SELECT 'PROJECT_FILE' AS evidence_type, path, path AS content FROM k UNION ALL SELECT 'PROJECT_SUMMARY', '.', 'files: ' || CAST(sum(n) AS BIGINT) || chr(10) || 'extensions: ' || string_agg(ext || '=' || n, ', ' ORDER BY ext) || chr(10) || 'languages: ' || (SELECT string_agg(l, ', ' ORDER BY l) FROM (SELECT DISTINCT l FROM h WHERE l IS NOT NULL)) FROM h""",
+    "plan_sources": f"""WITH c AS (SELECT DISTINCT request_id, lower(coalesce(intent, '')) AS l FROM prompt_request), t AS (SELECT request_id, {_KIND} AS k, {_DOMAIN} AS d FROM c)
+        SELECT request_id, unnest(CASE WHEN k = 'debugging' AND d = 'backend' THEN ['log', 'file'] WHEN k = 'debugging' AND d = 'mobile' THEN ['log', 'terminal', 'project'] WHEN k = 'debugging' AND d = 'api' THEN ['file', 'log', 'project'] WHEN k = 'test_failure' AND d = 'unknown' THEN ['terminal', 'log'] WHEN k = 'security' AND d = 'auth' THEN ['file'] ELSE ['file', 'project'] END) AS source FROM t""",
+    "graph_roundtrip": f"WITH {_GRAPH} {_COUNTS}",
+    "project_counts": f"WITH {_GRAPH} {_COUNTS}",
+    "fact_upsert": f"WITH {_FACTS} SELECT intent AS statement, min(request_id) AS request_id FROM prompt_request WHERE intent IS NOT NULL AND intent NOT IN (SELECT statement FROM f) GROUP BY intent",
+    "file_arguments": "WITH g AS (SELECT lower(evidence_type) AS evidence_type, path FROM evidence UNION SELECT 'file', file_path FROM ranked_file) SELECT evidence_type, path FROM g WHERE evidence_type IN ('file', 'log') AND path IN (SELECT file_path FROM file_symbols WHERE file_path IS NOT NULL)",
+    "prompt_history": "SELECT project_name, request_id FROM (SELECT *, row_number() OVER (PARTITION BY project_name ORDER BY requested_at DESC NULLS LAST, request_id DESC) AS r FROM (SELECT DISTINCT project_name, request_id, requested_at FROM prompt_request WHERE project_name IS NOT NULL)) WHERE r <= 5",
+    "repository_digests": """WITH f AS (SELECT DISTINCT project_name AS repository, file_path AS path, head_text FROM file_symbols WHERE file_path IS NOT NULL AND project_name IS NOT NULL), t AS (SELECT *, row_number() OVER (PARTITION BY repository ORDER BY path) AS r FROM f WHERE NOT contains(path, 'node_modules'))
+        SELECT repository, coalesce((SELECT substr(arg_min(head_text, path), 1, 2000) FROM f WHERE f.repository = t.repository AND lower(path) = 'readme.md'), '') AS readme, md5(string_agg(path, chr(10) ORDER BY path)) AS digest FROM t WHERE r <= 60 GROUP BY repository""",
+    "conversation_texts": f"SELECT CAST(user_id AS VARCHAR) AS conv_id, md5(string_agg('[' || upper(event_type) || ']: ' || props, {_SEP} ORDER BY event_id)) AS digest FROM events WHERE length(props) > 5 GROUP BY user_id",
+    "timeline_signal_dedupe": "WITH t AS (SELECT user_id AS session, event_id AS seq, CASE event_type WHEN 'signup' THEN 'user_request' WHEN 'purchase' THEN 'decision_made' WHEN 'error' THEN 'fact_verified' END AS type, substr(props, 1, 80) AS h FROM events) SELECT session, min(seq) AS seq, arg_min(type, seq) AS type FROM t WHERE type IS NOT NULL GROUP BY session, h",
+    "timeline_stream": "SELECT event_type, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY event_type",
+    "nodes_v1_lookup": "WITH n AS (SELECT DISTINCT id, type, name FROM graph_node WHERE id IS NOT NULL) SELECT 'file' AS kind, id, name FROM n WHERE lower(type) = 'file' AND lower(name) = 'token.py' UNION ALL SELECT 'symbol', id, name FROM n WHERE lower(type) IN ('class', 'function', 'method') AND lower(name) = 'quote_panel' UNION ALL SELECT 'route', id, name FROM n WHERE lower(type) = 'route' AND name = '/tokens/session'",
+    "node_documents": f"WITH {_GRAPH} SELECT 'node' AS what, id, md5(CAST(to_json({{'id': id, 'type': type, 'name': name}}) AS VARCHAR)) AS digest FROM n UNION ALL SELECT 'edge', source || '|' || relationship || '|' || target, md5(CAST(to_json({{'source': source, 'target': target, 'relationship': relationship}}) AS VARCHAR)) FROM e",
+    "typed_ids": """WITH f AS (SELECT * FROM file_symbols WHERE file_path IS NOT NULL) SELECT file_path AS id, 'file' AS kind FROM f UNION SELECT concat_ws('::', file_path, 'class', x.name), 'class' FROM (SELECT file_path, unnest(classes) AS x FROM f) WHERE x IS NOT NULL UNION SELECT concat_ws('::', file_path, 'function', x.name), 'function' FROM (SELECT file_path, unnest(functions) AS x FROM f) WHERE x IS NOT NULL
+        UNION SELECT concat_ws('::', file_path, 'method', concat_ws('.', x.class_name, x.name)), 'method' FROM (SELECT file_path, unnest(methods) AS x FROM f) WHERE x IS NOT NULL UNION SELECT concat_ws('::', file_path, 'route', x.method, x.path), 'route' FROM (SELECT file_path, unnest(routes) AS x FROM f) WHERE x IS NOT NULL UNION SELECT concat_ws('::', 'dependency', x.module), 'dependency' FROM (SELECT file_path, unnest(imports) AS x FROM f) WHERE x IS NOT NULL""",
+    "one_hop_neighbors": f"WITH {_GRAPH} SELECT source AS from_id, relationship, count(*) AS n, min(name) AS first_name, 'out' AS side FROM e JOIN n ON n.id = e.target GROUP BY source, relationship UNION ALL SELECT target, relationship, count(*), min(name), 'in' FROM e JOIN n ON n.id = e.source GROUP BY target, relationship",
+    "definition_sites": f"WITH {_GRAPH} SELECT target AS symbol_id, name AS file FROM e JOIN n ON n.id = e.source WHERE relationship = 'DEFINES'",
+    "route_context": f"""WITH {_ROUTES}, u AS (SELECT DISTINCT route, file, line FROM h JOIN (SELECT file_path AS file, c.target AS name, c.line AS line FROM (SELECT file_path, unnest(calls) AS c FROM file_symbols) WHERE c.target IS NOT NULL) r ON r.name = h.handler)
+        SELECT route, 'route' AS kind, 1 AS n, route AS first_name FROM h UNION ALL SELECT route, 'handler', 1, handler FROM h UNION ALL SELECT route, 'reference', count(*), min(concat_ws(':', file, line)) FROM u GROUP BY route""",
+    "route_symbols": f"WITH {_ROUTES}, {_SYMBOLS} SELECT DISTINCT h.route, s.name, s.type FROM h JOIN s ON s.file = h.file_path",
+    "graph_build_v1": f"""WITH p AS {_FILES}, {_TREE}, {_IMPORTS}, f AS (SELECT * FROM file_symbols WHERE file_path IS NOT NULL),
+        y AS (SELECT file_path AS f, 'class' AS k, x.name AS a, NULL AS b FROM (SELECT file_path, unnest(classes) AS x FROM f) WHERE x IS NOT NULL UNION SELECT file_path, 'function', x.name, NULL FROM (SELECT file_path, unnest(functions) AS x FROM f) WHERE x IS NOT NULL UNION SELECT file_path, 'method', x.name, x.class_name FROM (SELECT file_path, unnest(methods) AS x FROM f) WHERE x IS NOT NULL),
+        z AS (SELECT DISTINCT file_path AS f, x.function_name AS h, x.method AS m, x.path AS path FROM (SELECT file_path, unnest(routes) AS x FROM f) WHERE x IS NOT NULL)
+        SELECT 'node ' || upper(node_type) AS what, count(*) AS n FROM (SELECT path, node_type FROM u UNION ALL SELECT '.', 'directory') GROUP BY node_type UNION ALL SELECT 'node ' || upper(k), count(DISTINCT CASE k WHEN 'method' THEN concat_ws('::', f, k, concat_ws('.', b, a)) ELSE concat_ws('::', f, k, a) END) FROM y GROUP BY k UNION ALL SELECT 'node ROUTE', count(DISTINCT concat_ws('::', f, 'route', m, path)) FROM z
+        UNION ALL SELECT 'edge DEFINES', count(*) FROM y UNION ALL SELECT 'edge EXPOSES_ROUTE', count(*) FROM z UNION ALL SELECT 'edge IMPORTS', count(*) FROM im WHERE target IS NOT NULL""",
+    "reachability": f"WITH RECURSIVE {_REACH4} SELECT start, target, CAST(length AS BIGINT) AS length FROM m WHERE target IN (SELECT start FROM s)",
+    "shortest_path_levels": f"WITH RECURSIVE {_REACH4} SELECT start, CAST(length AS BIGINT) AS length, count(*) AS n FROM m WHERE target IN (SELECT target FROM c) GROUP BY start, length",
+    "depth_first": f"WITH RECURSIVE {_INHERITS}, w AS (SELECT DISTINCT s AS start, s AS id, [s] AS path FROM e UNION ALL SELECT w.start, e.t, list_append(w.path, e.t) FROM w JOIN e ON e.s = w.id WHERE len(w.path) <= 10 AND NOT list_contains(w.path, e.t)) SELECT start, id, array_to_string(min(path), '>') AS path, CAST(len(min(path)) - 1 AS BIGINT) AS depth FROM w WHERE id <> start GROUP BY start, id",
+    "inheritance_tree": f"""WITH RECURSIVE {_INHERITS}, a AS (SELECT DISTINCT s AS start FROM e), up AS (SELECT start, start AS id, 0 AS depth FROM a UNION SELECT up.start, e.t, up.depth + 1 FROM up JOIN e ON e.s = up.id WHERE up.depth < 60), dn AS (SELECT start, start AS id, 0 AS depth FROM a UNION SELECT dn.start, e.s, dn.depth + 1 FROM dn JOIN e ON e.t = dn.id WHERE dn.depth < 60)
+        SELECT start, id, 'parent' AS side, CAST(min(depth) AS BIGINT) AS depth FROM up WHERE id <> start GROUP BY start, id UNION ALL SELECT start, id, 'child', CAST(min(depth) AS BIGINT) FROM dn WHERE id <> start AND (start, id) NOT IN (SELECT start, id FROM up) GROUP BY start, id""",
+    "route_execution": f"""WITH RECURSIVE c AS ({_CALLS}), r AS (SELECT DISTINCT concat_ws(':', upper(r.method), r.path) AS source, r.function_name AS target FROM (SELECT unnest(routes) AS r FROM file_symbols) WHERE r.function_name IS NOT NULL AND r.path IS NOT NULL), e AS (SELECT source, target FROM r UNION SELECT source, target FROM c),
+        w AS (SELECT DISTINCT source AS start, source AS id, 0 AS depth FROM r UNION SELECT w.start, e.target, w.depth + 1 FROM w JOIN e ON e.source = w.id WHERE w.depth < 3), m AS (SELECT start, id, min(depth) AS depth FROM w WHERE id <> start GROUP BY start, id) SELECT start, count(*) AS n, CAST(max(depth) AS BIGINT) AS depth FROM m GROUP BY start""",
+    "impact_sections": f"WITH c AS ({_CALLS}), {_HANDLERS}, o AS (SELECT start, count(*) AS n FROM s JOIN c ON c.source = s.start GROUP BY start), i AS (SELECT start, count(*) AS n FROM s JOIN c ON c.target = s.start GROUP BY start) SELECT start, unnest(['callees', 'dependencies']) AS section, n FROM o UNION ALL SELECT start, unnest(['callers', 'dependents']), n FROM i",
+    "impact_v3": f"WITH RECURSIVE c AS ({_CALLS}), x AS (SELECT min(target) AS name FROM c), u AS (SELECT name AS id FROM x UNION SELECT c.source FROM u JOIN c ON c.target = u.id) SELECT DISTINCT 'callers' AS section, source AS name FROM c, x WHERE c.target = x.name UNION ALL SELECT DISTINCT 'callees', target FROM c, x WHERE c.source = x.name UNION ALL SELECT 'dependents', id FROM u, x WHERE id <> x.name",
+    "file_closures": f"WITH RECURSIVE {_CLOSURE}, d AS (SELECT s.start, e.target AS file FROM s JOIN e ON e.source = s.start UNION SELECT d.start, e.target FROM d JOIN e ON e.source = d.file), a AS (SELECT s.start, e.source AS file FROM s JOIN e ON e.target = s.start UNION SELECT a.start, e.source FROM a JOIN e ON e.target = a.file) SELECT start, file, 'downstream' AS side FROM d UNION ALL SELECT start, file, 'affected' FROM a",
+    "dependency_summaries": f"""WITH RECURSIVE {_CLOSURE}, a AS (SELECT s.start, e.source AS file FROM s JOIN e ON e.target = s.start UNION SELECT a.start, e.source FROM a JOIN e ON e.target = a.file), w AS (SELECT start, start AS id, 0 AS depth FROM s UNION SELECT w.start, e.target, w.depth + 1 FROM w JOIN e ON e.source = w.id WHERE w.depth < 60), m AS (SELECT start, id, min(depth) AS depth FROM w GROUP BY start, id)
+        SELECT start, (SELECT count(*) FROM e WHERE e.source = s.start) AS direct_dependencies, (SELECT count(*) FROM e WHERE e.target = s.start) AS direct_dependents, (SELECT count(*) FROM a WHERE a.start = s.start) AS affected_files, CAST((SELECT max(depth) FROM m WHERE m.start = s.start) AS BIGINT) AS dependency_depth FROM s""",
+    "repository_contexts": f"""WITH RECURSIVE c AS ({_CALLS}), {_HANDLERS}, a AS (SELECT start AS name FROM s WHERE start IN (SELECT source FROM c UNION SELECT target FROM c)), w AS (SELECT name AS start, name AS id, 0 AS depth FROM a UNION SELECT w.start, c.target, w.depth + 1 FROM w JOIN c ON c.source = w.id WHERE w.depth < 2), m AS (SELECT start, id, min(depth) AS depth FROM w GROUP BY start, id)
+        SELECT 'symbols' AS section, name, 1 AS n FROM a UNION ALL SELECT unnest(['callees', 'dependencies']), name, count(*) FROM a JOIN c ON c.source = name GROUP BY name UNION ALL SELECT 'callers', name, count(*) FROM a JOIN c ON c.target = name GROUP BY name UNION ALL SELECT 'call_chains', start, count(*) FROM m WHERE id <> start GROUP BY start""",
+    "investigation_contexts": f"""WITH RECURSIVE c AS ({_CALLS}), {_HANDLERS}, a AS (SELECT start AS name FROM s WHERE start IN (SELECT source FROM c UNION SELECT target FROM c)), w AS (SELECT name AS start, name AS id, 0 AS depth FROM a UNION SELECT w.start, c.target, w.depth + 1 FROM w JOIN c ON c.source = w.id WHERE w.depth < 2), m AS (SELECT start, id, min(depth) AS depth FROM w GROUP BY start, id)
+        SELECT 'symbols' AS section, name AS source, '' AS relationship, 1 AS n FROM a UNION ALL SELECT 'dependencies', name, 'DEPENDS_ON', count(*) FROM a JOIN c ON c.source = name GROUP BY name UNION ALL SELECT 'dependencies', source, 'CALLS', count(*) FROM c WHERE source IN (SELECT name FROM a) OR target IN (SELECT name FROM a) GROUP BY source
+        UNION ALL SELECT 'call_chains', start, 'CALLS', count(*) FROM m WHERE id <> start GROUP BY start UNION ALL SELECT 'routes', r, '', 1 FROM (VALUES ('POST:/a'), ('GET:/tokens/session')) v(r)""",
+    "evidence_expansion": f"""WITH c AS ({_CALLS}), {_HANDLERS}, b AS (SELECT start AS name, 1.0::DOUBLE / length(start) AS score, length(start) AS ord FROM s), a AS (SELECT * FROM b WHERE name IN (SELECT source FROM c UNION SELECT target FROM c)),
+        r AS (SELECT 'symbol' AS source, name, score, ord, 0 AS step FROM b UNION ALL SELECT 'file', file_path, max(score), 0, 0 FROM ranked_file WHERE score IS NOT NULL GROUP BY file_path UNION ALL SELECT 'symbol', c.target, a.score * 0.75::DOUBLE, a.ord, 1 FROM a JOIN c ON c.source = a.name UNION ALL SELECT 'symbol', c.source, a.score * 0.85::DOUBLE, a.ord, 2 FROM a JOIN c ON c.target = a.name UNION ALL SELECT 'symbol', c.target, a.score * 0.80::DOUBLE, a.ord, 3 FROM a JOIN c ON c.source = a.name),
+        k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, ord, step) AS x FROM r) WHERE x = 1) SELECT source, count(*) AS n, round(max(score), 6) AS best, round(min(score), 6) AS least FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, ord, step, name) AS y FROM k) WHERE y <= 20 GROUP BY source""",
+    "evidence_package": """WITH n AS (SELECT DISTINCT id, type, name, replace(replace(lower(name), '_', ' '), '-', ' ') AS m, lower(type) AS k FROM graph_node WHERE id IS NOT NULL), h AS (SELECT DISTINCT CASE WHEN k = 'route' THEN 'routes' WHEN k IN ('class', 'function', 'method') THEN 'symbols' END AS section, name, CASE WHEN m = 'token' THEN 40 WHEN contains(m, 'token') THEN 20 ELSE 0 END + CASE WHEN contains(m, 'token') THEN CASE WHEN k = 'file' THEN 10 WHEN k IN ('class', 'function', 'method', 'symbol') THEN 20 WHEN k = 'route' THEN 50 ELSE 5 END ELSE 0 END AS score FROM n WHERE contains(lower(name), 'token')),
+        t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY score DESC, lower(name), name) AS ord FROM h WHERE section IS NOT NULL AND score > 0) WHERE ord <= CASE section WHEN 'symbols' THEN 25 ELSE 10 END),
+        u AS (SELECT DISTINCT file_path AS file, c.line AS line, c.target AS name FROM (SELECT file_path, unnest(calls) AS c FROM file_symbols) WHERE c.target IN (SELECT name FROM t WHERE section = 'symbols')), v AS (SELECT *, row_number() OVER (ORDER BY file NULLS FIRST, line NULLS FIRST, name) AS ord FROM u),
+        g AS (SELECT file_path, max(score) AS score FROM ranked_file WHERE score IS NOT NULL GROUP BY file_path) SELECT section, ord, name AS value FROM t UNION ALL SELECT 'references', ord, concat_ws(':', file, line, name) FROM v WHERE ord <= 50 UNION ALL SELECT 'files', ord, file_path FROM (SELECT *, row_number() OVER (ORDER BY score DESC, file_path) AS ord FROM g) WHERE ord <= 20""",
+    "semantic_lookup": f"WITH RECURSIVE c AS ({_CALLS}), n AS (SELECT source AS name FROM c UNION SELECT target FROM c), x AS (SELECT min(source) AS name FROM c), u AS (SELECT name AS id, 0 AS depth FROM x UNION SELECT c.target, u.depth + 1 FROM u JOIN c ON c.source = u.id WHERE u.depth < 10) SELECT 'symbols' AS section, name AS value FROM n WHERE name IN ('where', 'is', 'handled') OR name IN (SELECT name FROM x) UNION SELECT 'symbols', id FROM u UNION SELECT 'routes', name FROM x",
+    "discovered_files": "WITH f AS " + _FILES + ", s AS (SELECT path, CAST(" + " + ".join(f"CASE WHEN contains(lower(path), '{k}') THEN 10.0 ELSE 0.0 END" for k in ("debug", "fix", "route", "session", "token")) + " AS DOUBLE) AS score FROM f) SELECT path, score FROM s WHERE score > 0 ORDER BY score DESC, path LIMIT 25",
+    "composite_scores": "WITH f AS (SELECT f.path AS path, max(f.content) AS content, max(requested_at) AS modified FROM (SELECT unnest(files) AS f, requested_at FROM prompt_request) WHERE f.path IS NOT NULL AND f.content IS NOT NULL GROUP BY f.path), s AS (SELECT path, md5(content) AS digest, CAST("
+    + " + ".join(f"CASE WHEN contains(lower(path), '{k}') THEN 1.0 ELSE 0.0 END + CASE WHEN strlen(content) <= 20480 AND contains(lower(content), '{k}') THEN 0.5 ELSE 0.0 END" for k in ("debug", "fix", "route", "session", "token"))
+    + " + CASE WHEN epoch(TIMESTAMP '2026-07-01') - floor(epoch(modified)) < 3600 THEN 3.0 WHEN epoch(TIMESTAMP '2026-07-01') - floor(epoch(modified)) < 86400 THEN 2.0 WHEN epoch(TIMESTAMP '2026-07-01') - floor(epoch(modified)) < 604800 THEN 1.0 ELSE 0.0 END + CASE WHEN regexp_extract(lower(path), '[^/]+$') IN ('main.py', 'app.py', 'server.py', 'index.py', 'main.js', 'index.js', 'app.js', 'server.js', 'main.ts', 'index.ts', 'app.ts', 'main.dart', 'app.dart', 'main.go', 'main.rb', 'main.rs') THEN 2.0 ELSE 0.0 END + CASE WHEN contains(lower(path), 'src/main.py') OR contains('src/main.py', lower(path)) THEN 5.0 ELSE 0.0 END + CASE WHEN contains(lower(path), 'config') OR contains('config', lower(path)) THEN 5.0 ELSE 0.0 END AS DOUBLE) AS score FROM f) SELECT path, digest, score FROM s WHERE score > 0 ORDER BY score DESC, path LIMIT 50",
+    "question_grammar": f"WITH {_QUESTIONS} SELECT q, intent_type, first, second FROM p",
+    "question_answers": f"WITH {_QUESTIONS}, a AS (SELECT q, source AS answer FROM p JOIN c ON c.target = first WHERE intent_type = 'who_calls' UNION ALL SELECT q, target FROM p JOIN c ON c.source = first WHERE intent_type = 'what_does_call') SELECT q, count(DISTINCT answer) AS n, min(answer) AS first_answer FROM a GROUP BY q",
+    "task_routing": rf"""WITH d AS (SELECT DISTINCT request_id, coalesce(intent, '') || ' ' || coalesce(substr(conversation, 1, 2000), '') AS x FROM prompt_request), b AS (SELECT request_id, lower(x) AS t FROM d WHERE regexp_replace(x, '\s', '', 'g') <> ''), s AS (SELECT request_id, {_TASK} FROM b), g AS (SELECT *, greatest(debug, research, code, explain, design) AS b FROM s), k AS (SELECT DISTINCT request_id, CASE WHEN b = 0 THEN 'general' WHEN debug = b THEN 'debug' WHEN research = b THEN 'research' WHEN code = b THEN 'code' WHEN explain = b THEN 'explain' ELSE 'design' END AS task_type FROM g)
+        SELECT request_id, task_type, CASE task_type WHEN 'research' THEN 'gemini' ELSE 'claude' END AS recommended, CASE task_type WHEN 'research' THEN 'Gemini' ELSE 'Claude' END AS display, CASE task_type WHEN 'debug' THEN 'Claude handles long-context debugging and tracing best' WHEN 'code' THEN 'Claude is strongest at code generation and review' WHEN 'explain' THEN 'Claude gives thorough, structured explanations' WHEN 'research' THEN 'Gemini has live web access for current information' WHEN 'design' THEN 'Claude excels at architecture and system design' ELSE 'Claude handles complex open-ended tasks best' END AS reason FROM k""",
+    "next_steps": r"""WITH t AS (SELECT request_id, conversation AS x FROM prompt_request WHERE conversation IS NOT NULL UNION SELECT -doc_id, text FROM documents WHERE text IS NOT NULL),
+        m AS (SELECT request_id, lower(x) AS l, regexp_extract_all(x, '\b(GET|POST|PATCH|PUT|DELETE)\s+(/[a-zA-Z0-9_/.<>?=&\-]+)', 1)[-1] || ' ' || regexp_extract_all(x, '\b(GET|POST|PATCH|PUT|DELETE)\s+(/[a-zA-Z0-9_/.<>?=&\-]+)', 2)[-1] AS r, regexp_extract_all(x, '`([^`]+\.[a-zA-Z0-9_]{2,5})`', 1) AS a, regexp_extract_all(x, '`([^`\n]+\.[a-zA-Z0-9_]{2,5})`', 1) AS f FROM t),
+        k AS (SELECT *, CASE WHEN contains(l, 'paste these files') OR contains(l, 'paste the files') THEN 1 WHEN contains(l, 'what i need next') OR contains(l, 'next step') THEN 2 WHEN contains(l, '404') AND (contains(l, 'missing') OR contains(l, 'not found')) THEN 3 WHEN contains(l, 'serialization') OR contains(l, 'contract') OR contains(l, 'tojson') OR contains(l, 'fromjson') THEN 4 ELSE 0 END AS k FROM m)
+        SELECT DISTINCT request_id, ['Analyzed conversation', 'AI requested specific files to be pasted', 'AI outlined next steps', 'Identified missing route causing 404', 'Investigating JSON serialization contract mismatch'][k + 1] AS last_ai_action,
+          CASE k WHEN 1 THEN 'Paste the requested files into the conversation' WHEN 2 THEN 'Follow the AI''s outlined next steps' WHEN 3 THEN coalesce('Implement missing ' || r || ' endpoint', 'Review conversation and continue debugging') WHEN 4 THEN 'Compare toJson/fromJson between server and client models' ELSE 'Review conversation and continue debugging' END AS next_step,
+          CASE k WHEN 1 THEN CASE WHEN len(a) > 0 THEN 'Here are the requested files: ' || array_to_string(a[greatest(1, len(a) - 3):], ', ') ELSE '' END WHEN 3 THEN coalesce('Implement ' || r || ' endpoint as discussed', '') WHEN 4 THEN 'Verify JSON contract between server and Flutter models' ELSE '' END AS suggested_intent,
+          coalesce(array_to_string(list_filter(list_transform(range(1, len(f) + 1), lambda i: CASE WHEN list_position(f, f[i]) = i THEN f[i] END), lambda x: x IS NOT NULL)[1:6], ','), '') AS likely_files FROM k""",
+    "prompt_compose": rf"WITH {_PACKAGE} SELECT DISTINCT request_id, md5(regexp_replace(markdown, '^\s+|\s+$', '', 'g')) AS markdown, md5(regexp_replace(plain, '^\s+|\s+$', '', 'g')) AS plain FROM m",
+    "prompt_targets": f"WITH {_PACKAGE} SELECT DISTINCT request_id, md5(CASE request_id % 5 WHEN 0 THEN {_quoted(prompts.TARGETS['claude'])} || markdown WHEN 1 THEN {_quoted(prompts.TARGETS['gemini'])} || markdown WHEN 2 THEN {_quoted(prompts.TARGETS['local'])} || plain WHEN 3 THEN plain ELSE markdown END) AS digest FROM m",
+    "prompt_short": f"SELECT DISTINCT request_id, md5(concat_ws({_SEP}, 'I am working on the following problem:' || {_NL} || coalesce(intent, ''), 'Here are the relevant files:' || {_NL} || {_NL} || {_FILE_PART}, CASE WHEN length(expected) > 0 THEN 'Expected behavior:' || {_NL} || expected END, CASE WHEN length(actual) > 0 THEN 'Current behavior / what is going wrong:' || {_NL} || actual END, 'Please help me fix this. I am sending this to ' || coalesce(target, 'any') || '.')) AS digest FROM prompt_request",
+    "prompt_repository": f"""SELECT DISTINCT request_id, md5(concat_ws({_SEP}, CASE WHEN task_type = 'debug' THEN 'I have a bug I need help debugging.' END, CASE WHEN length(conversation_summary) > 0 THEN 'Context from our previous conversation:' || {_NL} || conversation_summary WHEN length(conversation) > 0 THEN 'Here is the conversation so far:' || {_NL} || {_NL} || substr(conversation, 1, 4000) END,
+        'GitHub Repository: o/' || project_name || {_NL} || CASE WHEN length(extra_context) > 0 THEN {_NL} || 'README:' || {_NL} || substr(extra_context, 1, 1500) ELSE '' END || CASE WHEN length(intent) > 0 THEN {_NL} || 'File structure:' || {_NL} || intent ELSE '' END, CASE WHEN length(intent) > 0 THEN CASE WHEN task_type = 'debug' THEN 'Bug description:' || {_NL} || intent ELSE intent END END, CASE WHEN length(extra_context) > 0 THEN 'Additional context:' || {_NL} || extra_context END,
+        'Relevant files:' || {_NL} || {_NL} || {_FILE_PART}, CASE WHEN length(expected) > 0 THEN 'Expected behavior:' || {_NL} || expected END, CASE WHEN length(actual) > 0 THEN 'Current behavior / what is going wrong:' || {_NL} || actual END, CASE WHEN task_type = 'debug' THEN 'Please identify the root cause and provide a specific fix.' END)) AS digest FROM prompt_request""",
+    "prompt_v2": rf"""WITH r AS (SELECT request_id, coalesce(intent, '') AS i, list_transform(list_filter(coalesce(files, []), lambda x: x IS NOT NULL AND x.path IS NOT NULL), lambda x: x.path)[1:20] AS f, list_filter([expected, actual], lambda x: x IS NOT NULL) AS a, coalesce(conversation, '') AS t FROM prompt_request),
+        m AS (SELECT *, regexp_extract_all(t, '(?i)\b(GET|POST|PUT|PATCH|DELETE)\s+(/[/a-zA-Z0-9_\-]*)', 1) AS v, regexp_extract_all(t, '(?i)\b(GET|POST|PUT|PATCH|DELETE)\s+(/[/a-zA-Z0-9_\-]*)', 2) AS p FROM r)
+        SELECT DISTINCT request_id, md5(concat_ws({_NL} || {_NL}, 'INVESTIGATION ISSUE' || {_NL} || {_NL} || i, CASE WHEN len(f) > 0 THEN 'RELEVANT FILES' || {_NL} || {_NL} || array_to_string(list_transform(f, lambda x: '- ' || x), {_NL}) END, CASE WHEN len(v) > 0 THEN 'ROUTE CONTEXT' || {_NL} || {_NL} || array_to_string(list_transform(range(1, len(v) + 1), lambda k: upper(v[k]) || ':' || p[k]), {_NL}) END, CASE WHEN len(a) > 0 THEN 'FACTS' || {_NL} || {_NL} || array_to_string(list_transform(a, lambda x: '- ' || x), {_NL}) END, {_quoted(context.INSTRUCTIONS)})) AS digest FROM m""",
+    "investigation_results": "WITH ev AS (SELECT evidence_id, content, collected_at FROM evidence UNION ALL SELECT 'request', 'Why does the service return 404 after a timeout', NULL), " + _FACTS.replace("FROM evidence)", "FROM ev)") + f", {_HYPS}, r AS (SELECT statement, CAST(round(0.5 + 0.1 * n_support, 2) AS DOUBLE) AS c, rule FROM h) SELECT (SELECT count(*) FROM f) AS n_facts, (SELECT count(*) FROM h) AS n_hypotheses, statement, least(1.0::DOUBLE, c) AS confidence, 'root_cause' AS investigation_type, 'backend' AS domain FROM r ORDER BY least(1.0, c) DESC, rule LIMIT 1",
+}
