@@ -342,9 +342,10 @@ class _Flattener:
                 out.append(({name: v}, at))
         return out
 
-    def children(self, obj, slot, node, file_path, owner, class_name=None) -> None:
+    def children(self, obj, slot, node, file_path, owner, class_name=None, parent=None) -> None:
+        """``parent`` is the row above, where that isn't ``node`` itself."""
         if obj.get(slot) is not None:
-            self.todo += [("child", SLOTS[slot], child, at, node, file_path, owner, class_name) for child, at in self.elements(obj[slot], slot, node)]
+            self.todo += [("child", SLOTS[slot], child, at, parent or node, file_path, owner, class_name) for child, at in self.elements(obj[slot], slot, node)]
 
     def child(self, subtype, obj, node, parent, file_path, owner, class_name) -> None:
         line = _number(obj.get("line"))
@@ -385,7 +386,8 @@ class _Flattener:
             self.children(obj, slot, node, path, path)
 
     def walk(self, value, node, parent) -> None:
-        """Routes by the automaton's class: file maps, file lists, bodies."""
+        """Routes by the automaton's class: file maps, file lists, bodies. What is
+        walked through is no row, so the parent stays."""
         if isinstance(value, list):
             self.todo += [("walk", v, f"{node}[{i}]", parent) for i, v in enumerate(value) if isinstance(v, (dict, list))]
             return
@@ -399,12 +401,12 @@ class _Flattener:
                 if key == "files" and isinstance(v, dict) and self.kind(v) in ("map", "object"):
                     for path, obj in v.items():
                         if isinstance(obj, dict):
-                            self.todo.append(("file", obj, f"{node}/files[{path}]", node, _text(obj.get("file_path")) or path))
+                            self.todo.append(("file", obj, f"{node}/files[{path}]", parent, _text(obj.get("file_path")) or path))
                 elif isinstance(v, (dict, list)):
-                    self.todo.append(("walk", v, f"{node}/{key}", node))
+                    self.todo.append(("walk", v, f"{node}/{key}", parent))
 
     def inside(self, obj, node, path) -> None:
-        self.children(obj, "calls", node, path, self.record_name)
+        self.children(obj, "calls", node, path, self.record_name, parent="$")
         self.todo += [("inside", v, f"{node}/{key}", path) for key, v in obj.items() if isinstance(v, dict) and key not in SLOTS]
 
     def owned(self) -> None:

@@ -120,6 +120,8 @@ class Extractor(ast.NodeVisitor):
         self.generic_visit(node)
 
     def visit_Call(self, node: ast.Call) -> None:
+        if isinstance(node.func, (ast.Name, ast.Attribute)):
+            self.add("called", node.func.id if isinstance(node.func, ast.Name) else node.func.attr, line=node.lineno)
         target = qualified(node.func)
         caller = self.functions[-1] if self.functions else "<module>"
         if target:
@@ -140,6 +142,7 @@ class Extractor(ast.NodeVisitor):
         self.generic_visit(node)
 
     def visit_Attribute(self, node: ast.Attribute) -> None:
+        self.add("member", node.attr, line=node.lineno)
         if (name := qualified(node.value)) is not None:
             self.add("attribute", node.attr, name, line=node.lineno)
         self.generic_visit(node)
@@ -224,7 +227,6 @@ def definitions_and_references(symbols: DataFrame) -> tuple[DataFrame, DataFrame
     latter, and (name, file, line, context) of their uses: names, calls (again as
     name or attribute) and attributes."""
     d = symbols.filter("kind in ('class', 'function', 'method')").select("name", F.when(F.col("kind") == "class", "class").otherwise("function").alias("type"), F.col("file_path").alias("file"), "line")
-    last = F.regexp_extract("name", r"([^.]+)$", 1)
-    kinds = F.when(F.col("kind") == "reference", "name").otherwise(F.col("kind"))
-    r = symbols.filter("kind in ('reference', 'call', 'attribute')").select(F.when(F.col("kind") == "call", last).otherwise(F.col("name")).alias("name"), F.col("file_path").alias("file"), "line", kinds.alias("context"))
+    context = F.create_map(*[F.lit(x) for x in ("reference", "name", "called", "call", "member", "attribute")])
+    r = symbols.filter("kind in ('reference', 'called', 'member')").select("name", F.col("file_path").alias("file"), "line", context[F.col("kind")].alias("context"))
     return d, r

@@ -455,7 +455,7 @@ def _extracted(spark) -> DataFrame:
 
 def symbol_rows(spark: SparkSession, base: str) -> DataFrame:
     """All symbols of a small project but names and attributes."""
-    s = _extracted(spark).filter("kind not in ('reference', 'attribute')")
+    s = _extracted(spark).filter("kind not in ('reference', 'attribute', 'called', 'member')")
     return s.select("file_path", "kind", "name", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("detail", F.lit("")).alias("detail"), F.coalesce("line", F.lit(0)).cast("bigint").alias("line"), F.array_join(F.coalesce("items", F.array().cast("array<string>")), ",").alias("items"))
 
 
@@ -649,4 +649,19 @@ SQL: dict[str, str] = {
         m AS (SELECT *, regexp_extract_all(t, '(?i)\b(GET|POST|PUT|PATCH|DELETE)\s+(/[/a-zA-Z0-9_\-]*)', 1) AS v, regexp_extract_all(t, '(?i)\b(GET|POST|PUT|PATCH|DELETE)\s+(/[/a-zA-Z0-9_\-]*)', 2) AS p FROM r)
         SELECT DISTINCT request_id, md5(concat_ws({_NL} || {_NL}, 'INVESTIGATION ISSUE' || {_NL} || {_NL} || i, CASE WHEN len(f) > 0 THEN 'RELEVANT FILES' || {_NL} || {_NL} || array_to_string(list_transform(f, lambda x: '- ' || x), {_NL}) END, CASE WHEN len(v) > 0 THEN 'ROUTE CONTEXT' || {_NL} || {_NL} || array_to_string(list_transform(range(1, len(v) + 1), lambda k: upper(v[k]) || ':' || p[k]), {_NL}) END, CASE WHEN len(a) > 0 THEN 'FACTS' || {_NL} || {_NL} || array_to_string(list_transform(a, lambda x: '- ' || x), {_NL}) END, {_quoted(context.INSTRUCTIONS)})) AS digest FROM m""",
     "investigation_results": "WITH ev AS (SELECT evidence_id, content, collected_at FROM evidence UNION ALL SELECT 'request', 'Why does the service return 404 after a timeout', NULL), " + _FACTS.replace("FROM evidence)", "FROM ev)") + f", {_HYPS}, r AS (SELECT statement, CAST(round(0.5 + 0.1 * n_support, 2) AS DOUBLE) AS c, rule FROM h) SELECT (SELECT count(*) FROM f) AS n_facts, (SELECT count(*) FROM h) AS n_hypotheses, statement, least(1.0::DOUBLE, c) AS confidence, 'root_cause' AS investigation_type, 'backend' AS domain FROM r ORDER BY least(1.0, c) DESC, rule LIMIT 1",
+    "symbol_rows": _values("file_path, kind, name, owner, detail, line, items", [
+        ("a.py", "import", "os.path", "", "", 1, ""), ("a.py", "import", "pkg", "", "A", 2, ""), ("a.py", "import", "pkg", "", "C", 2, ""), ("a.py", "class", "Base", "", "", 3, ""), ("a.py", "class", "Service", "", "", 4, "Base"), ("a.py", "inherit", "Base", "Service", "", 4, ""),
+        ("a.py", "method", "helper", "Service", "", 5, ""), ("a.py", "decorator", "app.get", "login", "", 6, ""), ("a.py", "call", "app.get", "login", "", 6, ""), ("a.py", "method", "login", "Service", "", 7, "app.get"), ("a.py", "route", "/users", "login", "GET", 7, "fastapi"),
+        ("a.py", "call", "self.helper", "login", "", 8, ""), ("a.py", "method_call", "Service.helper", "Service.login", "", 8, ""), ("a.py", "call", "Other", "login", "", 9, ""), ("a.py", "instantiation", "Other", "login", "", 9, ""), ("a.py", "call", "s.run", "login", "", 10, ""), ("a.py", "method_call", "Other.run", "Service.login", "", 10, ""),
+        ("a.py", "call", "Other", "login", "", 11, ""), ("a.py", "instantiation", "Other", "login", "", 11, ""), ("a.py", "method_call", "Other.stop", "Service.login", "", 11, ""), ("a.py", "decorator", "app.route", "handler", "", 12, ""), ("a.py", "call", "app.route", "handler", "", 12, ""),
+        ("a.py", "function", "handler", "", "", 13, "app.route"), ("a.py", "route", "/r", "handler", "GET", 13, "flask"), ("a.py", "route", "/r", "handler", "POST", 13, "flask"), ("a.py", "call", "Service", "handler", "", 13, ""), ("a.py", "instantiation", "Service", "handler", "", 13, ""),
+        ("a.py", "function", "later", "", "", 14, ""), ("a.py", "call", "go", "later", "", 14, ""), ("b.py", "error", "SyntaxError", "", "", 1, ""), ("d.py", "class", "Other", "", "", 1, ""), ("d.py", "method", "run", "Other", "", 2, ""), ("d.py", "method", "stop", "Other", "", 3, ""),
+    ]),
+    "symbol_rows_v1": _values("file_path, kind, name, end_line", [("a.py", "class", "Base", 3), ("a.py", "class", "Service", 11), ("a.py", "function", "handler", 13), ("a.py", "method", "helper", 5), ("a.py", "method", "login", 11), ("d.py", "class", "Other", 3), ("d.py", "method", "run", 2), ("d.py", "method", "stop", 3)]),
+    "name_references": _values("name, context, n, first_line", [("Base", "name", 1, 4), ("Other", "name", 2, 9), ("Service", "name", 1, 13), ("Other", "call", 2, 9), ("Service", "call", 1, 13), ("helper", "call", 1, 8), ("run", "call", 1, 10), ("stop", "call", 1, 11), ("login", "call", 1, 13), ("helper", "attribute", 1, 8), ("run", "attribute", 1, 10), ("stop", "attribute", 1, 11), ("login", "attribute", 1, 13)]),
+    "route_index": _values("path, method, file_path, line, handler, framework, parameters", [("/a", "GET", "e.js", 1, "unknown", "express", ""), ("/b", "POST", "e.js", 3, "unknown", "express", ""), ("/c", "GET", "f.dart", 1, "unknown", "shelf", ""), ("/r", "GET", "a.py", 13, "handler", "flask", ""), ("/r", "POST", "a.py", 13, "handler", "flask", ""), ("/users", "GET", "a.py", 7, "login", "fastapi", "")]),
+    "method_calls": _values("caller_symbol, callee_symbol, caller_file, callee_file, line_number", [("Service.login", "Other.run", "a.py", "d.py", 10), ("Service.login", "Other.stop", "a.py", "d.py", 11), ("Service.login", "Service.helper", "a.py", "a.py", 8)]),
+    "graph_v3_reach": _values("start, id, depth", [("Service.login", "Other.run", 1), ("Service.login", "Other.stop", 1), ("Service.login", "Service.helper", 1)]),
+    "callable_lookup": _values("query, id, type", [("Service.login", "Service.login", "method"), ("run", "Other.run", "method")]),
+    "answers": "SELECT question, capability, CAST(confidence AS DOUBLE) AS confidence, evidence FROM (" + _values("question, capability, confidence, evidence", [("Show handler execution flow", "call_chain", 0.95, "Service,app.route,handler"), ("Where is Service handled?", "where_is_symbol", 0.95, "Service,handler"), ("hello", "unknown", 0.0, "")]) + ")",
 }
