@@ -239,3 +239,177 @@ def test_longest_prefix(spark):
     i = spark.createDataFrame([("a.b.c",), ("a.x",), ("q",), ("",)], "module string")
     m = spark.createDataFrame([("a", "a.py"), ("a.b", "a/b.py")], "name string, file string")
     assert {(r.module, r.file) for r in graph.longest_prefix(i, m).collect()} == {("a.b.c", "a/b.py"), ("a.x", "a.py"), ("q", None), ("", None)}
+
+
+def test_graph_of_the_second_generation(spark):
+    doc = [(1, "a.py", [("A", ["B"])], [("f", ["deco"]), (None, None)], [("A", "m", None)], [("GET", "/x")], [("os",), (None,)], [("f", "A"), ("<module>", "f"), (None, "ext"), ("A.m", "A.m")], [("A", "f"), ("A", None)])]
+    schema = "file_id int, file_path string, classes array<struct<name: string, bases: array<string>>>, functions array<struct<name: string, decorators: array<string>>>, methods array<struct<class_name: string, name: string, decorators: array<string>>>, routes array<struct<method: string, path: string>>, imports array<struct<module: string>>, calls array<struct<caller: string, target: string>>, inherits array<struct<class_name: string, parent: string>>"
+    files = spark.createDataFrame(doc * 2, schema)
+    nodes, edges = graph.build_v2(files)
+    got = {(r.source, r.relationship, r.target) for r in edges.collect()}
+    assert got == {
+        ("file:a.py", "DEFINES", "class:A"), ("file:a.py", "DEFINES", "function:f"), ("file:a.py", "DEFINES", "method:A.m"), ("file:a.py", "EXPOSES_ROUTE", "route:GET:/x"), ("file:a.py", "IMPORTS", "module:os"),
+        ("function:f", "DECORATED_BY", "decorator:deco"), ("function:f", "CALLS", "class:A"), ("file:a.py", "CALLS", "function:f"), ("file:a.py", "CALLS", "symbol:ext"), ("function:A.m", "CALLS", "method:A.m"), ("class:A", "INHERITS", "class:f"),
+    }
+    assert edges.count() == len(got)
+    types = {r.id: r.type for r in nodes.collect()}
+    assert types["class:f"] == "CLASS" and types["symbol:ext"] == "EXTERNAL_SYMBOL" and types["decorator:deco"] == "DECORATOR" and len(types) == nodes.count() == 9
+    more = files.withColumn("references", F.array(F.struct(F.lit("X").alias("symbol")))).withColumn("instantiations", F.array(F.struct(F.lit("K").alias("class_name")))).withColumn("decorators", F.array(F.struct(F.lit("d").alias("decorator"))))
+    extra = {(r.source, r.relationship, r.target) for r in graph.build_v2(more)[1].collect()} - got
+    assert extra == {("file:a.py", "REFERENCES", "symbol:X"), ("file:a.py", "INSTANTIATES", "class:K"), ("file:a.py", "DECORATED_BY", "decorator:d")}
+    empty = graph.build_v2(files.limit(0))
+    assert empty[0].count() == 0 and empty[1].count() == 0
+
+
+def test_depth_first_and_closures(spark):
+    e = spark.createDataFrame([("a", "c"), ("a", "b"), ("b", "d"), ("c", "d"), ("d", "a"), (None, "a")], "source string, target string")
+    one = spark.createDataFrame([("a",), ("zz",)], "start string")
+    got = [r.id for r in graph.depth_first(e, one).filter("start = 'a'").orderBy("path").collect()]
+    assert got == ["b", "d", "c"]
+    assert {r.file for r in graph.file_closure(e, one).collect()} == {"a", "b", "c", "d"} == {r.file for r in graph.file_closure(e, one, incoming=True).collect()}
+    s = {r.start: tuple(r)[1:] for r in graph.dependency_summary(e, one).collect()}
+    assert s == {"a": (2, 1, 4, 2), "zz": (0, 0, 0, 0)}
+    lengths = {(r.start, r.target): r.length for r in graph.path_lengths(e, one, spark.createDataFrame([("d",), ("a",)], "target string")).collect()}
+    assert lengths == {("a", "a"): 0, ("a", "d"): 2}
+    assert graph.depth_first(e, one.limit(0)).count() == 0
+
+
+def test_impact_and_lookups(spark, repo):
+    got = {(r.section, r.name) for r in graph.impact(repo.nodes, repo.edges, "validate_user").collect()}
+    assert got == {("callers", "login"), ("dependents", "login"), ("callees", "create_token"), ("dependencies", "create_token")}
+    calls = spark.createDataFrame([("A.x", "B.y"), ("B.y", "C.z")], "source string, target string")
+    assert {(r.section, r.name) for r in graph.impact_v3(calls, "C.z").collect()} == {("callers", "B.y"), ("dependents", "B.y"), ("dependents", "A.x")}
+    assert graph.find_v1(repo.nodes, "LOGIN", "symbol").count() == 1 and graph.find_v1(repo.nodes, "nope", "id").count() == 0
+    docs = {r.what for r in graph.projection(repo.nodes, repo.edges).collect()}
+    assert docs == {"node", "edge"} and {r.what: r.n for r in graph.counts(repo.nodes, repo.edges).collect()}["edge CALLS"] == 4
+    repo.register("where_is_symbol", lambda name: ask.Answer("mine", 1.0, name))
+    assert repo.ask("find bar").capability == "mine" and repo.capabilities() == sorted(ask.CAPABILITIES)
+    repo.plugins["where_is_symbol"] = repo.where_is_symbol
+
+
+def test_lines_within_the_row(spark):
+    text = "\n".join(["a"] * 3 + ["b", "Traceback x", "  in f", "", "c"] + [f"l{i}" for i in range(12)] + ["boom 404", "", "stack trace z"])
+    texts = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "x\n\ny\ny"), (5, "error " * 50_000)], "k int, t string")
+    df, rows = logs.in_rows(texts, "k", "t"), logs.exploded(texts, "k", "t")
+    pairs = lambda d: {(r.src, r.pos, r.line) for r in d.collect()}
+    flat = lambda c: pairs(df.select("src", F.explode(c).alias("x")).select("src", "x.pos", "x.line"))
+    length = F.col("l")
+    assert flat(logs.error_lines_of(length)) == pairs(logs.error_lines(rows)) and flat(logs.without_blank_of(length)) == pairs(logs.without_blank(rows))
+    assert flat(logs.without_repeats_of(length)) == pairs(logs.without_repeats(rows)) and flat(logs.error_context_of(length, 1, 2)) == pairs(logs.error_context(rows, 1, 2))
+    assert flat(logs.investigation_view_of(length)) == pairs(logs.investigation_view(rows))
+    assert flat(logs.head_and_tail_of(length, 10, 2, 3)) == pairs(logs.head_and_tail(rows, 10, 2, 3).select("src", "pos", "line"))
+    traces = {tuple(r) for r in df.select("src", F.explode(logs.stack_traces_of(length)).alias("t")).select("src", "t.*").collect()}
+    assert traces == {tuple(r) for r in logs.stack_traces(rows).collect()} and len(traces) == 2
+
+
+def test_next_step_and_routing(spark):
+    rows = [("Please paste these files: `a/b.py` and `c.dart`",), ("got 404, not found on GET /x/1",), ("404 missing",), ("the JSON contract",), ("what i need next",), ("hm",), ("",), (None,)]
+    got = [tuple(r.n) if r.n else None for r in spark.createDataFrame(rows, "t string").select(tx.next_step(F.col("t")).alias("n")).collect()]
+    assert got[0] == ("AI requested specific files to be pasted", "Paste the requested files into the conversation", "Here are the requested files: a/b.py, c.dart", ["a/b.py", "c.dart"])
+    assert got[1][1:3] == ("Implement missing GET /x/1 endpoint", "Implement GET /x/1 endpoint as discussed") and got[2][1:3] == ("Review conversation and continue debugging", "")
+    assert got[3][2] == "Verify JSON contract between server and Flutter models" and got[4][0] == "AI outlined next steps" and got[5][0] == got[6][0] == "Analyzed conversation"
+    t = [tuple(r.t) if r.t else None for r in spark.createDataFrame([("fix the crash", None), ("latest news", "x"), (None, None), (" ", "")], "i string, c string").select(tx.task_routing(F.col("i"), F.col("c")).alias("t")).collect()]
+    assert t[0][:2] == ("debug", "claude") and t[1][:3] == ("research", "gemini", "Gemini") and t[2:] == [None, None]
+
+
+def test_keywords_of_ticked_names(spark):
+    got = spark.createDataFrame([("see ` Main.dart ` and `.env` or `x.tar.gz` and `a\nb`",)], "t string").select(tx.keywords(F.col("t"))).first()[0]
+    assert {"main.dart", ".env", "x.tar.gz", "x.tar"} <= set(got) and "a\nb" not in got
+
+
+def test_suggested_files(spark):
+    f = spark.createDataFrame([("src/main.py", "", 1, "2020-01-01"), ("lib/main.py", "", 1, "2020-01-01")], "path string, content string, length int, modified string").withColumn("modified", F.to_timestamp("modified"))
+    now = F.to_timestamp(F.lit("2026-01-01"))
+    assert [(r.path, r.score) for r in ranking.composite_file_score(f, [], now, ["app/src/main.py"]).collect()] == [("src/main.py", 7.0), ("lib/main.py", 2.0)]
+
+
+def test_patterns(spark):
+    names = ["a.py", ".hid.py", "src/a.py", "src/x/b.py", "src/.h/c.py", "src/x/d[1].ts", "top/e.md"]
+    files = spark.createDataFrame([(n,) for n in names], "path string")
+    of = lambda p, **k: {r.path for r in repository.expand(files, [p], **k).collect()}
+    assert of("*.py") == {"a.py"} and of("**/*.py") == {"a.py", "src/a.py", "src/x/b.py"} and of("src") == {"src/a.py", "src/x/b.py", "src/.h/c.py", "src/x/d[1].ts"}
+    assert of("s?c/[!x].py") == {"src/a.py"} and of("wrong/b.py") == {"src/x/b.py"} and of("wrong/b.py", fallback=False) == set() and of("none.x") == set()
+    assert repository.expand(files, []).count() == 0 and of("src/**") == {"src/a.py", "src/x/b.py", "src/x/d[1].ts"}
+    given = spark.createDataFrame([("log", "a.py"), ("log", "zz"), ("odd", "a.py")], "evidence_type string, path string")
+    assert [tuple(r) for r in repository.file_arguments(given, ["log"], files).collect()] == [("log", "a.py")]
+
+
+def test_questions_as_a_column(spark):
+    qs = ["Who calls A.b?", "what does X call", "Can A reach B?", "trace A -> B", " Who  calls  x ", "hello", "", None]
+    for r in spark.createDataFrame([(q,) for q in qs], "q string").select("q", ask.parsed(F.col("q")).alias("p")).collect():
+        want = ask.parse(r.q or "")
+        assert (r.p.intent_type, r.p["first"], r.p.second) == (want["intent_type"], want.get("symbol", want.get("start", "")), want.get("target", "")), r.q
+
+
+def test_kept_investigation(spark, tmp_path):
+    from tessera.sources import projects
+
+    ev = spark.createDataFrame([("1", "[ERROR] GET /promise returns 404", None, "LOG"), ("2", "timeout after 3 s", None, "LOG")], "evidence_id string, content string, collected_at timestamp_ntz, evidence_type string")
+    s = projects.Sessions(spark, str(tmp_path / "ses"))
+    got = investigate.investigate("Debug the 404", ev, sessions=s, session="p")
+    assert got.summary()["root_cause"] == "Requested route is not registered" and got.questions.count() == 1
+    st = s.stats().first()
+    assert (st.facts, st.hypotheses, st.evidence) == (3, 3, 2) and s.memory("p")["root_cause"] == ["Requested route is not registered"]
+    investigate.investigate("Debug the 404", ev, sessions=s, session="p")
+    again = s.summary("p").first()
+    assert (again.facts, again.hypotheses, again.evidence) == (3, 3, 4) and again.root_cause == "Requested route is not registered"
+    s.delete("p")
+    assert not s.exists("p") and s.table("facts", "p").count() == 0
+    s.delete("p")
+    s.create("p")
+    assert s.resume("p").count() == 2 and s.path("facts").endswith("/facts")
+    with pytest.raises(investigate.AdaptionFailed):
+        investigate.investigate("x", ev.drop("content"))
+    with pytest.raises(investigate.AnalysisFailed):
+        investigate.investigate("x", ev, stages=investigate.Stages(facts=lambda *a: 1 / 0))
+    assert issubclass(investigate.UnknownEvidence, investigate.CollectionFailed)
+
+
+def test_context_and_cache(spark, repo, tmp_path):
+    from tessera.plans import context
+
+    seeds = spark.createDataFrame([("login",), ("nope",)], "name string")
+    got = {(r.section, r.source, r.target, r.relationship) for r in context.investigation_context(repo.nodes, repo.edges, seeds, "post /login fails", ["GET /q"]).collect()}
+    assert ("dependencies", "login", "DATABASE_URL", "DEPENDS_ON") in got and ("dependencies", "POST:/login", "login", "CALLS") in got and ("dependencies", "login", "validate_user", "CALLS") in got
+    assert ("routes", "GET:/q", "GET:/q", "") in got and ("route_chains", "POST:/login", "create_token", "") in got and ("call_chains", "login", "create_token", "CALLS") in got
+    path = str(tmp_path / "g")
+    stores.save_graph(repo.nodes, repo.edges, path, "p")
+    cache = stores.GraphCache(spark)
+    assert cache.load(path)[0] is cache.load(path)[0] and cache.contains(path)
+    cache.invalidate(path)
+    cache.clear()
+    assert not cache.contains(path)
+
+
+def test_repository_section(spark):
+    r = spark.createDataFrame([(1, "debug", "I", None, None, None, None, None, None, "r" * 2000)], "request_id int, task_type string, intent string, expected string, actual string, conversation string, conversation_summary string, extra_context string, files array<struct<path: string, content: string>>, readme string")
+    repo_ = F.struct(F.lit("o").alias("owner"), F.lit("n").alias("repo"), F.col("readme"), F.lit("a\nb").alias("file_tree"))
+    p = prompts.build(r, repo_).first()["prompt"]
+    assert "GitHub Repository: o/n\n\nREADME:\n" + "r" * 1500 + "\nFile structure:\na\nb" in p and "r" * 1501 not in p
+    assert "GitHub" not in prompts.build(r).first()["prompt"]
+
+
+def test_shared_folder(spark, tmp_path):
+    from tessera import session
+
+    staged = session.stage(spark.range(3), "x")
+    path = session._STAGED[-1][1]
+    assert staged.count() == 3 and path.startswith(spark.conf.get("spark.checkpoint.dir"))
+    session.drop_stages()
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://")) and session._STAGED == []
+
+    class Conf:
+        @staticmethod
+        def get(name, default=None):
+            return default
+
+    class Fake:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "spark://h:7077"
+
+    with pytest.raises(ValueError, match="share"):
+        session.shared_dir(Fake())
