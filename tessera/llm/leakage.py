@@ -2,9 +2,11 @@
 
 A generalised suffix automaton over the words of all items takes the words of
 each document one by one and gives, at each word, the longest passage of any
-item that ends there. Maximal matches become segments of their items; items
-whose segments cover enough are checked exactly: the longest chain of the
-item's words in order, single words altered, against the share of the item.
+item that ends there. Maximal matches become segments of their items, whose
+lengths are added along chains in both orders: a chain that covers the share of
+its item, with few words between its segments, is a leak (:func:`covered`). Only
+where the segments alone don't decide, as altered words stand too close for
+them, an exact check follows: the longest chain of the item's single words.
 
 Words are compared in one form: escapes and entities resolved, markup dropped,
 look-alike letters, accents, case, punctuation and spacing made one.
@@ -249,6 +251,22 @@ def enough(matched: int, span: int, size: int, share: float) -> bool:
     return span >= share * size and (matched >= SURE * span or matched >= DENSE * span and matched >= OWN * share / SHARE * size)
 
 
+def covered(found: list[tuple[int, int, int]], size: int, share: float) -> bool:
+    """Whether a chain of the automaton's segments (first word of the item, first
+    word of the text, words), in order of the text, repeats the share: by the
+    words that they match and the part of the item that they span."""
+    chains: list[tuple[int, int, int, int]] = []  # end in item, end in text, matched, first word of the item
+    for i, j, n in found:
+        best = (n, i)
+        for end_i, end_j, matched, first in reversed(chains):
+            if 0 <= i - end_i < GAP and 0 <= j - end_j < GAP and matched + n > best[0]:
+                best = (matched + n, first)
+        chains.append((i + n, j + n, *best))
+        if enough(best[0], i + n - best[1], size, share):
+            return True
+    return False
+
+
 def dense_passage(item: list[str], text: list[str], lo: int, hi: int, share: float) -> tuple[int, int, int, int, int] | None:
     """:func:`passage`, but of the chains that are dense enough: for each pair
     of equal words, the most matches of a chain from each first word."""
@@ -300,14 +318,18 @@ def passages(item: list[str], text: list[str], lo: int, hi: int, share: float) -
     return out
 
 
-def leaks(automaton: SuffixAutomaton, seq: list[str], share: float = SHARE) -> list[tuple[int, int, int, int]]:
+def leaks(automaton: SuffixAutomaton, seq: list[str], share: float = SHARE, *, spans: bool = True) -> list[tuple[int, int, int, int]]:
     """(item, words spanned, first and last word in the text) of each passage
-    that repeats the ``share`` or more of an item."""
+    that repeats the ``share`` or more of an item. Without ``spans`` an item that
+    the segments' lengths and coverage prove is told once, without places."""
     out = []
     for item, found in automaton.segments(seq).items():
         own = automaton.items[item]
         if sum(n for _, _, n in found) < 0.5 * share * len(own):
             continue
+        if not spans and covered(sorted(found, key=lambda s: (s[1], s[0])), len(own), share):
+            out.append((item, 0, 0, 0))
+            continue
         # stretches of the text in which the item's words stand close together,
         # with as many words around them as a passage may reach
         found.sort(key=lambda s: s[1])
@@ -362,9 +384,9 @@ def item_blocks(items: DataFrame, key: str, text: str, block_words: int = BLOCK_
 
 
 def leaked(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, share: float = SHARE, *, spans: bool = False) -> DataFrame:
-    """(key, doc, item_id, words) of every passage of an item in a document, doc
-    a hash of the text; ``spans`` adds the characters of the passages, all that must go for none of
-    the same block of items to remain."""
+    """(key, doc, item_id) of the items in each document, doc a hash of the text;
+    ``spans`` gives a row for each passage, with its words and characters, all that
+    must go for none of the same block of items to remain."""
     spark = documents.sparkSession
     source = documents.filter(F.length(text) > 0).select(F.col(key).cast("bigint").alias("k"), F.xxhash64(text).alias("d"), F.col(text).alias("t"))
     schema = pa.schema([(n, pa.int64()) for n in (key, "doc", "item_id", "words", "begin", "end")])
@@ -380,12 +402,12 @@ def leaked(documents: DataFrame, key: str, text: str, items: DataFrame, item_key
             for b in batches:
                 rows = []
                 for k, d, t in zip(*(c.to_pylist() for c in b.columns)):
-                    found = (all_leaks if spans else leaks)(automaton, words(t), share)
+                    found = all_leaks(automaton, words(t), share) if spans else leaks(automaton, words(t), share, spans=False)
                     if found and spans:
                         placed = placed_words(t)
                         rows += [(k, d, i, w, placed[x][1], placed[y][2]) for i, w, x, y in found]
                     else:
-                        rows += [(k, d, i, w, None, None) for i, w, _, _ in found]
+                        rows += [(k, d, i, None, None, None) for i, _, _, _ in found]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 

@@ -18,7 +18,7 @@ each target, reach the driver.
 from __future__ import annotations
 
 import base64
-import os
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,26 +30,29 @@ from tessera.session import stage
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pattern that splits text before byte-pair merges.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_ENCODERS: dict[str, tiktoken.Encoding] = {}
+_ENCODERS: dict[bytes, tiktoken.Encoding] = {}
 
 
-def encoder(path: str) -> tiktoken.Encoding:
-    """The public tokenizer of a ranks file, kept by worker."""
-    if path not in _ENCODERS:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[path] = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[path]
+def encoder(content: bytes) -> tiktoken.Encoding:
+    """The public tokenizer of a ranks file's content, kept by worker."""
+    name = hashlib.sha256(content).digest()
+    if name not in _ENCODERS:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
+        _ENCODERS[name] = tiktoken.Encoding(name.hex(), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODERS[name]
 
 
 def counted(documents: DataFrame, key: str, text: str, source: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(key, source, n_tokens) of documents with text; sources normalised."""
+    """(key, source, n_tokens) of documents with text; sources normalised. The
+    vocabulary, one file of some 700 KB, is read by the driver and broadcast."""
+    with open(vocabulary, "rb") as f:
+        sent = documents.sparkSession.sparkContext.broadcast(f.read())
     kind = documents.schema[key].dataType.simpleString()
     rows = documents.filter(F.length(text) > 0).select(F.col(key).cast("bigint").alias("k"), F.lower(F.trim(source)).alias("s"), F.col(text).alias("t"))
     schema = pa.schema([("k", pa.int64()), ("s", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_ordinary
+        encode = encoder(sent.value).encode_ordinary
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(encode(t)) for t in b.column(2).to_pylist()], pa.int64())], schema=schema)
 
