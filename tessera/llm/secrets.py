@@ -31,6 +31,7 @@ import uuid
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -86,21 +87,16 @@ _USER = re.compile(r"[\"']?[^\s:\"']+:([^\s\"']+)")
 _INNER, _INNER_AFTER = re.compile(r"[\w./$%+-]"), re.compile(r"[\w/$%+-]|\.\w")
 _B64 = re.compile(r"^[A-Za-z0-9+/]{8,}={0,2}$")
 #: Shapes of a literal's parts: whole runs of letters and digits that mix both or
-#: both cases, long runs of one case, letters and digits on both sides of a sign,
+#: both cases, long runs of capitals, letters and digits on both sides of a sign,
 #: letters before or after a sign that prose and code seldom have inside a word.
-_SHAPES = tuple(
-    map(
-        re.compile,
-        (
-            r"(?<![^\W_])[^\W_]*(?:\d[^\W\d_]|[^\W\d_]\d|[a-z][A-Z])[^\W_]*",
-            r"(?<![^\W_])[^\W\d_]{16,}(?![^\W_])",
-            r"(?<![^\W_])[^\W\d_]+(?:_|[^\w\s])\d{2,}(?![^\W_])",
-            r"(?<![^\W_])\d{2,}(?:_|[^\w\s])[^\W\d_]+(?![^\W_])",
-            r"(?<![^\W_])[^\W\d_]{3,}[!$%^&*?~#@+]",
-            r"[!$%^&*?~#@+][^\W\d_]{3,}+(?![^\W_])",
-        ),
-    )
-)
+#: All but the runs are looked for from their sign, as signs are few.
+_MIXED = re.compile(r"\d[^\W\d_]|[^\W\d_]\d|[a-z][A-Z]")
+_RUN = re.compile(r"[^\W_]+")
+_CAPITALS = re.compile(r"(?<![^\W_])[A-Z]{16,}(?![^\W_])")
+_LETTERS_DIGITS = re.compile(r"(?:_|[^\w\s])(?<=[^\W\d_].)\d{2,}(?![^\W_])")
+_DIGITS_LETTERS = re.compile(r"(?:_|[^\w\s])(?<=\d\d.)[^\W\d_]++(?![^\W_])")
+_LETTERS_SIGN = re.compile(r"[!$%^&*?~#@+](?<=[^\W\d_].)")
+_SIGN_LETTERS = re.compile(r"[!$%^&*?~#@+][^\W\d_]{3,}+(?![^\W_])")
 
 
 def decoded(value: str) -> str | None:
@@ -149,10 +145,48 @@ def strength(value: str, *, quoted: bool, strong_name: bool) -> bool:
     return signs > 0 and letters > 3 or any(c.isupper() for c in value) and any(c.islower() for c in value) and len(value) >= 8
 
 
+#: Classes of ASCII characters: digit, small letter, capital, sign, unusual sign.
+_DIGIT, _SMALL, _CAPITAL, _SIGN, _UNUSUAL = 1, 2, 3, 4, 5
+_CLASS = np.array([_DIGIT if c.isdigit() else _SMALL if c.islower() else _CAPITAL if c.isupper() else _UNUSUAL if c in "!$%^&*?~#@+" else 0 if c.isspace() else _SIGN for c in map(chr, range(128))], np.uint8)
+
+
+def _starts(text: str) -> tuple:
+    """Places where a mixed run, and each of the shapes with signs, may be: by
+    the classes of neighbours in ASCII texts, by patterns in others."""
+    if not text.isascii():
+        return (m.start() for m in _MIXED.finditer(text)), *((m.start() for m in p.finditer(text)) for p in (_LETTERS_DIGITS, _DIGITS_LETTERS, _LETTERS_SIGN))
+    c = _CLASS[np.frombuffer(text.encode(), np.uint8)]
+    digit, letter, sign, unusual = c == _DIGIT, (c == _SMALL) | (c == _CAPITAL), c >= _SIGN, c == _UNUSUAL
+    mixed = digit[:-1] & letter[1:] | letter[:-1] & digit[1:] | (c[:-1] == _SMALL) & (c[1:] == _CAPITAL)
+    between = lambda a, b: (np.flatnonzero(a[:-2] & sign[1:-1] & b[2:]) + 1).tolist()
+    return np.flatnonzero(mixed).tolist(), between(letter, digit), between(digit, letter), (np.flatnonzero(letter[:-1] & unusual[1:]) + 1).tolist()
+
+
 def shapes(text: str) -> set[str]:
     """The strings of ``text`` by which literals are indexed. What stands by
     itself in a text has the same shapes there as alone: they are whole runs."""
-    return {m for p in _SHAPES for m in p.findall(text)}
+    out = {*_CAPITALS.findall(text), *_SIGN_LETTERS.findall(text)}
+    mixed, *signed = _starts(text)
+    at = 0
+    for place in mixed:
+        if place < at:
+            continue
+        begin = place
+        while begin > at and text[begin - 1].isalnum():
+            begin -= 1
+        at = _RUN.match(text, begin).end()
+        out.add(text[begin:at])
+    for places_, pattern, part, least in zip(signed, (_LETTERS_DIGITS, _DIGITS_LETTERS, _LETTERS_SIGN), (str.isalpha, str.isdecimal, str.isalpha), (1, 2, 3)):
+        last = 0
+        for place in places_:
+            m = pattern.match(text, place)
+            begin = place
+            while begin > last and part(text[begin - 1]):
+                begin -= 1
+            if m and place - begin >= least and not (begin and text[begin - 1].isalnum()):
+                out.add(text[begin : m.end()])
+            last = place
+    return out
 
 
 def anchor(value: str) -> int | None:
