@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.operators import graph
 
@@ -32,8 +32,8 @@ def request_trace(routes: DataFrame, references: DataFrame) -> DataFrame:
     file and line."""
     h = handlers(routes)
     head = h.select("route", F.lit(0).alias("step"), F.lit("route").alias("kind"), F.col("route").alias("name")).unionByName(h.select("route", F.lit(1).alias("step"), F.lit("handler").alias("kind"), F.col("handler").alias("name")))
-    uses = references_of(routes, references).groupBy("route").agg(F.array_sort(F.collect_set(F.struct("file", "line"))).alias("u"))
-    rest = uses.select("route", F.posexplode("u").alias("pos", "x")).select("route", (F.col("pos") + 2).alias("step"), F.lit("reference").alias("kind"), F.concat_ws(":", "x.file", "x.line").alias("name"))
+    order = Window.partitionBy("route").orderBy("file", "line")  # sorts and spills, collects nothing
+    rest = references_of(routes, references).select("route", (F.row_number().over(order) + 1).alias("step"), F.lit("reference").alias("kind"), F.concat_ws(":", "file", "line").alias("name"))
     return head.unionByName(rest)
 
 

@@ -16,7 +16,7 @@ from tessera.functions import text as tx
 from tessera.operators import analysis, graph, prompts, ranking, routes, symbols
 from tessera.plans import ask, context, investigate
 from tessera.plans.reference import _CALLS, _FACTS, _GRAPH, _HYPS, _IMPORTS, _SYMBOLS, _TASK, _built, _call_graph, _calls, _imports, _symbols
-from tessera.session import shared_dir, table
+from tessera.session import shared_dir, stage, table
 from tessera.sources import projects, repository, stores
 from tessera.streaming import events
 
@@ -501,7 +501,7 @@ def callable_lookup(spark: SparkSession, base: str) -> DataFrame:
 def answers(spark: SparkSession, base: str) -> DataFrame:
     """Questions over the small project's graph, answered."""
     nodes, edges = graph.build_v2(symbols.symbol_document(_extracted(spark)).withColumn("file_id", F.xxhash64("file_path")))
-    repo = ask.Repository(nodes, edges)
+    repo = ask.Repository(stage(nodes, "nodes"), stage(edges, "edges"))
     rows = []
     for q in ("Where is Service handled?", "Show handler execution flow", "hello"):
         a = repo.ask(q)

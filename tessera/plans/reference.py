@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tessera.functions import text as tx
 from tessera.operators import analysis, graph, logs, prompts, ranking, routes
 from tessera.plans import ask
-from tessera.session import table
+from tessera.session import stage, table
 from tessera.sources import projects, repository, stores
 from tessera.streaming import events
 
@@ -38,7 +38,7 @@ def _calls(spark, base) -> DataFrame:
 
 def _call_graph(spark, base) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the calls: their ends by name."""
-    e = _calls(spark, base).withColumn("relationship", F.lit(graph.CALLS))
+    e = stage(_calls(spark, base).withColumn("relationship", F.lit(graph.CALLS)), "calls")
     n = e.select(F.col("source").alias("id")).unionByName(e.select(F.col("target").alias("id"))).distinct()
     return n.select("id", F.lit("FUNCTION").alias("type"), F.col("id").alias("name"), F.lit(0).alias("ord")), e
 
@@ -385,21 +385,17 @@ _FACTS = r"""f0 AS (SELECT DISTINCT evidence_id, content, collected_at, regexp_r
     f AS (SELECT 'fact-' || substr(sha256(statement), 1, 12) AS id, statement, first(evidence_id ORDER BY collected_at, evidence_id) AS evidence_id, 1.0::DOUBLE AS confidence
       FROM (SELECT *, CASE WHEN length(c) > 350 THEN rtrim(substr(c, 1, 350)) || '...' ELSE c END AS statement FROM f0
             WHERE length(s) BETWEEN 1 AND 600 AND NOT starts_with(s, '[USER]:') AND NOT contains(s, chr(10) || '---' || chr(10))) GROUP BY statement)"""
-_RULES = " UNION ALL ".join(f"SELECT {i} AS rule, '{k}' AS k, '{h}' AS h" for i, (k, h) in enumerate(analysis.HYPOTHESES))
+_RULES = "SELECT 0 AS rule, '404' AS k, 'Requested route is not registered' AS h UNION ALL SELECT 1, '404', 'Request path is incorrect' UNION ALL SELECT 2, 'connection refused', 'Target service is not running' UNION ALL SELECT 3, 'connection refused', 'Network configuration issue exists' UNION ALL SELECT 4, 'timeout', 'Dependency is responding too slowly'"
 _HYPS = f"""h AS (SELECT 'hyp-' || substr(sha256(h), 1, 12) AS id, h AS statement, min(rule) AS rule, count(DISTINCT f.id) AS n_support FROM f JOIN ({_RULES}) r ON contains(lower(f.statement), r.k) GROUP BY h)"""
 
 
-def _case(col: str, rules, default: str) -> str:
-    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains({col}, '{w}')" for w in words) + f" THEN {v!r}" for v, words in rules) + f" ELSE {default} END"
-
-
-_KIND, _DOMAIN = _case("lower(intent)", [(t, w) for t, w, _ in analysis.TYPES], "'unknown'"), _case("lower(intent)", analysis.DOMAINS, "'unknown'")
-_CONF = "CASE " + " ".join(f"WHEN sure = {c} AND (domain <> 'unknown') = {str(k).lower()} THEN {v}::DOUBLE" for (c, k), v in analysis.CONFIDENCE.items()) + " END"
-_SURE = _case("lower(intent)", [(c, w) for _, w, c in analysis.TYPES], "0.4")
+_LOW = "lower(coalesce(intent, ''))"
+_KIND = f"CASE WHEN regexp_matches({_LOW}, 'fix|bug|error|broken|not working|issue|sync|failing') THEN 'debugging' WHEN regexp_matches({_LOW}, 'why|cause|reason') THEN 'root_cause' WHEN regexp_matches({_LOW}, 'slow|latency|performance|memory|cpu') THEN 'performance' WHEN regexp_matches({_LOW}, 'security|auth bypass|token|jwt|vulnerability') THEN 'security' WHEN regexp_matches({_LOW}, 'test') THEN 'test_failure' WHEN regexp_matches({_LOW}, 'architecture|design|review|structure') THEN 'architecture_review' WHEN regexp_matches({_LOW}, 'feature|implement|analyze|behaviour|behavior') THEN 'feature_analysis' ELSE 'unknown' END"
+_DOMAIN = f"CASE WHEN regexp_matches({_LOW}, 'backend|server|repository|service|railway') THEN 'backend' WHEN regexp_matches({_LOW}, 'frontend|ui|react|page|component') THEN 'frontend' WHEN regexp_matches({_LOW}, 'flutter|android|ios|mobile') THEN 'mobile' WHEN regexp_matches({_LOW}, 'api|endpoint|route|request|response') THEN 'api' WHEN regexp_matches({_LOW}, 'database|postgres|sqlite|schema|query') THEN 'database' WHEN regexp_matches({_LOW}, 'auth|login|jwt|token') THEN 'auth' WHEN regexp_matches({_LOW}, 'docker|deployment|infra|kubernetes|container') THEN 'infrastructure' ELSE 'unknown' END"
+_CONF = "CASE investigation_type WHEN 'debugging' THEN CASE WHEN domain = 'unknown' THEN 0.68 ELSE 0.95 END WHEN 'architecture_review' THEN CASE WHEN domain = 'unknown' THEN 0.62 ELSE 0.9 END WHEN 'feature_analysis' THEN CASE WHEN domain = 'unknown' THEN 0.6 ELSE 0.88 END WHEN 'unknown' THEN CASE WHEN domain = 'unknown' THEN 0.4 ELSE 0.68 END ELSE CASE WHEN domain = 'unknown' THEN 0.65 ELSE 0.93 END END::DOUBLE"
 _TASK = ", ".join("(" + " + ".join("len(regexp_extract_all(t, '" + p.replace("'", "''") + "'))" for p in ps) + f") AS {k}" for k, ps in tx.TASKS.items())
-_TOKENS = ranking.issue_tokens(ISSUE)
+_RANKED = ("debug", "rejects", "route", "session", "that", "the", "token", "tokens", "upload")
 _WEIGHT = "CASE lower(type) WHEN 'file' THEN 10.0 WHEN 'class' THEN 20.0 WHEN 'function' THEN 20.0 WHEN 'method' THEN 20.0 WHEN 'symbol' THEN 20.0 WHEN 'route' THEN 50.0 ELSE 5.0 END"
-_LONG = [t for t in _TOKENS if len(t) >= 3]
 _GRAPH = r"""f AS (SELECT file_id, file_path, 'file:' || coalesce(file_path, '') AS file, classes, functions, methods, routes, imports, calls, inherits FROM file_symbols),
     d AS (SELECT file, 'class' AS k, c.name AS name FROM (SELECT file, unnest(classes) AS c FROM f) UNION SELECT file, 'function', c.name FROM (SELECT file, unnest(functions) AS c FROM f)
       UNION SELECT file, 'method', concat_ws('.', c.class_name, c.name) FROM (SELECT file, unnest(methods) AS c FROM f) WHERE c IS NOT NULL UNION SELECT file, 'route', concat_ws(':', c.method, c.path) FROM (SELECT file, unnest(routes) AS c FROM f) WHERE c IS NOT NULL
@@ -419,7 +415,6 @@ _IMPORTS = r"""i AS (SELECT DISTINCT file_id, file_path AS source, x.module AS m
     tp AS (SELECT module, k, array_to_string(string_split(module, '.')[1:k], '.') AS prefix FROM (SELECT module, unnest(range(1, len(string_split(module, '.')) + 1)) AS k FROM (SELECT DISTINCT module FROM i) WHERE module <> '')),
     bm AS (SELECT module, arg_max(mf.file, k) AS file FROM tp JOIN mf ON mf.name = tp.prefix GROUP BY module),
     im AS (SELECT i.source, i.module, i.imported, i.line, bm.file AS target FROM i LEFT JOIN bm USING (module))"""
-_RANKED = ("debug", "rejects", "route", "session", "that", "the", "token", "tokens", "upload")
 
 SQL = {
     "graph_nodes_v2": f"WITH {_GRAPH} SELECT id, type, name FROM n",
@@ -446,12 +441,12 @@ SQL = {
     "route_catalogue": "SELECT DISTINCT coalesce(r.path, '') AS path, upper(r.method) AS method, r.function_name AS handler FROM (SELECT unnest(routes) AS r FROM file_symbols) WHERE r IS NOT NULL",
     "node_relevance": "WITH n AS (SELECT DISTINCT node_key, type, name, metadata, regexp_replace(lower(name), '[_-]', ' ', 'g') AS m FROM graph_node), s AS (SELECT node_key, "
     + f"CASE WHEN m = '{ISSUE.lower()}' THEN 40.0 WHEN contains(m, '{ISSUE.lower()}') THEN 20.0 ELSE 0.0 END + "
-    + " + ".join(f"CASE WHEN contains(m, '{t}') THEN {_WEIGHT} ELSE 0.0 END" for t in _LONG)
+    + " + ".join(f"CASE WHEN contains(m, '{t}') THEN {_WEIGHT} ELSE 0.0 END" for t in _RANKED)
     + " + "
-    + " + ".join(f"CASE WHEN contains(lower(metadata), '{t}') THEN 3.0 ELSE 0.0 END" for t in _TOKENS)
+    + " + ".join(f"CASE WHEN contains(lower(metadata), '{t}') THEN 3.0 ELSE 0.0 END" for t in _RANKED)
     + " AS score FROM n) SELECT node_key, CAST(max(score) AS DOUBLE) AS score FROM s WHERE score > 0 GROUP BY node_key ORDER BY score DESC, node_key LIMIT 50",
     "evidence_text_score": "WITH e AS (SELECT DISTINCT evidence_id, lower(content) AS c FROM evidence), s AS (SELECT evidence_id, 5.0::DOUBLE * ("
-    + " + ".join(f"(length(c) - length(replace(c, '{t}', ''))) / {len(t)}" for t in ranking.issue_tokens("timeout session route"))
+    + " + ".join(f"(length(c) - length(replace(c, '{t}', ''))) / {len(t)}" for t in ("route", "session", "timeout"))
     + ") AS score FROM e) SELECT DISTINCT evidence_id, CAST(score AS DOUBLE) AS score FROM s WHERE score > 0",
     "file_rank_topk": f"WITH {_SYMBOLS}, {_IMPORTS}, f AS (SELECT DISTINCT file_path, lower(regexp_extract(file_path, '([^/]+)$', 1)) AS b FROM file_symbols), o AS (SELECT DISTINCT file AS file_path, type, name, replace(lower(name), '_', ' ') AS b FROM s), r AS (SELECT DISTINCT file_path, x.path AS path FROM (SELECT file_path, unnest(routes) AS x FROM file_symbols) WHERE x.path IS NOT NULL), g AS ("
     + " UNION ALL ".join(f"SELECT file_path, 10.0 AS score, 'filename matches ' || chr(39) || '{t}' || chr(39) AS reason FROM f WHERE contains(b, '{t}') UNION ALL SELECT file_path, 20.0, 'symbol matches ' || chr(39) || '{t}' || chr(39) FROM o WHERE contains(b, '{t}')" for t in _RANKED)
@@ -462,16 +457,14 @@ SQL = {
     "camel_to_snake": r"SELECT name, lower(regexp_replace(regexp_replace(name, '(.)([A-Z][a-z]+)', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS snake FROM (SELECT DISTINCT c.name AS name FROM (SELECT unnest(classes) AS c FROM file_symbols) WHERE c.name IS NOT NULL)",
     "route_mentions": r"WITH d AS (SELECT doc_id, regexp_extract_all(text, '(?i)\b(GET|POST|PUT|PATCH|DELETE)\s+(/[/a-zA-Z0-9_\-]*)', 1) AS m, regexp_extract_all(text, '(?i)\b(GET|POST|PUT|PATCH|DELETE)\s+(/[/a-zA-Z0-9_\-]*)', 2) AS p FROM documents WHERE text IS NOT NULL) SELECT doc_id, coalesce(array_to_string(list_transform(range(1, len(m) + 1), lambda i: upper(m[i]) || ':' || p[i]), ','), '') AS routes FROM d",
     "classify_task": f"WITH d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, {_TASK} FROM d), g AS (SELECT *, greatest(debug, research, code, explain, design) AS b FROM s) SELECT doc_id, CASE WHEN b = 0 THEN 'general' WHEN debug = b THEN 'debug' WHEN research = b THEN 'research' WHEN code = b THEN 'code' WHEN explain = b THEN 'explain' ELSE 'design' END AS task FROM g",
-    "intent_rules": rf"WITH c AS (SELECT DISTINCT request_id, intent FROM prompt_request), s AS (SELECT request_id, intent, {_KIND} AS investigation_type, {_DOMAIN} AS domain, {_SURE} AS sure FROM c) SELECT request_id, investigation_type, domain, {_CONF} AS confidence, CASE WHEN regexp_matches(lower(intent), '\b(?:error|bug|fail|exception|500|404)\b') THEN 'bug_investigation' WHEN regexp_matches(lower(intent), '\b(?:where|find|handled|implemented)\b') THEN 'symbol_lookup' ELSE 'general_search' END AS question FROM s",
+    "intent_rules": rf"WITH c AS (SELECT DISTINCT request_id, intent FROM prompt_request), s AS (SELECT request_id, intent, {_KIND} AS investigation_type, {_DOMAIN} AS domain FROM c) SELECT request_id, investigation_type, domain, {_CONF} AS confidence, CASE WHEN regexp_matches(lower(intent), '\b(?:error|bug|fail|exception|500|404)\b') THEN 'bug_investigation' WHEN regexp_matches(lower(intent), '\b(?:where|find|handled|implemented)\b') THEN 'symbol_lookup' ELSE 'general_search' END AS question FROM s",
     "extract_keywords": r"""WITH c AS (SELECT DISTINCT request_id, 'intent' AS field, coalesce(intent, '') AS t FROM prompt_request UNION SELECT request_id, 'conversation', coalesce(conversation, '') FROM prompt_request),
         m AS (SELECT request_id, field, regexp_extract_all(t, '\b([a-zA-Z0-9_/]+)(\.[a-zA-Z0-9_]{2,6})\b', 1) AS a, regexp_extract_all(t, '\b([a-zA-Z0-9_/]+)(\.[a-zA-Z0-9_]{2,6})\b', 2) AS b, regexp_extract_all(regexp_replace(t, '[À-ÖØ-öø-ɏ]', '0', 'g'), '\b([A-Z][a-zA-Z]{2,})\b', 1) AS k, regexp_extract_all(regexp_replace(t, '[À-ÖØ-öø-ɏ]', '0', 'g'), '\b([a-z]+(?:_[a-z]+){1,})\b', 1) AS n, list_filter(regexp_extract_all(t, '`([^`\n]+)`', 1), lambda x: x IS NOT NULL) AS q FROM c),
         w AS (SELECT request_id, field, list_concat(list_concat(list_concat(list_transform(range(1, len(a) + 1), lambda i: lower(a[i] || b[i])), list_transform(a, lambda x: lower(x))), list_concat(list_transform(k, lambda x: lower(x)), list_transform(k, lambda x: lower(regexp_replace(regexp_replace(x, '(.)([A-Z][a-z]+)', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g'))))),
                 list_concat(n, list_concat(list_transform(q, lambda x: trim(lower(x))), list_transform(q, lambda x: trim(lower(CASE WHEN regexp_matches(split_part(x, '/', -1), '[^.].*\.') THEN x[1:length(x) - length(split_part(x, '.', -1)) - 1] ELSE x END)))))) AS w FROM m)
         SELECT request_id, field, coalesce(array_to_string(list_sort(list_distinct(list_filter(w, lambda x: length(x) > 2))), ','), '') AS keywords FROM w""",
     "route_query_rules": r"WITH c AS (SELECT DISTINCT request_id, intent, trim(coalesce(intent, '')) AS t, lower(trim(coalesce(intent, ''))) AS l FROM prompt_request) SELECT request_id, CASE WHEN t = '' THEN 'none' WHEN regexp_matches(t, '(?i)\b(GET|POST|PUT|PATCH|DELETE)\s+(/[/a-zA-Z0-9_\-]*)') AND ("
-    + " OR ".join(f"contains(l, '{w}')" for w in ask.TRACE_WORDS)
-    + ") THEN 'route_trace' "
-    + " ".join("WHEN " + " OR ".join(f"contains(l, '{p}')" for p in phrases) + f" THEN '{capability}'" for capability, phrases, _ in ask.RULES)
+    + "regexp_matches(l, 'trace|flow|path|route')) THEN 'route_trace' WHEN regexp_matches(l, 'what breaks if|impact|affected by|depends on|blast radius') THEN 'impact_analysis' WHEN regexp_matches(l, 'who calls|what calls|callers of|called by|what does|callees of|calls from') THEN 'where_is_symbol' WHEN regexp_matches(l, 'execution flow|execution path|call chain|flow') THEN 'call_chain' WHEN regexp_matches(l, 'where|find|implemented|handled|defined') THEN 'where_is_symbol'"
     + " ELSE 'unknown' END AS capability FROM c",
     "rule_summary": r"""WITH c AS (SELECT DISTINCT request_id, conversation AS t FROM prompt_request WHERE conversation IS NOT NULL),
         m AS (SELECT request_id, t, regexp_extract_all(t, '\b(GET|POST|PATCH|PUT|DELETE)\s+(/[a-zA-Z0-9_/.<>?=&\-]+)', 1) AS a, regexp_extract_all(t, '\b(GET|POST|PATCH|PUT|DELETE)\s+(/[a-zA-Z0-9_/.<>?=&\-]+)', 2) AS b, regexp_extract_all(t, '([a-zA-Z0-9_/]+\.[a-zA-Z0-9_]{2,5})', 1) AS f, list_filter(list_transform(regexp_split_to_array(t, '\r?\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM c),
@@ -498,13 +491,11 @@ SQL = {
     "fact_extract": f"WITH {_FACTS} SELECT id, statement, evidence_id, confidence FROM f",
     "hypothesis_generate": f"WITH {_FACTS}, {_HYPS} SELECT id, statement, n_support, CAST(CASE WHEN n_support >= 2 THEN least(1.0, 0.5 + 0.1 * n_support) ELSE 0.5 END AS DOUBLE) AS score, CASE WHEN n_support >= 2 THEN 'supported' ELSE 'active' END AS status FROM h",
     "root_cause_rank": f"WITH {_FACTS}, {_HYPS} SELECT row_number() OVER (ORDER BY confidence DESC, rule) AS rank, statement, confidence FROM (SELECT *, CAST(greatest(0.0, least(1.0, round(0.5 + 0.1 * n_support, 2))) AS DOUBLE) AS confidence FROM h)",
-    "missing_evidence": f"WITH c AS (SELECT DISTINCT request_id, intent FROM prompt_request), s AS (SELECT request_id, {_KIND} AS t, {_DOMAIN} AS d FROM c), n AS (SELECT request_id, unnest(CASE "
-    + " ".join(f"WHEN t = '{t}' AND d = '{d}' THEN {list(e)!r}" for (t, d), e in analysis.PLANS.items())
-    + f" ELSE {list(analysis.DEFAULT_PLAN)!r} END) AS evidence_type FROM s) SELECT request_id, evidence_type, CAST(list_position({list(analysis.PRIORITY)!r}, evidence_type) AS BIGINT) AS priority FROM n WHERE evidence_type <> 'repository_code'",
+    "missing_evidence": f"WITH c AS (SELECT DISTINCT request_id, intent FROM prompt_request), s AS (SELECT request_id, {_KIND} AS t, {_DOMAIN} AS d FROM c), n AS (SELECT request_id, unnest(CASE WHEN t = 'debugging' AND d = 'backend' THEN ['server_logs', 'api_routes', 'stack_trace'] WHEN t = 'debugging' AND d = 'mobile' THEN ['stack_trace', 'terminal_output', 'project_structure'] WHEN t = 'debugging' AND d = 'api' THEN ['api_routes', 'server_logs', 'project_structure'] WHEN t = 'test_failure' AND d = 'unknown' THEN ['test_results', 'stack_trace'] WHEN t = 'security' AND d = 'auth' THEN ['config_file', 'api_routes'] ELSE ['project_structure'] END) AS evidence_type FROM s) SELECT request_id, evidence_type, CAST(list_position(['stack_trace', 'server_logs', 'terminal_output', 'test_results', 'api_routes', 'repository_code', 'database_schema', 'network_trace', 'config_file', 'project_structure'], evidence_type) AS BIGINT) AS priority FROM n",
     "timeline_recent": "SELECT user_id AS session, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 3",
     "session_stats": "SELECT session, CAST(sum(f) AS BIGINT) AS facts, CAST(sum(h) AS BIGINT) AS hypotheses, CAST(sum(e) AS BIGINT) AS evidence, CAST(sum(v) AS BIGINT) AS events FROM (SELECT DISTINCT project_name AS session, CAST(rank_id AS VARCHAR) AS k, 1 AS f, 0 AS h, 0 AS e, 0 AS v FROM ranked_file UNION ALL SELECT DISTINCT project_name, CAST(request_id AS VARCHAR), 0, 1, 0, 0 FROM prompt_request UNION ALL SELECT DISTINCT project_name, evidence_id, 0, 0, 1, 0 FROM evidence UNION ALL SELECT DISTINCT project_name, CAST(run_id AS VARCHAR), 0, 0, 0, 1 FROM terminal_run) GROUP BY session",
     "event_windows": "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
-    "extension_histogram": "SELECT extension, count(*) AS n, CASE extension " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in repository.LANGUAGES.items()) + r" END AS language FROM (SELECT file_id, lower(regexp_extract(any_value(file_path), '[^/.][^/]*(\.[^./]+)$', 1)) AS extension FROM file_symbols GROUP BY file_id) GROUP BY extension",
+    "extension_histogram": "SELECT extension, count(*) AS n, CASE extension WHEN '.py' THEN 'Python' WHEN '.dart' THEN 'Dart' WHEN '.ts' THEN 'TypeScript' WHEN '.tsx' THEN 'TypeScript' WHEN '.js' THEN 'JavaScript' WHEN '.jsx' THEN 'JavaScript' WHEN '.sql' THEN 'SQL'" + r" END AS language FROM (SELECT file_id, lower(regexp_extract(any_value(file_path), '[^/.][^/]*(\.[^./]+)$', 1)) AS extension FROM file_symbols GROUP BY file_id) GROUP BY extension",
     "terminal_blocks": r"""WITH r AS (SELECT DISTINCT run_id, command, exit_code, stdout, stderr, regexp_replace(coalesce(stdout, ''), '^\s+|\s+$', '', 'g') AS o, regexp_replace(coalesce(stderr, ''), '^\s+|\s+$', '', 'g') AS e FROM terminal_run)
         SELECT run_id, md5('COMMAND: ' || coalesce(command, '') || chr(10) || 'EXIT CODE: ' || coalesce(CAST(exit_code AS VARCHAR), 'None') || chr(10) || chr(10) || '================ STDOUT ================' || chr(10) || o || chr(10) || chr(10) || '================ STDERR ================' || chr(10) || e) AS digest,
                coalesce(length(stdout), 0) AS stdout_length, coalesce(length(stderr), 0) AS stderr_length, e <> '' AS has_errors FROM r""",
@@ -515,11 +506,8 @@ SQL = {
         h AS (SELECT route, handler, file_path FROM (SELECT *, row_number() OVER (PARTITION BY route ORDER BY file_id DESC, handler DESC, file_path DESC) AS n FROM r) WHERE n = 1),
         c AS (SELECT handler, count(*) AS n_calls FROM (SELECT DISTINCT file_id, c.target AS handler, c.line AS line FROM (SELECT file_id, unnest(calls) AS c FROM file_symbols) WHERE c.target IS NOT NULL) GROUP BY handler)
         SELECT route, handler, file_path, coalesce(n_calls, 0) AS n_calls FROM h LEFT JOIN c USING (handler)""",
-    "evidence_questions": f"WITH c AS (SELECT DISTINCT request_id, intent FROM prompt_request), s AS (SELECT request_id, {_KIND} AS t, {_DOMAIN} AS d FROM c), n AS (SELECT request_id, CASE "
-    + " ".join(f"WHEN t = '{t}' AND d = '{d}' THEN {sorted((x for x in e if x != 'repository_code'), key=analysis.PRIORITY.index)!r}" for (t, d), e in analysis.PLANS.items())
-    + f" ELSE {[x for x in analysis.DEFAULT_PLAN if x != 'repository_code']!r} END AS e FROM s) SELECT request_id, len(e) AS n_questions, 'Please provide:' || chr(10) || chr(10) || array_to_string(list_transform(range(1, len(e) + 1), lambda i: CAST(i AS VARCHAR) || '. ' || CASE e[i] "
-    + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in projects.LABELS.items())
-    + " END), chr(10)) AS combined FROM n",
+    "evidence_questions": f"""WITH c AS (SELECT DISTINCT request_id, intent FROM prompt_request), s AS (SELECT request_id, {_KIND} AS t, {_DOMAIN} AS d FROM c), n AS (SELECT request_id, CASE WHEN t = 'debugging' AND d = 'backend' THEN ['stack trace', 'server logs', 'API routes'] WHEN t = 'debugging' AND d = 'mobile' THEN ['stack trace', 'terminal output', 'project structure'] WHEN t = 'debugging' AND d = 'api' THEN ['server logs', 'API routes', 'project structure'] WHEN t = 'test_failure' AND d = 'unknown' THEN ['stack trace', 'test results'] WHEN t = 'security' AND d = 'auth' THEN ['API routes', 'configuration files'] ELSE ['project structure'] END AS e FROM s)
+        SELECT request_id, len(e) AS n_questions, 'Please provide:' || chr(10) || chr(10) || array_to_string(list_transform(range(1, len(e) + 1), lambda i: CAST(i AS VARCHAR) || '. ' || e[i]), chr(10)) AS combined FROM n""",
     "dependency_depths": """WITH RECURSIVE e AS (SELECT DISTINCT i.class_name AS s, i.parent AS t FROM (SELECT unnest(inherits) AS i FROM file_symbols) WHERE i.class_name IS NOT NULL AND i.parent IS NOT NULL),
         w AS (SELECT DISTINCT s AS start, s AS id, 0 AS depth FROM e UNION SELECT w.start, e.t, w.depth + 1 FROM w JOIN e ON e.s = w.id WHERE w.depth < 60),
         m AS (SELECT start, id, min(depth) AS depth FROM w GROUP BY start, id) SELECT start, CAST(max(depth) AS BIGINT) AS depth FROM m GROUP BY start""",
