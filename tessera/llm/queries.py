@@ -104,7 +104,18 @@ _FORM = r"""u AS (SELECT doc_id, text, regexp_extract_all(nfc_normalize(text), '
                 'ﬀ': 'ff', 'ﬁ': 'fi', 'ﬂ': 'fl', 'ﬃ': 'ffi', 'ﬄ': 'ffl', 'ﬅ': 'st', 'ﬆ': 'st', 'Ĳ': 'IJ', 'ĳ': 'ij', 'Ǉ': 'LJ', 'ǈ': 'Lj', 'ǉ': 'lj', 'Ǌ': 'NJ', 'ǋ': 'Nj', 'ǌ': 'nj'} AS m)),
         w AS (SELECT doc_id, text, nfc_normalize(array_to_string(k, '')) AS form FROM v)"""
 
+#: A path in one form, and what it tells; written apart from the operator.
+_P5_PATH = r"""CASE WHEN regexp_matches(p, '^(/|\./|[A-Za-z]:|file:)|//|/\.{1,2}/|^\.\./') THEN regexp_replace(CASE WHEN regexp_matches(p, '^(/|[A-Za-z]:|file:)') AND strpos(q, '/' || project || '/') > 0 THEN substr(q, strpos(q, '/' || project || '/') + length(project) + 2) ELSE q END, '^/+', '') ELSE p END"""
+_P5_NORMAL = r"""SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '^(file:)?/+', '/'), '/{2,}', '/', 'g'), '(^|/)(\./)+', '\1', 'g'), '(^|/)[^/.][^/]*/\.\./', '\1', 'g') AS q FROM (SELECT *, replace(trim(file_path, ' '), chr(92), '/') AS p, coalesce(project_name, '') AS project FROM {0})"""
+_P5_TOLD = r"""(regexp_matches(lower(path), '(^|/)(node_modules|bower_components|jspm_packages|_?vendor|third[_-]?party|externals?|extern|site-packages|dist-packages|\.?venv|virtualenv|__generated__|generated|gen|_?build|dist|deps|pods|carthage|godeps|__pycache__|\.next|\.nuxt|\.tox|\.eggs)/')
+        OR regexp_matches(regexp_extract(lower(path), '[^/]*$'), '[._-]min\.(js|css|mjs)$|\.bundle\.js$|\.chunk\.(js|css)$|\.pb\.(go|cc|h)$|_pb2(_grpc)?\.pyi?$|\.g\.(py|dart|cs|ts|go)$|[._-](auto)?gen(erated)?\.\w+$|^zz_generated[._]|\.designer\.(cs|vb)$|-\d+\.\d+(\.\d+)*\.(js|css)$|[.-][0-9a-f]{8,40}(\.\w+)?\.(js|css)$|\.(js|css)\.map$|^(package-lock|npm-shrinkwrap)\.json$|^(yarn|poetry|cargo|gemfile|composer|pipfile|pdm|uv|flake)\.lock$|^pnpm-lock\.yaml$|^go\.sum$'))"""
+_P5_HEAD = r"""(regexp_matches(lower(head_text), '@generated|<auto-generated|code generated by|automatically (created|generated) by|machine-written by|machine generated by|edits are overwritten|(changes|edits) will be lost|will be overwritten|change the template instead|output of go:generate|auto-?generated from|generated from protobuf|this file (is|was) generated|this file is auto-generated|this is a generated file')
+        OR regexp_matches(lower(head_text), '(^|\n)[\s/*#;<!\-"''%(]*(auto-?generated|generated (by|from)|automatically generated)') OR regexp_matches(lower(head_text), '(do not (edit|modify|change)|don''t edit)\s*([.!;)*\-]|\n|$)'))"""
+
 SQL: dict[str, str] = {
+    "p5_found": f"""WITH f AS (SELECT *, {_P5_PATH} AS path FROM ({_P5_NORMAL.replace('{0}', 'file_symbols')})), j AS (SELECT file_id, project_name, path, coalesce({_P5_TOLD}, false) AS by_path, coalesce(CASE WHEN n_lines <> 0 THEN n_bytes / n_lines END > 200, false) OR coalesce({_P5_HEAD}, false) AS by_content FROM f),
+        r AS (SELECT rank_id, project_name, {_P5_PATH} AS path FROM ({_P5_NORMAL.replace('{0}', 'ranked_file')})), told AS (SELECT DISTINCT project_name, path FROM j WHERE by_content)
+        SELECT DISTINCT 'file_symbols' AS origin, CAST(file_id AS VARCHAR) AS record_id FROM j WHERE by_path OR by_content UNION SELECT 'ranked_file', CAST(rank_id AS VARCHAR) FROM r LEFT JOIN told USING (project_name, path) WHERE coalesce({_P5_TOLD}, false) OR (project_name, path) IN (SELECT project_name, path FROM told)""",
     "p9_found": f"WITH {_FORM} SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text",
     "p9_classes": f"WITH {_FORM} SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS form_id, min(doc_id) OVER (PARTITION BY form, text) AS copy_id, count(*) OVER (PARTITION BY form) - count(*) OVER (PARTITION BY form, text) AS n_links FROM w",
     "p9_forms": f"WITH {_FORM} SELECT doc_id, CASE WHEN text = '' THEN '' ELSE form END AS canonical_text, md5(text) AS raw_key, md5(coalesce(form, text)) AS canonical_key FROM (SELECT d.doc_id, d.text, w.form FROM documents d LEFT JOIN w ON w.doc_id = d.doc_id)",
