@@ -102,8 +102,8 @@ _TYPED = {
 SQL = {
     "p1_found": f"WITH {_TREE} SELECT DISTINCT origin, record_id, file_path, kind AS child_kind, coalesce(above, file_path) AS parent_name, name AS child_name, coalesce(line, 0) AS line_no FROM k",
     **{f"p1_table_{kind}": f"WITH {_TREE} SELECT DISTINCT origin, record_id, file_path, coalesce(above, file_path) AS parent_name, name, coalesce(line, 0) AS line, {', '.join(columns)} FROM k WHERE kind = '{kind}'" for kind, columns in _TYPED.items()},
-    "p1_orphans": f"""WITH {_TREE} SELECT origin, kind AS subtype, count(*) AS n_children, 0 AS n_orphans FROM k WHERE origin <> 'file_symbols' GROUP BY origin, kind
-        UNION ALL SELECT 'file_symbols', 'call', count(*), 0 FROM (SELECT unnest(calls) AS c FROM (SELECT DISTINCT file_id, file_path, calls FROM file_symbols)) WHERE c IS NOT NULL""",
+    "p1_orphans": f"""WITH {_TREE} SELECT origin, kind AS subtype, count(*) AS n_children, 0::BIGINT AS n_orphans FROM k WHERE origin <> 'file_symbols' GROUP BY origin, kind
+        UNION ALL SELECT 'file_symbols', 'call', count(*), 0::BIGINT FROM (SELECT unnest(calls) AS c FROM (SELECT DISTINCT file_id, file_path, calls FROM file_symbols)) WHERE c IS NOT NULL""",
     "p1_file_calls": """
         WITH c AS (SELECT CAST(file_id AS VARCHAR) AS record_id, coalesce(file_path, '') AS file_path, unnest(calls) AS c FROM file_symbols)
         SELECT DISTINCT 'file_symbols' AS origin, record_id, file_path, 'call' AS child_kind,

@@ -557,7 +557,7 @@ def _quoted(text: str) -> str:
 
 
 def _values(columns: str, rows: list[tuple]) -> str:
-    cell = lambda v: f"{v!r}" if isinstance(v, (int, float)) else _quoted(v)
+    cell = lambda v: f"{v}::{'BIGINT' if isinstance(v, int) else 'DOUBLE'}" if isinstance(v, (int, float)) else _quoted(v)
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({columns})"
 
 
